@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, warc
+from . import chat, exact_dedup, line_dedup, mixing, warc
 from .common import shared_dir, staged
 
 
@@ -23,10 +23,20 @@ def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_chats(chat.format_chats(staged(chat.linear_tree(turns), "messages")))
 
 
+def op6_subset_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("source")
+
+
 def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_cuckoo_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.LineIndex.empty(spark).insert(docs).apply(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_transaction_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_warc(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("capture_id"), "url", F.col("html").alias("payload")), path)
@@ -35,12 +45,12 @@ def op9_transaction_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op5_reply_trees, op7_content_sort, op9_transaction_assembly)
+    named = (op5_reply_trees, op6_subset_sum, op7_content_sort, op8_cuckoo_lines, op9_transaction_assembly)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_reply_trees": OP5, "op7_content_sort": OP7, "op9_transaction_assembly": OP9}
+    return {"op5_reply_trees": OP5, "op7_content_sort": OP7, "op8_cuckoo_lines": OP8, "op9_transaction_assembly": OP9}
 
 
 OP7 = r"""
@@ -73,3 +83,13 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(html) AS pa
   CASE WHEN payload_bytes >= 1000 AND page_id < main THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id < main THEN main END AS refers_to FROM m
 """
+
+OP8 = r"""
+WITH l AS (
+  SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+), f AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT l.*, f.keeper IS NOT NULL AND f.keeper <> l.doc_id AS dropped FROM l LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+"""
