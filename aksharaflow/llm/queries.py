@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, line_dedup, mixing, warc
+from . import chat, exact_dedup, line_dedup, mixing, packing, topk, warc
 from .common import shared_dir, staged
 
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role").withColumn("text", F.lit(said))
@@ -44,13 +48,17 @@ def op9_transaction_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))), "*").select(F.col("capture_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 
+def op10_norm_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op5_reply_trees, op6_subset_sum, op7_content_sort, op8_cuckoo_lines, op9_transaction_assembly)
+    named = (op1_shortest_pack_first, op5_reply_trees, op6_subset_sum, op7_content_sort, op8_cuckoo_lines, op9_transaction_assembly, op10_norm_sorted)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_reply_trees": OP5, "op7_content_sort": OP7, "op8_cuckoo_lines": OP8, "op9_transaction_assembly": OP9}
+    return {"op5_reply_trees": OP5, "op7_content_sort": OP7, "op8_cuckoo_lines": OP8, "op9_transaction_assembly": OP9, "op10_norm_sorted": OP10}
 
 
 OP7 = r"""
@@ -93,3 +101,13 @@ j AS (SELECT l.*, f.keeper IS NOT NULL AND f.keeper <> l.doc_id AS dropped FROM
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
 FROM j GROUP BY doc_id
 """
+
+OP10 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
