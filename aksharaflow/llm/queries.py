@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, line_dedup, mixing, packing, topk, warc
+from . import chat, exact_dedup, line_dedup, mixing, packing, quality, topk, toxicity, warc
 from .common import shared_dir, staged
 
 
@@ -20,6 +20,22 @@ def op1_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def _held_out(parts: int, rest: int) -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == rest, F.lit(False))
+
+
+def op2_subword_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _table(spark, sf_dir, "documents"), _held_out(4, 2)
+    model = quality.train(docs, _table(spark, sf_dir, "labels"), ~held)
+    return quality.score_quality(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op3_segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _table(spark, sf_dir, "documents"), _held_out(5, 0)
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), ~held)
+    return toxicity.score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", F.size("segments").alias("n_segments"))
+
+
 def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role").withColumn("text", F.lit(said))
@@ -53,7 +69,7 @@ def op10_norm_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_shortest_pack_first, op5_reply_trees, op6_subset_sum, op7_content_sort, op8_cuckoo_lines, op9_transaction_assembly, op10_norm_sorted)
+    named = (op1_shortest_pack_first, op2_subword_embeddings, op3_segment_search, op5_reply_trees, op6_subset_sum, op7_content_sort, op8_cuckoo_lines, op9_transaction_assembly, op10_norm_sorted)
     return {f.__name__: f for f in named}
 
 
