@@ -54,11 +54,10 @@ def branches(messages: DataFrame) -> DataFrame:
     leaf = nodes.select("k", "msg").join(nodes.select("k", F.col("parent").alias("msg")).distinct(), ["k", "msg"], "left_anti")
     longest = nodes.groupBy("k").count().agg(F.max("count")).head()[0] or 0
     for _ in range((longest - 1).bit_length()):
+        known, rest = up.where(F.col("next").isNull()), up.where(F.col("next").isNotNull())
         over = up.select("k", F.col("msg").alias("next"), F.col("next").alias("on"), F.col("path").alias("more"), F.col("score").alias("plus"))
         up = staged(
-            up.join(over, ["k", "next"], "left").select(
-                "k", "conv_id", "msg", F.col("on").alias("next"), F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("more", "path")).alias("path"), (F.col("score") + F.coalesce("plus", F.lit(0.0))).alias("score")
-            ),
+            known.unionByName(rest.join(over, ["k", "next"]).select("k", "conv_id", "msg", F.col("on").alias("next"), F.concat("more", "path").alias("path"), (F.col("score") + F.col("plus")).alias("score"))),
             "branches",
         )
     paths = up.where(F.col("next").isNull()).join(leaf, ["k", "msg"])
