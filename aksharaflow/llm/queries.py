@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, line_dedup, mixing, packing, quality, topk, toxicity, warc
+from . import chat, exact_dedup, line_dedup, mixing, neardup, packing, quality, topk, toxicity, warc
 from .common import shared_dir, staged
 
 
@@ -36,6 +36,10 @@ def op3_segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", F.size("segments").alias("n_segments"))
 
 
+def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), neardup.Settings(percent=85))
+
+
 def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role").withColumn("text", F.lit(said))
@@ -69,7 +73,7 @@ def op10_norm_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_shortest_pack_first, op2_subword_embeddings, op3_segment_search, op5_reply_trees, op6_subset_sum, op7_content_sort, op8_cuckoo_lines, op9_transaction_assembly, op10_norm_sorted)
+    named = (op1_shortest_pack_first, op2_subword_embeddings, op3_segment_search, op4_chosen_path, op5_reply_trees, op6_subset_sum, op7_content_sort, op8_cuckoo_lines, op9_transaction_assembly, op10_norm_sorted)
     return {f.__name__: f for f in named}
 
 
