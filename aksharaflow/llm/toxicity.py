@@ -17,6 +17,8 @@ from .common import staged, worker_cache
 
 #: Distinct tokens that a task counts before it hands on what it has.
 FLUSH = 200_000
+#: Largest number of labels that is broadcast to the documents; more are joined by shuffling.
+BROADCAST_LABELS = 1_000_000
 #: Tokens whose scores a worker keeps.
 CACHE = 400_000
 #: Lengths of token prefixes that are features beside the token itself, longest first.
@@ -104,14 +106,20 @@ class _Scores(dict):
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """Documents that hold each token: token, docs, toxic, clean; docs has text and toxic (1, 0, or null if not to be learned from)."""
+    """Documents that hold each token without punctuation around it: token, docs, toxic, clean; docs has text and toxic (1, 0, or null if not to be learned from)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         all_, by = Counter(), {1: Counter(), 0: Counter()}
 
         def out() -> pd.DataFrame:
-            names = list(all_)
-            return pd.DataFrame({"token": pd.Series(names, dtype=object), "docs": [all_[x] for x in names], "toxic": [by[1][x] for x in names], "clean": [by[0][x] for x in names]})
+            cores: dict[str, list[int]] = {}
+            for token, n in all_.items():
+                told = cores.setdefault(EDGE.sub("", token), [0, 0, 0])
+                told[0] += n
+                told[1] += by[1][token]
+                told[2] += by[0][token]
+            cores.pop("", None)
+            return pd.DataFrame({"token": pd.Series(list(cores), dtype=object), **dict(zip(("docs", "toxic", "clean"), np.array(list(cores.values()), np.int64).reshape(-1, 3).T, strict=True))})
 
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
@@ -132,9 +140,9 @@ def log_odds(counts: DataFrame, most: int = 50_000, least_docs: int = 3, least_z
     """Log-odds of features between toxic and clean documents, under Dirichlet priors in proportion to the counts of the
     whole corpus, with the mass of the smaller of the two classes. Kept are the at most `most` features with the largest z among those that at
     least least_docs labelled documents hold and that pass least_z either way."""
-    core = F.regexp_replace("token", r"(?U)^\W+|\W+$", "")
+    core = F.col("token")
     feats = F.array(F.concat(core, F.lit("$")), *[F.when(F.char_length(core) >= n, F.substring(core, 1, n)) for n in PREFIXES])
-    each = counts.where(F.char_length(core) > 0).select(F.explode(F.array_compact(feats)).alias("f"), "docs", "toxic", "clean")
+    each = counts.select(F.explode(F.array_compact(feats)).alias("f"), "docs", "toxic", "clean")
     each = staged(each.groupBy("f").agg(*[F.sum(c).cast("double").alias(c) for c in ("docs", "toxic", "clean")]), "toxic-features")
     total = each.agg(*[F.sum(c).alias(c) for c in ("docs", "toxic", "clean")]).head()
     if not total["toxic"] or not total["clean"]:
@@ -148,12 +156,12 @@ def log_odds(counts: DataFrame, most: int = 50_000, least_docs: int = 3, least_z
     return {r["f"]: max(-8.0, min(8.0, r["odds"])) for r in told.orderBy(F.desc(F.abs(F.col("z"))), "f").limit(most).select("f", "odds").collect()}
 
 
-SCORED = "doc_id long, tokens long, evidence double, best double, up long, segments array<struct<start:bigint,length:bigint,score:double,expected:double>>"
+SCORED = "doc_id long, tokens long, evidence double, best double, up long, scores array<double>, segments array<struct<start:bigint,length:bigint,score:double,expected:double>>"
 
 
 def find_segments(docs: DataFrame, model: ToxicModel, with_spans: bool = True) -> DataFrame:
-    """Per document: tokens, evidence, best segment score, number of tokens with a positive score, and its significant
-    segments as (start, length) in code points of the text, score, and how many as good a clean text would have."""
+    """Per document: tokens, evidence, best segment score, number of tokens with a positive score, the scores of all
+    maximal segments, and the significant ones as (start, length) in code points of the text, score, and how many as good a clean text would have."""
 
     name = uuid.uuid4().hex
 
@@ -174,13 +182,13 @@ def find_segments(docs: DataFrame, model: ToxicModel, with_spans: bool = True) -
                     at = [m.span() for m in re.finditer(r"\S+", text)]
                     if len(at) == len(found):
                         spans = [{"start": at[a][0], "length": at[b - 1][1] - at[a][0], "score": s, "expected": e} for a, b, s, e in told]
-                rows.append((doc, len(found), model.evidence(len(found), segs), max((s for *_, s in segs), default=0.0), int((scores > 0).sum()), spans))
+                rows.append((doc, len(found), model.evidence(len(found), segs), max((s for *_, s in segs), default=0.0), int((scores > 0).sum()), [x for *_, x in segs], spans))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCORED.split(", ")]).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, SCORED)
 
 
-def train(docs: DataFrame, labels: DataFrame, learn, sample: int = 20_000) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, learn, sample: int = 10_000) -> ToxicModel:
     """Learns from labels (doc_id, toxic) of the rows of docs (doc_id, text) where learn (a Column over doc_id) holds.
 
     Token counts cover all documents; log-odds all labelled ones that may be learned from. The extreme-value law and
@@ -188,18 +196,21 @@ def train(docs: DataFrame, labels: DataFrame, learn, sample: int = 20_000) -> To
     Labels that are null count as no label; of repeated labels the largest counts. Without labels of both kinds every
     document scores 0.5 or below."""
     known = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = staged(known, "toxic-labels")
+    if known.count() <= BROADCAST_LABELS:
+        known = F.broadcast(known)
     few = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample).select("doc_id", F.col("toxic").alias("t"), F.lit(True).alias("sampled"))
+    few = F.broadcast(few)  # at most `sample` rows
     joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id", "left")
     odds = log_odds(token_counts(joined))
     model = ToxicModel(odds)
     if not odds:
         return ToxicModel({}, line=(-1.0, 0.0))
-    got = find_segments(joined.join(few, "doc_id").select("doc_id", "text"), model, False).join(few, "doc_id").select("tokens", "best", "up", "t", "doc_id").toPandas()  # at most `sample` rows of numbers
+    got = find_segments(docs.join(few, "doc_id").select("doc_id", "text"), model, False).join(few, "doc_id").select("tokens", "best", "up", "scores", "t").toPandas()  # at most `sample` rows of numbers
     clean = got[got["t"] == 0]
-    rate, scale = extreme_law(clean["best"].to_numpy(), clean["tokens"].to_numpy(), int(clean["up"].sum()), model.off)
-    model = ToxicModel(odds, model.off, rate, scale)
-    got = find_segments(joined.join(few, "doc_id").select("doc_id", "text"), model, False).join(few, "doc_id").select("evidence", "t").toPandas()
-    return ToxicModel(odds, model.off, rate, scale, logistic_line(got["evidence"].to_numpy(), got["t"].to_numpy(np.float64)))
+    model = ToxicModel(odds, model.off, *extreme_law(clean["best"].to_numpy(), clean["tokens"].to_numpy(), int(clean["up"].sum()), model.off))
+    evidence = np.array([model.evidence(n, [(0, 0, x) for x in scores]) for n, scores in zip(got["tokens"], got["scores"], strict=True)])
+    return ToxicModel(odds, model.off, model.rate, model.scale, logistic_line(evidence, got["t"].to_numpy(np.float64)))
 
 
 def extreme_law(best: np.ndarray, n: np.ndarray, up: int, off: float) -> tuple[float, float]:
