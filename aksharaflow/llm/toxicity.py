@@ -248,3 +248,25 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -
     rows = find_segments(docs, model)
     score = 1 / (1 + F.exp(-(F.lit(model.line[0]) + F.lit(model.line[1]) * F.col("evidence"))))
     return rows.select("doc_id", score.alias("score"), "segments").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose whole text scores below the threshold; order and repeats stay."""
+    import pyarrow as pa
+
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = worker_cache("toxic-tokens")
+        if cache.get("name") != name:
+            cache.update(name=name, scores=_Scores(model))
+        look = cache["scores"].__getitem__
+        for batch in batches:
+            keep = []
+            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
+                found = tokens(text or "")
+                scores = damp(found, np.fromiter(map(look, found), np.float64, len(found)))
+                keep.append(model.probability(model.evidence(len(found), segments(scores))) < threshold)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
