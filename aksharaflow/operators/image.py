@@ -1,0 +1,48 @@
+"""Images of text lines: which script they show."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+#: A pixel is ink if it differs from the background by more than this.
+INK = 70
+
+
+def classify(raw: bytes, width: int, height: int) -> str:
+    """'devanagari' if most bands of ink have a head line over much of their ink columns, 'latin' if most have none, else 'unknown'.
+
+    A band is at least six rows of ink; a head line is a run of ink in its upper two thirds, 0.85 band heights long or more."""
+    if not raw or len(raw) < 4 * width * height or width < 1 or height < 1:
+        return "unknown"
+    green = np.frombuffer(raw, np.uint8, 4 * width * height).reshape(height, width, 4)[:, :, 1].astype(np.int16)
+    ground = np.bincount(green.ravel(), minlength=256).argmax()
+    ink = np.abs(green - ground) > INK
+    full = np.flatnonzero(ink.any(1))
+    votes = []
+    for band in np.split(full, np.flatnonzero(np.diff(full) > 1) + 1) if len(full) else []:
+        if len(band) < 6:
+            continue
+        part = ink[band[0] : band[-1] + 1]
+        columns = int(part.any(0).sum())
+        best = 0
+        for row in part[: max(1, int(0.65 * len(band)))]:
+            edge = np.flatnonzero(np.diff(np.r_[0, row.astype(np.int8), 0]))
+            length = edge[1::2] - edge[::2]
+            best = max(best, int(length[length >= 0.85 * len(band)].sum()))
+        share = best / max(1, columns)
+        votes.append("devanagari" if share >= 0.45 else "latin" if share <= 0.12 and columns >= 2 * len(band) else "unknown")
+    return max(sorted(set(votes)), key=votes.count) if votes else "unknown"
+
+
+def classify_images(images: DataFrame) -> DataFrame:
+    """images (id, raw BGRA bytes, width, height): id, script."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "script": [classify(r, w, h) for r, w, h in zip(b["raw"], b["width"], b["height"], strict=True)]})
+
+    return images.select("id", "raw", "width", "height").mapInPandas(run, "id long, script string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lexicon_queries, order_queries, text_queries  # noqa: F401
+from . import lexicon_queries, order_queries, source_queries, state_queries, text_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
