@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, partitions, staged
@@ -37,10 +37,9 @@ def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("id"), F.char_length(text).alias("chars"), F.regexp_replace(text, f"[{SPACE}]+", "").alias("norm"))
 
-    seen = Observation()
-    cost = F.sum(F.octet_length("norm") + ROW_BYTES)
-    top = base.observe(seen, cost.alias("cost")).groupBy(F.xxhash64("norm").alias("hot")).agg(cost.alias("cost"), F.count("*").alias("rows")).where("rows > 1").orderBy(F.desc("cost"), "hot").limit(2 * n).collect()
-    piece = (seen.get["cost"] or 0) / (2 * n)
+    piece = (docs.agg(F.sum(F.octet_length(text) + ROW_BYTES)).head()[0] or 0) / (2 * n)
+    cost = F.sum(F.octet_length("norm") + ROW_BYTES).alias("cost")
+    top = base.groupBy(F.xxhash64("norm").alias("hot")).agg(cost, F.count("*").alias("rows")).where("rows > 1").orderBy(F.desc("cost"), "hot").limit(2 * n).collect()
     hot = [(r["hot"], int(r["cost"] // piece) + 1) for r in top if r["cost"] > piece]
 
     pieces = spark.createDataFrame(hot, "hot long, pieces int")  # at most two rows per shuffle partition
