@@ -21,13 +21,13 @@ LONG = 2**63 - 1
 
 
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer rows; beyond 64 bits they stop at the ends of the range."""
+    """Exact inner products of integer rows; beyond 63 bits they stop at the ends of that range."""
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if top < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     if top < 2**63:
         return a @ b.T
-    return np.clip(a.astype(object) @ b.astype(object).T, -LONG - 1, LONG).astype(np.int64)
+    return np.clip(a.astype(object) @ b.astype(object).T, -LONG, LONG).astype(np.int64)
 
 
 def _best(query: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> pd.DataFrame:
