@@ -40,8 +40,8 @@ def table_html(cells: DataFrame, by: list[str]) -> DataFrame:
     span = F.concat(F.when(F.col("rs") > 1, F.concat(F.lit(' rowspan="'), F.col("rs").cast("string"), F.lit('"'))).otherwise(""), F.when(F.col("cs") > 1, F.concat(F.lit(' colspan="'), F.col("cs").cast("string"), F.lit('"'))).otherwise(""))
     one = F.concat(F.lit("<"), tag, span, F.lit(">"), escape_html(F.coalesce("text", F.lit(""))), F.lit("</"), tag, F.lit(">"))
     in_order = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), "")
-    rows = cells.withColumn("h", one).groupBy(*by, "row").agg(F.concat(F.lit("<tr>"), in_order("col", "h"), F.lit("</tr>")).alias("h"))
-    return rows.groupBy(*by).agg(F.concat(F.lit("<table>"), in_order("row", "h"), F.lit("</table>")).alias("html"))
+    rows = cells.withColumn("_h", one).groupBy(*by, "row").agg(F.concat(F.lit("<tr>"), in_order("col", "_h"), F.lit("</tr>")).alias("_h"))
+    return rows.groupBy(*by).agg(F.concat(F.lit("<table>"), in_order("row", "_h"), F.lit("</table>")).alias("html"))
 
 
 def table_text(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -50,8 +50,8 @@ def table_text(cells: DataFrame, by: list[str]) -> DataFrame:
     grid = size.select(*by, F.explode(F.sequence(F.lit(0), "nr")).alias("row"), "nc").select(*by, "row", F.explode(F.sequence(F.lit(0), "nc")).alias("col"))
     full = grid.join(cells.select(*by, "row", "col", "text"), [*by, "row", "col"], "left").withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\t\n]", " "))
     in_order = lambda key, value, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), sep)
-    rows = full.groupBy(*by, "row").agg(in_order("col", "text", "\t").alias("t"))
-    return rows.groupBy(*by).agg(in_order("row", "t", "\n").alias("tsv"))
+    rows = full.groupBy(*by, "row").agg(in_order("col", "text", "\t").alias("_t"))
+    return rows.groupBy(*by).agg(in_order("row", "_t", "\n").alias("tsv"))
 
 
 def clipboard_html(fragment: Column) -> Column:
