@@ -160,11 +160,16 @@ def aksharas_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MOVABLE = f"[{deva.SIGN}्]"
 
 
-@query(f"""SELECT k AS movement_key, count(*) AS n_forms, min(b) AS first_form FROM (SELECT DISTINCT b, regexp_replace(b, {quoted(_MOVABLE)}, '', 'g') || '|' ||
-  array_to_string(list_sort(regexp_extract_all(b, {quoted(_MOVABLE)})), '') AS k FROM ({_BROKEN_SQL})) GROUP BY k HAVING count(*) > 1""")
+_FORMS_SQL = f"SELECT nfc_normalize(b) AS b FROM ({_BROKEN_SQL}) UNION SELECT nfc_normalize({sql_rules('nfc_normalize(b)', deva.TYPED)}) FROM ({_BROKEN_SQL})"
+
+
+@query(f"""SELECT k AS movement_key, count(*) AS n_forms, min(b) AS first_form FROM (SELECT b, regexp_replace(b, {quoted(_MOVABLE)}, '', 'g') || '|' ||
+  array_to_string(list_sort(regexp_extract_all(b, {quoted(_MOVABLE)})), '') AS k FROM ({_FORMS_SQL})) GROUP BY k HAVING count(*) > 1""")
 def movement_key_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forms that differ only in where their movable signs stand."""
-    rows = broken_words(spark, sf_dir).select("b", deva.movement_key(F.col("b")).alias("movement_key")).distinct()
+    """Damaged and repaired forms that differ only in where their movable signs stand."""
+    b = broken_words(spark, sf_dir).select(deva.nfc(F.col("b")).alias("b"))
+    forms = b.unionByName(b.select(deva.nfc(deva.rewrite(F.col("b"), deva.TYPED)).alias("b"))).distinct()
+    rows = forms.select("b", deva.movement_key(F.col("b")).alias("movement_key"))
     return rows.groupBy("movement_key").agg(F.count("*").alias("n_forms"), F.min("b").alias("first_form")).where("n_forms > 1")
 
 
