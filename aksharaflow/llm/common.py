@@ -48,6 +48,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, so that tasks on it share what they have looked up."""
+    """A dict that outlives a task on its Python worker, so that tasks of one kind share what they have looked up. It holds
+    one name at a time: the next operator's tasks drop what the last one's left."""
     keep = sys.modules.setdefault("_aksharaflow_worker", types.ModuleType("_aksharaflow_worker"))
-    return keep.__dict__.setdefault(name, {})
+    if getattr(keep, "name", None) != name:
+        keep.name, keep.found = name, {}
+    return keep.found
