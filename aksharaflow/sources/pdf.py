@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import base64
+import math
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -311,9 +311,10 @@ class Font:
 
 
 def _times(m: tuple, n: tuple) -> tuple:
-    a, b = np.array([[m[0], m[1], 0], [m[2], m[3], 0], [m[4], m[5], 1]]), np.array([[n[0], n[1], 0], [n[2], n[3], 0], [n[4], n[5], 1]])
-    c = a @ b
-    return (c[0, 0], c[0, 1], c[1, 0], c[1, 1], c[2, 0], c[2, 1])
+    """The affine map m followed by n."""
+    a, b, c, d, e, f = m
+    p, q, r, s, t, u = n
+    return (a * p + b * r, a * q + b * s, c * p + d * r, c * q + d * s, e * p + f * r + t, e * q + f * s + u)
 
 
 def interpret(doc: Document, page: dict, fonts: dict) -> tuple[list[tuple], list[tuple]]:
@@ -332,8 +333,8 @@ def interpret(doc: Document, page: dict, fonts: dict) -> tuple[list[tuple], list
             for code in f.codes(s):
                 at = _times((size * state["tz"], 0, 0, size, 0, state["ts"]), _times(tm, state["ctm"]))
                 w = f.widths.get(code, f.default) / 1000 * size * state["tz"]
-                scale = float(np.hypot(*_times(tm, state["ctm"])[:2]))
-                glyphs.append((f.name, code, f.texts.get(code), float(at[4]), float(at[5]), float(np.hypot(at[2], at[3])), w * scale, next((m for m in reversed(marks) if m is not None), None)))
+                scale = math.hypot(*_times(tm, state["ctm"])[:2])
+                glyphs.append((f.name, code, f.texts.get(code), float(at[4]), float(at[5]), math.hypot(at[2], at[3]), w * scale, next((m for m in reversed(marks) if m is not None), None)))
                 tm = _times((1, 0, 0, 1, w + (state["tc"] + (state["tw"] if code == 32 and not f.wide else 0)) * state["tz"], 0), tm)
 
         for x in parse(data, many=True)[0]:
