@@ -16,6 +16,8 @@ from .common import worker_cache
 
 #: Words whose vectors a worker keeps.
 CACHE = 300_000
+#: Code points of a word that is cached at most, and of the slices that longer words are read in.
+SHORT, SLICE = 64, 1 << 16
 #: Lengths of character n-grams, taken from the word between < and >.
 GRAMS = (3, 4)
 #: The word that stands for a repetition of the one before; white space keeps it apart from any word of a text.
@@ -37,11 +39,41 @@ def word_features(word: str, buckets: int) -> list[int]:
     """Buckets of the word and of its n-grams of UTF-8 bytes; bucket 0 is that of AGAIN."""
     if word == AGAIN:
         return [0]
-    full = b"<%s>" % word[:64].encode("utf-8", "surrogatepass")
+    full = b"<%s>" % word.encode("utf-8", "surrogatepass")
     grams = [full[i : i + n] for n in GRAMS for i in range(len(full) - n + 1)]
     return [1 + zlib.crc32(x) % (buckets - 1) for x in (full, *grams)]
 
 
+def _crc_steps() -> np.ndarray:
+    """The table of CRC-32: what a byte does to the sum."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+CRC = _crc_steps()
+
+
+def long_features(word: str, buckets: int) -> Iterator[np.ndarray]:
+    """The features of word_features in arrays of bounded size, whatever the length of the word."""
+    whole, before = 0, b""
+    for at in range(0, len(word), SLICE):
+        new = b"<" * (at == 0) + word[at : at + SLICE].encode("utf-8", "surrogatepass") + b">" * (at + SLICE >= len(word))
+        whole = zlib.crc32(new, whole)
+        data = np.frombuffer(before + new, np.uint8)
+        for n in GRAMS:
+            first = max(0, len(before) - n + 1)  # the grams before it lie in the last slice
+            count = len(data) - n + 1 - first
+            if count > 0:
+                crc = np.full(count, 0xFFFFFFFF, np.uint32)
+                for k in range(n):
+                    crc = CRC[(crc ^ data[first + k : first + k + count]) & 0xFF] ^ (crc >> 8)
+                yield 1 + (~crc).astype(np.int64) % (buckets - 1)
+        before = data[-(max(GRAMS) - 1) :].tobytes()
+    yield np.array([1 + whole % (buckets - 1)], np.int64)
+
+
 def words(text: str) -> list[str]:
     """Words by white space; one that repeats the word before it is followed by AGAIN."""
     found = text.split()
@@ -72,6 +104,12 @@ class _Sums:
 
     def sums(self, found: list[str]) -> np.ndarray:
         total = np.zeros(self.rows.shape[1])
+        if max(map(len, found), default=0) > SHORT:
+            for word in found:
+                for at in long_features(word, len(self.table)) if len(word) > SHORT else ():
+                    total[:-1] += self.table[at].sum(0, dtype=np.float64)
+                    total[-1] += len(at)
+            found = [w for w in found if len(w) <= SHORT]
         for i in range(0, len(found), CACHE // 4):
             part = found[i : i + CACHE // 4]
             self.learn(set(part))
@@ -94,16 +132,22 @@ class QualityModel:
 
 def bag(text: str, buckets: int, cache: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature buckets of a text and how often each occurs, over all its features."""
-    parts = []
+    parts, n = [], np.zeros(buckets, np.int64)
     for word in words(text):
+        if len(word) > SHORT:
+            for at in long_features(word, buckets):
+                n += np.bincount(at, minlength=buckets)
+            continue
         at = cache.get(word)
         if at is None:
             if len(cache) >= CACHE:
                 cache.clear()
             at = cache[word] = np.array(word_features(word, buckets), np.int64)
         parts.append(at)
-    ids, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0))
-    return ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
+    if parts:
+        n += np.bincount(np.concatenate(parts), minlength=buckets)
+    ids = np.flatnonzero(n)
+    return ids.astype(np.int32), (n[ids] / max(1, n.sum())).astype(np.float32)
 
 
 def fit(texts: list[str], labels: np.ndarray, s: Settings) -> QualityModel:

@@ -71,3 +71,27 @@ def test_quality_held_out(spark):
     assert len(got) == len(data) + 4 and all(0 <= r["score"] <= 1 for r in got.values()) and got[9000]["score"] == got[9001]["score"]
     none = quality.train(docs, lab.where("false"), F.lit(True))
     assert quality.score_quality(docs, none).head()["score"] == 0.5
+
+
+def test_quality_reads_whole_words(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SLICE", 50)
+    rng = random.Random(3)
+    for n in (1, 49, 50, 51, 65, 99, 100, 101, 1000):
+        word = "".join(rng.choice("ab<>éक😀\udc80") for _ in range(n))
+        got = np.sort(np.concatenate(list(quality.long_features(word, 1 << 12))))
+        assert got.tolist() == sorted(quality.word_features(word, 1 << 12)) and len(got) == 2 * len(word.encode("utf-8", "surrogatepass")), n
+    # without white space, alike in the first 64 code points
+    texts = [(i, "字" * 64 + "".join(rng.choice("良好" if i % 2 else "坏差") for _ in range(200))) for i in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
+    model = quality.train(docs, labels, F.col("doc_id") < 60, quality.Settings(buckets=1 << 12))
+    held = quality.score_quality(docs.where("doc_id >= 60"), model, 0.5).collect()
+    assert len(held) == 20 and all(r["predicted"] == r["doc_id"] % 2 for r in held) and len({r["score"] for r in held}) > 2
+    table = np.random.default_rng(1).random((1 << 12, 4)).astype(np.float32)
+    found = quality.words("x " + "y" * 300 + " " + "y" * 300)
+    sums = quality._Sums(table)
+    each = [b for w in found for b in quality.word_features(w, len(table))]
+    assert np.allclose(sums.sums(found), [*table[each].sum(0, dtype=np.float64), len(each)]) and "y" * 300 not in sums.known
+    cache = {}
+    ids, share = quality.bag(" ".join(found[:3]), len(table), cache)
+    assert np.allclose(np.bincount(each, minlength=len(table))[ids] / len(each), share) and set(cache) == {"x", quality.AGAIN}
