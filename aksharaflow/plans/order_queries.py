@@ -104,6 +104,26 @@ def point_in_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.points_in_cells(points, cells, ["page"]).groupBy("l_orderkey").agg(F.count("*").alias("n_cells"), F.min("c_custkey").alias("first_cell"))
 
 
+#: Cells on a page of point_in_cell_whole.
+_ON_PAGE = 30
+
+
+@query()
+def point_in_cell_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of pages in the cells that hold them: every line item is a point and every customer a cell, and more customers
+    make more pages. Line items of one number at one place are one row, which says how many they are.
+
+    The SQL of point_in_cell is fixed; it reads one line item of each order and customers up to number 1,500."""
+    customers = table(spark, sf_dir, "customer")
+    pages = max(1, -(-customers.count() // _ON_PAGE))
+    up = F.floor(F.col("c_custkey") / pages) % 10 * 30.0
+    cells = customers.select((F.col("c_custkey") % pages).alias("page"), "c_custkey", (F.col("c_nationkey") * 12.0).alias("x0"), (F.col("c_nationkey") * 12.0 + 12).alias("x1"), up.alias("y0"), (up + 30).alias("y1"))
+    points = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % pages).alias("page"), "l_orderkey", "l_linenumber", (F.col("l_quantity") * 6).alias("x"), (F.col("l_extendedprice") % 300).alias("y"))
+    points = points.groupBy("page", "l_orderkey", "l_linenumber", "x", "y").agg(F.count("*").alias("n_items"))
+    found = layout.points_in_cells(points, cells, ["page"]).groupBy("l_orderkey", "l_linenumber", "x", "y", "n_items")
+    return found.agg(F.count("*").alias("n_cells"), F.min("c_custkey").alias("first_cell"))
+
+
 _TABLE = "SELECT n_regionkey AS region, n_nationkey // 5 AS row, n_nationkey % 5 AS col, CASE WHEN n_nationkey % 5 = 4 THEN 1 ELSE 1 END AS rs, CASE WHEN n_nationkey % 7 = 3 AND n_nationkey % 5 < 4 THEN 2 ELSE 1 END AS cs, n_nationkey < 5 AS th, CASE WHEN n_nationkey % 3 = 0 THEN n_name || ' & <' || n_nationkey || '>' ELSE n_name END AS text FROM nation"
 
 

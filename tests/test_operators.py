@@ -1,8 +1,11 @@
 import datetime as dt
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from aksharaflow.operators import detector, docindex, image, intervals, layout, learning, lexicon
+from aksharaflow.plans import catalogue
 from aksharaflow.sources import pdf
 from aksharaflow.streaming import state
 
@@ -61,6 +64,23 @@ def test_layout(spark):
     assert pairs(layout.components(edges)) == [(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)]
 
 
+def test_points_in_cells_of_whole_tables(spark, tmp_path):
+    rng = random.Random(1)
+    customers = [(i, rng.randrange(25)) for i in range(0, 3100)]
+    items = [(rng.randrange(4000), rng.randint(1, 7), float(rng.randint(1, 50)), rng.randint(90_000, 10_000_000) / 100) for _ in range(2500)]
+    items += items[:20]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    pages, want = 104, []
+    for (order, line, quantity, price), n in Counter(items).items():
+        x, y = quantity * 6, price % 300
+        held = [c for c in range(order % pages, 3100, pages) if -1 <= x - customers[c][1] * 12 <= 13 and -1 <= y - c // pages % 10 * 30 <= 31]
+        if held:
+            want.append((order, line, x, y, n, len(held), min(held)))
+    got = pairs(catalogue.QUERIES["point_in_cell_whole"](spark, str(tmp_path)))
+    assert got == sorted(want) and {r[1] for r in got} == set(range(1, 8)) and max(r[6] for r in got) > 1500 and max(r[4] for r in got) == 2
+
+
 def test_index(spark):
     docs = spark.createDataFrame([(1, "Abc “def”  ghi"), (2, None), (3, "")], "doc_id long, text string")
     index = docindex.build(docs)
