@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,12 +55,14 @@ BLOCK = "block long, top double, ids binary, ints binary"
 def blocks(vectors: DataFrame, scale: float = 1024.0, dims: int = 0) -> DataFrame:
     """Packs vectors (vec_id, embedding) by descending length: rows of at most ROWS vectors as integers.
 
-    Ranges of (length, id) are dealt to tasks, so that equal vectors, however many, are split as well."""
+    Ranges of (length, id) are dealt to tasks, so that equal vectors, however many, are split as well. A block's number is
+    its own, made of the task and a count: its ids may begin other blocks too."""
     rows = vectors.where(_usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", _integers(scale).alias("x"))
     norm = F.aggregate("x", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     rows = rows.withColumn("norm", norm).repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 part = batch.iloc[at : at + ROWS]
@@ -67,7 +70,8 @@ def blocks(vectors: DataFrame, scale: float = 1024.0, dims: int = 0) -> DataFram
                 for i, v in enumerate(part["x"]):
                     ints[i, : len(v)] = v
                 ids = part["vec_id"].to_numpy(np.int64)
-                yield pd.DataFrame({"block": [int(ids[0])], "top": [float(np.sqrt(part["norm"].max()))], "ids": [ids.tobytes()], "ints": [ints.tobytes()]})
+                yield pd.DataFrame({"block": [block], "top": [float(np.sqrt(part["norm"].max()))], "ids": [ids.tobytes()], "ints": [ints.tobytes()]})
+                block += 1
 
     return rows.mapInPandas(gather, BLOCK)
 

@@ -97,6 +97,19 @@ def test_topk_matches_brute_force(spark, scale, monkeypatch):
     assert topk.top_k(vectors.where("false"), F.lit(True)).count() == 0
 
 
+def test_topk_searches_every_block_of_a_repeated_id(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 16)
+    rng = np.random.default_rng(5)
+    rows = [(5, [1000.0, 0.0, 0.0, 0.0])] * 40  # two and a half blocks, the longest vectors of all
+    rows += [(1000 + i, [float(-900 + i), 1.0, 0.0, 0.0]) for i in range(8)]  # the rest of the third block
+    rows += [(i, [float(x) for x in rng.normal(size=4)]) for i in range(100, 500)] + [(0, [-1.0, 0.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    packed = topk.blocks(vectors, 1024.0, 4).select("block").collect()
+    assert len(packed) == len({r["block"] for r in packed}) > 3
+    got = sorted(tuple(r) for r in topk.top_k(vectors, F.col("vec_id") % 100 == 0, 7).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute_topk(rows, 7)
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     rows = [(i, "w " * rng.choice((0, 1, 3, 10, 200)), rng.choice(["b", "a", "c", "é", None])) for i in range(1500)] + [(5000, None, "a"), (5001, "x y", None)]
