@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import docindex, intervals, layout
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 _W = "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
 
@@ -145,6 +145,29 @@ def table_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.table_text(cells(spark, sf_dir), ["region"])
 
 
+_LINES = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice) - 1 AS row FROM lineitem"
+_ORDER_TABLE = f"""SELECT l_orderkey, row, 0 AS col, 1 AS rs, CASE WHEN l_quantity > 40 THEN 2 ELSE 1 END AS cs, row = 0 AS th, CASE WHEN l_linenumber % 3 = 0 THEN 'Line & <' || l_linenumber || '>' ELSE 'Line ' || l_linenumber END AS text FROM ({_LINES}) a
+UNION ALL SELECT l_orderkey, row, 1, 1, 1, row = 0, CAST(CAST(floor(l_quantity) AS BIGINT) AS VARCHAR(20)) FROM ({_LINES}) b WHERE NOT l_quantity > 40
+UNION ALL SELECT l_orderkey, row, 2, 1, 1, row = 0, CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR(20)) FROM ({_LINES}) c"""
+
+
+def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items as cells of a table for each order, with gaps, spans and a header."""
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("cells_lineitem")
+    return spark.sql(_ORDER_TABLE.replace("FROM lineitem", "FROM cells_lineitem"))
+
+
+@query(ORACLES["table_html"].replace(_TABLE, _ORDER_TABLE).replace("region", "l_orderkey"))
+def table_html_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line items of each order as a table; table_html, by the same SQL, reads the 25 nations."""
+    return layout.table_html(order_cells(spark, sf_dir), ["l_orderkey"])
+
+
+@query(ORACLES["table_tsv"].replace(_TABLE, _ORDER_TABLE).replace("region", "l_orderkey"))
+def table_tsv_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.table_text(order_cells(spark, sf_dir), ["l_orderkey"])
+
+
 @query("""SELECT p_partkey, printf('Version:0.9' || chr(13) || chr(10) || 'StartHTML:%010d' || chr(13) || chr(10) || 'EndHTML:%010d' || chr(13) || chr(10) || 'StartFragment:%010d' || chr(13) || chr(10) || 'EndFragment:%010d' || chr(13) || chr(10), CAST(105 AS BIGINT), CAST(105 + 34 + n + 34 AS BIGINT), CAST(105 + 34 AS BIGINT), CAST(105 + 34 + n AS BIGINT))
   || '<html><body>' || chr(13) || chr(10) || '<!--StartFragment-->' || f || '<!--EndFragment-->' || chr(13) || chr(10) || '</body></html>' AS clip FROM (SELECT p_partkey, '<b>é ' || p_name || '</b>' AS f, octet_length(encode('<b>é ' || p_name || '</b>')) AS n FROM part)""")
 def cf_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,15 @@ def test_points_in_cells_of_whole_tables(spark, tmp_path):
     assert got == sorted(want) and {r[1] for r in got} == set(range(1, 8)) and max(r[6] for r in got) > 1500 and max(r[4] for r in got) == 2
 
 
+def test_tables_of_all_orders(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").count().collect()
+    html = {r["l_orderkey"]: r["html"] for r in catalogue.QUERIES["table_html_orders"](spark, sf_dir).collect()}
+    tsv = {r["l_orderkey"]: r["tsv"] for r in catalogue.QUERIES["table_tsv_orders"](spark, sf_dir).collect()}
+    assert {r["l_orderkey"]: r["count"] for r in orders} == {k: h.count("<tr>") for k, h in html.items()} == {k: t.count("\n") + 1 for k, t in tsv.items()}
+    assert len(html) > 25 and any('<td colspan="2">Line &amp; &lt;3&gt;</td>' in h for h in html.values())
+
+
 def test_index(spark):
     docs = spark.createDataFrame([(1, "Abc “def”  ghi"), (2, None), (3, "")], "doc_id long, text string")
     index = docindex.build(docs)
