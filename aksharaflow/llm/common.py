@@ -33,13 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df to a new table in the shared folder and reads it back, which cuts its lineage.
 
     The table lives as long as the shared folder: a result that depends on it may be read at any later time."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -126,7 +126,58 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == near_brute(rows, 85)
 
 
+def near_copies(n, seed, vocab=5000):
+    """A text of 150 words and n - 1 copies of it with up to two words changed: half of the pairs aren't links."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(vocab)}" for _ in range(150)]
+    out = [base]
+    for i in range(1, n):
+        words = list(base)
+        for _ in range(1 + i % 2):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**9)}"
+        out.append(words)
+    rng.shuffle(out)
+    return [" ".join(w) for w in out]
+
+
+def test_near_copies_are_found_with_bounded_pairs(spark, monkeypatch):
+    seen = []
+    verify = neardup.verify
+    monkeypatch.setattr(neardup, "verify", lambda pairs, *rest: (seen.append(pairs.count()), verify(pairs, *rest))[1])
+    most = {}
+    for n in (500, 2000):
+        rows = [(i, t) for i, t in enumerate(near_copies(n, 7))] + [(n + i, f"own text {i} " + " ".join(f"v{i}_{k}" for k in range(40))) for i in range(200)]
+        seen.clear()
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), neardup.Settings(percent=85)).collect()}
+        want = {i: 0 for i in range(n)} | {n + i: n + i for i in range(200)}
+        right = sum(got[i] == want[i] for i in want) / len(want)
+        assert right >= 0.99, right
+        most[n] = sum(seen) / n
+    assert most[500] <= 100 and most[2000] <= 100, most
+
+
+def test_near_templates_that_share_most_words(spark):
+    rng = random.Random(11)
+    shared = " ".join(f"t{k}" for k in range(90))
+    rows = [(i, shared + " " + " ".join(f"o{rng.randrange(10**9)}" for _ in range(30))) for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " end") for i in range(0, 300, 3)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), neardup.Settings(percent=85)).collect()}
+    want = near_brute(rows, 85)
+    assert sum(got[i] == want[i] for i in want) / len(want) >= 0.99
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    rows = [(5, a), (5, b), (7, a + " z"), (9, b), (9, b), (4, c), (None, a)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(5, 5, True), (7, 5, False), (9, 5, False), (4, 4, True), (None, None, True)}
+
+
 def test_near_odd_rows(spark):
+    odd = [(*r, 1, 1, 1, 1) for r in ODD] + [(21, "long " * 200_000 + "word", "x", "y", 1, 1, 1, 1, 1)]
+    docs = spark.createDataFrame(odd, DOCS + ", rid int, comp int, node int, set int")
+    got = neardup.near_duplicates(docs).collect()
+    assert len(got) == len(odd) and all(r["kept"] for r in got if r["doc_id"] in (None, 1, 2, 3, 21))
     docs = spark.createDataFrame(ODD, DOCS)
     got = neardup.near_duplicates(docs).collect()
     assert len(got) == len(ODD) and all(r["kept"] for r in got if r["doc_id"] in (None, 1, 2, 3))
