@@ -41,27 +41,43 @@ def _key(c: str = "conv_id") -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
 
 
-def branches(messages: DataFrame) -> DataFrame:
-    """Every root-to-leaf path of messages (conv_id, msg, parent, role, text, score): k, conv_id, leaf, path, score, rank.
-
-    Self-joins double the known part of each path upward, so a path of d messages takes about log2(d) of them. A branch
-    scores the sum over its messages; rank 1 is the best of its conversation, ties go to the smaller leaf. A parent that
-    isn't there makes its reply a root; null scores count as 0; replies that lead into a cycle give no path. Rows with
-    a null conv_id are one conversation. msg must be unique in its conversation; an empty table gives no rows."""
-    nodes = messages.select(_key().alias("k"), "conv_id", "msg", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables (k, msg, to), the i-th with the 2 ** i-th message above each, and (k, msg, n, score) of every message that has
+    a root: the number of messages of its path and their score. A self-join of the last table makes each next one."""
     ids = nodes.select("k", F.col("msg").alias("parent"), F.lit(True).alias("there"))
-    up = nodes.join(ids, ["k", "parent"], "left").select("k", "conv_id", "msg", F.when(F.col("there"), F.col("parent")).alias("next"), F.array("msg").alias("path"), "score")
-    leaf = nodes.select("k", "msg").join(nodes.select("k", F.col("parent").alias("msg")).distinct(), ["k", "msg"], "left_anti")
-    longest = nodes.groupBy("k").count().agg(F.max("count")).head()[0] or 0
+    up = staged(nodes.join(ids, ["k", "parent"], "left").select("k", "msg", F.when(F.col("there"), F.col("parent")).alias("to"), F.lit(1).cast("long").alias("n"), "score"), "branches")
+    longest, jumps = nodes.groupBy("k").count().agg(F.max("count")).head()[0] or 0, []
     for _ in range((longest - 1).bit_length()):
-        known, rest = up.where(F.col("next").isNull()), up.where(F.col("next").isNotNull())
-        over = up.select("k", F.col("msg").alias("next"), F.col("next").alias("on"), F.col("path").alias("more"), F.col("score").alias("plus"))
-        up = staged(
-            known.unionByName(rest.join(over, ["k", "next"]).select("k", "conv_id", "msg", F.col("on").alias("next"), F.concat("more", "path").alias("path"), (F.col("score") + F.col("plus")).alias("score"))),
-            "branches",
-        )
-    paths = up.where(F.col("next").isNull()).join(leaf, ["k", "msg"])
-    return paths.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("score"), "msg"))).select("k", "conv_id", F.col("msg").alias("leaf"), "path", "score", "rank")
+        open_ = up.where(F.col("to").isNotNull())
+        if open_.isEmpty():
+            break
+        jumps.append(open_.select("k", "msg", "to"))
+        over = up.select("k", F.col("msg").alias("to"), F.col("to").alias("on"), F.col("n").alias("more"), F.col("score").alias("plus"))
+        further = open_.join(over, ["k", "to"]).select("k", "msg", F.col("on").alias("to"), (F.col("n") + F.col("more")).alias("n"), (F.col("score") + F.col("plus")).alias("score"))
+        up = staged(up.where(F.col("to").isNull()).unionByName(further), "branches")
+    return jumps, up.where(F.col("to").isNull()).select("k", "msg", "n", "score")
+
+
+def branches(messages: DataFrame, best: int | None = None) -> DataFrame:
+    """Root-to-leaf paths of messages (conv_id, msg, parent, role, text, score), a row for each message on each path: k,
+    conv_id, leaf, score, rank, pos, msg.
+
+    Self-joins double the known part of every path upward without keeping it, so that a path of d messages takes about
+    log2(d) of them and a row a message. A branch scores the sum over its messages; rank 1 is the best of its
+    conversation, ties go to the smaller leaf; only branches ranked up to best (all, if None) are then spelt out, by the
+    same jumps. A parent that isn't there makes its reply a root; null scores count as 0; replies that lead into a cycle
+    give no path. Rows with a null conv_id are one conversation. msg must be unique in its conversation; an empty table
+    gives no rows."""
+    nodes = messages.select(_key().alias("k"), "conv_id", "msg", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    jumps, rooted = _jumps(nodes.drop("conv_id"))
+    leaf = nodes.select("k", "conv_id", "msg").join(nodes.select("k", F.col("parent").alias("msg")).distinct(), ["k", "msg"], "left_anti")
+    ends = leaf.join(rooted, ["k", "msg"]).withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("score"), "msg")))
+    ends = ends if best is None else ends.where(F.col("rank") <= best)
+    rows = ends.select("k", "conv_id", F.col("msg").alias("leaf"), "score", "rank", (F.col("n") - 1).alias("pos"), "msg")
+    for i, jump in enumerate(jumps):
+        rows = staged(rows, "paths")
+        rows = rows.unionByName(rows.join(jump, ["k", "msg"]).select("k", "conv_id", "leaf", "score", "rank", (F.col("pos") - (1 << i)).alias("pos"), F.col("to").alias("msg")))
+    return rows
 
 
 def format_chats(messages: DataFrame, best: int = 1, loss_role: str = "assistant") -> DataFrame:
@@ -69,11 +85,10 @@ def format_chats(messages: DataFrame, best: int = 1, loss_role: str = "assistant
 
     A turn is START, role, newline, text, END, newline, with escaped role and text, so that any string survives.
     loss_spans are (start, length) in code points of formatted: the escaped text of each turn by loss_role. Null roles
-    and texts are empty."""
-    paths = branches(messages).where(F.col("rank") <= best)
-    at = paths.select("k", "conv_id", "leaf", "rank", F.posexplode("path").alias("pos", "msg"))
+    and texts are empty; texts may be of any length. Other columns are ignored, whatever their names."""
+    at = branches(messages, best)
     role, text = (escape(F.coalesce(c, F.lit(""))).alias(c) for c in ("role", "text"))
-    turns = at.join(messages.select(_key().alias("k"), "msg", (F.col("role") == loss_role).alias("on"), role, text), ["k", "msg"])
+    turns = at.join(messages.select(_key().alias("k"), "msg", F.coalesce(F.col("role") == loss_role, F.lit(False)).alias("on"), role, text), ["k", "msg"])
     before, size = F.concat(F.lit(START), "role", F.lit("\n")), F.char_length("text").cast("long")
     whole = F.concat(before, "text", F.lit(END + "\n"))
     w = Window.partitionBy("k", "leaf", "rank").orderBy("pos")

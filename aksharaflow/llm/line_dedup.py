@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -9,13 +11,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, ascii_lower, partitions, staged
+from .common import SPACE_CHARS, ascii_lower, free_name, partitions, staged
 
+#: Lines of a shard; an index that outgrows its shards gets more of them.
+SHARD_LINES = 1 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 class CuckooFilter:
-    """16-bit fingerprints in buckets of four; each key has two buckets, of which one follows from the other."""
+    """16-bit fingerprints in buckets of four; each key has two buckets, of which one follows from the other. A key may be
+    held several times, at most as often as both its buckets have room."""
 
     SLOTS, KICKS = 4, 500
 
@@ -43,37 +48,53 @@ class CuckooFilter:
     def _jump(self, mark: np.ndarray) -> np.ndarray:
         return ((mark.astype(np.uint64) * _MIX[1]) >> np.uint64(20)).astype(np.int64) & (self.buckets - 1)
 
-    def contains(self, keys: np.ndarray) -> np.ndarray:
+    def held(self, keys: np.ndarray) -> np.ndarray:
+        """How often each key is held, or more where others look like it."""
         mark, one, two = self._spots(keys)
-        return ((self.table[one] == mark[:, None]) | (self.table[two] == mark[:, None])).any(axis=1)
+        return (self.table[one] == mark[:, None]).sum(1) + (self.table[two] == mark[:, None]).sum(1) * (one != two)
+
+    def contains(self, keys: np.ndarray) -> np.ndarray:
+        return self.held(keys) > 0
 
     def insert(self, keys: np.ndarray) -> bool:
-        """False if the filter is too full; it must then be built anew from the exact table."""
-        for mark, one, two in zip(*self._spots(keys), strict=True):
-            at = one
-            for kick in range(self.KICKS):
-                for bucket in (one, two) if not kick else (at,):
-                    free = np.flatnonzero(self.table[bucket] == 0)
-                    if len(free):
-                        self.table[bucket, free[0]] = mark
-                        break
-                else:
-                    at, slot = (two if not kick else at), kick % self.SLOTS
-                    mark, self.table[at, slot] = self.table[at, slot], mark
-                    at = int(at) ^ int(self._jump(np.array([mark]))[0])
-                    continue
-                break
+        """False if the filter is too full; it must then be built anew from the exact table. All keys move at once: those
+        that find no free slot in either bucket put another one out, one a bucket and round."""
+        mark, at, _ = self._spots(keys)
+        for turn in range(self.KICKS):
+            order = np.argsort(at, kind="stable")
+            mark, at = mark[order], at[order]
+            first = np.r_[True, at[1:] != at[:-1]][: len(at)]
+            rank = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+            full = self.table[at] != 0
+            fits = rank < self.SLOTS - full.sum(1)
+            self.table[at[fits], np.argsort(full, axis=1, kind="stable")[fits, rank[fits]]] = mark[fits]
+            mark, at = mark[~fits], at[~fits]
+            if not len(at):
+                return True
+            if turn:
+                _, one = np.unique(at, return_index=True)
+                slot = (mark[one] + turn) % self.SLOTS
+                mark[one], self.table[at[one], slot] = self.table[at[one], slot], mark[one]
+                at[one] ^= self._jump(mark[one])
             else:
-                return False
-        return True
+                at ^= self._jump(mark)
+        return False
 
     def delete(self, keys: np.ndarray) -> None:
-        for mark, one, two in zip(*self._spots(keys), strict=True):
-            for bucket in (one, two):
-                found = np.flatnonzero(self.table[bucket] == mark)
-                if len(found):
-                    self.table[bucket, found[0]] = 0
-                    break
+        """Takes each key out once for each time that it is given; keys must have been inserted."""
+        mark, one, two = self._spots(keys)
+        flat = self.table.reshape(-1)
+        while len(mark):
+            hit = np.concatenate([self.table[one] == mark[:, None], self.table[two] == mark[:, None]], 1)
+            slot = hit.argmax(1)
+            spot = np.where(slot < self.SLOTS, one * self.SLOTS + slot, two * self.SLOTS + slot - self.SLOTS)
+            there = hit.any(1)
+            _, take = np.unique(np.where(there, spot, -1), return_index=True)
+            take = take[there[take]]
+            flat[spot[take]] = 0
+            left = there.copy()
+            left[take] = False
+            mark, one, two = mark[left], one[left], two[left]
 
 
 def line_key(line: Column) -> Column:
@@ -85,26 +106,35 @@ def _lines(text: Column) -> Column:
 
 
 def _digest(key: Column) -> Column:
-    return F.unhex(F.md5(key))
+    return F.unhex(F.sha2(key, 256))
+
+
+def _line_digest(line: str) -> bytes:
+    """_digest(line_key(line)) of a plain string."""
+    return hashlib.sha256(line.encode().strip(SPACE_CHARS.encode()).lower()).digest()
 
 
-def postings(docs: DataFrame, shards: int, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each key of a document: shard, h (64 bits of the key's digest), key (digest), doc_id."""
+def postings(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each line of a document: key (digest), doc_id. Rows that share an id are one document."""
     keys = F.filter(F.transform(_lines(F.col(text_col)), line_key), lambda k: F.char_length(k) >= min_chars)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(F.transform(keys, _digest))).alias("key"))
-    h = F.xxhash64("key")
-    return rows.select(F.pmod(h, F.lit(shards)).cast("int").alias("shard"), h.alias("h"), "key", "doc_id")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.array_distinct(F.transform(keys, _digest)).alias("keys"))
+    again = staged(docs.groupBy(F.col(id_col).alias("doc_id")).count().where("count > 1").select("doc_id", F.lit(True).alias("again")), "repeated-ids")
+    if again.isEmpty():
+        return rows.select(F.explode("keys").alias("key"), "doc_id")
+    rows = rows.join(again.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left").select(F.explode("keys").alias("key"), "doc_id", "again")
+    return rows.where("again IS NULL").drop("again").unionByName(rows.where("again").select("key", "doc_id").distinct())
 
 
 @dataclass(frozen=True)
 class LineIndex:
     """What is known of the lines of a corpus. insert() and delete() give a new index and leave the old as it was.
 
-    postings: (shard, h, key, doc_id), each line of each document once. counts: (shard, h, key, refs, keeper), the exact
-    number of documents that hold a line and the largest doc_id of them. filters: (shard, filter), a cuckoo filter of
-    the lines that at least min_docs documents hold; lines that it doesn't know need no look at the counts. A filter
-    is changed by insertions and deletions, and built anew from the counts when full. Each row
-    of a batch is a document: rows that repeat a doc_id count once each. A null doc_id comes before all others."""
+    postings: (key, doc_id), each line of each document once. counts: (key, refs, keeper), the exact number of documents
+    that hold a line and the largest doc_id of them. filters: (shard, filter), cuckoo filters that hold every line as
+    often as there are documents with it, but at most min_docs times: a line that its filter holds less often needs no
+    look at the counts. Insertions and deletions change the filters; one that gets too full is built anew from the
+    counts, and so are all when lines outgrow the shards. Lines are told apart by SHA-256. Rows that share a doc_id are
+    one document; rows without an id are one document too, which can't be deleted and comes before all others."""
 
     spark: SparkSession
     shards: int
@@ -117,66 +147,116 @@ class LineIndex:
     @classmethod
     def empty(cls, spark: SparkSession, shards: int | None = None, min_chars: int = 20, min_docs: int = 3) -> LineIndex:
         none = lambda schema: spark.createDataFrame([], schema)
-        return cls(spark, shards or partitions(spark), min_chars, min_docs, none("shard int, h long, key binary, doc_id long"), none("shard int, h long, key binary, refs long, keeper long"), none("shard int, filter binary"))
+        return cls(spark, shards or partitions(spark), min_chars, min_docs, none("key binary, doc_id long"), none("key binary, refs long, keeper long"), none("shard int, filter binary"))
 
     def _count(self, rows: DataFrame) -> DataFrame:
-        return rows.groupBy("shard", "h", "key").agg(F.count("*").alias("refs"), F.max("doc_id").alias("keeper"))
+        return rows.groupBy("key").agg(F.count("*").alias("refs"), F.max("doc_id").alias("keeper"))
 
-    def _changed(self, rows: DataFrame, counts: DataFrame) -> LineIndex:
-        """The index with these postings and counts; filters follow where a line passes min_docs up or down."""
-        now = counts.where(F.col("refs") >= self.min_docs).select("shard", "h", "key", F.lit(1).alias("now"))
-        before = self.counts.where(F.col("refs") >= self.min_docs).select("shard", "h", "key", F.lit(1).alias("before"))
-        moved = now.join(before, ["shard", "h", "key"], "full").select("shard", "h", "now", "before")
-
-        def update(key: tuple, old: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
-            h, now, before = keys["h"].to_numpy(np.int64), keys["now"].notna().to_numpy(), keys["before"].notna().to_numpy()
-            made = CuckooFilter.loads(old["filter"].iloc[0]) if len(old) else None
-            if made is not None:
-                made.delete(h[before & ~now])
-            if made is None or not made.insert(h[now & ~before]):
-                made, size = None, int(now.sum())
-                while made is None or not made.insert(h[now]):
-                    made, size = CuckooFilter.sized(size), 2 * size + 1
+    def _sharded(self, rows: DataFrame, *more: Column) -> DataFrame:
+        h = F.xxhash64("key")
+        return rows.select(F.pmod(h, F.lit(self.shards)).cast("int").alias("shard"), h.alias("h"), *more)
+
+    def _times(self, refs: str) -> Column:
+        """How often a filter holds a line that so many documents have."""
+        return F.least(F.col(refs), F.lit(self.min_docs)).cast("int")
+
+    def _built(self, counts: DataFrame) -> DataFrame:
+        """Filters of all lines of counts."""
+
+        def build(key: tuple, lines: pd.DataFrame) -> pd.DataFrame:
+            keys = np.repeat(lines["h"].to_numpy(np.int64), lines["now"].to_numpy())
+            size, made = len(keys), CuckooFilter.sized(len(keys))
+            while not made.insert(keys):
+                size = 2 * size + 1
+                made = CuckooFilter.sized(size)
             return pd.DataFrame({"shard": [key[0]], "filter": [made.dumps()]})
 
-        filters = self.filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(update, "shard int, filter binary")
-        return replace(self, postings=rows, counts=counts, filters=staged(filters, "line-filters"))
+        return self._sharded(counts, self._times("refs").alias("now")).groupBy("shard").applyInPandas(build, "shard int, filter binary")
+
+    def _changed(self, rows: DataFrame, counts: DataFrame) -> LineIndex:
+        """The index with these postings and counts (key, refs, keeper, was: refs before)."""
+        now = counts.where("refs > 0").select("key", "refs", "keeper")
+        need = -(-counts.count() // SHARD_LINES)
+        if need > self.shards or self.filters.isEmpty():
+            new = replace(self, postings=rows, counts=now, shards=max(self.shards, 2 * need if need > self.shards else 0))
+            return replace(new, filters=staged(new._built(now), "line-filters"))
+        moved = self._sharded(counts.where(self._times("was") != self._times("refs")), self._times("was").alias("was"), self._times("refs").alias("now"))
+
+        def update(key: tuple, old: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
+            h, more = lines["h"].to_numpy(np.int64), (lines["now"] - lines["was"]).to_numpy(np.int64)
+            made = CuckooFilter.loads(old["filter"].iloc[0]) if len(old) else CuckooFilter.sized(2 * int(more.clip(0).sum()))
+            made.delete(np.repeat(h, (-more).clip(0)))
+            return pd.DataFrame({"shard": [key[0]], "filter": [made.dumps() if made.insert(np.repeat(h, more.clip(0))) else None]})
+
+        filters = staged(self.filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(update, "shard int, filter binary"), "line-filters")
+        full = filters.where("filter IS NULL").select("shard")
+        if not full.isEmpty():
+            again = now.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int")).join(full, "shard", "left_semi")
+            filters = staged(filters.where("filter IS NOT NULL").unionByName(self._built(again)), "line-filters")
+        return replace(self, postings=rows, counts=now, filters=filters)
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """Adds documents (doc_id, text) that the index doesn't hold yet."""
-        new = staged(postings(docs, self.shards, self.min_chars), "line-postings")
-        both = self.counts.unionByName(self._count(new)).groupBy("shard", "h", "key").agg(F.sum("refs").alias("refs"), F.max("keeper").alias("keeper"))
+        new = staged(postings(docs, self.min_chars), "line-postings")
+        both = self.counts.withColumn("was", F.col("refs")).unionByName(self._count(new).withColumn("was", F.lit(0).cast("long")))
+        both = both.groupBy("key").agg(F.sum("refs").alias("refs"), F.max("keeper").alias("keeper"), F.sum("was").alias("was"))
         return self._changed(self.postings.unionByName(new), staged(both, "line-counts"))
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Takes documents (a column doc_id) out again; lines that only they made frequent come back."""
         ids = doc_ids.select("doc_id").distinct()
-        gone = self._count(self.postings.join(ids, "doc_id", "left_semi")).select("shard", "h", "key", F.col("refs").alias("less"))
+        gone = self._count(self.postings.join(ids, "doc_id", "left_semi")).select("key", F.col("refs").alias("less"))
         kept = staged(self.postings.join(ids, "doc_id", "left_anti"), "line-postings")
-        again = self._count(kept.join(gone, ["shard", "h", "key"], "left_semi")).select("shard", "h", "key", F.col("keeper").alias("next"))
-        counts = self.counts.join(gone, ["shard", "h", "key"], "left").join(again, ["shard", "h", "key"], "left")
-        counts = counts.select("shard", "h", "key", (F.col("refs") - F.coalesce("less", F.lit(0))).alias("refs"), F.when(F.col("less").isNull(), F.col("keeper")).otherwise(F.col("next")).alias("keeper"))
-        return self._changed(kept, staged(counts.where("refs > 0"), "line-counts"))
+        again = self._count(kept.join(gone, "key", "left_semi")).select("key", F.col("keeper").alias("next"))
+        counts = self.counts.join(gone, "key", "left").join(again, "key", "left")
+        counts = counts.select("key", (F.col("refs") - F.coalesce("less", F.lit(0))).alias("refs"), F.when(F.col("less").isNull(), F.col("keeper")).otherwise(F.col("next")).alias("keeper"), F.col("refs").alias("was"))
+        return self._changed(kept, staged(counts, "line-counts"))
 
     def frequent(self, rows: DataFrame) -> DataFrame:
-        """Of the lines in postings rows, those that min_docs documents hold: h, key, keeper. The filter of each shard
-        sees its distinct lines; what it lets pass is looked up in the counts, which also ends its false positives."""
+        """Of the lines in postings rows, those that min_docs documents hold: key, keeper. The filter of each shard sees
+        its distinct lines, in pieces of about SHARD_LINES; what it lets pass is looked up in the counts, which also ends
+        its false positives."""
+        pieces, most = max(1, -(-rows.count() // (SHARD_LINES * self.shards))), self.min_docs
 
         def probe(key: tuple, keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-            return keys[CuckooFilter.loads(old["filter"].iloc[0]).contains(keys["h"].to_numpy(np.int64))] if len(old) and len(keys) else keys.iloc[:0]
-
-        keys = rows.select("shard", "h", "key").distinct()
-        passed = keys.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(probe, "shard int, h long, key binary")
-        return passed.join(self.counts.where(F.col("refs") >= self.min_docs), ["shard", "h", "key"]).select("h", "key", "keeper")
-
-    def apply(self, docs: DataFrame) -> DataFrame:
-        """Docs without the frequent lines that another document keeps: all their columns, with text replaced, and
-        n_lines (before), n_dropped. Null and empty texts are one empty line; a text that loses all lines is empty."""
-        rows = staged(postings(docs, self.shards, self.min_chars), "line-keys")
-        drop = rows.join(staged(self.frequent(rows), "frequent-lines"), ["h", "key"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        drop = drop.groupBy("doc_id").agg(F.collect_set("key").alias("_drop"))
-        both = docs.join(drop.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-        lines = _lines(F.col("text"))
-        left = F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), _digest(line_key(x))) | (F.char_length(line_key(x)) < self.min_chars))
-        both = both.withColumns({"n_lines": F.size(lines).cast("long"), "_left": F.when(F.col("_drop").isNull(), lines).otherwise(left)})
-        return both.withColumns({"n_dropped": F.col("n_lines") - F.size("_left"), "text": F.array_join("_left", "\n")}).drop("_left", "_drop")
+            found = CuckooFilter.loads(old["filter"].iloc[0]).held(keys["h"].to_numpy(np.int64)) >= most if len(old) else np.zeros(len(keys), bool)
+            return keys.loc[found, ["key"]]
+
+        keys = self._sharded(rows.select("key").distinct(), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(pieces)).cast("int").alias("piece"), F.col("key"))
+        filters = self.filters.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+        passed = keys.groupBy("shard", "piece").cogroup(filters.groupBy("shard", "piece")).applyInPandas(probe, "key binary")
+        return passed.join(self.counts.where(F.col("refs") >= self.min_docs), "key").select("key", "keeper")
+
+    def apply(self, docs: DataFrame, counted: bool = True) -> DataFrame:
+        """Docs without the frequent lines that another document keeps: all their columns, with text replaced, and, if
+        counted, n_lines (before) and n_dropped in place of columns of these names. Null and empty texts are one empty
+        line; a text that loses all lines is empty."""
+        import pyarrow as pa
+
+        rows = staged(postings(docs, self.min_chars), "line-keys")
+        drop = rows.join(staged(self.frequent(rows), "frequent-lines"), "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        name, of = free_name(docs, "dropped"), free_name(docs, "dropped_of")
+        drop = drop.groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("key").alias(name))
+        docs = docs.drop("n_lines", "n_dropped") if counted else docs
+        both = docs.join(drop, docs["doc_id"].eqNullSafe(F.col(of)), "left").drop(of)
+        least = self.min_chars
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, texts, sizes = batch.schema.get_field_index("text"), [], []
+                for text, gone in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index(name)).to_pylist(), strict=True):
+                    lines = (text or "").split("\n")
+                    n = len(lines)
+                    if gone:
+                        gone = set(gone)
+                        lines = [x for x in lines if len(x) < least or _line_digest(x) not in gone]
+                    texts.append("\n".join(lines))
+                    sizes.append((n, n - len(lines)))
+                batch = batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns([name])
+                if counted:
+                    for k, column in enumerate(("n_lines", "n_dropped")):
+                        batch = batch.append_column(column, pa.array([x[k] for x in sizes], pa.int64()))
+                yield batch
+
+        kinds = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + (["n_lines long", "n_dropped long"] if counted else []))
+        return both.mapInArrow(run, kinds)

@@ -71,8 +71,9 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted).
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted), and
+    row_col, if given, a column that tells rows apart where ids repeat.
 
     Each source gets whole passes over all its documents, as many as its target holds; the rest of the target is a
     subset sum over its histogram of document sizes. Of each size the documents with the smallest seeded hash of
@@ -83,7 +84,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     L words make at most L rows. Documents are ranked in buckets of one size that hold BUCKET of them, so that a
     size that many documents share is spread."""
     key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))
-    rows = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes").withColumn("k", key)
+    rows = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), (F.col(row_col) if row_col else F.lit(None).cast("long")).alias("row")), "mix-sizes").withColumn("k", key)
     hist = rows.groupBy("k", "size").agg(F.first("source").alias("source"), F.count("*").alias("docs"))
 
     def plan(batch: pd.DataFrame) -> pd.DataFrame:
@@ -107,12 +108,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     hashed = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))
     rows = rows.join(chosen, ["k", "size"])
     rows = rows.withColumn("hash", hashed).withColumn("bucket", (F.col("hash") * (1 + F.col("docs") / BUCKET).cast("long") / (1 << 40)).cast("long"))
-    rows = rows.select("doc_id", "source", "k", "size", "source_size", "target", "passes", "docs", "extra", "hash", "bucket")
+    rows = rows.select("doc_id", "row", "source", "k", "size", "source_size", "target", "passes", "docs", "extra", "hash", "bucket")
     # Documents in buckets before the one where the count is reached are in, those after it are out; in it they are ranked.
     fill = rows.where("extra > 0 AND extra < docs").groupBy("k", "size", "bucket").agg(F.count("*").alias("here"), F.first("extra").alias("extra"))
     before = F.sum("here").over(Window.partitionBy("k", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     fill = fill.select("k", "size", "bucket", (F.col("extra") - F.coalesce(before, F.lit(0))).alias("room"))
-    rank = F.row_number().over(Window.partitionBy("k", "size", "bucket").orderBy("hash", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("k", "size", "bucket").orderBy("hash", "doc_id", "row"))
     rows = rows.join(fill, ["k", "size", "bucket"], "left").withColumn("rank", rank)
     once = F.when(F.col("extra") >= F.col("docs"), 1).when(F.col("rank") <= F.col("room"), 1).otherwise(0)
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("passes") + once)).alias("taken"))
+    return rows.select("doc_id", "source", *([F.col("row").alias(row_col)] if row_col else []), "size", "source_size", "target", (F.col("size") * (F.col("passes") + once)).alias("taken"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, worker_cache
+from .common import free_name, staged, worker_cache
 
 #: Entries that a worker keeps of looked-up chunks, and of looked-up words.
 CACHE = 250_000
@@ -154,7 +154,7 @@ def slots(patterns: list[tuple[int, list[int]]]) -> dict[int, np.ndarray]:
 
 
 def pack(pieces: DataFrame, longest: int = 4096) -> DataFrame:
-    """Pieces (doc_id, start, length and any others) with sequence_id, offset, sequence_tokens and padded_tokens.
+    """Pieces (doc_id, start, length and any others, whatever their names but these four) with sequence_id, offset, sequence_tokens and padded_tokens.
 
     The histogram of lengths, of at most longest rows, is packed on the driver; the patterns number a small multiple of
     the lengths, whatever the corpus. Pieces are ranked within their length, in buckets of about BUCKET pieces, and
@@ -163,25 +163,31 @@ def pack(pieces: DataFrame, longest: int = 4096) -> DataFrame:
     hist = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most longest rows
     if not hist:
         return pieces.select("*", *[F.lit(0).cast("long").alias(c) for c in ("sequence_id", "offset", "sequence_tokens", "padded_tokens")])
-    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(-(-max(hist.values()) // BUCKET)))
-    of = slots(pack_histogram(list(hist), list(hist.values()), longest))
-    rows = pieces.withColumn("bucket", bucket)
-    before = F.sum("here").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    base = rows.groupBy("length", "bucket").agg(F.count("*").alias("here")).select("length", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start"))
-    rows = rows.join(base, ["length", "bucket"]).withColumn("rank", (F.col("base") + within - 1).cast("long")).select(*pieces.columns, "rank")
+    sent = pieces.sparkSession.sparkContext.broadcast(slots(pack_histogram(list(hist), list(hist.values()), longest)))  # of at most longest lengths
+    side = int(np.ceil(np.sqrt(-(-max(hist.values()) // BUCKET))))
+    hi, lo, rank = (free_name(pieces, c) for c in ("hi", "lo", "rank"))
+    h = F.xxhash64("doc_id", "start")
+    rows = pieces.withColumns({hi: F.pmod(h, F.lit(side)), lo: F.pmod(F.xxhash64(h), F.lit(side))})
+    # Buckets in two levels, so that no window orders more than about the square root of a length's buckets.
+    before = lambda *by: F.coalesce(F.sum("here").over(Window.partitionBy("length", *by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    small = staged(rows.groupBy("length", hi, lo).agg(F.count("*").alias("here")), "piece-buckets")
+    large = small.groupBy("length", hi).agg(F.sum("here").alias("here")).select("length", hi, before(hi).alias("above"))
+    base = small.select("length", hi, lo, before(hi, lo).alias("beside")).join(large, ["length", hi]).select("length", hi, lo, (F.col("above") + F.col("beside")).alias(rank))
+    within = F.row_number().over(Window.partitionBy("length", hi, lo).orderBy("doc_id", "start"))
+    rows = rows.join(base, ["length", hi, lo]).withColumn(rank, (F.col(rank) + within - 1).cast("long")).select(*pieces.columns, rank)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = sent.value
         for batch in batches:
             put = np.zeros((len(batch), 3), np.int64)
-            length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
+            length, at = batch["length"].to_numpy(), batch[rank].to_numpy()
             order = np.argsort(length, kind="stable")
             for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []:
                 table = of[int(length[own[0]])]
-                row = table[np.searchsorted(table[:, 0], rank[own], "right") - 1]
-                put[own] = np.stack([row[:, 1] + rank[own] - row[:, 0], row[:, 2], row[:, 3]], 1)
+                row = table[np.searchsorted(table[:, 0], at[own], "right") - 1]
+                put[own] = np.stack([row[:, 1] + at[own] - row[:, 0], row[:, 2], row[:, 3]], 1)
             used = put[:, 2]
-            yield batch.drop(columns="rank").assign(sequence_id=put[:, 0], offset=put[:, 1], sequence_tokens=used, padded_tokens=np.where(used & (used - 1), longest, used))
+            yield batch.drop(columns=rank).assign(sequence_id=put[:, 0], offset=put[:, 1], sequence_tokens=used, padded_tokens=np.where(used & (used - 1), longest, used))
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
     return rows.mapInPandas(place, f"{kinds}, sequence_id long, offset long, sequence_tokens long, padded_tokens long")

@@ -179,14 +179,16 @@ def fit(texts: list[str], labels: np.ndarray, s: Settings) -> QualityModel:
 def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings = Settings()) -> QualityModel:
     """Learns from labels (doc_id, quality) of the rows of docs (doc_id, text) where learn (a Column over doc_id) holds.
 
-    The fit runs in one task on at most settings.sample labelled rows of each class. Null labels are no labels; of
+    The fit runs in one task on at most settings.sample labelled ids of each class, and on twice as many
+    rows at most where ids repeat, those with the smallest hashes; rows are taken in order of id and text. Null labels are no labels; of
     repeated labels the largest counts, null texts are empty. Without labelled rows every text scores 0.5."""
     known = labels.where(learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     few = [known.where(F.col("quality") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample) for c in (0, 1)]
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few[0].unionByName(few[1])), "doc_id")  # at most 2 * settings.sample rows
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few[0].unionByName(few[1])), "doc_id")  # at most 2 * settings.sample ids
+    rows = rows.orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "text").limit(2 * settings.sample)  # an id may repeat
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("doc_id")
+        batch = batch.sort_values(["doc_id", "text"])
         m = fit(batch["text"].tolist(), batch["quality"].to_numpy(), settings)
         return pd.DataFrame({"vectors": [m.vectors.tobytes()], "weights": [m.weights.tobytes()], "bias": [m.bias.tobytes()]})
 

@@ -8,8 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import chat, exact_dedup, line_dedup, mixing, neardup, packing, quality, topk, toxicity, warc
 from .common import shared_dir, staged
 
@@ -76,7 +74,7 @@ def op10_norm_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (op1_shortest_pack_first, op2_subword_embeddings, op3_segment_search, op4_chosen_path, op5_reply_trees, op6_subset_sum, op7_content_sort, op8_cuckoo_lines, op9_transaction_assembly, op10_norm_sorted)
-    return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -115,13 +113,14 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(html) AS pa
 """
 
 OP8 = r"""
-WITH l AS (
-  SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (
+  SELECT r, doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d)
 ), f AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
 j AS (SELECT l.*, f.keeper IS NOT NULL AND f.keeper <> l.doc_id AS dropped FROM l LEFT JOIN f USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
-FROM j GROUP BY doc_id
+FROM j GROUP BY r, doc_id
 """
 
 OP10 = """

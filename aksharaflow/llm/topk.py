@@ -10,12 +10,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import partitions, staged
 
-#: Vectors in a block at most, and queries in a block at most.
-ROWS, QUERIES = 2048, 256
+#: Vectors in a block at most, and queries in a group on average.
+ROWS, QUERIES = 2048, 1024
 #: Blocks that a group of queries meets in one task, on average.
-SLOT = 4
+SLOT = 16
+#: Steps of the length of a block's longest vector, per power of two, by which groups find the blocks they need.
+STEPS = 64
 #: Blocks with the longest vectors that every query sees before any block is pruned.
 SEEDS = 2
 LONG = 2**63 - 1
@@ -49,7 +51,7 @@ def _integers(scale: float) -> Column:
     return F.transform("embedding", lambda c: F.floor(c.cast("double") * scale))
 
 
-BLOCK = "block long, top double, ids binary, ints binary"
+BLOCK = "block long, top double, ids binary, short boolean, ints binary"
 
 
 def blocks(vectors: DataFrame, scale: float = 1024.0, dims: int = 0) -> DataFrame:
@@ -70,15 +72,16 @@ def blocks(vectors: DataFrame, scale: float = 1024.0, dims: int = 0) -> DataFram
                 for i, v in enumerate(part["x"]):
                     ints[i, : len(v)] = v
                 ids = part["vec_id"].to_numpy(np.int64)
-                yield pd.DataFrame({"block": [block], "top": [float(np.sqrt(part["norm"].max()))], "ids": [ids.tobytes()], "ints": [ints.tobytes()]})
+                ints = ints if np.abs(ints).max(initial=0) >= 2**31 else ints.astype(np.int32)
+                yield pd.DataFrame({"block": [block], "top": [float(np.sqrt(part["norm"].max()))], "ids": [ids.tobytes()], "short": [ints.dtype == np.int32], "ints": [ints.tobytes()]})
                 block += 1
 
     return rows.mapInPandas(gather, BLOCK)
 
 
-def _ints(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _ints(ids: bytes, short: bool, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     found = np.frombuffer(ids, np.int64)
-    return found, np.frombuffer(data, np.int64).reshape(len(found), -1)
+    return found, np.frombuffer(data, np.int32 if short else np.int64).reshape(len(found), -1).astype(np.int64)
 
 
 def rotation(packed: DataFrame, dims: int) -> np.ndarray:
@@ -87,12 +90,12 @@ def rotation(packed: DataFrame, dims: int) -> np.ndarray:
     def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((dims, dims))
         for batch in batches:
-            for ids, data in zip(batch["ids"], batch["ints"], strict=True):
-                x = _ints(ids, data)[1].astype(np.float64)
+            for row in zip(batch["ids"], batch["short"], batch["ints"], strict=True):
+                x = _ints(*row)[1].astype(np.float64)
                 total += x.T @ x
         yield pd.DataFrame({"i": np.arange(dims), "row": list(total)})
 
-    sums = packed.select("ids", "ints").mapInPandas(gram, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    sums = packed.select("ids", "short", "ints").mapInPandas(gram, "i int, row array<double>").select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
     total = np.zeros((dims, dims))
     for r in sums:
         total[r["i"], r["j"]] = r["v"]
@@ -106,14 +109,16 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.
     """query_id, rank, vec_id, score: for each vector where queries holds, the k others with the largest inner products.
 
     Components become floor(scale * x). Vectors that are null, or hold null or non-finite components, take no part, nor
-    do rows without an id; shorter vectors are padded with zeros. Rows that repeat an id are one query, but each is a
-    vector to be found, though never by a query with its id. Ties go to the smaller id. An empty table gives no rows.
+    do rows without an id; shorter vectors are padded with zeros, and vectors may be of any length. Rows that repeat an
+    id are one query, but each is a vector to be found, though never by a query with its id. Ties go to the smaller id.
+    Scores beyond 63 bits stop at the ends of that range. Other columns are ignored. An empty table gives no rows.
 
     Every query first sees the SEEDS blocks with the longest vectors, which gives it a bound to beat. Then each group of
-    about QUERIES queries meets each slot of about SLOT blocks in a task: blocks come by descending length, a block is left
-    out if its longest vector can't reach a query's bound, and within it partial sums over the leading singular
-    directions plus the Cauchy-Schwarz bound of the rest leave few vectors to be multiplied exactly. A bound must be
-    missed by more than rounding can explain. The bound of a query rises as its task finds better vectors."""
+    about QUERIES queries meets the blocks whose longest vector may reach the bound of one of them, and only those are
+    shuffled to it, in slots of about SLOT blocks. In a task blocks come by descending length, a block is left out if its
+    longest vector can't reach a query's bound, and within it partial sums over the leading singular directions plus the
+    Cauchy-Schwarz bound of the rest leave few vectors to be multiplied exactly. A bound must be missed by more than
+    rounding can explain. The bound of a query rises as its task finds better vectors."""
     spark = vectors.sparkSession
     dims = vectors.where(_usable(F.col("embedding"))).agg(F.max(F.size("embedding"))).head()[0] or 0
     packed = staged(blocks(vectors, scale, dims), "blocks")
@@ -121,7 +126,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.
     if not dims or not n_blocks or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     turn, lead = rotation(packed, dims), max(1, dims // 4)
-    n_groups, n_slots = -(-n_queries // QUERIES), -(-n_blocks // SLOT)
+    n_groups = -(-n_queries // QUERIES)
+    n_slots = max(-(-n_blocks // SLOT), min(n_blocks, -(-partitions(spark) // n_groups)))
 
     def search(key: tuple, asked: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
         none = _best(*np.zeros((3, 0), np.int64), k)
@@ -139,7 +145,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.
             alive = np.flatnonzero(q_norm * r.top + slack >= floor)
             if not len(alive):
                 continue
-            ids, x = _ints(r.ids, r.ints)
+            ids, x = _ints(r.ids, r.short, r.ints)
             xf = x.astype(np.float64) @ turn
             rest = np.sqrt((xf[:, lead:] ** 2).sum(1))
             bound = qf[alive, :lead] @ xf[:, :lead].T + q_rest[alive, None] * rest[None, :] + slack[alive, None]
@@ -163,9 +169,20 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.
     first = staged(first, "seed-hits")
 
     kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("kth"))
-    asked = asked.join(kth, "vec_id", "left").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))))
+    asked = staged(asked.join(kth, "vec_id", "left"), "queries")
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda acc, c: acc + c.cast("double") * c.cast("double")))
+    # What a group needs of a block's longest vector: 0 if one of its queries has no bound yet.
+    need = asked.groupBy("group").agg(F.max(norm).alias("norm"), F.min(F.coalesce("kth", F.lit(float("-inf")))).alias("least"))
+    need = need.select("group", F.when((F.col("least") <= 0) | (F.col("norm") == 0), 0.0).otherwise((F.col("least") - 1e-6) / F.col("norm") * (1 - 1e-8)).alias("need"))
+    step = lambda c: F.floor(STEPS * F.log2(1 + c)).cast("int")
     slot = F.pmod(F.xxhash64("block"), F.lit(n_slots)).cast("int").alias("slot")
-    others = packed.join(seeds.select("block"), "block", "left_anti").select("*", slot, every)
-    second = asked.groupBy("group", "slot").cogroup(others.groupBy("group", "slot")).applyInPandas(search, HITS)
+    others = packed.join(seeds.select("block"), "block", "left_anti")
+    slim = staged(others.select("block", "top", step(F.col("top")).alias("step"), slot), "block-tops")
+    most = slim.agg(F.max("step")).head()[0]
+    if most is None:
+        return first.select("query_id", "rank", "vec_id", "score")
+    tops = need.where(step(F.col("need")) <= most).select("group", "need", F.explode(F.sequence(step(F.col("need")), F.lit(most))).alias("step"))
+    met = staged(tops.join(slim, "step").where(F.col("top") >= F.col("need")).select("group", "slot", "block"), "blocks-met")
+    second = asked.join(met.select("group", "slot").distinct().toDF("group", "slot"), "group").groupBy("group", "slot").cogroup(met.join(packed, "block").groupBy("group", "slot")).applyInPandas(search, HITS)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return first.unionByName(second).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

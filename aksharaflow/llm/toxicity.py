@@ -6,19 +6,21 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, worker_cache
+from .common import free_name, staged, worker_cache
 
 #: Distinct tokens that a task counts before it hands on what it has.
 FLUSH = 200_000
 #: Largest number of labels that is broadcast to the documents; more are joined by shuffling.
 BROADCAST_LABELS = 1_000_000
+#: Telling features in a broadcast table; a model with more of them is read in as many passes as it takes.
+PART = 1_000_000
 #: Tokens whose scores a worker keeps.
 CACHE = 400_000
 #: Lengths of token prefixes that are features beside the token itself, longest first.
@@ -62,27 +64,29 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 @dataclass(frozen=True)
 class ToxicModel:
-    """odds: log-odds of telling features. off: score of every other token. rate, scale: of the extreme-value law of the
-    best segment of n clean tokens, P(S >= s) = 1 - exp(-scale * n * exp(-rate * s)). line: logistic calibration."""
+    """odds: a staged table of the telling features (f, odds), in parts. off: score of every token without one. rate, scale: of the
+    extreme-value law of the best segment of n clean tokens, P(S >= s) = 1 - exp(-scale * n * exp(-rate * s)). line:
+    logistic calibration."""
 
-    odds: dict[str, float] = field(repr=False)
+    odds: DataFrame | None = field(default=None, repr=False)
+    parts: int = 0
     off: float = -0.25
     rate: float = 1.0
     scale: float = 0.1
     line: tuple[float, float] = (0.0, 1.0)
 
-    def token_score(self, token: str) -> float:
-        found = [self.odds[f] for f in features(token) if f in self.odds]
-        return max(found, key=abs) + self.off if found else self.off
+    def part(self, k: int) -> dict[str, float]:
+        """The k-th part of the features, about PART of them."""
+        return {r["f"]: r["odds"] for r in self.odds.where(F.col("part") == k).select("f", "odds").collect()}
 
     def evidence(self, n: int, found: list[tuple[int, int, float]]) -> float:
         """Sums over the significant segments -ln of how many as good a clean text of n tokens is expected to have, where
         a text is taken to be long enough for one that scores nothing."""
         each = (self.rate * s - max(0.0, np.log(self.scale * max(1, n))) for _, _, s in found)
-        return float(min(50.0, sum(e for e in each if e > 0)))
+        return float(sum(e for e in each if e > 0))
 
     def probability(self, evidence: float) -> float:
-        return float(1 / (1 + np.exp(-(self.line[0] + self.line[1] * evidence))))
+        return float(1 / (1 + np.exp(-np.clip(self.line[0] + self.line[1] * evidence, -700, 700))))
 
 
 def damp(found: list[str], scores: np.ndarray) -> np.ndarray:
@@ -94,15 +98,26 @@ def damp(found: list[str], scores: np.ndarray) -> np.ndarray:
     return scores
 
 
-class _Scores(dict):
-    def __init__(self, model: ToxicModel):
-        self.model = model
+class _Told(dict):
+    """Per token the log-odds of its most telling feature, 0 where none tells."""
+
+    def __init__(self, odds: dict[str, float]):
+        self.odds = odds
 
     def __missing__(self, token: str) -> float:
         if len(self) >= CACHE:
             self.clear()
-        self[token] = score = self.model.token_score(token)
-        return score
+        self[token] = told = max((self.odds[f] for f in features(token) if f in self.odds), key=abs, default=0.0)
+        return told
+
+
+def _lookup(name: str, odds: dict[str, float]):
+    """A function of a list of tokens to their log-odds; workers keep what they have looked up for the table of that name."""
+    cache = worker_cache("toxic-tokens")
+    if cache.get("name") != name:
+        cache.update(name=name, told=_Told(odds))
+    look = cache["told"].__getitem__
+    return lambda found: np.fromiter(map(look, found), np.float64, len(found))
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -136,81 +151,116 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("token").agg(*[F.sum(c).alias(c) for c in ("docs", "toxic", "clean")])
 
 
-def log_odds(counts: DataFrame, most: int = 50_000, least_docs: int = 3, least_z: float = 4.0) -> dict[str, float]:
-    """Log-odds of features between toxic and clean documents, under Dirichlet priors in proportion to the counts of the
-    whole corpus, with the mass of the smaller of the two classes. Kept are the at most `most` features with the largest z among those that at
-    least least_docs labelled documents hold and that pass least_z either way."""
+def log_odds(counts: DataFrame, least_docs: int = 3, least_z: float = 4.0) -> DataFrame | None:
+    """f, odds: log-odds of features between toxic and clean documents, under Dirichlet priors in proportion to the counts of
+    the whole corpus, with the mass of the smaller of the two classes. Kept are all features that at least least_docs
+    labelled documents hold and whose z passes least_z either way. None without documents of both kinds."""
     core = F.col("token")
     feats = F.array(F.concat(core, F.lit("$")), *[F.when(F.char_length(core) >= n, F.substring(core, 1, n)) for n in PREFIXES])
     each = counts.select(F.explode(F.array_compact(feats)).alias("f"), "docs", "toxic", "clean")
     each = staged(each.groupBy("f").agg(*[F.sum(c).cast("double").alias(c) for c in ("docs", "toxic", "clean")]), "toxic-features")
     total = each.agg(*[F.sum(c).alias(c) for c in ("docs", "toxic", "clean")]).head()
     if not total["toxic"] or not total["clean"]:
-        return {}
+        return None
     prior = min(total["toxic"], total["clean"])
     a = F.col("docs") * (prior / total["docs"])
     t, c = F.col("toxic") + a, F.col("clean") + a
     odds = F.log(t / (total["toxic"] + prior - t)) - F.log(c / (total["clean"] + prior - c))
     z = odds / F.sqrt(1 / t + 1 / c)
-    told = each.where(F.col("toxic") + F.col("clean") >= least_docs).withColumns({"odds": odds, "z": z}).where(F.abs(F.col("z")) >= least_z)
-    return {r["f"]: max(-8.0, min(8.0, r["odds"])) for r in told.orderBy(F.desc(F.abs(F.col("z"))), "f").limit(most).select("f", "odds").collect()}
+    return each.where(F.col("toxic") + F.col("clean") >= least_docs).withColumns({"odds": odds, "z": z}).where(F.abs(F.col("z")) >= least_z).select("f", "odds")
 
 
-SCORED = "doc_id long, tokens long, evidence double, best double, up long, scores array<double>, segments array<struct<start:bigint,length:bigint,score:double,expected:double>>"
+SCORED = "doc_id long, tokens long, evidence double, best double, up long, segments array<struct<start:bigint,length:bigint,score:double,expected:double>>"
 
 
-def find_segments(docs: DataFrame, model: ToxicModel, with_spans: bool = True) -> DataFrame:
-    """Per document: tokens, evidence, best segment score, number of tokens with a positive score, the scores of all
-    maximal segments, and the significant ones as (start, length) in code points of the text, score, and how many as good a clean text would have."""
+def _told(docs: DataFrame, model: ToxicModel) -> tuple[DataFrame, str, object]:
+    """Docs ready for the last part of the model: with a column of that name for what the other parts have told of each
+    token (null if there is one part), and the last part as a broadcast variable."""
+    sc, name = docs.sparkSession.sparkContext, free_name(docs, "told")
+    docs = docs.withColumn(name, F.lit(None).cast("array<double>"))
+    for k in range(model.parts - 1):
+        sent, key = sc.broadcast(model.part(k)), uuid.uuid4().hex
+
+        def run(batches, sent=sent, key=key):
+            import pyarrow as pa
+
+            look = _lookup(key, sent.value)
+            for batch in batches:
+                at = batch.schema.get_field_index(name)
+                told = []
+                for text, old in zip(batch.column("text").to_pylist(), batch.column(at).to_pylist(), strict=True):
+                    new = look(tokens(text or ""))
+                    told.append(new if old is None else np.where(np.abs(new) > np.abs(old), new, old))
+                yield batch.set_column(at, name, pa.array(told, pa.list_(pa.float64())))
 
-    name = uuid.uuid4().hex
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs, name, sc.broadcast(model.part(model.parts - 1) if model.parts else {})  # at most about PART features
+
+
+def _scores(look, found: list[str], old, off: float) -> np.ndarray:
+    """Scores of the tokens of a text: the most telling feature's log-odds and off, repetitions damped."""
+    told = look(found)
+    if old is not None and len(found):
+        old = np.asarray(old)
+        told = np.where(np.abs(told) > np.abs(old), told, old)
+    return damp(found, told + off)
+
+
+def find_segments(docs: DataFrame, model: ToxicModel, with_spans: bool = True) -> DataFrame:
+    """Per document: tokens, evidence, best segment score, number of tokens with a positive score, and the significant ones
+    of all maximal segments as (start, length) in code points of the text, score, and how many as good a clean text
+    would have. Lower case maps no character to or from white space, so that tokens and spans agree."""
+    docs, name, sent = _told(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), model)
+    key, law = uuid.uuid4().hex, ToxicModel(None, 0, model.off, model.rate, model.scale, model.line)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = worker_cache("toxic-tokens")
-        if cache.get("name") != name:
-            cache.update(name=name, scores=_Scores(model))
-        look = cache["scores"].__getitem__
+        look = _lookup(key, sent.value)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, text, old in zip(batch["doc_id"], batch["text"], batch[name], strict=True):
                 found = tokens(text)
-                scores = damp(found, np.fromiter(map(look, found), np.float64, len(found)))
+                scores = _scores(look, found, old, law.off)
                 segs = segments(scores)
-                told = [(a, b, s, e) for a, b, s in segs if (e := model.scale * max(1, len(found)) * float(np.exp(-model.rate * s))) < 1]
+                told = [(a, b, s, e) for a, b, s in segs if (e := law.scale * max(1, len(found)) * float(np.exp(-law.rate * s))) < 1]
                 spans = []
                 if told and with_spans:
                     at = [m.span() for m in re.finditer(r"\S+", text)]
-                    if len(at) == len(found):
-                        spans = [{"start": at[a][0], "length": at[b - 1][1] - at[a][0], "score": s, "expected": e} for a, b, s, e in told]
-                rows.append((doc, len(found), model.evidence(len(found), segs), max((s for *_, s in segs), default=0.0), int((scores > 0).sum()), [x for *_, x in segs], spans))
+                    spans = [{"start": at[a][0], "length": at[b - 1][1] - at[a][0], "score": s, "expected": e} for a, b, s, e in told]
+                rows.append((doc, len(found), law.evidence(len(found), segs), max((s for *_, s in segs), default=0.0), int((scores > 0).sum()), spans))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCORED.split(", ")]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, SCORED)
+    return docs.mapInPandas(run, SCORED)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, sample: int = 10_000) -> ToxicModel:
     """Learns from labels (doc_id, toxic) of the rows of docs (doc_id, text) where learn (a Column over doc_id) holds.
 
     Token counts cover all documents; log-odds all labelled ones that may be learned from. The extreme-value law and
-    the logistic line are fitted to the segment scores of at most `sample` of the latter, by smallest hash of the id.
-    Labels that are null count as no label; of repeated labels the largest counts. Without labels of both kinds every
-    document scores 0.5 or below."""
+    the logistic line are fitted to the segments of at most `sample` rows of the latter, by smallest hash of the id, then
+    of the text. Labels that are null count as no label; of repeated labels the largest counts. Without labels of both
+    kinds every document scores 0.5 or below."""
     known = labels.where(learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = staged(known, "toxic-labels")
     if known.count() <= BROADCAST_LABELS:
         known = F.broadcast(known)
-    few = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample).select("doc_id", F.col("toxic").alias("t"), F.lit(True).alias("sampled"))
-    few = F.broadcast(few)  # at most `sample` rows
     joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id", "left")
     odds = log_odds(token_counts(joined))
-    model = ToxicModel(odds)
-    if not odds:
-        return ToxicModel({}, line=(-1.0, 0.0))
-    got = find_segments(docs.join(few, "doc_id").select("doc_id", "text"), model, False).join(few, "doc_id").select("tokens", "best", "up", "scores", "t").toPandas()  # at most `sample` rows of numbers
-    clean = got[got["t"] == 0]
-    model = ToxicModel(odds, model.off, *extreme_law(clean["best"].to_numpy(), clean["tokens"].to_numpy(), int(clean["up"].sum()), model.off))
-    evidence = np.array([model.evidence(n, [(0, 0, x) for x in scores]) for n, scores in zip(got["tokens"], got["scores"], strict=True)])
-    return ToxicModel(odds, model.off, model.rate, model.scale, logistic_line(evidence, got["t"].to_numpy(np.float64)))
+    if odds is None:
+        return ToxicModel(line=(-1.0, 0.0))
+    odds = staged(odds, "toxic-odds")
+    parts = -(-odds.count() // PART)
+    if not parts:
+        return ToxicModel(line=(-1.0, 0.0))
+    model = ToxicModel(odds.withColumn("part", F.pmod(F.xxhash64("f"), F.lit(parts))), parts)
+    few = F.broadcast(known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(sample).select("doc_id", F.col("toxic").alias("t")))  # at most `sample` rows
+    rows = docs.select("doc_id", "text").join(few, "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample)  # an id may repeat
+    rows = staged(rows.select(F.monotonically_increasing_id().alias("doc_id"), "text", "t"), "toxic-sample")
+    told = lambda m, *columns: find_segments(rows, m, False).join(rows.select("doc_id", "t"), "doc_id").select("t", *columns).toPandas()  # noqa: E731  at most `sample` rows of numbers
+    clean = told(model, "tokens", "best", "up")
+    clean = clean[clean["t"] == 0]
+    model = replace(model, **dict(zip(("rate", "scale"), extreme_law(clean["best"].to_numpy(), clean["tokens"].to_numpy(), int(clean["up"].sum()), model.off), strict=True)))
+    got = told(model, "evidence")
+    return replace(model, line=logistic_line(got["evidence"].to_numpy(np.float64), got["t"].to_numpy(np.float64)))
 
 
 def extreme_law(best: np.ndarray, n: np.ndarray, up: int, off: float) -> tuple[float, float]:
@@ -254,19 +304,17 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> Da
     """The rows of docs, with all their columns, whose whole text scores below the threshold; order and repeats stay."""
     import pyarrow as pa
 
-    name = uuid.uuid4().hex
+    columns = docs.columns
+    docs, name, sent = _told(docs, model)
+    key, law = uuid.uuid4().hex, ToxicModel(None, 0, model.off, model.rate, model.scale, model.line)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache("toxic-tokens")
-        if cache.get("name") != name:
-            cache.update(name=name, scores=_Scores(model))
-        look = cache["scores"].__getitem__
+        look = _lookup(key, sent.value)
         for batch in batches:
             keep = []
-            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
+            for text, old in zip(batch.column("text").to_pylist(), batch.column(name).to_pylist(), strict=True):
                 found = tokens(text or "")
-                scores = damp(found, np.fromiter(map(look, found), np.float64, len(found)))
-                keep.append(model.probability(model.evidence(len(found), segments(scores))) < threshold)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                keep.append(law.probability(law.evidence(len(found), segments(_scores(look, found, old, law.off)))) < threshold)
+            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns([name])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in columns]).schema)

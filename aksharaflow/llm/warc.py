@@ -10,11 +10,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: Fixed values of the format: line ends, and the profile of a revisit with the same payload.
 CRLF = "\r\n"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+GZIP = b"\x1f\x8b"
 #: Captures in a file of the writer.
 FILE_CAPTURES = 2000
+#: Bytes of a file that are uncompressed at once, and bytes of records that a task hands on at once.
+SLICE, FLUSH = 1 << 18, 1 << 24
+#: Salts of a response that revisits refer to.
+SALTS = 16
 
 
 def _urn(kind: str, *parts: Column) -> Column:
@@ -34,7 +41,7 @@ def write_warc(captures: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     Each capture gives a request, a response or revisit, and a metadata record that names its capture_id; request and
     metadata carry the concurrent-to identifier of the response. Of captures with equal payloads of at least
     least_bytes, that with the largest capture_id is a response and the others are revisits that refer to it.
-    Null payloads are empty, null urls are written as about:blank, null ids come before all others. Rows that repeat
+    Other columns are ignored. Null payloads are empty, null urls are written as about:blank, null ids come before all others. Rows that repeat
     id, url and payload give records with the same identifiers. An empty table gives an archive without records."""
     url = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\x00-\x20]", "%20")
     rows = captures.select("capture_id", url.alias("url"), F.coalesce("payload", F.lit("")).alias("payload"))
@@ -62,41 +69,76 @@ def write_warc(captures: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     rows.select(text.alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_CAPTURES).text(path)
 
 
-def _members(data: bytes) -> Iterator[bytes]:
-    """Uncompressed bytes of a file, whether plain, one gzip member or one member a record."""
-    if data[:2] != b"\x1f\x8b":
-        yield data
-        return
-    while data[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
-        yield z.decompress(data)
-        data = z.unused_data
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """Uncompressed bytes of a file in pieces, whether plain, one gzip member or one member a record; ends where the
+    compressed data is damaged or cut off."""
+    at, z = 0, None
+    while at < len(data):
+        part = data[at : at + SLICE]
+        if z is None and data[:2] == GZIP:
+            if part[:2] != GZIP:
+                return
+            z = zlib.decompressobj(31)
+        if z is None:
+            at += len(part)
+            yield part
+            continue
+        try:
+            yield z.decompress(part)
+        except zlib.error:
+            return
+        at += len(part) - len(z.unused_data)
+        if z.eof:
+            z = None
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with names in lower case, block) of each record of a WARC file; stops at a record that is cut off."""
-    raw = b"".join(_members(data))
-    at = 0
-    while (at := raw.find(b"WARC/", at)) >= 0 and (end := raw.find(b"\r\n\r\n", at)) >= 0:
-        lines = raw[at:end].decode("utf-8", "replace").split(CRLF)[1:]
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(head.get("content-length", "0"))
-        if end + 4 + size > len(raw):
+    """(headers with names in lower case, block) of each record of a WARC file; stops at a record that is cut off. One
+    record at a time is held uncompressed."""
+    held, more = bytearray(), _pieces(data)
+
+    def find(what: bytes, start: int = 0) -> int:
+        """Where `what` begins in what is held, which grows until it is there; -1 if it never is."""
+        while (at := held.find(what, start)) < 0:
+            start = max(start, len(held) - len(what) + 1)
+            piece = next(more, None)
+            if piece is None:
+                return -1
+            held.extend(piece)
+        return at
+
+    while (at := find(b"WARC/")) >= 0:
+        del held[:at]
+        end = find(b"\r\n\r\n")
+        if end < 0:
             return
-        yield head, raw[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        lines = held[:end].decode("utf-8", "replace").split(CRLF)[1:]
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        size = head.get("content-length", "")
+        stop = end + 4 + (int(size) if size.isdecimal() else 0)
+        while len(held) < stop:
+            piece = next(more, None)
+            if piece is None:
+                return
+            held.extend(piece)
+        yield head, bytes(held[end + 4 : stop])
+        del held[:stop]
 
 
 RECORD = "type string, record_id string, concurrent_to string, refers_to string, url string, date string, digest string, http_head string, payload_bytes long, payload_digest string, capture_id long, payload binary"
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """The records of all WARC files below path, a row each; payload_digest is the SHA-1 of the payload as read."""
+    """The records of all files below path, a row each, whatever the files are called, plain or gzipped; payload_digest is
+    the SHA-1 of the payload as read. Files whose names begin with _ or . are Spark's own and left out."""
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD.split(", ")]).astype({"capture_id": "Int64"})
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for data in batch["content"]:
-                rows = []
+                rows, held = [], 0
                 for head, block in parse_records(data):
                     kind, http, body, capture = head.get("warc-type"), "", block, None
                     if kind in ("request", "response", "revisit"):
@@ -106,11 +148,14 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                         fields = dict(x.split(": ", 1) for x in block.decode("utf-8", "replace").split(CRLF) if ": " in x)
                         capture = int(fields["capture-id"]) if fields.get("capture-id", "").lstrip("-").isdigit() else None
                     rows.append((kind, head.get("warc-record-id"), head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-date"), head.get("warc-payload-digest", "").partition(":")[2] or None, http, len(body), hashlib.sha1(body).hexdigest(), capture, body if with_payload else None))
+                    held += len(body) * with_payload + 1000
+                    if held >= FLUSH:
+                        yield frame(rows)
+                        rows, held = [], 0
                 if rows:
-                    out = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD.split(", ")])
-                    yield out.astype({"capture_id": "Int64"})
+                    yield frame(rows)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("content").mapInPandas(parse, RECORD)
 
 
@@ -120,16 +165,26 @@ def assemble(records: DataFrame) -> DataFrame:
     Columns: record_id, capture_id, type, copies (how often the archive holds the same record), response, request,
     metadata, and refers_to, payload_bytes, payload_digest, which a revisit takes from the response it refers to. A
     request or metadata without a response gives no row; a capture without them has nulls there. A revisit whose
-    response isn't in the archive keeps the digest of its header, with null payload_bytes."""
+    response isn't in the archive keeps the digest of its header, with null payload_bytes. Records without an id are no
+    captures. Other columns of records are ignored, whatever their names; payloads may be of any length. An archive
+    without records gives no rows. Records are staged once, so that the archive is parsed once."""
+    records = staged(records.select(*[x.split()[0] for x in RECORD.split(", ")]), "warc-records")
     part = F.struct("record_id", "url", "date", "http_head", "payload_bytes", "payload")
-    main = records.where(F.col("type").isin("response", "revisit"))
+    main = records.where(F.col("type").isin("response", "revisit") & F.col("record_id").isNotNull())
     main = main.groupBy("record_id").agg(F.count("*").alias("copies"), F.first(F.struct("type", "refers_to", "digest", "payload_digest", part.alias("response"))).alias("r")).select("record_id", "copies", "r.*")
-    side = {k: records.where(F.col("type") == k).groupBy(F.col("concurrent_to").alias("record_id")).agg(F.first(F.struct("capture_id", part.alias("part"))).alias(k)) for k in ("request", "metadata")}
-    both = main.join(side["request"], "record_id", "left").join(side["metadata"], "record_id", "left")
-    target = both.where(F.col("type") == "response").select(F.col("record_id").alias("refers_to"), F.col("metadata.capture_id").alias("target"), F.col("response.payload_bytes").alias("target_bytes"), F.col("payload_digest").alias("target_digest"))
-    both = both.join(target, "refers_to", "left")
-    is_revisit = F.col("type") == "revisit"
-    return both.select(
-        "record_id", F.col("metadata.capture_id").alias("capture_id"), "type", "copies", "response", F.col("request.part").alias("request"), F.col("metadata.part").alias("metadata"), F.when(is_revisit, F.col("target")).alias("refers_to"),
-        F.when(is_revisit, F.col("target_bytes")).otherwise(F.col("response.payload_bytes")).alias("payload_bytes"), F.when(is_revisit, F.coalesce("target_digest", "digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),
-    )
+    side = {k: records.where((F.col("type") == k) & F.col("concurrent_to").isNotNull()).groupBy(F.col("concurrent_to").alias("record_id")).agg(F.first(F.struct("capture_id", part.alias("part"))).alias(k)) for k in ("request", "metadata")}
+    both = staged(main.join(side["request"], "record_id", "left").join(side["metadata"], "record_id", "left"), "warc-captures")
+
+    # Only revisits look for a response; one that many refer to is dealt out by a salt.
+    salt = F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")
+    revisits = both.where(F.col("type") == "revisit").withColumn("salt", salt)
+    wanted = revisits.select(F.col("refers_to").alias("record_id")).distinct()
+    target = both.where(F.col("type") == "response").join(wanted, "record_id", "left_semi")
+    target = target.select(F.col("record_id").alias("refers_to"), F.col("metadata.capture_id").alias("target"), F.col("response.payload_bytes").alias("target_bytes"), F.col("payload_digest").alias("target_digest"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    found = revisits.join(target, ["refers_to", "salt"], "left")
+
+    def nested(rows: DataFrame, refers_to: Column, size: Column, digest: Column) -> DataFrame:
+        return rows.select("record_id", F.col("metadata.capture_id").alias("capture_id"), "type", "copies", "response", F.col("request.part").alias("request"), F.col("metadata.part").alias("metadata"), refers_to.alias("refers_to"), size.alias("payload_bytes"), digest.alias("payload_digest"))
+
+    own = nested(both.where(F.col("type") == "response"), F.lit(None).cast("long"), F.col("response.payload_bytes"), F.col("payload_digest"))
+    return own.unionByName(nested(found, F.col("target"), F.col("target_bytes"), F.coalesce("target_digest", "digest")))

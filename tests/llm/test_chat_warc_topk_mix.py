@@ -31,7 +31,13 @@ def test_branches_match_brute_force(spark):
             rows.append((conv, m, rng.choice([None, *range(1, m)]) if m > 1 else None, "user", f"t{m}", rng.choice([None, 1.0, 2.5, -1.0])))
     rows += [(9, 1, 2, "user", "cycle", 1.0), (9, 2, 1, "user", "cycle", 1.0), (8, 5, 77, "user", "orphan", 0.0)]
     schema = "conv_id long, msg int, parent int, role string, text string, score double"
-    got = {(r["conv_id"], r["leaf"]): (r["path"], round(r["score"], 6)) for r in chat.branches(spark.createDataFrame(rows, schema)).collect()}
+    found = {}
+    for r in chat.branches(spark.createDataFrame(rows, schema)).collect():
+        found.setdefault((r["conv_id"], r["leaf"], r["rank"]), []).append((r["pos"], r["msg"], r["score"]))
+    got = {(c, leaf): ([m for _, m, _ in sorted(x)], round(x[0][2], 6)) for (c, leaf, _), x in found.items()}
+    assert all(sorted(p for p, *_ in x) == list(range(len(x))) for x in found.values())
+    best = {(r["conv_id"], r["leaf"]) for r in chat.branches(spark.createDataFrame(rows, schema), 2).collect()}
+    assert best == {(c, leaf) for c, leaf, rank in found if rank <= 2}
     want = {}
     for conv in range(5):
         node = {m: (p, s or 0.0) for k, m, p, _, _, s in rows if k == conv}
@@ -44,13 +50,21 @@ def test_branches_match_brute_force(spark):
     assert got == want | {(8, 5): ([5], 0.0)}
 
 
+def test_a_long_conversation_among_clashing_columns(spark):
+    rows = [(1, i, i - 1 if i else None, ("user", "assistant")[i % 2], f"t{i}", 0.0, "x", "y", "z", 1, 2) for i in range(3000)]
+    messages = spark.createDataFrame(rows, "conv_id long, msg int, parent int, role string, text string, score double, k string, leaf string, path string, rank int, pos int")
+    (got,) = chat.format_chats(messages).collect()
+    assert chat.parse_chat(got["formatted"]) == [(r[3], r[4]) for r in rows] and len(got["loss_spans"]) == 1500
+
+
 def test_warc_round_trip(spark):
     big = "<p>x\r\n\r\nWARC/1.1\r\n</p>" * 100
-    rows = [(1, "http://a.org/x?y=1", big), (2, "http://a.org/x y", big), (3, None, None), (4, "", ""), (5, "http://b.org", "é"), (6, "http://b.org", "é"), (7, "u", big), (7, "u", big), (None, "n", "null id")]
-    pages = spark.createDataFrame(rows, "capture_id long, url string, payload string")
+    rows = [(11, "http://long.org", "long \u0928 " * 300_000), (1, "http://a.org/x?y=1", big), (2, "http://a.org/x y", big), (3, None, None), (4, "", ""), (5, "http://b.org", "é"), (6, "http://b.org", "é"), (7, "u", big), (7, "u", big), (None, "n", "null id")]
+    clash = "digest string, bytes int, main int, copies int, record_id string, type string, refers_to string"
+    pages = spark.createDataFrame([(*r, "d", 1, 2, 3, "r", "t", "q") for r in rows], "capture_id long, url string, payload string, " + clash)
     path = f"{shared_dir(spark)}/warc-test-{random.random()}"
     warc.write_warc(pages, path)
-    got = warc.assemble(warc.read_records(spark, path)).collect()
+    got = warc.assemble(warc.read_records(spark, path).withColumns({c: F.lit(1) for c in ("salt", "target", "r", "request")})).collect()
     assert sum(r["copies"] for r in got) == len(rows)
     for r in got:
         html = next(h or "" for i, _, h in rows if i == r["capture_id"])
@@ -91,12 +105,32 @@ def test_topk_matches_brute_force(spark, scale, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=6) * scale * (1 + i % 5)]) for i in range(0, 400, 2)]
     rows += [(i, rows[3][1]) for i in range(1001, 1020)] + [(2000, None), (2100, [1.0, None, 1.0]), (2200, [float("nan")] * 6), (2300, [float("inf")] * 6), (2400, []), (2500, [1.0]), (None, [1.0] * 6)]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    clash = {c: F.lit(7) for c in ("x", "norm", "group", "slot", "block", "top", "kth", "ids", "ints", "rank", "score", "step", "need")}
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns(clash)
     got = sorted(tuple(r) for r in topk.top_k(vectors, F.col("vec_id") % 100 == 0, 7).select("query_id", "rank", "vec_id", "score").collect())
     assert got == brute_topk(rows, 7)
     assert topk.top_k(vectors.where("false"), F.lit(True)).count() == 0
 
 
+def test_topk_of_very_long_vectors(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i * 50, [float(x) for x in rng.normal(size=3000 if i % 3 else 1)]) for i in range(12)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(vectors, F.col("vec_id") % 100 == 0, 3).collect())
+    assert len(got) == 6 * 3 and got[0][0] == 0
+
+
+def test_topk_leaves_blocks_out_before_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROWS", 32)
+    met = []
+    monkeypatch.setattr(topk, "staged", lambda df, name, stage=topk.staged: (stage(df, name), met.append(df.count()) if name == "blocks-met" else None)[0])
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) * 0.9**(i // 40) for x in rng.normal(size=5)]) for i in range(3000)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.top_k(vectors, F.col("vec_id") % 100 == 0, 3).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute_topk(rows, 3) and met[0] < 3000 / 32 / 2
+
+
 def test_topk_searches_every_block_of_a_repeated_id(spark, monkeypatch):
     monkeypatch.setattr(topk, "ROWS", 16)
     rng = np.random.default_rng(5)

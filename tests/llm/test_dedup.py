@@ -41,7 +41,7 @@ def lines_brute(rows, least=20, most=3):
     held = {}
     for i, t in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
-            held.setdefault(k, []).append(i)
+            held.setdefault(k, set()).add(i)
     out = {}
     for i, t in rows:
         lines = (t or "").split("\n")
@@ -69,6 +69,37 @@ def test_lines_insert_delete_insert(spark):
     assert {r["key"] for r in less.counts.collect()} == {r["key"] for r in line_dedup.LineIndex.empty(spark, shards=3).insert(frame(rows[:25])).counts.collect()}
 
 
+def test_lines_of_repeated_ids_count_once(spark):
+    line = "a line that is long enough"
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    twice = frame([(1, line), (1, line), (2, line)])
+    index = line_dedup.LineIndex.empty(spark).insert(twice)
+    assert index.apply(twice).where("n_dropped > 0").count() == 0
+    more = frame([(3, line + "\n" + line.upper()), (1, "x")])
+    index = line_dedup.LineIndex.empty(spark).insert(twice.union(more))
+    got = sorted((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in index.apply(twice.union(more)).collect())
+    assert got == [(1, "", 1, 1), (1, "", 1, 1), (1, "x", 1, 0), (2, "", 1, 1), (3, line + "\n" + line.upper(), 2, 0)]
+    less = index.delete(frame([(3, None)]))
+    assert less.apply(twice).where("n_dropped > 0").count() == 0
+
+
+def test_lines_outgrow_their_shards(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_LINES", 20)
+    rows = corpus(80, 9)
+    frame = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    index = line_dedup.LineIndex.empty(spark, shards=2).insert(frame(rows[:10])).insert(frame(rows[10:]))
+    assert index.shards > 2 and {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in index.apply(frame(rows)).collect()} == lines_brute(rows)
+
+
+def test_lines_among_clashing_columns(spark):
+    rows = [(i, "one line that all documents share\nown line %d" % i, "a", "b", "c", "d", 5) for i in range(5)] + [(9, "long " * 300_000, "a", "b", "c", "d", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, dropped string, dropped_of string, _id string, n_lines int")
+    index = line_dedup.LineIndex.empty(spark).insert(docs)
+    plain = index.apply(docs, counted=False)
+    assert plain.columns == docs.columns and {r["n_lines"] for r in plain.collect()} == {5}
+    assert {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in index.apply(docs).collect()} == {**{i: (2, 1) for i in range(4)}, 4: (2, 0), 9: (1, 0)}
+
+
 def test_lines_odd_rows(spark):
     docs = spark.createDataFrame(ODD, DOCS)
     got = line_dedup.LineIndex.empty(spark).insert(docs).apply(docs)
@@ -88,6 +119,11 @@ def test_cuckoo_filter():
     assert f.contains(keys[2500:]).all() and f.contains(keys[:2500]).mean() < 0.01
     assert (line_dedup.CuckooFilter.loads(f.dumps()).table == f.table).all()
     assert not line_dedup.CuckooFilter(4).insert(keys)
+    f = line_dedup.CuckooFilter.sized(6000)
+    times = np.arange(2000) % 3 + 1
+    assert f.insert(np.repeat(keys[:2000], times)) and (f.held(keys[:2000]) >= times).all() and (f.held(keys[:2000]) == times).mean() > 0.99
+    f.delete(np.repeat(keys[:2000], times - 1))
+    assert (f.held(keys[:2000]) >= 1).all() and (f.held(keys[:2000]) == 1).mean() > 0.99
 
 
 def near_brute(rows, percent):

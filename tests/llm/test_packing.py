@@ -48,6 +48,17 @@ def test_odd_texts_and_repeats(spark, plain):
     assert packing.pack_documents(twice.where("false")).count() == 0
 
 
+def test_pieces_with_clashing_columns_and_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET", 2)
+    rows = [(i, 0, 1 + i % 3, "a", "b", "c") for i in range(400)]
+    pieces = spark.createDataFrame(rows, "doc_id long, start long, length long, hi string, lo string, rank string")
+    got = packing.pack(pieces, 16).toPandas()
+    assert (got["rank"] == "c").all() and len(got) == 400
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g["offset"].tolist() == [0, *g["length"].cumsum()[:-1]] and g["length"].sum() <= 16
+    assert set(got["sequence_id"]) == set(range(sum(n for n, _ in packing.pack_histogram([1, 2, 3], [134, 133, 133], 16))))
+
+
 def test_sequences_hold_the_ids(spark, plain):
     docs = spark.createDataFrame([(1, "the quick brown fox"), (2, "jumps " * 30), (3, None)], "doc_id long, text string")
     rows = packing.sequences(packing.pack_documents(docs, longest=16, with_ids=True)).collect()
