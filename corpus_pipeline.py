@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aksharaflow.llm import line_dedup, mixing, neardup, packing, toxicity
-from aksharaflow.llm.common import staged
+from aksharaflow.llm.common import free_name, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that three documents or more hold, but for the largest doc_id; n_chars follows the text."""
-    kept = line_dedup.LineIndex.empty(spark).insert(docs).apply(docs)
+    kept = line_dedup.LineIndex.empty(spark).insert(docs).apply(docs, counted=False)
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
@@ -30,11 +30,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents by the mix of their sources, a row for each time a document is taken."""
-    taken = mixing.mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("_times"))
-    times = taken.select(F.col("doc_id").alias("_id"), "_times")
-    both = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return both.withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).select(docs.columns)
+    """Takes documents by the mix of their sources, a row for each time a document is taken. Rows are numbered, so that
+    rows that share a doc_id are taken each by its own."""
+    row, times = free_name(docs, "row_no"), free_name(docs, "times")
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    taken = mixing.mix(numbered, row_col=row).where("taken > 0").select(row, (F.col("taken") / F.col("size")).cast("int").alias(times))
+    return numbered.join(taken, row).withColumn(row, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
