@@ -11,17 +11,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder, removed at exit, where that is unset."""
+    """spark.checkpoint.dir of the session. Where that is unset, a temporary folder, removed at exit, if the session runs on
+    this machine alone; on a cluster that would be a folder of each machine's own, so it is an error there."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="aksharaflow-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written to a new Parquet table of the shared folder and read back."""
+def staged(df: DataFrame, name: str, compression: str = "zstd", **options: str) -> DataFrame:
+    """df, written to a new Parquet table of the shared folder, with options of Spark's writer, and read back.
+
+    The table lives as long as the shared folder, or until discard(): a result may be read at any later time."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(compression=compression, **options).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.staged_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing will read again."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.staged_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
