@@ -53,9 +53,11 @@ def decide_lines(tokens: DataFrame, scores: DataFrame, line: list[str]) -> DataF
     """tokens (line columns, pos, token, is_space) with score and is_legacy.
 
     A line votes: with two legacy tokens and three times as many as English ones, or one strong and none English, all of it
-    is legacy but for clearly English tokens; otherwise a token must be strong itself. Code is never legacy. Scores are
-    joined on distinct tokens; a line is one group, as it is in every text."""
-    rows = tokens.join(scores.select(F.col("word").alias("token"), "score", "english"), "token", "left").withColumns({"score": F.coalesce("score", F.lit(0)), "english": F.coalesce("english", F.lit(False))})
+    is legacy but for clearly English tokens; otherwise a token must be strong itself. White space isn't joined with the
+    scores; what is, is joined on distinct tokens. A line is one group, as it is in every text."""
+    found = tokens.where(~F.col("is_space")).join(scores.select(F.col("word").alias("token"), "score", "english"), "token", "left")
+    spaces = tokens.where("is_space").withColumns({"score": F.lit(None).cast("long"), "english": F.lit(None).cast("boolean")})  # half of all rows, on few keys
+    rows = found.unionByName(spaces).withColumns({"score": F.coalesce("score", F.lit(0)), "english": F.coalesce("english", F.lit(False))})
     score = F.when((F.col("score") >= LEGACY) & F.col("english") & (tx.signature_hits(F.col("token")) == 0), ENGLISH).otherwise(F.col("score"))
     rows = rows.withColumn("score", score)
     w = Window.partitionBy(*line)

@@ -28,18 +28,101 @@ def concatenated(index: DataFrame) -> DataFrame:
     return index.groupBy("doc_id").agg(F.array_join(parts, "").alias("b"))
 
 
-def lookup(index: DataFrame, shown: DataFrame) -> DataFrame:
-    """shown (doc_id, item, text) with place (in the concatenation, from 0) and words: the real text there.
-
-    A text is looked for once in its document; the words whose places its range covers give the real text, by a range
-    join within the document. A text that isn't there has no row."""
-    found = shown.withColumn("k", match_key(F.col("text"))).join(concatenated(index), "doc_id")
-    found = found.withColumn("place", F.expr("cast(locate(k, b) - 1 as long)")).where("place >= 0 AND k <> ''")
-    found = found.select("doc_id", "item", "place", (F.col("place") + F.char_length("k")).alias("end"))
-    covers = (F.col("b_start") < F.col("end")) & (F.col("b_start") + F.char_length("shown_key") > F.col("place"))
-    words = found.join(index, "doc_id").where(covers)
+#: Places of a bucket in which words and looked-up ranges meet.
+BUCKET = 64
+
+
+def covered(index: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ranges (doc_id, item, place, end) with words: the real text of the words whose keys a range covers, in part at least.
+
+    Words and ranges are put into the buckets of places that they touch and meet there, once: in the later of the buckets
+    in which both begin. A document of n words and m ranges makes about n + m rows, not n x m."""
+    bucket = lambda c: F.floor(c / BUCKET)
+    stop = F.col("b_start") + F.char_length("shown_key")
+    words = index.select("doc_id", "word_no", "fixed", "b_start", stop.alias("b_end"), F.explode(F.sequence(bucket(F.col("b_start")), bucket(stop - 1))).alias("at"))
+    asked = ranges.select("doc_id", "item", "place", "end", F.explode(F.sequence(bucket(F.col("place")), bucket(F.col("end") - 1))).alias("at"))
+    met = words.join(asked, ["doc_id", "at"]).where((F.col("b_start") < F.col("end")) & (F.col("b_end") > F.col("place")) & (F.col("at") == bucket(F.greatest("b_start", "place"))))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("word_no", "fixed"))), lambda x: x["fixed"])
-    return words.groupBy("doc_id", "item", "place").agg(F.array_join(parts, " ").alias("words"))
+    return met.groupBy("doc_id", "item", "place").agg(F.array_join(parts, " ").alias("words"))
+
+
+def located(index: DataFrame, shown: DataFrame) -> DataFrame:
+    """shown (doc_id, item, text) with place and end: where the key of a text first stands in its document. The texts of a
+    document are gathered beside its concatenation, which is one row whatever their number."""
+    asked = shown.withColumn("k", match_key(F.col("text"))).where("k <> ''").groupBy("doc_id").agg(F.collect_list(F.struct("item", "k")).alias("asked"))
+    rows = asked.join(concatenated(index), "doc_id")
+    each = F.transform("asked", lambda a: F.struct(a["item"].alias("item"), F.call_function("instr", F.col("b"), a["k"]).cast("long").alias("n"), F.char_length(a["k"]).alias("size")))
+    found = rows.select("doc_id", F.explode(each).alias("e")).where("e.n > 0")
+    return found.select("doc_id", "e.item", (F.col("e.n") - 1).alias("place"), (F.col("e.n") - 1 + F.col("e.size")).alias("end"))
+
+
+def lookup(index: DataFrame, shown: DataFrame) -> DataFrame:
+    """shown (doc_id, item, text) with place (in the concatenation, from 0) and words: the real text there. A text is looked
+    for once in its document; one that isn't there has no row."""
+    return covered(index, located(index, shown))
+
+
+def anchored(index: DataFrame, shown: DataFrame, span: int = 3, percent: int = 90) -> DataFrame:
+    """For texts that don't stand in their document as they are shown (doc_id, item, text): place and words of the range of
+    words that anchors mark, where at least percent of the letters agree.
+
+    Anchors are runs of `span` keys that the document has once. Each run of the shown text that is one says where the
+    text should begin; the place that most anchors agree on wins, then the first. Of the words from there on, as many as
+    the shown text has, the letters are compared as a bag. Documents and texts meet on (document, run) alone."""
+    keys = shown.select("doc_id", "item", F.transform(F.regexp_extract_all("text", F.lit(r"(?U)\S+"), 0), match_key).alias("ks"))
+    runs = keys.where(F.size("ks") >= span).select("doc_id", "item", F.size("ks").alias("size"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size("ks") - span + 1), lambda i: F.array_join(F.slice("ks", i, span), " "))).alias("pos", "run"))
+    w = Window.partitionBy("doc_id").orderBy("word_no")
+    run = F.when(F.lead("shown_key", span - 1).over(w).isNotNull(), F.concat_ws(" ", *[F.lead("shown_key", k).over(w) if k else F.col("shown_key") for k in range(span)]))
+    known = index.select("doc_id", "word_no", run.alias("run")).where("run IS NOT NULL")
+    once = known.groupBy("doc_id", "run").agg(F.min("word_no").alias("word_no"), F.count("*").alias("n")).where("n = 1").drop("n")
+    votes = runs.join(once, ["doc_id", "run"]).groupBy("doc_id", "item", "size", (F.col("word_no") - F.col("pos")).alias("first")).agg(F.count("*").alias("votes"))
+    best = votes.groupBy("doc_id", "item", "size").agg(F.max(F.struct("votes", (-F.col("first")).alias("back"))).alias("b")).select("doc_id", "item", "size", (-F.col("b.back")).alias("first"))
+    there = best.select("doc_id", "item", F.explode(F.sequence(F.greatest(F.col("first"), F.lit(0)), F.col("first") + F.col("size") - 1)).alias("word_no")).join(index, ["doc_id", "word_no"])
+    parts = F.array_sort(F.collect_list(F.struct("word_no", "fixed", "shown_key")))
+    there = there.groupBy("doc_id", "item").agg(F.min("b_start").alias("place"), parts.alias("p"))
+    both = there.join(keys, ["doc_id", "item"]).select("doc_id", "item", "place", F.array_join("p.fixed", " ").alias("words"), F.array_join("p.shown_key", "").alias("a"), F.array_join("ks", "").alias("b"))
+    letters = F.array_distinct(F.split("b", ""))
+    count = lambda text, letter: F.char_length(text) - F.char_length(F.replace(text, letter, F.lit("")))
+    hits = F.aggregate(letters, F.lit(0), lambda acc, x: acc + F.least(count(F.col("a"), x), count(F.col("b"), x)))
+    return both.where(100 * hits >= percent * F.greatest(F.char_length("a"), F.char_length("b"))).select("doc_id", "item", "place", "words")
+
+
+def by_words(index: DataFrame, shown: DataFrame, longest: int = 4) -> DataFrame:
+    """doc_id, item, pos, size, words: spans of a shown text's tokens, of `longest` tokens down to one, whose key has one
+    reading in its document; a token belongs to the first and longest span that covers it. Keys are joined within the
+    document on the span's whole key."""
+    toks = shown.select("doc_id", "item", F.regexp_extract_all("text", F.lit(r"(?U)\S+"), 0).alias("ts")).where(F.size("ts") > 0)
+
+    def of(n: int) -> Column:
+        """The spans of n tokens."""
+        return F.transform(F.sequence(F.lit(0), F.size("ts") - 1), lambda i: F.when(i + n <= F.size("ts"), F.struct(i.alias("pos"), F.lit(n).alias("size"), match_key(F.array_join(F.slice("ts", i + 1, n), "")).alias("k"))))
+
+    spans = toks.select("doc_id", "item", F.explode(F.flatten(F.array(*map(of, range(1, longest + 1))))).alias("s"))
+    spans = spans.where("s IS NOT NULL").select("doc_id", "item", "s.pos", "s.size", "s.k")
+    w = Window.partitionBy("doc_id").orderBy("word_no")
+    grams = [index.select("doc_id", F.concat(*[F.lead("shown_key", k).over(w) if k else F.col("shown_key") for k in range(n)]).alias("k"), F.concat_ws(" ", *[F.lead("fixed", k).over(w) if k else F.col("fixed") for k in range(n)]).alias("words")) for n in range(1, longest + 1)]
+    known = grams[0]
+    for g in grams[1:]:
+        known = known.unionByName(g)
+    one = known.where("k IS NOT NULL").groupBy("doc_id", "k").agg(F.min("words").alias("words"), F.max("words").alias("other")).where("words = other").drop("other")
+    found = spans.join(one, ["doc_id", "k"])
+    each = F.array_sort(F.collect_list(F.struct("pos", (-F.col("size")).alias("n"), "words")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,size:int,words:string>>").alias("out"))
+    take = lambda acc, s: F.when(s["pos"] >= acc["at"], F.struct((s["pos"] - s["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(s["pos"].alias("pos"), (-s["n"]).alias("size"), s["words"].alias("words")))).alias("out"))).otherwise(acc)
+    return found.groupBy("doc_id", "item").agg(F.aggregate(each, start, take)["out"].alias("o")).select("doc_id", "item", F.explode("o").alias("o")).select("doc_id", "item", "o.*")
+
+
+def nearest_occurrence(index: DataFrame, shown: DataFrame) -> DataFrame:
+    """shown lines (doc_id, item, text), which follow each other by item, with word_no: where the line's first key stands,
+    the next occurrence after the last line's place if there is one, else the first. One ordered pass over a document's
+    lines and their occurrences."""
+    first = shown.withColumn("k", match_key(F.regexp_extract("text", r"(?U)\S+", 0))).where("k <> ''")
+    places = index.groupBy("doc_id", F.col("shown_key").alias("k")).agg(F.array_sort(F.collect_list("word_no")).alias("at"))
+    lines = first.join(places, ["doc_id", "k"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item", "at"))).alias("l"))
+    start = F.struct(F.lit(-1).alias("last"), F.array().cast("array<struct<item:int,word_no:int>>").alias("out"))
+    pick = lambda acc, x: F.coalesce(F.get(F.filter(x["at"], lambda p: p > acc["last"]), F.lit(0)), F.get(x["at"], F.lit(0)))
+    step = lambda acc, x: F.struct(pick(acc, x).alias("last"), F.concat(acc["out"], F.array(F.struct(x["item"].alias("item"), pick(acc, x).alias("word_no")))).alias("out"))
+    return lines.select("doc_id", F.explode(F.aggregate("l", start, step)["out"]).alias("o")).select("doc_id", "o.*")
 
 
 def ambiguous_keys(index: DataFrame) -> DataFrame:

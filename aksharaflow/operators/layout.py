@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.staging import staged
@@ -54,6 +54,47 @@ def table_text(cells: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(in_order("row", "_t", "\n").alias("tsv"))
 
 
+def placed(cells: DataFrame, by: list[str]) -> DataFrame:
+    """cells (row, seq, cs and any others, given in reading order without columns) with col: the first column that the cells
+    before it in its row, with their spans, leave free. Spans of rows are taken to be 1; a row is one group."""
+    w = Window.partitionBy(*by, "row").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return cells.withColumn("col", F.coalesce(F.sum("cs").over(w), F.lit(0)).cast("int"))
+
+
+def covering(places: DataFrame, cells: DataFrame, by: list[str]) -> DataFrame:
+    """places (row, col) with the cell (at_row, at_col, text) that covers them, spans counted. A cell gives a row for each
+    place it covers, so that the join is one of equal places."""
+    each = cells.select(*by, F.col("row").alias("at_row"), F.col("col").alias("at_col"), "text", F.explode(F.sequence(F.col("row"), F.col("row") + F.col("rs") - 1)).alias("row"), "cs")
+    each = each.select(*by, "at_row", "at_col", "text", "row", F.explode(F.sequence(F.col("at_col"), F.col("at_col") + F.col("cs") - 1)).alias("col"))
+    return places.join(each, [*by, "row", "col"])
+
+
+def headers(cells: DataFrame, by: list[str]) -> DataFrame:
+    """cells (row, col, th, text) with above and left: the texts of the nearest header above in the column and to the left in
+    the row."""
+    head = F.when(F.col("th"), F.col("text"))
+    up = Window.partitionBy(*by, "col").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy(*by, "row").orderBy("col").rowsBetween(Window.unboundedPreceding, -1)
+    return cells.withColumns({"above": F.last(head, ignorenulls=True).over(up), "left": F.last(head, ignorenulls=True).over(back)})
+
+
+def real_tables(cells: DataFrame, by: list[str]) -> DataFrame:
+    """by, rows, columns of tables that are ones: at least two columns, and a row after the first with two filled cells."""
+    filled = cells.withColumn("_f", (F.coalesce(F.btrim("text"), F.lit("")) != "").cast("int"))
+    rows = filled.groupBy(*by, "row").agg(F.sum("_f").alias("filled"), F.max(F.col("col") + F.col("cs")).alias("columns"))
+    each = rows.groupBy(*by).agg(F.min("row").alias("first"), F.max("columns").alias("columns"), F.count("*").alias("rows"), F.max(F.when(F.col("filled") >= 2, F.col("row"))).alias("last"))
+    return each.where((F.col("columns") >= 2) & (F.col("last") > F.col("first"))).select(*by, "rows", "columns")
+
+
+def underlined(words: DataFrame, rulings: DataFrame, by: list[str], below: float = 3.0, bucket: float = 16.0) -> DataFrame:
+    """words (x0, x1, y) under which a ruling (ry, rx0, rx1) runs at most `below` beneath the baseline and along most of the
+    word. Words and rulings meet in buckets of y."""
+    cell = lambda c: F.floor(c / bucket)
+    r = rulings.withColumn("_b", F.explode(F.sequence(cell(F.col("ry")), cell(F.col("ry") + below))))
+    along = F.least("x1", "rx1") - F.greatest("x0", "rx0")
+    return words.withColumn("_b", cell(F.col("y"))).join(r, [*by, "_b"]).where((F.col("y") - F.col("ry")).between(0, below) & (2 * along > F.col("x1") - F.col("x0"))).select(*[F.col(c) for c in words.columns]).distinct()
+
+
 def clipboard_html(fragment: Column) -> Column:
     """A fragment with the header of byte offsets that the HTML clipboard format asks for."""
     head = "Version:0.9\r\nStartHTML:%010d\r\nEndHTML:%010d\r\nStartFragment:%010d\r\nEndFragment:%010d\r\n"

@@ -20,12 +20,12 @@ def swap_gains(words: DataFrame, lex: DataFrame, targets: list[str], longest: in
     return tried.join(lex.select("word").distinct(), "word", "left_semi").groupBy("src", "dst").agg(F.countDistinct("given").alias("n"))
 
 
-def best_swap(words: DataFrame, lex: DataFrame, targets: list[str]) -> DataFrame:
+def best_swap(words: DataFrame, lex: DataFrame, targets: list[str], longest: int = 1) -> DataFrame:
     """The swap with the largest gain; ties go to the smaller source, then the smaller target."""
-    return swap_gains(words.select("word", F.col("word").alias("given")), lex, targets).orderBy(F.desc("n"), "src", "dst").limit(1)
+    return swap_gains(words.select("word", F.col("word").alias("given")), lex, targets, longest).orderBy(F.desc("n"), "src", "dst").limit(1)
 
 
-def learn_swaps(words: DataFrame, lex: DataFrame, targets: list[str], rounds: int = 12, least: int = 5) -> DataFrame:
+def learn_swaps(words: DataFrame, lex: DataFrame, targets: list[str], rounds: int = 12, least: int = 5, longest: int = 1) -> DataFrame:
     """rank, src, dst, n: each round applies what was learned and takes the best further swap, while it helps `least` words.
 
     One row a round comes to the driver; words stay in staged tables, so that a round starts from the last one's."""
@@ -33,7 +33,7 @@ def learn_swaps(words: DataFrame, lex: DataFrame, targets: list[str], rounds: in
     now, lex = words.select("word", F.col("word").alias("given")), staged(lex.select("word").distinct(), "lexicon")
     for rank in range(1, rounds + 1):
         now = staged(now, "words")
-        top = swap_gains(now, lex, targets).orderBy(F.desc("n"), "src", "dst").head()
+        top = swap_gains(now, lex, targets, longest).orderBy(F.desc("n"), "src", "dst").head()
         if top is None or top["n"] < least:
             break
         learned.append((rank, top["src"], top["dst"], top["n"]))
@@ -42,28 +42,42 @@ def learn_swaps(words: DataFrame, lex: DataFrame, targets: list[str], rounds: in
     return spark.createDataFrame(learned, "rank int, src string, dst string, n long")
 
 
+def best_groups(pieces: list[str], known: dict[tuple[int, int], float], most: int) -> list[str]:
+    """Pieces joined to the groups of the best total score; known has (first, size) of groups that are words, and their
+    score. A piece alone scores 0 at least; ties go to the shorter last group."""
+    sums, last = [0.0], [0]
+    for i in range(1, len(pieces) + 1):
+        options = [(sums[i - k] + known[i - k, k], -k) for k in range(1, min(most, i) + 1) if (i - k, k) in known]
+        best = max(options + ([] if (i - 1, 1) in known else [(sums[i - 1], -1)]))
+        sums.append(best[0])
+        last.append(-best[1])
+    out, i = [], len(pieces)
+    while i:
+        out.append("".join(pieces[i - last[i] : i]))
+        i -= last[i]
+    return out[::-1]
+
+
 def group_pieces(lines: DataFrame, lex: DataFrame, by: list[str], most: int = 4) -> DataFrame:
     """by, text: pieces of each line (an array) joined to known words, groups of at most `most` pieces, best total score.
 
     A known group scores its length to the power 1.4 less 1 a join, an unknown piece alone scores 0; ties go to the shorter
-    last group. Groups are n-grams joined with the lexicon once; the sums then run along each line."""
+    last group. Groups are n-grams, of which distinct ones are joined with the lexicon once; the sums then run along each
+    line, in time linear in its pieces."""
     at = F.sequence(F.lit(1), F.size("pieces"))
-    grams = lines.select(*by, "pieces", F.explode(at).alias("i")).select(*by, "i", F.explode(F.array(*[F.when(F.col("i") + k - 1 <= F.size("pieces"), F.struct(F.lit(k).alias("k"), F.array_join(F.slice("pieces", F.col("i"), F.lit(k)), "").alias("word"))) for k in range(1, most + 1)])).alias("g"))
+    grams = lines.where(F.size("pieces") > 0).select(*by, "pieces", F.explode(at).alias("i")).select(*by, "i", F.explode(F.array(*[F.when(F.col("i") + k - 1 <= F.size("pieces"), F.struct(F.lit(k).alias("k"), F.array_join(F.slice("pieces", F.col("i"), F.lit(k)), "").alias("word"))) for k in range(1, most + 1)])).alias("g"))
     grams = grams.where("g IS NOT NULL").select(*by, "i", "g.k", "g.word")
     good = grams.join(lex.select("word").distinct(), "word", "left_semi")
-    score = F.pow(F.char_length("word").cast("double"), F.lit(1.4)) - (F.col("k") - 1)
-    table = good.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "i", "k").alias("key"), score.alias("v")))).alias("known"))
-    rows = lines.join(table, by, "left").withColumn("known", F.coalesce("known", F.create_map().cast("map<string,double>")))
-    zero = F.array(F.struct(F.lit(0.0).alias("s"), F.array().cast("array<string>").alias("out")))
-
-    def step(acc, i):
-        options = []
-        for k in range(1, most + 1):
-            gain = F.coalesce(F.try_element_at("known", F.concat_ws(":", i - k + 1, F.lit(k))), F.lit(0.0) if k == 1 else F.lit(None).cast("double"))
-            before = F.get(acc, i - k)
-            options.append(F.when((i >= k) & gain.isNotNull(), F.struct((before["s"] + gain).alias("s"), F.lit(-k).alias("k"), F.concat(before["out"], F.array(F.array_join(F.slice("pieces", F.greatest(i - k + 1, F.lit(1)), F.lit(k)), ""))).alias("out"))))
-        best = F.array_max(F.array_compact(F.array(*options)))
-        return F.concat(acc, F.array(F.struct(best["s"].alias("s"), best["out"].alias("out"))))
-
-    done = F.aggregate(at, zero, step)
-    return rows.select(*by, F.array_join(F.element_at(done, -1)["out"], " ").alias("text"))
+    table = good.groupBy(*by).agg(F.collect_list(F.struct((F.col("i") - 1).alias("i"), "k", F.char_length("word").alias("n"))).alias("known"))
+    rows = lines.select(*by, "pieces").join(table, by, "left")
+    kinds = ", ".join(f"`{c}` {t}" for c, t in lines.select(*by).dtypes)
+
+    def run(batches):
+        for b in batches:
+            texts = []
+            for pieces, known in zip(b["pieces"], b["known"], strict=True):
+                found = {(g["i"], g["k"]): g["n"] ** 1.4 - (g["k"] - 1) for g in ([] if known is None else known)}
+                texts.append(" ".join(best_groups(list(pieces), found, most)))
+            yield b[by].assign(text=texts)
+
+    return rows.mapInPandas(run, f"{kinds}, text string")

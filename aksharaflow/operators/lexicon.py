@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.staging import staged
+
 # English endings, with what a stem may have lost in front of them.
 ENGLISH_ENDINGS = ("'s", "s'", "ies", "es", "s", "ed", "ing", "ly", "er", "est")
 RESTORED = {"ies": "y", "ed": "e", "ing": "e", "er": "e", "est": "e"}
@@ -106,3 +108,57 @@ def without_repeats(word: Column, longest: int = 4) -> Column:
         return F.transform(twice, lambda i: F.concat(F.substring(word, F.lit(1), i + n - 1), F.substring(word, i + 2 * n, F.char_length(word))))
 
     return F.array_distinct(F.concat(*map(shorter, range(longest, 0, -1))))
+
+
+def strippings(word: Column, endings: list[str], least: int = 2, depth: int = 2) -> Column:
+    """The word, and what is left of it when up to `depth` endings are taken off one after another; at least `least`
+    characters stay."""
+    every = level = F.array(word)
+    for _ in range(depth):
+        cut = lambda w: F.array(*[F.when(F.endswith(w, F.lit(e)) & (F.char_length(w) - len(e) >= least), F.substring(w, F.lit(1), F.char_length(w) - len(e))) for e in endings])
+        level = F.array_compact(F.flatten(F.transform(level, cut)))
+        every = F.concat(every, level)
+    return F.array_distinct(every)
+
+
+def known_with_endings(words: DataFrame, lexicon: DataFrame, endings: list[str], depth: int = 2, compounds: bool = True) -> DataFrame:
+    """word, how: distinct words that the lexicon has ('word'), has without up to depth endings ('ending'), or has as two
+    parts, the second perhaps with endings ('compound'); the first that holds. Every candidate stem of a word is a row, and
+    the lexicon is joined once for stems and once for each part."""
+    lex = lexicon.select("word").distinct()
+    stems = words.select("word", F.explode(strippings(F.col("word"), endings, depth=depth)).alias("stem"))
+    found = stems.join(lex.withColumnRenamed("word", "stem"), "stem", "left_semi").select("word", F.when(F.col("stem") == F.col("word"), 0).otherwise(1).alias("n"))
+    if compounds:
+        two = stems.select("word", F.explode(splits(F.col("stem"))).alias("p")).select("word", "p.a", "p.b")
+        two = two.join(lex.withColumnRenamed("word", "a"), "a", "left_semi").join(lex.withColumnRenamed("word", "b"), "b", "left_semi")
+        found = found.unionByName(two.select("word", F.lit(2).alias("n")))
+    kinds = F.array(*map(F.lit, ("word", "ending", "compound")))
+    return found.groupBy("word").agg(F.min("n").alias("n")).select("word", F.get(kinds, F.col("n")).alias("how"))
+
+
+def confusions(pairs: DataFrame) -> DataFrame:
+    """src, dst, n: characters of shown words that stand for others of real words, over pairs (shown, real, n) of equal
+    length, most frequent first when ordered by n."""
+    at = F.transform(F.sequence(F.lit(1), F.char_length("shown")), lambda i: F.struct(F.substring("shown", i, F.lit(1)).alias("src"), F.substring("real", i, F.lit(1)).alias("dst")))
+    same = F.char_length("shown") == F.char_length("real")
+    each = pairs.where(same & (F.col("shown") != F.col("real"))).select("n", F.explode(at).alias("c")).select("n", "c.*").where("src <> dst")
+    return each.groupBy("src", "dst").agg(F.sum("n").alias("n"))
+
+
+def swap_fixes(words: DataFrame, lexicon: DataFrame, swaps: list[tuple[str, str]], depth: int = 3) -> DataFrame:
+    """word, fixed: unknown words with the only known word that at most `depth` swaps of one character make of them; the
+    fewest swaps count, and a word that they make two known ones of has no row. Each round goes on with what is unknown."""
+    table = {}
+    for a, b in swaps:
+        table.setdefault(a, []).append(b)
+    options = F.create_map(*[x for a, bs in table.items() for x in (F.lit(a), F.array(*map(F.lit, bs)))])
+    swap = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.char_length(w)), lambda i: F.transform(F.coalesce(F.try_element_at(options, F.substring(w, i, F.lit(1))), F.array().cast("array<string>")), lambda b: F.concat(F.substring(w, F.lit(1), i - 1), b, F.substring(w, i + 1, F.char_length(w))))))
+    lex, done = lexicon.select("word").distinct(), None
+    now = known(words.select("word").distinct(), lex).where(~F.col("known")).select("word", F.col("word").alias("form"))
+    for _ in range(depth):
+        now = staged(now.select("word", F.explode(swap(F.col("form"))).alias("form")).where("form <> word").distinct(), "swap-forms")
+        hits = now.join(lex.withColumnRenamed("word", "form"), "form", "left_semi").groupBy("word").agg(F.min("form").alias("fixed"), F.max("form").alias("other"))
+        hits = staged(hits, "swap-hits")
+        done = hits if done is None else done.unionByName(hits)
+        now = now.join(hits.select("word"), "word", "left_anti")
+    return done.where("fixed = other").drop("other")

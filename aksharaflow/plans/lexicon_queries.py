@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import devanagari as deva
 from ..functions import text as tx
+from ..functions.staging import staged
 from ..operators import detector, learning, lexicon
 from .registry import query, quoted, sql_rules, table
 from .text_queries import _BROKEN_SQL, broken_words
@@ -23,8 +24,8 @@ def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lexicon of these queries: the words of the benchmark table."""
-    return table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word")).distinct()
+    """The lexicon of these queries: the words of the benchmark table, staged, so that its size is known where it is joined."""
+    return staged(table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word")).distinct(), "vocabulary")
 
 
 def corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +123,7 @@ def _model_sql(a: str, b: str) -> str:
 def model(spark: SparkSession, sf_dir: str, a: str = "de", b: str = "en") -> DataFrame:
     """A bigram model of one language against another: here German plays the legacy text, English the plain one."""
     rows = doc_words(spark, sf_dir).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return detector.train_bigrams(rows.where(F.col("lang") == a), rows.where(F.col("lang") == b))
+    return staged(detector.train_bigrams(rows.where(F.col("lang") == a), rows.where(F.col("lang") == b)), "bigram-model")  # as many rows as there are bigrams
 
 
 @query(_model_sql("de", "en"))
@@ -135,7 +136,7 @@ _EDGE = quoted(tx.DETECTOR_EDGE)
 _ENGLISH = f"SELECT word, length(word) <= 3 AS common FROM ({_VOCAB})"
 _SCORE = f"""WITH m AS ({_model_sql('de', 'en')}), t AS (SELECT word AS token, trim(word, {_EDGE}) AS word FROM ({_TOKENS})), e AS ({_ENGLISH}),
 b AS (SELECT token, word, {_BG} AS bg FROM t), s AS (SELECT token, word, CAST(sum(coalesce(w_centi, 0)) AS BIGINT) AS s FROM b LEFT JOIN m USING (bg) GROUP BY token, word)
-SELECT token AS word, CASE WHEN NOT regexp_matches(s.word, '[A-Za-zÀ-ÿ]') THEN 0 WHEN regexp_matches(token, {quoted(tx.URLISH)}) THEN -2000 ELSE s + 400 * least(3, len(regexp_extract_all(s.word, {quoted(tx.SIGNATURE)}))) -
+SELECT token AS word, CASE WHEN NOT regexp_matches(s.word, '[A-Za-zÀ-ÿ]') THEN 0 WHEN regexp_matches(token, {quoted(tx.URLISH)}) THEN -2000 ELSE s + 400 * least(3, len(regexp_extract_all(regexp_replace(s.word, {quoted(tx.PAIRED)}, ' ', 'g'), {quoted(tx.SIGNATURE)}))) -
   CASE WHEN e.common THEN 1200 WHEN e.common IS NOT NULL AND length(s.word) >= 3 THEN 600 ELSE 0 END END AS score, e.common IS NOT NULL AS english FROM s LEFT JOIN e ON e.word = lower(s.word)"""
 
 
@@ -151,7 +152,7 @@ def word_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LINES = "SELECT conv_id, turn, unnest(regexp_extract_all(text, '\\s+|\\S+')) AS token, generate_subscripts(regexp_extract_all(text, '\\s+|\\S+'), 1) - 1 AS pos FROM conversations"
-_SIG = f"len(regexp_extract_all(token, {quoted(tx.SIGNATURE)}))"
+_SIG = f"len(regexp_extract_all(regexp_replace(token, {quoted(tx.PAIRED)}, ' ', 'g'), {quoted(tx.SIGNATURE)}))"
 _DECIDE = f"""WITH sc AS ({_SCORE.replace('FROM documents', 'FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)', 99).replace("unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)", "unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents")}),
 l AS ({_LINES}), j AS (SELECT l.*, regexp_matches(token, '^\\s') AS is_space, coalesce(sc.score, 0) AS raw, coalesce(sc.english, false) AS english FROM l LEFT JOIN sc ON sc.word = l.token),
 k AS (SELECT *, CASE WHEN raw >= 300 AND english AND {_SIG} = 0 THEN -100 ELSE raw END AS score FROM j),
@@ -166,7 +167,7 @@ def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = tx.token_table(lines)
     both = table(spark, sf_dir, "documents").select("text").unionByName(lines.select("text"))
     words = both.select(F.explode(tx.words(F.col("text"))).alias("word")).distinct()
-    scored = detector.score_words(words, model(spark, sf_dir), vocabulary(spark, sf_dir).withColumn("common", F.char_length("word") <= 3))
+    scored = staged(detector.score_words(words, model(spark, sf_dir), vocabulary(spark, sf_dir).withColumn("common", F.char_length("word") <= 3)), "word-scores")
     return detector.decide_lines(tokens, scored, ["conv_id", "turn"])
 
 
@@ -275,36 +276,72 @@ def repeated_piece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.candidates(corpus_words(spark, sf_dir).select("word"), lexicon.without_repeats(F.col("word")), vocabulary(spark, sf_dir))
 
 
-_CIPHER = f"SELECT DISTINCT replace(replace(word, 'th', 'q'), 'on', 'x') AS word FROM ({_VOCAB})"
+_CIPHER = f"SELECT DISTINCT replace(replace(word, 'th', 'q'), 'on', 'x') AS word FROM ({_DISTINCT})"
 
 
 def cipher_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vocabulary words with two planted substitutions."""
-    return vocabulary(spark, sf_dir).select(F.replace(F.replace("word", F.lit("th"), F.lit("q")), F.lit("on"), F.lit("x")).alias("word")).distinct()
+    """All words of documents with two planted substitutions."""
+    return corpus_words(spark, sf_dir).select(F.replace(F.replace("word", F.lit("th"), F.lit("q")), F.lit("on"), F.lit("x")).alias("word")).distinct()
 
 
 _TARGETS = ["th", "on", "er", "in", "an", "re"]
-_TRIED = "SELECT word, src, dst, replace(word, src, dst) AS fixed FROM (SELECT word, unnest(list_distinct(string_split(word, ''))) AS src FROM u), (SELECT unnest([" + ", ".join(map(quoted, _TARGETS)) + "]) AS dst)"
+_TRIED = "SELECT word, src, dst, replace(word, src, dst) AS fixed FROM (SELECT word, unnest(list_distinct(flatten(list_transform(range(1, 6), lambda k: list_transform(range(1, greatest(1, length(word) - k + 1) + 1), lambda i: substr(word, i, k)))))) AS src FROM u), (SELECT unnest([" + ", ".join(map(quoted, _TARGETS)) + "]) AS dst)"
 
 
-@query(f"WITH u AS (SELECT word FROM ({_CIPHER}) WHERE word NOT IN ({_VOCAB})), g AS (SELECT src, dst, count(DISTINCT word) AS n FROM ({_TRIED}) WHERE fixed IN ({_VOCAB}) GROUP BY src, dst) SELECT src, dst, n FROM g ORDER BY n DESC, src, dst LIMIT 1")
+@query(f"WITH l AS (SELECT word FROM ({_DISTINCT})), u AS (SELECT word FROM ({_CIPHER}) WHERE word NOT IN (SELECT word FROM l)), g AS (SELECT src, dst, count(DISTINCT word) AS n FROM ({_TRIED}) WHERE fixed IN (SELECT word FROM l) GROUP BY src, dst) SELECT src, dst, n FROM g ORDER BY n DESC, src, dst LIMIT 1")
 def swap_learning_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The substitution that makes most unknown words known."""
-    return learning.best_swap(cipher_words(spark, sf_dir), vocabulary(spark, sf_dir), _TARGETS)
+    return learning.best_swap(cipher_words(spark, sf_dir), corpus_words(spark, sf_dir), _TARGETS, 5)
 
 
 @query()
 def swap_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All substitutions that greedy rounds learn from words with planted ones."""
-    return learning.learn_swaps(cipher_words(spark, sf_dir), vocabulary(spark, sf_dir), _TARGETS)
+    return learning.learn_swaps(cipher_words(spark, sf_dir), corpus_words(spark, sf_dir), _TARGETS, longest=5)
 
 
 @query()
 def segment_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vocabulary words cut in pieces and grouped again by the dictionary."""
+    """Words of all lines of documents, cut in pieces and grouped again by the dictionary."""
     w = F.col("word")
     pieces = F.when(F.char_length(w) >= 6, F.array(F.substring(w, 1, 3), F.substring(w, F.lit(4), F.char_length(w)))).otherwise(F.array(w))
-    lines = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("pos", "word"))
-    lines = lines.select("item_id", (F.col("pos") / 6).cast("int").alias("line"), "pos", pieces.alias("p"))
-    lines = lines.groupBy("item_id", "line").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"])).alias("pieces"))
-    return learning.group_pieces(lines, vocabulary(spark, sf_dir), ["item_id", "line"])
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "t")).select("doc_id", "line", F.posexplode(F.regexp_extract_all("t", F.lit("[a-z]+"), 0)).alias("pos", "word"))
+    lines = lines.select("doc_id", "line", "pos", pieces.alias("p"))
+    lines = lines.groupBy("doc_id", "line").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "p"))), lambda x: x["p"])).alias("pieces"))
+    return learning.group_pieces(lines, vocabulary(spark, sf_dir), ["doc_id", "line"])
+
+
+_ENDINGS = ["ing", "ed", "er", "ly", "s", "n"]
+_STRIP = " UNION ".join(["SELECT word, stem FROM s{k}", *[f"SELECT word, left(stem, length(stem) - {len(e)}) FROM s{{k}} WHERE ends_with(stem, {quoted(e)}) AND length(stem) - {len(e)} >= 2" for e in _ENDINGS]])
+
+
+@query(f"""WITH v AS ({_VOCAB}), s0 AS (SELECT word, word AS stem FROM ({_DISTINCT})), s1 AS ({_STRIP.format(k=0)}), s2 AS ({_STRIP.format(k=1)}),
+c AS (SELECT word, substr(stem, 1, i) AS a, substr(stem, i + 1) AS b FROM (SELECT word, stem, unnest(range(2, length(stem) - 1)) AS i FROM s2 WHERE length(stem) >= 4)),
+f AS (SELECT word, CASE WHEN stem = word THEN 0 ELSE 1 END AS n FROM s2 WHERE stem IN (SELECT word FROM v) UNION SELECT word, 2 FROM c WHERE a IN (SELECT word FROM v) AND b IN (SELECT word FROM v))
+SELECT word, CASE min(n) WHEN 0 THEN 'word' WHEN 1 THEN 'ending' ELSE 'compound' END AS how FROM f GROUP BY word""")
+def known_with_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents that the vocabulary has, with endings or as a compound."""
+    return lexicon.known_with_endings(corpus_words(spark, sf_dir).select("word"), vocabulary(spark, sf_dir), _ENDINGS)
+
+
+_GARBLED = "translate(word, 'aegs', 'oica')"
+
+
+@query(f"WITH p AS (SELECT {_GARBLED} AS shown, word AS real, n FROM ({_DISTINCT})) SELECT src, dst, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, substr(shown, i, 1) AS src, substr(real, i, 1) AS dst FROM (SELECT *, unnest(range(1, length(shown) + 1)) AS i FROM p)) WHERE src <> dst GROUP BY src, dst")
+def confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which characters of garbled words stand for which, counted over all words of documents."""
+    w = corpus_words(spark, sf_dir)
+    return lexicon.confusions(w.select(F.translate("word", "aegs", "oica").alias("shown"), F.col("word").alias("real"), "n"))
+
+
+_SWAPS = [("o", "a"), ("i", "e"), ("c", "g"), ("a", "s")]
+_SWAP = " UNION ".join(f"SELECT word, substr(form, 1, i - 1) || '{b}' || substr(form, i + 1) AS form FROM (SELECT word, form, unnest(range(1, length(form) + 1)) AS i FROM o{{k}}) WHERE substr(form, i, 1) = '{a}'" for a, b in _SWAPS)
+_ROUND = """g{n} AS (SELECT DISTINCT word, form FROM (""" + _SWAP + """) WHERE form <> word), h{n} AS (SELECT word, min(form) AS fixed, max(form) AS other FROM g{n} WHERE form IN (SELECT word FROM v) GROUP BY word), o{n} AS (SELECT * FROM g{n} WHERE word NOT IN (SELECT word FROM h{n}))"""
+
+
+@query(f"""WITH v AS ({_VOCAB}), o0 AS (SELECT DISTINCT x AS word, x AS form FROM (SELECT {_GARBLED} AS x FROM ({_DISTINCT})) WHERE x NOT IN (SELECT word FROM v)),
+{", ".join(_ROUND.format(n=k + 1, k=k) for k in range(3))} SELECT word, fixed FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3) WHERE fixed = other""")
+def swap_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled words of documents, put right by at most three known confusions where the vocabulary leaves one reading."""
+    w = corpus_words(spark, sf_dir).select(F.translate("word", "aegs", "oica").alias("word"))
+    return lexicon.swap_fixes(w, vocabulary(spark, sf_dir), _SWAPS)

@@ -29,14 +29,15 @@ def style_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.changes(events(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.col("event_type")).select("event_id", "user_id", "event_type")
 
 
-@query("""WITH i AS (SELECT user_id, epoch_us(ts) AS a, epoch_us(ts) + CAST(floor(value * 60000000) AS BIGINT) AS b FROM events WHERE value >= 0),
+@query("""WITH i AS (SELECT user_id, least(t, t + d) AS a, greatest(t, t + d) AS b FROM (SELECT user_id, epoch_us(ts) AS t, CAST(floor(coalesce(value, 0) * 60000000) AS BIGINT) AS d FROM events)),
 m AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM i),
 r AS (SELECT *, sum(CASE WHEN top IS NULL OR a > top THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY a, b) AS run FROM m)
 SELECT user_id, min(a) AS a, max(b) AS b, count(*) AS n FROM r GROUP BY user_id, run""")
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as intervals of so many minutes as their value, merged per user."""
+    """All events as intervals of so many minutes as their value, before them where it is negative, merged per user."""
     start = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = events(spark, sf_dir).where("value >= 0").select("user_id", start.alias("a"), (start + F.floor(F.col("value") * 60_000_000)).alias("b"))
+    end = start + F.floor(F.coalesce("value", F.lit(0.0)) * 60_000_000)
+    rows = events(spark, sf_dir).select("user_id", F.least(start, end).alias("a"), F.greatest(start, end).alias("b"))
     return intervals.merge_intervals(rows, ["user_id"], "a", "b")
 
 
@@ -74,14 +75,14 @@ def quiet_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("s")
 
 
-_RULINGS = "SELECT o_orderkey % 50 AS page, CAST(o_orderkey // 100 % 40 AS DOUBLE) * 10 AS pos, CAST(floor(o_totalprice) % 300 AS DOUBLE) AS a, CAST(floor(o_totalprice) % 300 AS DOUBLE) + 100 AS b, o_orderkey // 50 % 2 AS up FROM orders"
+_RULINGS = "SELECT o_orderkey // 800 AS page, CAST(o_orderkey % 40 AS DOUBLE) * 10 AS pos, CAST(floor(o_totalprice) % 300 AS DOUBLE) AS a, CAST(floor(o_totalprice) % 300 AS DOUBLE) + 100 AS b, o_orderkey // 40 % 2 AS up FROM orders"
 
 
 def rulings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Lines drawn across and down on pages, made of orders."""
+    """Lines drawn across and down on pages, made of orders, 800 keys a page."""
     o = table(spark, sf_dir, "orders")
     a = (F.floor("o_totalprice") % 300).cast("double")
-    rows = o.select((F.col("o_orderkey") % 50).alias("page"), ((F.floor(F.col("o_orderkey") / 100) % 40).cast("double") * 10).alias("pos"), a.alias("a"), (a + 100).alias("b"), (F.floor(F.col("o_orderkey") / 50) % 2).alias("up"))
+    rows = o.select(F.floor(F.col("o_orderkey") / 800).alias("page"), ((F.col("o_orderkey") % 40).cast("double") * 10).alias("pos"), a.alias("a"), (a + 100).alias("b"), (F.floor(F.col("o_orderkey") / 40) % 2).alias("up"))
     return rows.where("up = 0").select("page", F.col("pos").alias("y"), F.col("a").alias("x0"), F.col("b").alias("x1")), rows.where("up = 1").select("page", F.col("pos").alias("x"), F.col("a").alias("y0"), F.col("b").alias("y1"))
 
 
@@ -90,35 +91,33 @@ def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.crossings(*rulings(spark, sf_dir), ["page"])
 
 
-_POINTS = "SELECT l_orderkey % 50 AS page, l_orderkey, l_linenumber, l_quantity * 6 AS x, l_extendedprice % 300 AS y FROM lineitem WHERE l_linenumber = 1"
-_CELLS = "SELECT c_custkey % 50 AS page, c_custkey, CAST(c_nationkey * 12 AS DOUBLE) AS x0, CAST(c_nationkey * 12 + 12 AS DOUBLE) AS x1, CAST(c_custkey // 50 % 10 * 30 AS DOUBLE) AS y0, CAST(c_custkey // 50 % 10 * 30 + 30 AS DOUBLE) AS y1 FROM customer WHERE c_custkey <= 1500"
-
-
-@query(f"SELECT l_orderkey, count(*) AS n_cells, min(c_custkey) AS first_cell FROM ({_POINTS}) p JOIN ({_CELLS}) c ON p.page = c.page AND x BETWEEN x0 - 1 AND x1 + 1 AND y BETWEEN y0 - 1 AND y1 + 1 GROUP BY l_orderkey")
-def point_in_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of pages in the cells that hold them; pages have a fixed number of cells, points come from line items."""
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("points_lineitem")
-    table(spark, sf_dir, "customer").createOrReplaceTempView("cells_customer")
-    points = spark.sql(_POINTS.replace("FROM lineitem", "FROM points_lineitem"))
-    cells = spark.sql(_CELLS.replace("FROM customer", "FROM cells_customer").replace("c_custkey // 50", "c_custkey DIV 50"))
-    return layout.points_in_cells(points, cells, ["page"]).groupBy("l_orderkey").agg(F.count("*").alias("n_cells"), F.min("c_custkey").alias("first_cell"))
-
-
-#: Cells on a page of point_in_cell_whole.
+#: Cells on a page: more customers make more pages.
 _ON_PAGE = 30
+_POINTS = f"SELECT l_orderkey % pages AS page, l_orderkey, l_linenumber, l_quantity * 6 AS x, l_extendedprice % 300 AS y FROM lineitem, (SELECT greatest(1, CAST(ceil(count(*) / {_ON_PAGE}.0) AS BIGINT)) AS pages FROM customer)"
+_CELLS = f"SELECT c_custkey % pages AS page, c_custkey, CAST(c_nationkey * 12 AS DOUBLE) AS x0, CAST(c_nationkey * 12 + 12 AS DOUBLE) AS x1, CAST(c_custkey // pages % 10 * 30 AS DOUBLE) AS y0, CAST(c_custkey // pages % 10 * 30 + 30 AS DOUBLE) AS y1 FROM customer, (SELECT greatest(1, CAST(ceil(count(*) / {_ON_PAGE}.0) AS BIGINT)) AS pages FROM customer)"
+_INSIDE = f"({_POINTS}) p JOIN ({_CELLS}) c ON p.page = c.page AND x BETWEEN x0 - 1 AND x1 + 1 AND y BETWEEN y0 - 1 AND y1 + 1"
 
 
-@query()
-def point_in_cell_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of pages in the cells that hold them: every line item is a point and every customer a cell, and more customers
-    make more pages. Line items of one number at one place are one row, which says how many they are.
-
-    The SQL of point_in_cell is fixed; it reads one line item of each order and customers up to number 1,500."""
+def points_and_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every line item as a point and every customer as a cell."""
     customers = table(spark, sf_dir, "customer")
     pages = max(1, -(-customers.count() // _ON_PAGE))
     up = F.floor(F.col("c_custkey") / pages) % 10 * 30.0
     cells = customers.select((F.col("c_custkey") % pages).alias("page"), "c_custkey", (F.col("c_nationkey") * 12.0).alias("x0"), (F.col("c_nationkey") * 12.0 + 12).alias("x1"), up.alias("y0"), (up + 30).alias("y1"))
-    points = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % pages).alias("page"), "l_orderkey", "l_linenumber", (F.col("l_quantity") * 6).alias("x"), (F.col("l_extendedprice") % 300).alias("y"))
+    return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % pages).alias("page"), "l_orderkey", "l_linenumber", (F.col("l_quantity") * 6).alias("x"), (F.col("l_extendedprice") % 300).alias("y")), cells
+
+
+@query(f"SELECT l_orderkey, l_linenumber, count(*) AS n_cells, min(c_custkey) AS first_cell FROM {_INSIDE} GROUP BY l_orderkey, l_linenumber")
+def point_in_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of pages in the cells that hold them, by order and line."""
+    found = layout.points_in_cells(*points_and_cells(spark, sf_dir), ["page"])
+    return found.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n_cells"), F.min("c_custkey").alias("first_cell"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, x, y, n_items, count(*) AS n_cells, min(c_custkey) AS first_cell FROM (SELECT page, l_orderkey, l_linenumber, x, y, count(*) AS n_items FROM ({_POINTS}) GROUP BY ALL) p JOIN ({_CELLS}) c ON p.page = c.page AND x BETWEEN x0 - 1 AND x1 + 1 AND y BETWEEN y0 - 1 AND y1 + 1 GROUP BY l_orderkey, l_linenumber, x, y, n_items")
+def point_in_cell_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by place: line items of one number at one place are one row, which says how many they are."""
+    points, cells = points_and_cells(spark, sf_dir)
     points = points.groupBy("page", "l_orderkey", "l_linenumber", "x", "y").agg(F.count("*").alias("n_items"))
     found = layout.points_in_cells(points, cells, ["page"]).groupBy("l_orderkey", "l_linenumber", "x", "y", "n_items")
     return found.agg(F.count("*").alias("n_cells"), F.min("c_custkey").alias("first_cell"))
@@ -168,6 +167,48 @@ def table_tsv_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.table_text(order_cells(spark, sf_dir), ["l_orderkey"])
 
 
+_PLACED = f"SELECT l_orderkey, row, col AS seq, cs, CAST(coalesce(sum(cs) OVER (PARTITION BY l_orderkey, row ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS col FROM ({_ORDER_TABLE})"
+
+
+@query(_PLACED)
+def cell_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a table for each order, put into the first free columns of their rows."""
+    cells_ = order_cells(spark, sf_dir).select("l_orderkey", "row", F.col("col").alias("seq"), "cs")
+    return layout.placed(cells_, ["l_orderkey"])
+
+
+@query(f"""WITH c AS ({_ORDER_TABLE}) SELECT p.l_orderkey, p.row, p.col, c.row AS at_row, c.col AS at_col, c.text FROM (SELECT DISTINCT l_orderkey, row, unnest([0, 1, 2]) AS col FROM c) p
+JOIN c ON c.l_orderkey = p.l_orderkey AND p.row BETWEEN c.row AND c.row + c.rs - 1 AND p.col BETWEEN c.col AND c.col + c.cs - 1""")
+def cell_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which cell covers each place of the tables, spans counted."""
+    cells_ = order_cells(spark, sf_dir)
+    places = cells_.select("l_orderkey", "row").distinct().select("l_orderkey", "row", F.explode(F.array(*map(F.lit, range(3)))).alias("col"))
+    return layout.covering(places, cells_, ["l_orderkey"])
+
+
+@query(f"""SELECT l_orderkey, row, col, last_value(CASE WHEN th THEN text END IGNORE NULLS) OVER (PARTITION BY l_orderkey, col ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above,
+  last_value(CASE WHEN th THEN text END IGNORE NULLS) OVER (PARTITION BY l_orderkey, row ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS left_ FROM ({_ORDER_TABLE})""")
+def cell_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest headers above and to the left of each cell."""
+    return layout.headers(order_cells(spark, sf_dir), ["l_orderkey"]).select("l_orderkey", "row", "col", "above", F.col("left").alias("left_"))
+
+
+@query(f"""SELECT l_orderkey, count(*) AS rows, CAST(max(columns) AS INT) AS columns FROM (SELECT l_orderkey, row, max(col + cs) AS columns, count(*) FILTER (trim(coalesce(text, '')) <> '') AS filled, min(row) OVER (PARTITION BY l_orderkey) AS first_row FROM ({_ORDER_TABLE}) GROUP BY l_orderkey, row)
+GROUP BY l_orderkey HAVING max(columns) >= 2 AND max(CASE WHEN filled >= 2 THEN row END) > min(first_row)""")
+def real_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose table is one: two columns or more, and a later row with two filled cells."""
+    return layout.real_tables(order_cells(spark, sf_dir), ["l_orderkey"])
+
+
+@query("""WITH w AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * 6 AS x0, l_quantity * 6 + 40 AS x1, l_linenumber * 12.0 AS y FROM lineitem), r AS (SELECT o_orderkey AS l_orderkey, o_orderkey % 7 * 12.0 - o_orderkey % 5 AS ry, 50.0 AS rx0, 200.0 AS rx1 FROM orders)
+SELECT DISTINCT w.* FROM w JOIN r USING (l_orderkey) WHERE y - ry BETWEEN 0 AND 3 AND 2 * (least(x1, rx1) - greatest(x0, rx0)) > x1 - x0""")
+def underlined_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as words of a page for each order, which a ruling just beneath underlines."""
+    words = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") * 6).alias("x0"), (F.col("l_quantity") * 6 + 40).alias("x1"), (F.col("l_linenumber") * 12.0).alias("y"))
+    rulings_ = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 7 * 12.0 - F.col("o_orderkey") % 5).alias("ry"), F.lit(50.0).alias("rx0"), F.lit(200.0).alias("rx1"))
+    return layout.underlined(words, rulings_, ["l_orderkey"])
+
+
 @query("""SELECT p_partkey, printf('Version:0.9' || chr(13) || chr(10) || 'StartHTML:%010d' || chr(13) || chr(10) || 'EndHTML:%010d' || chr(13) || chr(10) || 'StartFragment:%010d' || chr(13) || chr(10) || 'EndFragment:%010d' || chr(13) || chr(10), CAST(105 AS BIGINT), CAST(105 + 34 + n + 34 AS BIGINT), CAST(105 + 34 AS BIGINT), CAST(105 + 34 + n AS BIGINT))
   || '<html><body>' || chr(13) || chr(10) || '<!--StartFragment-->' || f || '<!--EndFragment-->' || chr(13) || chr(10) || '</body></html>' AS clip FROM (SELECT p_partkey, '<b>é ' || p_name || '</b>' AS f, octet_length(encode('<b>é ' || p_name || '</b>')) AS n FROM part)""")
 def cf_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,8 +218,8 @@ def cf_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers and parts connected by orders of many pieces."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 50").select((-F.col("l_suppkey")).alias("a"), F.col("l_partkey").alias("b"))
+    """Suppliers and parts connected by line items."""
+    li = table(spark, sf_dir, "lineitem").select((-F.col("l_suppkey")).alias("a"), F.col("l_partkey").alias("b"))
     return layout.components(li)
 
 
@@ -217,6 +258,30 @@ def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docindex.lookup(index(spark, sf_dir), shown)
 
 
+def shown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as a viewer shows them, with the fourth word garbled."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("item", "text"))
+    return lines.withColumn("text", F.regexp_replace("text", r"^(\S+ \S+ \S+ )\S+", "$1xq"))
+
+
+@query()
+def index_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled lines found in their document by runs of words that it has once."""
+    return docindex.anchored(index(spark, sf_dir), shown_lines(spark, sf_dir))
+
+
+@query()
+def index_word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled lines word by word: the longest spans whose key has one reading."""
+    return docindex.by_words(index(spark, sf_dir), shown_lines(spark, sf_dir))
+
+
+@query()
+def index_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each line starts, each behind the one before."""
+    return docindex.nearest_occurrence(index(spark, sf_dir), shown_lines(spark, sf_dir))
+
+
 @query("SELECT lang, word, n FROM (SELECT lang, word, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS r FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY 1, 2) WHERE r <= 200")
 def topk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 200 most frequent words of each language."""

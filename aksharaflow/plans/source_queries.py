@@ -1,41 +1,38 @@
-"""Queries that write files of the tables in other formats and read them back."""
+"""Queries over glyphs as a page holds them, made of the turns of conversations."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import pdf
+from ..operators import glyphs
 from .registry import query, table
 
 
-def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, content: each conversation as a PDF file, a turn after the other, wrapped between words."""
-    import pandas as pd
+def page_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as a page of glyphs of one font: a line of text is a line of the page, white space draws nothing, and every
+    third glyph is drawn twice, slightly apart, as bold text is in old files."""
+    lines = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    chars = lines.select("doc_id", "page", "line", F.posexplode(F.split("text", "")).alias("i", "text")).where(~F.col("text").rlike(r"^\s*$"))
+    drawn = chars.select("doc_id", "page", (F.col("line") * 100_000_000 + F.col("i") * 2).cast("long").alias("seq"), (F.col("i") * 6.0).alias("x"), (F.col("line") * -14.0).alias("y"), F.lit(5.5).alias("width"), F.lit(10.0).alias("size"), F.lit("regular").alias("font"), "text")
+    again = drawn.where(F.col("seq") % 3 == 0).withColumns({"seq": F.col("seq") + 1, "x": F.col("x") + 0.4})
+    return drawn.unionByName(again)
 
-    texts = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t")).select("conv_id", F.array_join("t.text", "\n").alias("text"))
 
-    def run(batches):
-        import textwrap
+_WORDS = r"""SELECT conv_id AS doc_id, turn, line, i, w FROM (SELECT conv_id, turn, line, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM
+  (SELECT conv_id, turn, line, regexp_extract_all(t, '[^\t\n\x0B\f\r ]+') AS ws FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM conversations)))"""
 
-        for b in batches:
-            made = [pdf.write([x for line in t.split("\n") for x in (textwrap.wrap(line, 90, break_long_words=False, break_on_hyphens=False) or [""])], doc % 2 == 0, True) for doc, t in zip(b["conv_id"], b["text"], strict=True)]
-            yield pd.DataFrame({"doc_id": b["conv_id"], "content": made})
 
-    return texts.mapInPandas(run, "doc_id long, content binary")
-
-
-@query(r"""SELECT conv_id AS doc_id, count(*) AS n_words, md5(string_agg(w, ' ' ORDER BY turn, i)) AS words_md5 FROM
-  (SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '\S+') AS ws FROM conversations)) GROUP BY conv_id""")
-def pdf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of conversations, read back from the glyphs of their PDF files."""
-    found = pdf.words(pdf.glyphs(pdf_files(spark, sf_dir)))
+@query(f"SELECT doc_id, count(*) AS n_words, md5(string_agg(w, ' ' ORDER BY turn, line, i)) AS words_md5 FROM ({_WORDS}) GROUP BY doc_id")
+def glyph_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of conversations, put together again from the places of their glyphs."""
+    found = glyphs.words(glyphs.without_overprint(page_glyphs(spark, sf_dir), ["doc_id", "page"]), ["doc_id", "page"])
     each = F.array_sort(F.collect_list(F.struct("page", "word", "text")))
     return found.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.md5(F.array_join(F.transform(each, lambda x: x["text"]), " ")).alias("words_md5"))
 
 
-@query("SELECT conv_id AS doc_id, 50.0 AS a, 550.0 AS b FROM (SELECT DISTINCT conv_id FROM conversations)")
-def pdf_rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The span of the lines drawn across the pages of each file."""
-    rows = pdf.rulings(pdf_files(spark, sf_dir)).where("across")
-    return rows.groupBy("doc_id").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+@query(f"SELECT doc_id, turn AS page, CAST(count(DISTINCT line) AS BIGINT) AS n_lines, CAST(max(length(w)) AS BIGINT) AS longest FROM ({_WORDS}) GROUP BY doc_id, turn")
+def glyph_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each page, and its longest word, from the places of glyphs."""
+    found = glyphs.words(glyphs.without_overprint(page_glyphs(spark, sf_dir), ["doc_id", "page"]), ["doc_id", "page"])
+    return found.groupBy("doc_id", "page").agg(F.countDistinct("line").alias("n_lines"), F.max(F.char_length("text")).cast("long").alias("longest"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import devanagari as deva
 from ..functions import text as tx
-from ..functions.keymaps import FONT_PATTERNS, I_MARK, key_table, kruti_rules
+from ..functions.keymaps import FONT_PATTERNS, I_MARK, REPH_MARK, key_table, kruti_rules
 from .registry import query, quoted, sql_keys, sql_rules, table
 
 #: Runs of characters of a text that are read as key strokes.
@@ -47,16 +47,19 @@ def script_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *counts, tx.mostly_lower(F.col("text")).alias("mostly_lower"))
 
 
-@query(f"""SELECT page_id, n AS n_signals, n >= 2 AS is_code FROM
-  (SELECT page_id, CAST(len(list_distinct(list_transform(regexp_extract_all(html, {quoted('(' + tx.CODE + ')')}), lambda s: trim(s)))) AS BIGINT) AS n FROM pages)""")
+_KINDS = " + ".join(f"CAST(coalesce(regexp_matches(html, {quoted(p)}), false) AS BIGINT)" for p in tx.CODE_KINDS.values())
+
+
+@query(f"SELECT page_id, n AS n_signals, n >= 2 AS is_code FROM (SELECT page_id, CAST({_KINDS} AS BIGINT) AS n FROM pages)")
 def code_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", tx.code_signals(F.col("html")).alias("n_signals"))
     return rows.withColumn("is_code", F.col("n_signals") >= 2)
 
 
-@query(f"""SELECT doc_id, count(*) AS n FROM (SELECT doc_id, regexp_replace(token, '[./,-]', '', 'g') AS s FROM
-  (SELECT doc_id, translate(token, '1234567890', '!@#$%^&*()') AS token FROM ({_WORDS_SQL})) WHERE regexp_matches(token, {quoted(tx.SYMBOL_NUMBER)}))
-  WHERE (length(s) = 1 OR len(list_distinct(string_split(s, ''))) > 1) AND NOT regexp_matches(s, '^[()]+$') GROUP BY doc_id""")
+@query(f"""SELECT doc_id, count(*) AS n FROM (SELECT doc_id, t, CASE WHEN regexp_matches(t, '^\\(.*\\)$|^\\[.*\\]$') THEN substr(t, 2, length(t) - 2) ELSE t END AS inner_ FROM
+  (SELECT doc_id, translate(token, '1234567890', '!@#$%^&*()') AS t FROM ({_WORDS_SQL}))) WHERE t = '?=' OR regexp_matches(t, {quoted(tx.SYMBOL_NUMBER)}) AND NOT regexp_matches(t, {quoted(tx.PLAIN_NUMBER)})
+  AND (regexp_matches(inner_, '[!@#$%^&*()]') OR starts_with(inner_, '?=')) AND NOT (regexp_matches(t, '[A-Za-z]') AND NOT regexp_matches(inner_, '[!@#$%^&*]'))
+  AND len(list_distinct(string_split(t, ''))) > 1 AND NOT regexp_matches(t, '^\\([^!@#$%^&*()]\\)$') GROUP BY doc_id""")
 def symbol_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of documents, as a typist of the shifted digit row would have typed them."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(tx.words(F.col("text"))).alias("token"))
@@ -65,7 +68,7 @@ def symbol_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, contains(lower(url), '.pdf') AS is_pdf,
-  regexp_matches(url, '(?i)^(?:https?://|www\.)') AS is_address FROM pages""")
+  regexp_matches(url, '(?i)^[a-z][a-z0-9+.-]*://|^www\.|^[^@[:space:]]+@[a-z0-9-]+(\.[a-z0-9-]+)+$|^([a-z0-9-]+\.)+(com|edu|gov|in|info|io|net|np|org)(:[0-9]+)?([/?#].*)?$') AS is_address FROM pages""")
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(u, "^[a-z]+://([^/?#]+)", 1).alias("host"), F.regexp_extract(u, "^[a-z]+://[^/?#]+([^?#]*)", 1).alias("path"), F.contains(F.lower(u), F.lit(".pdf")).alias("is_pdf"), u.rlike(tx.URLISH).alias("is_address"))
@@ -97,7 +100,7 @@ _converted("key_convert_raw", [], "Key runs of documents, mapped key by key.")
 _converted("key_convert_isign", deva.PLACE_I, "Mapped, with each i-sign behind its cluster.")
 _converted("key_convert_reph", deva.PLACE_I + deva.PLACE_REPH, "Mapped, with i-signs and rephs in place.")
 _converted("key_convert_stroke", deva.STROKE, "Mapped, with the stroke of the m key applied.")
-for _e in ("kantipur", "sagarmatha", "himali", "pcs"):
+for _e in ("kantipur", "sagarmatha", "himali", "pcs", "fontasy", "himalaya", "sumod"):
     _converted(f"key_convert_{_e}", deva.WORD_RULES, f"Key runs as the {_e} layout draws them.", _e)
 
 _FULL_SQL = f"nfc_normalize({sql_rules(sql_keys('w', key_table()), deva.WORD_RULES)})"
@@ -109,12 +112,11 @@ def key_convert_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed_words(spark, sf_dir).select("w", "n", deva.from_keys(F.col("w")).alias("converted"))
 
 
-@query(f"""SELECT w, a AS preeti, b AS kantipur FROM (SELECT w, {sql_keys('w', key_table())} AS a, {sql_keys('w', key_table('kantipur'))} AS b FROM
-  (SELECT DISTINCT unnest(regexp_extract_all(p_name || ' FX ' || p_brand, '[A-Za-z]+')) AS w FROM part)) WHERE a <> b""")
+@query(f"SELECT w, a AS preeti, b AS fontasy FROM (SELECT w, {sql_keys('w', key_table())} AS a, {sql_keys('w', key_table('fontasy'))} AS b FROM ({_DISTINCT_SQL})) WHERE a <> b")
 def layout_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that two layouts read differently."""
-    w = table(spark, sf_dir, "part").select(F.explode(F.regexp_extract_all(F.concat_ws(" FX ", "p_name", "p_brand"), F.lit("[A-Za-z]+"), 0)).alias("w")).distinct()
-    return w.select("w", deva.map_keys(F.col("w"), key_table()).alias("preeti"), deva.map_keys(F.col("w"), key_table("kantipur")).alias("kantipur")).where(F.col("preeti") != F.col("kantipur"))
+    """Key runs that two layouts read differently."""
+    rows = keyed_words(spark, sf_dir).select("w", deva.map_keys(F.col("w"), key_table()).alias("preeti"), deva.map_keys(F.col("w"), key_table("fontasy")).alias("fontasy"))
+    return rows.where(F.col("preeti") != F.col("fontasy"))
 
 
 def _sql_replaces(expr: str, pairs: list) -> str:
@@ -149,7 +151,9 @@ def compose_matras(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT w, CASE WHEN regexp_matches(c, {quoted(deva.TYPED_FAULT)}) THEN nfc_normalize({sql_rules('c', deva.TYPED)}) ELSE c END AS repaired, regexp_matches(c, {quoted(deva.TYPED_FAULT)}) AS fault FROM (SELECT w, nfc_normalize(b) AS c FROM ({_BROKEN_SQL}))")
 def typed_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return broken_words(spark, sf_dir).select("w", deva.repair_typed(F.col("b")).alias("repaired"), deva.has_typed_fault(deva.nfc(F.col("b"))).alias("fault"))
+    rows = broken_words(spark, sf_dir).select("w", deva.nfc(F.col("b")).alias("c"))
+    rows = rows.withColumn("fault", deva.has_typed_fault(F.col("c")))
+    return rows.select("w", F.when(F.col("fault"), deva.nfc(deva.rewrite(F.col("c"), deva.TYPED))).otherwise(F.col("c")).alias("repaired"), "fault")
 
 
 @query(f"SELECT w, CAST(len(regexp_extract_all({_FULL_SQL}, {quoted(deva.AKSHARA.replace('[' + chr(92) + 's' + chr(92) + 'S]', '(?s:.)'))})) AS BIGINT) AS n_aksharas FROM ({_DISTINCT_SQL})")
@@ -173,12 +177,10 @@ def movement_key_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("movement_key").agg(F.count("*").alias("n_forms"), F.min("b").alias("first_form")).where("n_forms > 1")
 
 
-@query("SELECT DISTINCT w, w AS once FROM (SELECT unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS w FROM documents) WHERE NOT (substr(w, 1, length(w) // 2) = substr(w, length(w) // 2 + 1))")
+@query("SELECT w, CASE WHEN 4 * length(w) <= 2000 THEN substr(w, 1, list_min(list_filter(range(3, length(w) + 1), lambda p: 4 * length(w) % p = 0 AND repeat(w, 4) = repeat(substr(w, 1, p), 4 * length(w) // p)))) ELSE repeat(w, 4) END AS once FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) AS w FROM documents)")
 def overprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words drawn four times over themselves, read once; words that are two equal halves are left out."""
-    w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{5,}"), 0)).alias("w")).distinct()
-    half = (F.char_length("w") / 2).cast("int")
-    w = w.where(F.substr("w", F.lit(1), half) != F.substr("w", half + 1))
+    """All words of documents drawn four times over themselves, read once; a word that repeats a piece is that piece."""
+    w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), 0)).alias("w")).distinct()
     return w.select("w", deva.collapse_overprint(F.repeat("w", F.lit(4))).alias("once"))
 
 
@@ -189,37 +191,41 @@ def url_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.decode_url(enc).alias("decoded"))
 
 
-@query("SELECT doc_id, md5(text) AS text_md5 FROM documents WHERE regexp_full_match(text, '[\\x{0}-\\x{7F}\\x{C0}-\\x{FF}\\n]*')")
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
 def mojibake_latin1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latin texts whose UTF-8 bytes were read as Windows-1252, put right."""
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7fÀ-ÿ]*$"))
-    wrong = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    wrong = F.translate(wrong, tx._BYTES, tx.WINDOWS_1252)
-    return docs.select("doc_id", F.md5(tx.decode_mojibake(wrong)).alias("text_md5"))
+    """All texts with their UTF-8 bytes read as Windows-1252, put right."""
+    wrong = F.translate(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"), tx._BYTES, tx.WINDOWS_1252)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.decode_mojibake(wrong)).alias("text_md5"))
+
+
+_HEADING = "regexp_replace(regexp_replace('## ' || regexp_replace(text, '^([A-Za-z]+)', '**\\1**'), ' ([A-Za-z]+)([,.])', ' [\\1](http://x.org/a)\\2', 'g'), '_([a-z]+)_', '__\\1__', 'g')"
+_PLAIN = _HEADING
+for _rule, _new in (("(?m)^[ \\t\\n\\f\\r]{0,3}#{1,6}[ \\t\\n\\f\\r]+", ""), ("!\\[([^\\]]*)\\]\\([^)]*\\)", "\\1"), ("\\[([^\\]]*)\\]\\([^)]*\\)", "\\1"), ("```", ""), ("`([^`]*)`", "\\1"), ("\\*\\*([^*]+)\\*\\*", "\\1"), ("__([^_]+)__", "\\1"), ("\\*([^*\\n]+)\\*", "\\1"), ("(?m)^[ \\t\\n\\f\\r]*[-*+][ \\t\\n\\f\\r]+", ""), ("(?m)^>[ \\t\\n\\f\\r]?", "")):
+    _PLAIN = f"regexp_replace({_PLAIN}, {quoted(_rule)}, {quoted(_new)}, 'g')"
 
 
-@query("SELECT conv_id, turn, text AS plain FROM conversations WHERE regexp_full_match(text, '[A-Za-z ,.]+') AND text = trim(text)")
+@query(f"SELECT conv_id, turn, trim({_PLAIN}) AS plain FROM conversations")
 def markdown_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns marked up as a heading with bold, linked and quoted parts, as plain text."""
-    rows = table(spark, sf_dir, "conversations").where(F.col("text").rlike("^[A-Za-z ,.]+$") & (F.col("text") == F.trim("text")))
+    """All turns, marked up as a heading with bold, linked and emphasised parts, as plain text."""
     marked = F.concat(F.lit("## "), F.regexp_replace("text", "^([A-Za-z]+)", "**$1**"))
-    marked = F.regexp_replace(marked, " ([A-Za-z]+)([,.])", " [$1](http://x.org/a)$2")
-    return rows.select("conv_id", "turn", tx.strip_markdown(marked).alias("plain"))
+    marked = F.regexp_replace(F.regexp_replace(marked, " ([A-Za-z]+)([,.])", " [$1](http://x.org/a)$2"), "_([a-z]+)_", "__$1__")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.strip_markdown(marked).alias("plain"))
 
 
-@query(r"""SELECT p_partkey, version, CAST(regexp_extract(version, '(\d+)', 1) AS INT) AS major, CAST(regexp_extract(version, '\d+\D+(\d+)', 1) AS INT) AS minor, CAST(0 AS INT) AS patch
-  FROM (SELECT p_partkey, 'v' || p_size || '.' || (p_partkey % 10) || '-beta' AS version FROM part)""")
+@query(r"""SELECT p_partkey, version, CAST(regexp_extract(version, '(\d+)', 1) AS INT) AS major, CAST(regexp_extract(version, '\d+\D+(\d+)', 1) AS INT) AS minor, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size % 4 AS INT) ELSE 0 END AS patch
+  FROM (SELECT p_partkey, p_size, 'v' || p_size || '.' || (p_partkey % 10) || CASE WHEN p_partkey % 3 = 0 THEN '.' || (p_size % 4) ELSE '' END || '-beta' AS version FROM part)""")
 def version_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.concat(F.lit("v"), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 10).cast("string"), F.lit("-beta"))
+    v = F.concat(F.lit("v"), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 10).cast("string"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("."), (F.col("p_size") % 4).cast("string"))).otherwise(""), F.lit("-beta"))
     rows = table(spark, sf_dir, "part").select("p_partkey", v.alias("version"))
     return rows.select("p_partkey", "version", tx.version_parts(F.col("version")).alias("v")).select("p_partkey", "version", "v.*")
 
 
-_VISUAL = [(f"({deva.CLUSTER})ि", "ि$1")]
+_TO_SCREEN = [(f"({deva.CLUSTER})ि", "ि$1"), (f"र्(ि?{deva.CONSONANT}[{deva.SIGN}]*)", f"$1{REPH_MARK}")]
+_FROM_SCREEN = [(f"(ि?{deva.CONSONANT}[{deva.SIGN}]*){REPH_MARK}", "र्$1"), (f"ि((?:र्)?{deva.CLUSTER})", "$1ि")]
 
 
-@query(f"SELECT w, {sql_rules('b', _VISUAL)} AS shown, b AS back FROM (SELECT w, nfc_normalize({sql_rules(sql_keys('w', key_table()), deva.WORD_RULES)}) AS b FROM ({_DISTINCT_SQL})) WHERE NOT regexp_matches(b, 'ि.*ि|र्|^ि|[^क-ह़]ि')")
+@query(f"SELECT w, shown, {sql_rules('shown', _FROM_SCREEN)} AS back FROM (SELECT w, {sql_rules('b', _TO_SCREEN)} AS shown FROM (SELECT w, nfc_normalize({sql_rules(sql_keys('w', key_table()), deva.WORD_RULES)}) AS b FROM ({_DISTINCT_SQL})))")
 def visual_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words in the order on screen, and back in logical order."""
-    b = keyed_words(spark, sf_dir).select("w", deva.from_keys(F.col("w")).alias("b")).where(~F.col("b").rlike("ि.*ि|र्|^ि|[^क-ह़]ि"))
-    return b.select("w", deva.to_visual(F.col("b")).alias("shown"), deva.from_visual(deva.to_visual(F.col("b"))).alias("back"))
+    """All words in the order on screen, and back in logical order."""
+    b = keyed_words(spark, sf_dir).select("w", deva.from_keys(F.col("w")).alias("b"))
+    return b.select("w", deva.to_visual(F.col("b")).alias("shown")).select("w", "shown", deva.from_visual(F.col("shown")).alias("back"))

@@ -34,6 +34,16 @@ def test_normal_form_rules(text):
     assert deva.rewrite_text(text, deva.NFC) == unicodedata.normalize("NFC", text)
 
 
+def test_typed_pairs(spark):
+    from aksharaflow.plans.planted_queries import HINDI_PAIRS, KEY_PAIRS, TYPED_PAIRS
+
+    given, want = zip(*TYPED_PAIRS)
+    fixed = column(spark, list(given), deva.repair_typed)
+    assert fixed == [unicodedata.normalize("NFC", w) for w in want] and column(spark, fixed, deva.repair_typed) == fixed
+    assert column(spark, [k for k, _ in KEY_PAIRS], deva.from_keys) == [unicodedata.normalize("NFC", w) for _, w in KEY_PAIRS]
+    assert column(spark, [k for k, _ in HINDI_PAIRS], lambda c: deva.from_keys(c, "krutidev")) == [unicodedata.normalize("NFC", w) for _, w in HINDI_PAIRS]
+
+
 def test_typed_repair_leaves_correct_words(spark):
     words = ["नेपाल", "विश्व", "पूर्व", "किताब", "संविधान", "क्षेत्र", "श्री", "दुःख"]
     assert column(spark, words, deva.repair_typed) == words
@@ -46,8 +56,11 @@ def test_tokens_concatenate_to_the_text(spark):
 
 
 def test_predicates(spark):
-    assert column(spark, ["@)&*", "((", "!!!", "@", "@)*%.!@", "a@"], tx.is_symbol_number) == [True, False, False, True, True, False]
-    assert column(spark, ["a == b && c", "plain text", None], tx.code_signals)[:2] == [2, 0]
+    assert column(spark, ["@)&*", "((", "!!!", "@", "@)*%.!@", "a@"], tx.is_symbol_number) == [True, False, False, False, True, False]
+    code = ["a == b && c", "plain text", None, "def f(x):\n return x;\n", "if (a) {\n b();\n}", "Return to the class, for a while; if true"]
+    assert column(spark, code, tx.code_signals) == [2, 0, 0, 3, 4, 0]
+    assert column(spark, ["g]kfn", "/fd|f]", "we'll", "[1]", "x'G5a", "don't"], tx.signature_hits) == [1, 2, 0, 0, 0, 0]
+    assert column(spark, ["http://x.np", "a@b.org", "file.pdf", "www.x", "x.com/a", "end.", "v1.2"], lambda c: c.rlike(tx.URLISH)) == [True] * 5 + [False] * 2
     assert column(spark, ["v2.1.0-beta", "7", None], lambda c: tx.version_parts(c)["minor"]) == [1, 0, 0]
 
 

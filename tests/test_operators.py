@@ -4,9 +4,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from aksharaflow.operators import detector, docindex, image, intervals, layout, learning, lexicon
+from aksharaflow.operators import detector, docindex, glyphs, intervals, keytext, layout, learning, lexicon
 from aksharaflow.plans import catalogue
-from aksharaflow.sources import pdf
 from aksharaflow.streaming import state
 
 
@@ -107,7 +106,9 @@ def test_learning(spark):
 
 
 def test_stream_equals_batch(spark):
-    rows = spark.createDataFrame([(d, i, 25, 5 if d else 20) for d in range(2) for i in range(5)], "doc long, line long, n_words long, n_known long")
+    rows = spark.createDataFrame([(d, i, 25, 5 if d == 1 else 20, 3 * (d == 2), d == 3 and i == 2) for d in range(4) for i in range(5)], "doc long, line long, n_words long, n_known long, n_gain long, fault boolean")
+    damaged = {(r["doc"], r["line"]) for r in state.damage_batch(rows).where("damaged").collect()}
+    assert damaged == {*((1, i) for i in range(2, 5)), *((2, i) for i in range(1, 5)), *((3, i) for i in range(2, 5))}
     path = f"{state.shared_dir(spark)}/in"
     rows.write.mode("overwrite").parquet(path)
     stream = state.grouped_state_stream(spark.readStream.schema(rows.schema).parquet(path))
@@ -120,34 +121,120 @@ def test_breaker(spark):
     assert [r["skipped"] for r in state.breaker(rows, 50, 60).orderBy("event_id").collect()] == [False, True, False]
 
 
-def test_pdf_filters():
-    import base64
-    import zlib
-
-    data = bytes(range(256)) * 3
-    assert pdf.decode(zlib.compress(data), ["FlateDecode"], [{}]) == data
-    assert pdf.decode(data.hex().encode() + b">", ["ASCIIHexDecode"], [{}]) == data
-    assert pdf.decode(base64.a85encode(data) + b"~>", ["ASCII85Decode"], [{}]) == data
-    assert pdf.decode(bytes([2]) + b"abc" + bytes([254]) + b"x" + bytes([128]), ["RunLengthDecode"], [{}]) == b"abcxxx"
-    assert pdf.decode(bytes([0x80, 0x0B, 0x60, 0x50, 0x22, 0x0C, 0x0C, 0x85, 0x01]), ["LZWDecode"], [{}]) == bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])
-    assert pdf.decode(zlib.compress(bytes([2, 1, 2, 3, 2, 1, 1, 1])), ["FlateDecode"], [{"Predictor": 12, "Columns": 3}]) == bytes([1, 2, 3, 2, 3, 4])
-
-
-def test_pdf_words(spark):
-    lines = ["Hello (nested) world", "back\\slash é", ""]
-    files = spark.createDataFrame([(1, pdf.write(lines)), (2, b"no pdf"), (3, pdf.write(lines * 40, False)[:-45]), (4, None)], "doc_id long, content binary")
-    got = pdf.words(pdf.glyphs(files))
-    one = [r["text"] for r in got.where("doc_id = 1").orderBy("page", "word").collect()]
-    assert one == ["Hello", "(nested)", "world", "back\\slash", "é"]
-    assert got.where("doc_id = 3").count() == 200 and got.where("doc_id in (2, 4)").count() == 0
-
-
-def test_images():
-    import numpy as np
-
-    blank = np.full((20, 120, 4), 255, np.uint8)
-    assert image.classify(blank.tobytes(), 120, 20) == "unknown" and image.classify(b"", 0, 0) == "unknown"
-    blank[4:16, 10:110:4] = blank[4:16, 11:110:4] = 0
-    assert image.classify(blank.tobytes(), 120, 20) == "latin"
-    blank[4:6, 10:110] = 0
-    assert image.classify(blank.tobytes(), 120, 20) == "devanagari"
+def test_segmentation_matches_brute_force(spark):
+    rng = random.Random(2)
+    words = ["ab", "abc", "cde", "bcd", "eab", "a", "dea", "cdeab"]
+    lines = [(i, [rng.choice(["a", "b", "c", "d", "e", "ab", "cd"]) for _ in range(rng.randint(0, 7))]) for i in range(60)]
+
+    def score(pieces):
+        """The best total over all ways to cut a line in groups of up to four pieces."""
+        best = 0.0 if not pieces else None
+        for k in range(1, min(4, len(pieces)) + 1):
+            word = "".join(pieces[:k])
+            gain = len(word) ** 1.4 - (k - 1) if word in words else 0.0 if k == 1 else None
+            if gain is not None:
+                best = max(x for x in (best, gain + score(pieces[k:])) if x is not None)
+        return best
+
+    got = learning.group_pieces(spark.createDataFrame(lines, "line int, pieces array<string>"), spark.createDataFrame([(w,) for w in words], "word string"), ["line"])
+    texts = {r["line"]: r["text"] for r in got.collect()}
+    for i, pieces in lines:
+        at, total = 0, 0.0
+        for group in texts[i].split(" ") if texts[i] else []:
+            n = next(k for k in range(1, 5) if "".join(pieces[at : at + k]) == group)
+            total += len(group) ** 1.4 - (n - 1) if group in words else 0.0
+            at += n
+        assert at == len(pieces) and abs(total - score(pieces)) < 1e-9, (pieces, texts[i])
+
+
+def test_components_match_brute_force(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)]
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    assert dict(pairs(layout.components(spark.createDataFrame(edges, "a long, b long")))) == {x: root(x) for x in up}
+
+
+def test_breaker_matches_brute_force(spark):
+    rng = random.Random(4)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, t0 + dt.timedelta(seconds=rng.randrange(2000)), rng.randrange(3), rng.random() * 100) for i in range(300)]
+    until, want = {}, {}
+    for i, t, u, v in sorted(rows, key=lambda r: (r[2], r[1], r[0])):
+        want[i] = t < until.get(u, t0)
+        if not want[i] and v >= 80:
+            until[u] = t + dt.timedelta(seconds=60)
+    got = state.breaker(spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double"), 80.0, 60)
+    assert {r["event_id"]: r["skipped"] for r in got.collect()} == want
+
+
+def test_swap_learning_matches_brute_force(spark):
+    lex = ["then", "them", "other", "this", "path", "onset", "upon", "cat"]
+    words = [w.replace("th", "q").replace("on", "xy") for w in lex]
+    gains = Counter()
+    for w in set(words) - set(lex):
+        for src in {w[i : i + k] for k in (1, 2) for i in range(len(w) - k + 1)}:
+            for dst in ("th", "on"):
+                gains[src, dst] += w.replace(src, dst) in lex
+    frame = lambda x: spark.createDataFrame([(w,) for w in x], "word string")
+    got = {(r["src"], r["dst"]): r["n"] for r in learning.swap_gains(frame(words).withColumn("given", F.col("word")), frame(lex), ["th", "on"], 2).collect()}
+    assert got == {k: n for k, n in gains.items() if n}
+    assert [tuple(r)[1:3] for r in learning.learn_swaps(frame(words), frame(lex), ["th", "on"], least=2, longest=2).collect()] == [("q", "th"), ("xy", "on")]
+
+
+def test_whole_lexicon_test_and_swaps(spark):
+    frame = lambda x: spark.createDataFrame([(w,) for w in x], "word string")
+    lex = frame(["walk", "sun", "day", "cat"])
+    got = dict(pairs(lexicon.known_with_endings(frame(["walk", "walkers", "sundays", "xyz", "catsing"]), lex, ["ing", "er", "s"])))
+    assert got == {"walk": "word", "walkers": "ending", "sundays": "compound", "catsing": "ending"}
+    assert pairs(lexicon.swap_fixes(frame(["cot", "wolk", "sxm", "cat"]), lex, [("o", "a"), ("x", "u"), ("m", "n")])) == [("cot", "cat"), ("sxm", "sun"), ("wolk", "walk")]
+    shown = spark.createDataFrame([("cot", "cat", 2), ("wolk", "walk", 1), ("ab", "abc", 5)], "shown string, real string, n long")
+    assert pairs(lexicon.confusions(shown)) == [("o", "a", 3)]
+
+
+def test_index_lookups_of_damaged_lines(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta alpha beta"
+    index = docindex.build(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    shown = spark.createDataFrame([(1, 0, "beta gamma delta epsilxn zeta eta"), (1, 1, "gamma delta epsilon qqqqqqqqqqqqqqqqqqqq"), (1, 2, "nothing of it is there")], "doc_id long, item int, text string")
+    assert pairs(docindex.anchored(index, shown)) == [(1, 0, 5, "beta gamma delta epsilon zeta eta")]
+    assert pairs(docindex.by_words(index, shown.where("item = 0"))) == [(1, 0, 0, 3, "beta gamma delta"), (1, 0, 4, 2, "zeta eta")]
+    lines = spark.createDataFrame([(1, 0, "alpha beta"), (1, 1, "beta x"), (1, 2, "alpha"), (1, 3, "alpha again"), (1, 4, "none")], "doc_id long, item int, text string")
+    assert pairs(docindex.nearest_occurrence(index, lines)) == [(1, 0, 0), (1, 1, 1), (1, 2, 8), (1, 3, 0)]
+
+
+def test_lookup_matches_brute_force(spark):
+    rng = random.Random(6)
+    texts = {d: " ".join(rng.choice(["a", "bb", "ccc", "long" * 40, "dd"]) for _ in range(120)) for d in range(3)}
+    asked = [(d, i, " ".join(t.split()[i : i + 5])[rng.randrange(2) :]) for d, t in texts.items() for i in range(0, 100, 7)]
+    want = []
+    for d, i, s in asked:
+        words = texts[d].split()
+        starts = [sum(map(len, words[:k])) for k in range(len(words))]
+        key = s.replace(" ", "")
+        at = "".join(words).find(key)
+        want.append((d, i, at, " ".join(w for w, b in zip(words, starts) if b < at + len(key) and b + len(w) > at)))
+    index = docindex.build(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert pairs(docindex.lookup(index, spark.createDataFrame(asked, "doc_id long, item int, text string"))) == sorted(want)
+
+
+def test_glyphs(spark):
+    rows = [(1, i, 6.0 * i, 0.0, 5.5, 10.0, "f", c) for i, c in enumerate("ab cd")] + [(1, 10, 0.3, 0.2, 5.5, 10.0, "f", "a"), (1, 11, 0.3, 0.2, 5.5, 10.0, "g", "x"), (1, 12, 0.0, -14.0, 5.5, 10.0, "f", "e")]
+    drawn = spark.createDataFrame(rows, "page int, seq long, x double, y double, width double, size double, font string, text string")
+    once = glyphs.without_overprint(drawn, ["page"])
+    assert once.count() == len(rows) - 1
+    assert [(r["line"], r["text"]) for r in glyphs.words(once, ["page"]).orderBy("word").collect()] == [(1, "ab"), (1, "cd"), (1, "x"), (2, "e")]
+
+
+def test_key_words_that_a_lexicon_proves(spark):
+    frame = lambda x: spark.createDataFrame([(w,) for w in x], "word string")
+    assert pairs(keytext.convert_proved(frame(["x¿", "v6[f", "s]"]), frame(["हरू", "खट्टा"]))) == [("s]", "के"), ("v6[f", "खट्टा"), ("x¿", "हरू")]
+    assert pairs(keytext.repair_proved(frame(["नयाा", "लााग", "घर"]), frame(["नयाँ"]))) == [("घर", "घर"), ("नयाा", "नयाँ"), ("लााग", "लाग")]
+    assert [r[0] for r in frame(["1!a"]).select(keytext.as_preeti_keys(F.col("word"), "fontasy")).collect()] == ["!1a"]
