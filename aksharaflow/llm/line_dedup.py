@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -109,11 +107,6 @@ def _digest(key: Column) -> Column:
     return F.unhex(F.sha2(key, 256))
 
 
-def _line_digest(line: str) -> bytes:
-    """_digest(line_key(line)) of a plain string."""
-    return hashlib.sha256(line.encode().strip(SPACE_CHARS.encode()).lower()).digest()
-
-
 def postings(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each line of a document: key (digest), doc_id. Rows that share an id are one document."""
     keys = F.filter(F.transform(_lines(F.col(text_col)), line_key), lambda k: F.char_length(k) >= min_chars)
@@ -230,33 +223,22 @@ class LineIndex:
     def apply(self, docs: DataFrame, counted: bool = True) -> DataFrame:
         """Docs without the frequent lines that another document keeps: all their columns, with text replaced, and, if
         counted, n_lines (before) and n_dropped in place of columns of these names. Null and empty texts are one empty
-        line; a text that loses all lines is empty."""
-        import pyarrow as pa
-
-        rows = staged(postings(docs, self.min_chars), "line-keys")
-        drop = rows.join(staged(self.frequent(rows), "frequent-lines"), "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        name, of = free_name(docs, "dropped"), free_name(docs, "dropped_of")
-        drop = drop.groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("key").alias(name))
-        docs = docs.drop("n_lines", "n_dropped") if counted else docs
-        both = docs.join(drop, docs["doc_id"].eqNullSafe(F.col(of)), "left").drop(of)
-        least = self.min_chars
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at, texts, sizes = batch.schema.get_field_index("text"), [], []
-                for text, gone in zip(batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index(name)).to_pylist(), strict=True):
-                    lines = (text or "").split("\n")
-                    n = len(lines)
-                    if gone:
-                        gone = set(gone)
-                        lines = [x for x in lines if len(x) < least or _line_digest(x) not in gone]
-                    texts.append("\n".join(lines))
-                    sizes.append((n, n - len(lines)))
-                batch = batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns([name])
-                if counted:
-                    for k, column in enumerate(("n_lines", "n_dropped")):
-                        batch = batch.append_column(column, pa.array([x[k] for x in sizes], pa.int64()))
-                yield batch
-
-        kinds = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + (["n_lines long", "n_dropped long"] if counted else []))
-        return both.mapInArrow(run, kinds)
+        line; a text that loses all lines is empty.
+
+        The numbers of the lines to drop come to each row by its id and the hash of its text; what stays are the slices
+        between them, so that a text costs as much as it has lines."""
+        of, hash_, gone, lines = (free_name(docs, c) for c in ("line_of", "line_hash", "line_gone", "lines"))
+        key = line_key(F.col("line"))
+        rows = docs.select(F.col("doc_id").alias(of), F.xxhash64("text").alias(hash_), F.posexplode(_lines(F.col("text"))).alias("at", "line"))
+        rows = staged(rows.where(F.char_length(key) >= self.min_chars).select(_digest(key).alias("key"), of, hash_, "at"), "line-keys")
+        drop = rows.join(staged(self.frequent(rows), "frequent-lines"), "key").where(~F.col(of).eqNullSafe(F.col("keeper")))
+        drop = drop.groupBy(of, hash_).agg(F.sort_array(F.collect_set("at")).alias(gone))
+        columns = [c for c in docs.columns if not counted or c.lower() not in ("n_lines", "n_dropped")]
+        both = docs.join(drop, docs["doc_id"].eqNullSafe(F.col(of)) & (F.xxhash64(docs["text"]) == F.col(hash_)), "left").withColumn(lines, _lines(F.col("text")))
+        last, at = F.size(gone), lambda k: F.element_at(gone, k)
+        begin = lambda k: F.when(k == 0, 1).otherwise(at(F.greatest(k, F.lit(1))) + 2)
+        stop = lambda k: F.when(k == last, F.size(lines)).otherwise(at(F.least(k + 1, last)))
+        left = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(lines, begin(k), stop(k) - begin(k) + 1)))
+        text = F.when(F.col(gone).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(left, "\n")).alias("text")
+        counts = [F.size(lines).cast("long").alias("n_lines"), F.when(F.col(gone).isNull(), 0).otherwise(last).cast("long").alias("n_dropped")] if counted else []
+        return both.select(*[text if c == "text" else F.col(f"`{c}`") for c in columns], *counts)
