@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 VERSION = 1
@@ -22,6 +22,18 @@ def build(lines: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("b_start", F.coalesce(F.sum(F.char_length("shown_key")).over(w), F.lit(0)).cast("long"))
 
 
+def save(index: DataFrame, path: str) -> None:
+    """Writes an index, a table of Parquet files, with the version of what it holds."""
+    index.withColumn("version", F.lit(VERSION)).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame | None:
+    """The index at path, or None if another version wrote it, so that it has to be built anew."""
+    rows = spark.read.parquet(path)
+    old = "version" not in rows.columns or not rows.where(F.col("version") != VERSION).isEmpty()
+    return None if old else rows.drop("version")
+
+
 def concatenated(index: DataFrame) -> DataFrame:
     """doc_id, b: the concatenation of all keys of a document."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct("word_no", "shown_key"))), lambda x: x["shown_key"])

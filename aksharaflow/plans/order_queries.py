@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import shared_dir
 from ..operators import docindex, intervals, layout
 from .registry import ORACLES, query, table
 
@@ -236,6 +239,14 @@ def doc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir)
 
 
+@query(ORACLES["doc_index"])
+def index_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index, saved and loaded again."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    docindex.save(index(spark, sf_dir), path)
+    return docindex.load(spark, path)
+
+
 @query(f"SELECT shown_key, count(DISTINCT fixed) AS n_readings FROM ({_INDEX}) GROUP BY shown_key HAVING count(DISTINCT fixed) > 1")
 def ambiguous_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docindex.ambiguous_keys(index(spark, sf_dir))

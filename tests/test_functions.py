@@ -44,6 +44,15 @@ def test_typed_pairs(spark):
     assert column(spark, [k for k, _ in HINDI_PAIRS], lambda c: deva.from_keys(c, "krutidev")) == [unicodedata.normalize("NFC", w) for _, w in HINDI_PAIRS]
 
 
+def test_extracted_pairs(spark):
+    from aksharaflow.operators.extracted import repair_extracted, repair_in
+    from aksharaflow.plans.planted_queries import EXTRACTED_PAIRS
+
+    fixed = column(spark, [a for a, _ in EXTRACTED_PAIRS], repair_extracted)
+    assert fixed == [unicodedata.normalize("NFC", b) for _, b in EXTRACTED_PAIRS] and column(spark, fixed, repair_extracted) == fixed
+    assert column(spark, ["घरल]", "plain text", None], lambda c: repair_in(c, F.lit(False))) == ["घरल]", "plain text", None]
+
+
 def test_typed_repair_leaves_correct_words(spark):
     words = ["नेपाल", "विश्व", "पूर्व", "किताब", "संविधान", "क्षेत्र", "श्री", "दुःख"]
     assert column(spark, words, deva.repair_typed) == words

@@ -97,6 +97,15 @@ def test_index(spark):
     assert pairs(docindex.lookup(index, shown)) == [(1, 0, 3, "“def” ghi")]
 
 
+def test_index_is_built_anew_for_another_version(spark, monkeypatch):
+    path = f"{state.shared_dir(spark)}/index-version"
+    index = docindex.build(spark.createDataFrame([(1, "a b")], "doc_id long, text string"))
+    docindex.save(index, path)
+    assert pairs(docindex.load(spark, path)) == pairs(index)
+    monkeypatch.setattr(docindex, "VERSION", 2)
+    assert docindex.load(spark, path) is None
+
+
 def test_learning(spark):
     lex = spark.createDataFrame([(w,) for w in ("that", "this", "then", "thin", "with", "both", "cat")], "word string")
     words = spark.createDataFrame([(w,) for w in ("qat", "qis", "qen", "qin", "wiq", "boq", "cat")], "word string")
