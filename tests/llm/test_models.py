@@ -1,6 +1,10 @@
+import math
 import random
+import re
+import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from aksharaflow.llm import quality, toxicity
@@ -95,3 +99,114 @@ def test_quality_reads_whole_words(spark, monkeypatch):
     cache = {}
     ids, share = quality.bag(" ".join(found[:3]), len(table), cache)
     assert np.allclose(np.bincount(each, minlength=len(table))[ids] / len(each), share) and set(cache) == {"x", quality.AGAIN}
+
+
+def brute_buckets(text, buckets):
+    """Every feature bucket of a text, one by one: words, their n-grams of bytes, and a mark for a repeated word."""
+    found, out = text.split(), []
+    for i, w in enumerate(found):
+        full = b"<" + w.encode() + b">"
+        for x in [full] + [full[k : k + n] for n in (3, 4) for k in range(len(full) - n + 1)]:
+            out.append(1 + zlib.crc32(x) % (buckets - 1))
+        if i and found[i - 1] == w:
+            out.append(0)
+    return out
+
+
+def brute_forward(text, vectors, weights, bias):
+    at = brute_buckets(text, len(vectors))
+    mean = [sum(vectors[b][d] for b in at) / max(1, len(at)) for d in range(len(weights))]
+    z = [sum(mean[d] * weights[d][c] for d in range(len(weights))) + bias[c] for c in (0, 1)]
+    top = max(z)
+    p = [math.exp(x - top) for x in z]
+    return at, mean, [x / sum(p) for x in p]
+
+
+def test_quality_fit_matches_plain_gradient_steps():
+    texts, labels = ["good words here here", "bad bad text", "", "more good words"], [1, 0, 0, 1]
+    s = quality.Settings(buckets=64, dims=3, epochs=2, step=0.5, seed=4)
+    got = quality.fit(texts, np.array(labels), s)
+    rng = np.random.default_rng(4)
+    vectors = [[float(x) for x in row] for row in ((rng.random((64, 3)) - 0.5) / 3).astype(np.float32)]
+    weights, bias, steps = [[0.0, 0.0] for _ in range(3)], [0.0, 0.0], 0
+    for _ in range(2):
+        for i in rng.permutation(4):
+            rate = 0.5 * (1 - steps / 8)
+            steps += 1
+            at, mean, p = brute_forward(texts[i], vectors, weights, bias)
+            error = [p[c] - (labels[i] == c) for c in (0, 1)]
+            back = [sum(weights[d][c] * error[c] for c in (0, 1)) for d in range(3)]
+            for d in range(3):
+                for c in (0, 1):
+                    weights[d][c] -= rate * mean[d] * error[c]
+            for c in (0, 1):
+                bias[c] -= rate * error[c]
+            for b in set(at):
+                for d in range(3):
+                    vectors[b][d] -= rate * len(set(at)) ** 0.5 * at.count(b) / len(at) * back[d]
+    assert np.allclose(got.vectors, vectors, atol=1e-5) and np.allclose(got.weights, weights, atol=1e-5) and np.allclose(got.bias, bias, atol=1e-5)
+
+
+def test_quality_scores_match_a_plain_forward_pass(spark):
+    data, labels = rows(120)
+    data += [(9000, None, ""), (9001, "again again again", ""), (5, "the id 5 once more", ""), (None, "é 字字", "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, score string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.train(docs, lab, F.col("doc_id") % 4 != 2, quality.Settings(buckets=256, dims=4))
+    want = sorted(brute_forward(t or "", model.vectors.tolist(), model.weights.tolist(), model.bias.tolist())[2][1] for _, t, _ in data)
+    assert np.allclose(sorted(r["score"] for r in quality.score_quality(docs, model).collect()), want, atol=1e-5)
+    again = quality.train(docs.repartition(7), lab, F.col("doc_id") % 4 != 2, quality.Settings(buckets=256, dims=4))
+    assert (again.vectors == model.vectors).all() and (again.weights == model.weights).all()
+
+
+@pytest.mark.parametrize("part", [1_000_000, 7])
+def test_toxicity_scores_match_plain_python(spark, part, monkeypatch):
+    monkeypatch.setattr(toxicity, "PART", part)
+    data, labels = rows(240)
+    data += [(9000, None, "x"), (9001, "vile " * 60 + "nastyan nastybe!", "x"), (5, "vile nastyco", "x"), (None, "İx vile\u00a0x", "x")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, told string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs, lab, F.col("doc_id") % 5 != 0)
+    kind = {i: t for i, _, t in labels if i % 5}
+    core = lambda w: re.sub(r"^\W+|\W+$", "", w)
+    marks = lambda w: [core(w) + "$", *[core(w)[:n] for n in (7, 6, 5, 4) if len(core(w)) >= n]] if core(w) else []
+    n = {}
+    for i, text, _ in data:
+        for w in set((text or "").lower().split()):
+            for f in marks(w):
+                each = n.setdefault(f, [0, 0, 0])
+                each[0] += 1
+                each[1] += kind.get(i) == 1
+                each[2] += kind.get(i) == 0
+    total = [sum(x[k] for x in n.values()) for k in range(3)]
+    prior, odds = min(total[1], total[2]), {}
+    for f, (d, t, c) in n.items():
+        a = d * prior / total[0]
+        o = math.log((t + a) / (total[1] + prior - t - a)) - math.log((c + a) / (total[2] + prior - c - a))
+        if t + c >= 3 and abs(o / math.sqrt(1 / (t + a) + 1 / (c + a))) >= 4:
+            odds[f] = o
+    assert (model.parts > 1) == (part == 7) and len(odds) > 7
+    assert {r["f"]: round(r["odds"], 9) for r in model.odds.collect()} == {f: round(o, 9) for f, o in odds.items()}
+
+    def evidence(text):
+        found, seen, scores = text.lower().split(), {}, []
+        for w in found:
+            s = max((odds[f] for f in marks(w) if f in odds), key=abs, default=0.0) + model.off
+            if s > 0:
+                seen[w] = seen.get(w, 0) + 1
+                s /= seen[w]
+            scores.append(s)
+
+        def best(lo, hi):
+            """Maximal segments: the best one, then those beside it."""
+            cuts = [(sum(scores[i:j]), i - j, i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)]
+            top = max(cuts, default=(0, 0, 0, 0))
+            return [top[0], *best(lo, top[2]), *best(top[3], hi)] if top[0] > 1e-12 else []
+
+        return sum(max(0.0, model.rate * s - max(0.0, math.log(model.scale * max(1, len(found))))) for s in best(0, len(scores)))
+
+    want = sorted(1 / (1 + math.exp(-(model.line[0] + model.line[1] * evidence(t or "")))) for _, t, _ in data)
+    got = toxicity.score_toxicity(docs, model).collect()
+    assert np.allclose(sorted(r["score"] for r in got), want, atol=1e-9)
+    clean = toxicity.drop_toxic(docs, model)
+    assert clean.columns == docs.columns and clean.count() == sum(p < 0.5 for p in want)
