@@ -103,6 +103,16 @@ def is_symbol_number(c: Column) -> Column:
     return (c == "?=") | (c.rlike(SYMBOL_NUMBER) & ~c.rlike(PLAIN_NUMBER) & typed & ~lettered & several & ~one)
 
 
+# Bullets and arrows that stand alone in text of any kind.
+BULLETS = "•●○■▪◦✓★→←–—…*+#~※♦►-"
+#: A token of signs alone that no layout draws letters with: bullets, arrows, symbols, pictures.
+BARE_SIGN = f"^[\u2190-\u2bff\ufe0f\U0001f300-\U0001faff{BULLETS}]+$"
+
+
+def is_bare_sign(c: Column) -> Column:
+    return c.rlike(BARE_SIGN)
+
+
 def signature_hits(c: Column) -> Column:
     return F.least(count_of(F.regexp_replace(c, PAIRED, " "), SIGNATURE), F.lit(3)).cast("long")
 

@@ -54,7 +54,8 @@ def decide_lines(tokens: DataFrame, scores: DataFrame, line: list[str]) -> DataF
 
     A line votes: with two legacy tokens and three times as many as English ones, or one strong and none English, all of it
     is legacy but for clearly English tokens; otherwise a token must be strong itself. White space isn't joined with the
-    scores; what is, is joined on distinct tokens. A line is one group, as it is in every text."""
+    scores; what is, is joined on distinct tokens. Where tokens have a column is_code, lines that it marks, and in any line
+    addresses, plain numbers and bare signs, are never legacy. A line is one group, as it is in every text."""
     found = tokens.where(~F.col("is_space")).join(scores.select(F.col("word").alias("token"), "score", "english"), "token", "left")
     spaces = tokens.where("is_space").withColumns({"score": F.lit(None).cast("long"), "english": F.lit(None).cast("boolean")})  # half of all rows, on few keys
     rows = found.unionByName(spaces).withColumns({"score": F.coalesce("score", F.lit(0)), "english": F.coalesce("english", F.lit(False))})
@@ -64,7 +65,22 @@ def decide_lines(tokens: DataFrame, scores: DataFrame, line: list[str]) -> DataF
     rows = rows.withColumns({"n_legacy": F.sum((F.col("score") >= LEGACY).cast("int")).over(w), "n_english": F.sum((F.col("score") <= ENGLISH).cast("int")).over(w), "n_strong": F.sum((F.col("score") >= STRONG).cast("int")).over(w)})
     vote = ((F.col("n_legacy") >= 2) & (F.col("n_legacy") >= 3 * F.col("n_english"))) | ((F.col("n_strong") >= 1) & (F.col("n_english") == 0))
     legacy = F.when(F.col("is_space") | ~F.col("token").rlike("[A-Za-z]"), F.lit(False)).when(vote, F.col("score") > -400).otherwise((F.col("score") >= STRONG) & (F.char_length("token") >= 4))
-    return rows.withColumn("is_legacy", legacy).drop("n_legacy", "n_english", "n_strong", "english")
+    never = F.col("token").rlike(tx.URLISH) | F.col("token").rlike(tx.PLAIN_NUMBER) | tx.is_bare_sign(F.col("token"))
+    never = never | F.coalesce("is_code", F.lit(False)) if "is_code" in tokens.columns else never
+    return rows.withColumn("is_legacy", legacy & ~never).drop("n_legacy", "n_english", "n_strong", "english")
+
+
+def force_tokens(tokens: DataFrame, english: DataFrame | None = None) -> DataFrame:
+    """tokens (token, is_space and others) with is_legacy for text that is known to be typed in a legacy layout: everything
+    but addresses, numbers in plain digits, bare signs and, if given, English words (word) of three letters or more."""
+    core = tx.core(F.col("token"))
+    keep = F.col("is_space") | F.col("token").rlike(tx.URLISH) | core.rlike(tx.PLAIN_NUMBER) & ~tx.is_symbol_number(F.col("token")) | tx.is_bare_sign(F.col("token"))
+    if english is None:
+        return tokens.withColumn("is_legacy", ~keep)
+    lex = english.select(F.lower("word").alias("_low"), F.lit(True).alias("_known")).distinct()
+    rows = tokens.where(~F.col("is_space")).withColumn("_low", F.lower(core)).join(lex, "_low", "left")
+    known = F.coalesce("_known", F.lit(False)) & (F.char_length("_low") >= 3)
+    return rows.withColumn("is_legacy", ~keep & ~known).drop("_low", "_known").unionByName(tokens.where("is_space").withColumn("is_legacy", F.lit(False)))
 
 
 def runs(rows: DataFrame, by: list[str], order: str, flag: str) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import devanagari as deva
 from ..functions import text as tx
+from ..functions.keymaps import key_table
 from ..functions.staging import staged
 from ..operators import detector, learning, lexicon
-from .registry import query, quoted, sql_rules, table
+from .registry import query, quoted, sql_keys, sql_rules, table
 from .text_queries import _BROKEN_SQL, broken_words
 
 _WORDS = "SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents"
@@ -151,20 +152,22 @@ def word_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(spark, sf_dir)
 
 
-_LINES = "SELECT conv_id, turn, unnest(regexp_extract_all(text, '\\s+|\\S+')) AS token, generate_subscripts(regexp_extract_all(text, '\\s+|\\S+'), 1) - 1 AS pos FROM conversations"
+_CODE = " + ".join(f"CAST(coalesce(regexp_matches(text, {quoted(p)}), false) AS BIGINT)" for p in tx.CODE_KINDS.values())
+_LINES = f"SELECT conv_id, turn, {_CODE} >= 2 AS is_code, unnest(regexp_extract_all(text, '\\s+|\\S+')) AS token, generate_subscripts(regexp_extract_all(text, '\\s+|\\S+'), 1) - 1 AS pos FROM conversations"
+_NEVER = f"is_code OR regexp_matches(token, {quoted(tx.URLISH)}) OR regexp_matches(token, {quoted(tx.PLAIN_NUMBER)}) OR regexp_matches(token, {quoted(tx.BARE_SIGN)})"
 _SIG = f"len(regexp_extract_all(regexp_replace(token, {quoted(tx.PAIRED)}, ' ', 'g'), {quoted(tx.SIGNATURE)}))"
 _DECIDE = f"""WITH sc AS ({_SCORE.replace('FROM documents', 'FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)', 99).replace("unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)", "unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents")}),
 l AS ({_LINES}), j AS (SELECT l.*, regexp_matches(token, '^\\s') AS is_space, coalesce(sc.score, 0) AS raw, coalesce(sc.english, false) AS english FROM l LEFT JOIN sc ON sc.word = l.token),
 k AS (SELECT *, CASE WHEN raw >= 300 AND english AND {_SIG} = 0 THEN -100 ELSE raw END AS score FROM j),
 v AS (SELECT *, count(*) FILTER (score >= 300) OVER w AS nl, count(*) FILTER (score <= -100) OVER w AS ne, count(*) FILTER (score >= 600) OVER w AS ns FROM k WINDOW w AS (PARTITION BY conv_id, turn)),
-d AS (SELECT conv_id, turn, pos, token, is_space, score, CASE WHEN is_space OR NOT regexp_matches(token, '[A-Za-z]') THEN false WHEN nl >= 2 AND nl >= 3 * ne OR ns >= 1 AND ne = 0 THEN score > -400 ELSE score >= 600 AND length(token) >= 4 END AS is_legacy FROM v)
+d AS (SELECT conv_id, turn, pos, token, is_space, score, CASE WHEN {_NEVER} THEN false WHEN is_space OR NOT regexp_matches(token, '[A-Za-z]') THEN false WHEN nl >= 2 AND nl >= 3 * ne OR ns >= 1 AND ne = 0 THEN score > -400 ELSE score >= 600 AND length(token) >= 4 END AS is_legacy FROM v)
 """
 
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of conversations as lines, token by token, with score and verdict."""
     lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    tokens = tx.token_table(lines)
+    tokens = tx.token_table(lines.withColumn("is_code", tx.code_signals(F.col("text")) >= 2))
     both = table(spark, sf_dir, "documents").select("text").unionByName(lines.select("text"))
     words = both.select(F.explode(tx.words(F.col("text"))).alias("word")).distinct()
     scored = staged(detector.score_words(words, model(spark, sf_dir), vocabulary(spark, sf_dir).withColumn("common", F.char_length("word") <= 3)), "word-scores")
@@ -178,17 +181,30 @@ def line_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("conv_id", "turn").agg(F.sum((~F.col("is_space")).cast("long")).alias("n_tokens"), F.sum(F.col("is_legacy").cast("long")).alias("n_legacy"), F.sum("score").alias("score"))
 
 
-_ABC = "'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+_CONVERTED = f"nfc_normalize({sql_rules(sql_keys('t', key_table()), deva.WORD_RULES)})"
 
 
 @query(_DECIDE + f""", b AS (SELECT conv_id, turn, pos, token, is_legacy OR is_space AND coalesce(lag(is_legacy) OVER w AND lead(is_legacy) OVER w, false) AS leg FROM d WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos)),
 c AS (SELECT *, leg IS DISTINCT FROM lag(leg) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS ch FROM b),
 r AS (SELECT *, sum(CAST(ch AS INT)) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS run FROM c),
 g AS (SELECT conv_id, turn, run, leg, string_agg(token, '' ORDER BY pos) AS t FROM r GROUP BY conv_id, turn, run, leg)
-SELECT conv_id, turn, string_agg(CASE WHEN leg THEN translate(t, {_ABC}) ELSE t END, '' ORDER BY run) AS text, count(*) FILTER (leg) AS n_legacy_runs FROM g GROUP BY conv_id, turn""")
+SELECT conv_id, turn, string_agg(CASE WHEN leg THEN {_CONVERTED} ELSE t END, '' ORDER BY run) AS text, count(*) FILTER (leg) AS n_legacy_runs FROM g GROUP BY conv_id, turn""")
 def convert_mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with each maximal legacy run converted; capitals stand for the conversion here, as both engines have them."""
-    return detector.convert_mixed(decided(spark, sf_dir), ["conv_id", "turn"], lambda t: F.expr(f"translate({{}}, {_ABC})".format("t")))
+    """Lines with each maximal legacy run read as key text."""
+    return detector.convert_mixed(decided(spark, sf_dir), ["conv_id", "turn"], deva.from_keys)
+
+
+_FORCED = f"""SELECT conv_id, turn, CAST(count(*) FILTER (NOT is_space) AS BIGINT) AS n_tokens, CAST(count(*) FILTER (NOT is_space AND NOT regexp_matches(token, {quoted(tx.URLISH)}) AND NOT regexp_matches(token, {quoted(tx.BARE_SIGN)})
+  AND NOT regexp_matches(trim(token, {_EDGE}), {quoted(tx.PLAIN_NUMBER)}) AND NOT (length(trim(token, {_EDGE})) >= 3 AND lower(trim(token, {_EDGE})) IN ({_VOCAB}))) AS BIGINT) AS n_legacy
+FROM (SELECT *, regexp_matches(token, '^\\s') AS is_space FROM ({_LINES})) GROUP BY conv_id, turn"""
+
+
+@query(_FORCED)
+def force_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns taken as key text as a whole: how many of their tokens are legacy all the same."""
+    tokens = tx.token_table(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    rows = detector.force_tokens(tokens, vocabulary(spark, sf_dir))
+    return rows.groupBy("conv_id", "turn").agg(F.sum((~F.col("is_space")).cast("long")).alias("n_tokens"), F.sum(F.col("is_legacy").cast("long")).alias("n_legacy"))
 
 
 @query(f"""WITH a AS ({_model_sql('de', 'en')}), f AS ({_model_sql('fr', 'en')}), w AS ({_DISTINCT}), b AS (SELECT word, {_BG} AS bg FROM w),
