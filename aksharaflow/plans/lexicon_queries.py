@@ -260,7 +260,9 @@ def fault_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT substr(before, 1, 2) AS before2, substr(after, 1, 2) AS after2, count(*) AS n, min(before) AS example FROM r WHERE before <> after GROUP BY 1, 2""")
 def change_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the typed repair changes, counted by the first two characters before and after."""
-    rows = broken_words(spark, sf_dir).select(deva.nfc(F.col("b")).alias("before"), deva.repair_typed(F.col("b")).alias("after")).where("before <> after")
+    rows = broken_words(spark, sf_dir).select(deva.nfc(F.col("b")).alias("before"))
+    rows = staged(rows, "typed-words")  # filters would take the rules that make a column into every use of it
+    rows = staged(rows.where(deva.has_typed_fault(F.col("before"))).select("before", deva.nfc(deva.rewrite(F.col("before"), deva.TYPED)).alias("after")), "typed-repairs").where("before <> after")
     return rows.groupBy(F.substring("before", 1, 2).alias("before2"), F.substring("after", 1, 2).alias("after2")).agg(F.count("*").alias("n"), F.min("before").alias("example"))
 
 
