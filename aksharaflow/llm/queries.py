@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, line_dedup, mixing, neardup, packing, quality, topk, toxicity, warc
+from . import chat, exact_dedup, line_dedup, mixing, neardup, packing, quality, topk, toxicity, turn_repair, vector_codes, warc
 from .common import shared_dir, staged
 
 
@@ -72,8 +73,22 @@ def op10_norm_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_turn_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    found = turn_repair.audit_conversations(turn_repair.damage(turns)).withColumnRenamed("conv_id", "audited")
+    every = turns.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, every["conv_id"].eqNullSafe(found["audited"]), "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op13_resident_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"), extra=("label",))
+    digest = hashlib.sha256(",".join(str(x) for book in books for entry in book.tolist() for x in entry).encode()).hexdigest()
+    return vector_codes.with_group_sum(codes, "label", "error", "label_error").drop("label").withColumn("codebooks_sha256", F.lit(digest))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_shortest_pack_first, op2_subword_embeddings, op3_segment_search, op4_chosen_path, op5_reply_trees, op6_subset_sum, op7_content_sort, op8_cuckoo_lines, op9_transaction_assembly, op10_norm_sorted)
+    named = (op1_shortest_pack_first, op2_subword_embeddings, op3_segment_search, op4_chosen_path, op5_reply_trees, op6_subset_sum, op7_content_sort, op8_cuckoo_lines, op9_transaction_assembly, op10_norm_sorted, op11_turn_stream, op13_resident_lloyd)
     return {f.__name__: f for f in named}
 
 
