@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, line_dedup, mixing, neardup, packing, quality, topk, toxicity, turn_repair, vector_codes, warc
+from . import chat, exact_dedup, line_dedup, mixing, neardup, packing, quality, substring_dedup, topk, toxicity, turn_repair, vector_codes, warc
 from .common import shared_dir, staged
 
 
@@ -81,6 +81,10 @@ def op11_turn_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(found, every["conv_id"].eqNullSafe(found["audited"]), "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op12_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.drop_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13_resident_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"), extra=("label",))
     digest = hashlib.sha256(",".join(str(x) for book in books for entry in book.tolist() for x in entry).encode()).hexdigest()
@@ -88,7 +92,7 @@ def op13_resident_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_shortest_pack_first, op2_subword_embeddings, op3_segment_search, op4_chosen_path, op5_reply_trees, op6_subset_sum, op7_content_sort, op8_cuckoo_lines, op9_transaction_assembly, op10_norm_sorted, op11_turn_stream, op13_resident_lloyd)
+    named = (op1_shortest_pack_first, op2_subword_embeddings, op3_segment_search, op4_chosen_path, op5_reply_trees, op6_subset_sum, op7_content_sort, op8_cuckoo_lines, op9_transaction_assembly, op10_norm_sorted, op11_turn_stream, op12_block_anchors, op13_resident_lloyd)
     return {f.__name__: f for f in named}
 
 
