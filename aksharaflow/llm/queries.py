@@ -97,7 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_reply_trees": OP5, "op7_content_sort": OP7, "op8_cuckoo_lines": OP8, "op9_transaction_assembly": OP9, "op10_norm_sorted": OP10}
+    return {"op5_reply_trees": OP5, "op7_content_sort": OP7, "op8_cuckoo_lines": OP8, "op9_transaction_assembly": OP9, "op10_norm_sorted": OP10, "op11_turn_stream": OP11, "op12_block_anchors": OP12, "op13_resident_lloyd": _lloyd_sql()}
 
 
 OP7 = r"""
@@ -144,10 +144,93 @@ FROM j GROUP BY r, doc_id
 
 OP10 = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT q.r AS query, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+OP11 = r"""
+WITH RECURSIVE n AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), h AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(key) + 1), lambda i: CAST(ord(substr(key, i, 1)) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS h FROM n
+), d AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) FROM h WHERE h <> 0)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut
+  FROM (SELECT *, dense_rank() OVER (ORDER BY conv_id) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d)
+), t AS (
+  SELECT c, i, conv_id, turn, role, text, role[1:1] AS ini, lag(role[1:1]) OVER (PARTITION BY c ORDER BY i) AS prev,
+    CASE WHEN cut = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(cut, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o
+), p AS (
+  SELECT c, CAST(0 AS BIGINT) AS i, {'c': 0, 'a': ''} AS e, {'c': 1000000000, 'a': ''} AS s, {'c': 5, 'a': 'I'} AS u, {'c': 10, 'a': 'II'} AS a FROM (SELECT DISTINCT c FROM t)
+  UNION ALL
+  SELECT c, i, e, s, u, least(a, {'c': u.c + 5, 'a': u.a || 'I'}) AS a FROM (
+    SELECT c, i, e, s, least(u, {'c': e.c + 5, 'a': e.a || 'I'}, {'c': s.c + 5, 'a': s.a || 'I'}, {'c': a.c + 5, 'a': a.a || 'I'}) AS u, a FROM (
+    SELECT t.c, t.i, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 WHEN fault = 'truncated' THEN 5 ELSE 0 END AS stay,
+      {'c': e.c + 2, 'a': e.a || 'D'} AS e,
+      least({'c': s.c + 2, 'a': s.a || 'D'}, {'c': e0.c + stay + CASE WHEN ini = 's' THEN 0 ELSE 1000000000 END, 'a': e0.a || 'K'}) AS s,
+      least({'c': u0.c + 2, 'a': u0.a || 'D'}, {'c': b.c + stay + CASE WHEN ini = 'u' THEN 0 ELSE 1 END, 'a': b.a || CASE WHEN ini = 'u' THEN 'K' ELSE 'R' END}) AS u,
+      least({'c': a0.c + 2, 'a': a0.a || 'D'}, {'c': u0.c + stay + CASE WHEN ini = 'a' THEN 0 ELSE 1 END, 'a': u0.a || CASE WHEN ini = 'a' THEN 'K' ELSE 'R' END}) AS a
+    FROM (SELECT c, i, e, s, u AS u0, a AS a0, e AS e0, least(e, s, a) AS b FROM p) q JOIN t ON t.c = q.c AND t.i = q.i + 1
+  ))
+), best AS (
+  SELECT c, least(e, a).c AS cost, least(e, a).a AS audit FROM p JOIN (SELECT c, max(i) AS i FROM t GROUP BY c) USING (c, i)
+), letters AS (
+  SELECT c, k, audit[k:k] AS edit, length(replace(audit, 'D', '')) AS n, length(replace(audit[1:k], 'I', '')) AS i, length(replace(audit[1:k], 'D', '')) AS pos
+  FROM (SELECT *, unnest(range(1, length(audit) + 1)) AS k FROM best)
+), repaired AS (
+  SELECT l.c, sha256(coalesce(string_agg(CASE WHEN edit = 'K' THEN role WHEN (pos + n) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) FILTER (edit <> 'D'), '')) AS sha
+  FROM letters l LEFT JOIN t ON t.c = l.c AND t.i = l.i GROUP BY l.c
+), counted AS (
+  SELECT conv_id, c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY conv_id, c
+)
+SELECT k.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN counted x ON x.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN best USING (c) LEFT JOIN repaired USING (c)
+"""
+
+OP12 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT r, id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+g AS (SELECT r, i FROM (SELECT r, i, id, min(id) OVER (PARTITION BY k) AS least FROM x) WHERE least < id),
+j AS (SELECT r, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM d),
+c AS (SELECT j.r, j.j, word, max(g.i) OVER (PARTITION BY j.r ORDER BY j.j ROWS 49 PRECEDING) IS NOT NULL AS gone FROM j LEFT JOIN g ON g.r = j.r AND g.i = j.j)
+SELECT any_value(doc_id) AS doc_id, count(c.j) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY j) FILTER (NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN c USING (r) GROUP BY r
+"""
+
+
+def _lloyd_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Each round is a table of assignments and a table of entries."""
+    steps = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS r, * FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+), p AS MATERIALIZED (SELECT r, pos, x[pos * w + 1 : (pos + 1) * w] AS x FROM (SELECT r, x, len(x) // {parts} AS w, unnest(range({parts})) AS pos FROM v)),
+b0 AS MATERIALIZED (SELECT pos, r - 1 AS entry, x FROM p WHERE r <= {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT r, pos, arg_min(entry, {{'d': d, 'e': entry}}) AS entry, min(d) AS d
+  FROM (SELECT p.r, p.pos, b.entry, CAST(list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.x) + list_inner_product(b.x, b.x) AS BIGINT) AS d FROM p JOIN b{k} b USING (pos)) GROUP BY r, pos
+)""")
+        if k < rounds:
+            steps.append(f"""
+m{k} AS (
+  SELECT pos, entry, list(mean ORDER BY i) AS x FROM (
+    SELECT pos, entry, i, CAST(floor(sum(c) / count(*)) AS BIGINT) AS mean FROM (SELECT pos, a.entry, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM p JOIN a{k} a USING (r, pos)) GROUP BY ALL
+  ) GROUP BY ALL
+), b{k + 1} AS MATERIALIZED (SELECT b.pos, b.entry, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k} m USING (pos, entry))""")
+    return ",".join(steps) + f""",
+s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY pos, entry)) AS codebooks_sha256 FROM b{rounds}),
+e AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY pos) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN e USING (r) CROSS JOIN s
+"""

@@ -20,6 +20,8 @@ SLOT = 16
 STEPS = 64
 #: Blocks with the longest vectors that every query sees before any block is pruned.
 SEEDS = 2
+#: Leading components that are rotated; longer vectors keep the rest as it is, and bounds stay exact.
+ROTATED = 1024
 LONG = 2**63 - 1
 
 
@@ -33,14 +35,14 @@ def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(a.astype(object) @ b.astype(object).T, -LONG, LONG).astype(np.int64)
 
 
-def _best(query: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of each query, ties to the smaller id."""
-    order = np.lexsort((other, -score, query))
-    query, other, score = query[order], other[order], score[order]
+def _best(query: np.ndarray, row: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of each query, ties to the smaller id, then to the smaller row."""
+    order = np.lexsort((row, other, -score, query))
+    query, row, other, score = query[order], row[order], other[order], score[order]
     start = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, np.int64)
     rank = np.arange(len(query)) - np.repeat(start, np.diff(np.r_[start, len(query)]))
     keep = rank < k
-    return pd.DataFrame({"query_id": query[keep], "vec_id": other[keep], "score": score[keep], "rank": (rank[keep] + 1).astype(np.int32)})
+    return pd.DataFrame({"query": query[keep], "row": row[keep], "vec_id": other[keep], "score": score[keep], "rank": (rank[keep] + 1).astype(np.int32)})
 
 
 def _usable(vec: Column) -> Column:
@@ -51,17 +53,22 @@ def _integers(scale: float) -> Column:
     return F.transform("embedding", lambda c: F.floor(c.cast("double") * scale))
 
 
-BLOCK = "block long, top double, ids binary, short boolean, ints binary"
+BLOCK = "block long, top double, rows binary, ids binary, short boolean, ints binary"
 
 
-def blocks(vectors: DataFrame, scale: float = 1024.0, dims: int = 0) -> DataFrame:
-    """Packs vectors (vec_id, embedding) by descending length: rows of at most ROWS vectors as integers.
+def numbered(vectors: DataFrame, queries: Column, scale: float = 1024.0) -> DataFrame:
+    """Usable rows of vectors (vec_id, embedding) with a number of their own: row, vec_id, x (integers), asks."""
+    rows = vectors.where(_usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    return rows.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), _integers(scale).alias("x"), F.coalesce(queries, F.lit(False)).alias("asks"))
+
+
+def blocks(rows: DataFrame, dims: int) -> DataFrame:
+    """Packs numbered rows by descending length: blocks of at most ROWS vectors as integers.
 
     Ranges of (length, id) are dealt to tasks, so that equal vectors, however many, are split as well. A block's number is
     its own, made of the task and a count: its ids may begin other blocks too."""
-    rows = vectors.where(_usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", _integers(scale).alias("x"))
     norm = F.aggregate("x", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
-    rows = rows.withColumn("norm", norm).repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
+    rows = rows.select("row", "vec_id", "x", norm.alias("norm")).repartitionByRange(F.desc("norm"), "vec_id", "row").sortWithinPartitions(F.desc("norm"), "vec_id", "row")
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = TaskContext.get().partitionId() << 32
@@ -71,9 +78,9 @@ def blocks(vectors: DataFrame, scale: float = 1024.0, dims: int = 0) -> DataFram
                 ints = np.zeros((len(part), dims), np.int64)
                 for i, v in enumerate(part["x"]):
                     ints[i, : len(v)] = v
-                ids = part["vec_id"].to_numpy(np.int64)
+                ids, at_rows = part["vec_id"].to_numpy(np.int64), part["row"].to_numpy(np.int64)
                 ints = ints if np.abs(ints).max(initial=0) >= 2**31 else ints.astype(np.int32)
-                yield pd.DataFrame({"block": [block], "top": [float(np.sqrt(part["norm"].max()))], "ids": [ids.tobytes()], "short": [ints.dtype == np.int32], "ints": [ints.tobytes()]})
+                yield pd.DataFrame({"block": [block], "top": [float(np.sqrt(part["norm"].max()))], "rows": [at_rows.tobytes()], "ids": [ids.tobytes()], "short": [ints.dtype == np.int32], "ints": [ints.tobytes()]})
                 block += 1
 
     return rows.mapInPandas(gather, BLOCK)
@@ -85,13 +92,15 @@ def _ints(ids: bytes, short: bool, data: bytes) -> tuple[np.ndarray, np.ndarray]
 
 
 def rotation(packed: DataFrame, dims: int) -> np.ndarray:
-    """Right singular vectors of all vectors, strongest first, from the sum of the blocks' Gram matrices (dims x dims)."""
+    """Right singular vectors of the leading components of all vectors, strongest first, from the sum of the blocks' Gram
+    matrices: at most ROTATED x ROTATED numbers come to the driver."""
+    dims = min(dims, ROTATED)
 
     def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((dims, dims))
         for batch in batches:
             for row in zip(batch["ids"], batch["short"], batch["ints"], strict=True):
-                x = _ints(*row)[1].astype(np.float64)
+                x = _ints(*row)[1][:, :dims].astype(np.float64)
                 total += x.T @ x
         yield pd.DataFrame({"i": np.arange(dims), "row": list(total)})
 
@@ -102,7 +111,30 @@ def rotation(packed: DataFrame, dims: int) -> np.ndarray:
     return np.linalg.eigh(total)[1][:, ::-1].copy()
 
 
-HITS = "query_id long, vec_id long, score long, rank int"
+def _turned(x: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    out = x.astype(np.float64)
+    out[:, : len(turn)] = out[:, : len(turn)] @ turn
+    return out
+
+
+def _groups(needs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(step, first group, groups) of (step of need, queries): groups of about QUERIES, of like needs."""
+    out, group, room = [], 0, QUERIES
+    for step, n in sorted(needs):
+        if n >= QUERIES:
+            group += room < QUERIES
+            several = -(-n // QUERIES)
+            out.append((step, group, several))
+            group, room = group + several, QUERIES
+            continue
+        if n > room:
+            group, room = group + 1, QUERIES
+        out.append((step, group, 1))
+        room -= n
+    return out
+
+
+HITS = "query long, row long, vec_id long, score long, rank int"
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.0) -> DataFrame:
@@ -110,34 +142,36 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.
 
     Components become floor(scale * x). Vectors that are null, or hold null or non-finite components, take no part, nor
     do rows without an id; shorter vectors are padded with zeros, and vectors may be of any length. Rows that repeat an
-    id are one query, but each is a vector to be found, though never by a query with its id. Ties go to the smaller id.
-    Scores beyond 63 bits stop at the ends of that range. Other columns are ignored. An empty table gives no rows.
+    id are queries of their own, each with its ranks, and find each other: only a query's own row is left out. Ties go to the
+    smaller id. Scores beyond 63 bits stop at the ends of that range. Other columns are ignored. An empty table gives no rows.
 
-    Every query first sees the SEEDS blocks with the longest vectors, which gives it a bound to beat. Then each group of
-    about QUERIES queries meets the blocks whose longest vector may reach the bound of one of them, and only those are
-    shuffled to it, in slots of about SLOT blocks. In a task blocks come by descending length, a block is left out if its
+    Every query first sees the SEEDS blocks with the longest vectors, which gives it a bound to beat: the length a vector
+    needs at least is that bound over the query's own length. Queries are then grouped by what they need, about QUERIES in a
+    group, and a group meets the blocks whose longest vector reaches the least need in it; only those are shuffled to it,
+    in slots of about SLOT blocks. In a task blocks come by descending length, a block is left out if its
     longest vector can't reach a query's bound, and within it partial sums over the leading singular directions plus the
     Cauchy-Schwarz bound of the rest leave few vectors to be multiplied exactly. A bound must be missed by more than
     rounding can explain. The bound of a query rises as its task finds better vectors."""
     spark = vectors.sparkSession
-    dims = vectors.where(_usable(F.col("embedding"))).agg(F.max(F.size("embedding"))).head()[0] or 0
-    packed = staged(blocks(vectors, scale, dims), "blocks")
-    n_blocks, n_queries = packed.count(), vectors.where(queries).count()
-    if not dims or not n_blocks or not n_queries:
+    rows = staged(numbered(vectors, queries, scale), "vectors")
+    dims, n_queries = rows.agg(F.max(F.size("x")), F.count_if("asks")).head()
+    packed = staged(blocks(rows, dims or 0), "blocks")
+    n_blocks = packed.count()
+    if not dims or not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    turn, lead = rotation(packed, dims), max(1, dims // 4)
+    turn, lead = rotation(packed, dims), max(1, min(dims, ROTATED) // 4)
     n_groups = -(-n_queries // QUERIES)
     n_slots = max(-(-n_blocks // SLOT), min(n_blocks, -(-partitions(spark) // n_groups)))
 
     def search(key: tuple, asked: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
-        none = _best(*np.zeros((3, 0), np.int64), k)
+        none = _best(*np.zeros((4, 0), np.int64), k)
         if not len(asked) or not len(met):
             return none
-        q_ids, q = asked["vec_id"].to_numpy(np.int64), np.zeros((len(asked), dims), np.int64)
+        q_rows, q = asked["row"].to_numpy(np.int64), np.zeros((len(asked), dims), np.int64)
         for i, v in enumerate(asked["x"]):
             q[i, : len(v)] = v
         floor = asked["kth"].fillna(-np.inf).to_numpy(np.float64).copy()
-        qf = q.astype(np.float64) @ turn
+        qf = _turned(q, turn)
         q_norm, q_rest = np.sqrt((qf**2).sum(1)), np.sqrt((qf[:, lead:] ** 2).sum(1))
         found = none
         for r in met.sort_values("top", ascending=False).itertuples():
@@ -145,44 +179,47 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.
             alive = np.flatnonzero(q_norm * r.top + slack >= floor)
             if not len(alive):
                 continue
-            ids, x = _ints(r.ids, r.short, r.ints)
-            xf = x.astype(np.float64) @ turn
+            (ids, x), x_rows = _ints(r.ids, r.short, r.ints), np.frombuffer(r.rows, np.int64)
+            xf = _turned(x, turn)
             rest = np.sqrt((xf[:, lead:] ** 2).sum(1))
             bound = qf[alive, :lead] @ xf[:, :lead].T + q_rest[alive, None] * rest[None, :] + slack[alive, None]
-            maybe = (bound >= floor[alive, None]) & (q_ids[alive, None] != ids[None, :])
+            maybe = (bound >= floor[alive, None]) & (q_rows[alive, None] != x_rows[None, :])
             some = np.flatnonzero(maybe.any(0))
             i, j = np.nonzero(maybe[:, some])
             score = _dot(q[alive], x[some])
-            new = pd.DataFrame({"query_id": q_ids[alive][i], "vec_id": ids[some][j], "score": score[i, j]})
-            both = pd.concat([found[["query_id", "vec_id", "score"]], new])
-            found = _best(both["query_id"].to_numpy(np.int64), both["vec_id"].to_numpy(np.int64), both["score"].to_numpy(np.int64), k)
-            full = found[found["rank"] == k].set_index("query_id")["score"]
-            floor = np.maximum(floor, full.reindex(q_ids).fillna(-np.inf).to_numpy(np.float64))
+            new = pd.DataFrame({"query": q_rows[alive][i], "row": x_rows[some][j], "vec_id": ids[some][j], "score": score[i, j]})
+            both = pd.concat([found[["query", "row", "vec_id", "score"]], new])
+            found = _best(*(both[c].to_numpy(np.int64) for c in ("query", "row", "vec_id", "score")), k)
+            full = found[found["rank"] == k].set_index("query")["score"]
+            floor = np.maximum(floor, full.reindex(q_rows).fillna(-np.inf).to_numpy(np.float64))
         return found
 
-    each = F.pmod(F.xxhash64("vec_id"), F.lit(n_groups)).cast("int")
-    asked = vectors.where(queries & _usable(F.col("embedding")) & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asked = asked.select(each.alias("group"), "vec_id", _integers(scale).alias("x"))
+    each = F.pmod(F.xxhash64("row"), F.lit(n_groups)).cast("int")
+    asked = rows.where("asks").select(each.alias("group"), "row", "vec_id", "x")
     every = F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group")
     seeds = staged(packed.orderBy(F.desc("top"), "block").limit(SEEDS), "seeds")
     first = asked.withColumn("kth", F.lit(None).cast("double")).groupBy("group").cogroup(seeds.select("*", every).groupBy("group")).applyInPandas(search, HITS)
     first = staged(first, "seed-hits")
 
-    kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("kth"))
-    asked = staged(asked.join(kth, "vec_id", "left"), "queries")
+    kth = first.where(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").cast("double").alias("kth"))
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda acc, c: acc + c.cast("double") * c.cast("double")))
-    # What a group needs of a block's longest vector: 0 if one of its queries has no bound yet.
-    need = asked.groupBy("group").agg(F.max(norm).alias("norm"), F.min(F.coalesce("kth", F.lit(float("-inf")))).alias("least"))
-    need = need.select("group", F.when((F.col("least") <= 0) | (F.col("norm") == 0), 0.0).otherwise((F.col("least") - 1e-6) / F.col("norm") * (1 - 1e-8)).alias("need"))
+    # The least length of a vector that can reach a query's bound; 0 if it has no bound yet.
+    need = F.when((F.coalesce("kth", F.lit(0.0)) <= 0) | (norm == 0), 0.0).otherwise(F.greatest(F.lit(0.0), (F.col("kth") - 1e-6) / norm * (1 - 1e-8)))
     step = lambda c: F.floor(STEPS * F.log2(1 + c)).cast("int")
+    asked = staged(asked.join(kth, "row", "left").withColumn("need", need).withColumn("at", step(F.col("need"))).drop("group"), "queries")
+    plan = spark.createDataFrame(_groups([(r["at"], r["n"]) for r in asked.groupBy("at").agg(F.count("*").alias("n")).collect()]), "at int, first int, groups int")
+    asked = asked.join(F.broadcast(plan), "at").withColumn("group", (F.col("first") + F.pmod(F.xxhash64("row"), F.col("groups"))).cast("int"))  # a row per step
+    need = asked.groupBy("group").agg(F.min("need").alias("need"))
     slot = F.pmod(F.xxhash64("block"), F.lit(n_slots)).cast("int").alias("slot")
     others = packed.join(seeds.select("block"), "block", "left_anti")
     slim = staged(others.select("block", "top", step(F.col("top")).alias("step"), slot), "block-tops")
     most = slim.agg(F.max("step")).head()[0]
-    if most is None:
-        return first.select("query_id", "rank", "vec_id", "score")
-    tops = need.where(step(F.col("need")) <= most).select("group", "need", F.explode(F.sequence(step(F.col("need")), F.lit(most))).alias("step"))
-    met = staged(tops.join(slim, "step").where(F.col("top") >= F.col("need")).select("group", "slot", "block"), "blocks-met")
-    second = asked.join(met.select("group", "slot").distinct().toDF("group", "slot"), "group").groupBy("group", "slot").cogroup(met.join(packed, "block").groupBy("group", "slot")).applyInPandas(search, HITS)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return first.unionByName(second).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    hits = first
+    if most is not None:
+        tops = need.where(step(F.col("need")) <= most).select("group", "need", F.explode(F.sequence(step(F.col("need")), F.lit(most))).alias("step"))
+        met = staged(tops.join(slim, "step").where(F.col("top") >= F.col("need")).select("group", "slot", "block"), "blocks-met")
+        asked = asked.select("group", "row", "x", "kth").join(met.select("group", "slot").distinct().toDF("group", "slot"), "group")
+        hits = hits.unionByName(asked.groupBy("group", "slot").cogroup(met.join(packed, "block").groupBy("group", "slot")).applyInPandas(search, HITS))
+    best = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))).where(F.col("rank") <= k)
+    ids = rows.where("asks").select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
+    return best.join(ids, "query").select("query_id", "rank", "vec_id", "score")

@@ -92,9 +92,10 @@ def brute_topk(rows, k):
         if v is not None and e is not None and all(x is not None and np.isfinite(x) for x in e):
             ints[i] = (v, [int(np.floor(1024 * float(np.float32(x)))) for x in e])
     out = []
-    for q in {v for v, _ in ints.values() if v % 100 == 0}:
-        mine = min(e for v, e in ints.values() if v == q)
-        scored = sorted((-sum(a * b for a, b in zip(mine, e)), v) for v, e in ints.values() if v != q)[:k]
+    for i, (q, mine) in ints.items():
+        if q % 100:
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(mine, e)), v) for j, (v, e) in ints.items() if j != i)[:k]
         out += [(q, n, v, -s) for n, (s, v) in enumerate(scored, 1)]
     return sorted(out)
 
@@ -105,7 +106,7 @@ def test_topk_matches_brute_force(spark, scale, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.normal(size=6) * scale * (1 + i % 5)]) for i in range(0, 400, 2)]
     rows += [(i, rows[3][1]) for i in range(1001, 1020)] + [(2000, None), (2100, [1.0, None, 1.0]), (2200, [float("nan")] * 6), (2300, [float("inf")] * 6), (2400, []), (2500, [1.0]), (None, [1.0] * 6)]
-    clash = {c: F.lit(7) for c in ("x", "norm", "group", "slot", "block", "top", "kth", "ids", "ints", "rank", "score", "step", "need")}
+    clash = {c: F.lit(7) for c in ("x", "row", "query", "asks", "norm", "group", "slot", "block", "top", "kth", "ids", "ints", "rank", "score", "step", "need")}
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns(clash)
     got = sorted(tuple(r) for r in topk.top_k(vectors, F.col("vec_id") % 100 == 0, 7).select("query_id", "rank", "vec_id", "score").collect())
     assert got == brute_topk(rows, 7)
@@ -120,6 +121,20 @@ def test_topk_of_very_long_vectors(spark):
     assert len(got) == 6 * 3 and got[0][0] == 0
 
 
+def test_topk_rotates_leading_components_only(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROTATED", 3)
+    monkeypatch.setattr(topk, "ROWS", 8)
+    rng = np.random.default_rng(11)
+    rows = [(i * 10, [float(x) for x in rng.normal(size=7)]) for i in range(120)]
+    got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0, 4).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute_topk(rows, 4)
+
+
+def test_groups_of_like_needs(monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 10)
+    assert topk._groups([(5, 4), (3, 4), (9, 25), (7, 4), (11, 1)]) == [(3, 0, 1), (5, 0, 1), (7, 1, 1), (9, 2, 3), (11, 5, 1)]
+
+
 def test_topk_leaves_blocks_out_before_the_shuffle(spark, monkeypatch):
     monkeypatch.setattr(topk, "ROWS", 32)
     met = []
@@ -136,9 +151,9 @@ def test_topk_searches_every_block_of_a_repeated_id(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(5, [1000.0, 0.0, 0.0, 0.0])] * 40  # two and a half blocks, the longest vectors of all
     rows += [(1000 + i, [float(-900 + i), 1.0, 0.0, 0.0]) for i in range(8)]  # the rest of the third block
-    rows += [(i, [float(x) for x in rng.normal(size=4)]) for i in range(100, 500)] + [(0, [-1.0, 0.0, 0.0, 0.0])]
+    rows += [(i, [float(x) for x in rng.normal(size=4)]) for i in range(100, 500)] + [(0, [-1.0, 0.0, 0.0, 0.0]), (0, [0.0, 1.0, 0.0, 0.0]), (0, [0.0, 1.0, 0.0, 0.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
-    packed = topk.blocks(vectors, 1024.0, 4).select("block").collect()
+    packed = topk.blocks(topk.numbered(vectors, F.lit(False)), 4).select("block").collect()
     assert len(packed) == len({r["block"] for r in packed}) > 3
     got = sorted(tuple(r) for r in topk.top_k(vectors, F.col("vec_id") % 100 == 0, 7).select("query_id", "rank", "vec_id", "score").collect())
     assert got == brute_topk(rows, 7)
