@@ -180,8 +180,8 @@ def cell_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.placed(cells_, ["l_orderkey"])
 
 
-@query(f"""WITH c AS ({_ORDER_TABLE}) SELECT p.l_orderkey, p.row, p.col, c.row AS at_row, c.col AS at_col, c.text FROM (SELECT DISTINCT l_orderkey, row, unnest([0, 1, 2]) AS col FROM c) p
-JOIN c ON c.l_orderkey = p.l_orderkey AND p.row BETWEEN c.row AND c.row + c.rs - 1 AND p.col BETWEEN c.col AND c.col + c.cs - 1""")
+@query(f"""WITH c AS MATERIALIZED ({_ORDER_TABLE}), e AS (SELECT l_orderkey, row AS at_row, col AS at_col, text, row, unnest(range(col, col + cs)) AS col FROM (SELECT l_orderkey, col, cs, text, unnest(range(row, row + rs)) AS row FROM c)),
+p AS (SELECT l_orderkey, row, unnest([0, 1, 2]) AS col FROM (SELECT DISTINCT l_orderkey, row FROM c)) SELECT l_orderkey, row, col, at_row, at_col, text FROM p JOIN e USING (l_orderkey, row, col)""")
 def cell_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which cell covers each place of the tables, spans counted."""
     cells_ = order_cells(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,9 +179,13 @@ def movement_key_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("movement_key").agg(F.count("*").alias("n_forms"), F.min("b").alias("first_form")).where("n_forms > 1")
 
 
-@query("SELECT w, CASE WHEN 4 * length(w) <= 2000 THEN substr(w, 1, list_min(list_filter(range(3, length(w) + 1), lambda p: 4 * length(w) % p = 0 AND repeat(w, 4) = repeat(substr(w, 1, p), 4 * length(w) // p)))) ELSE repeat(w, 4) END AS once FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) AS w FROM documents)")
+_OVERPRINTED = "SELECT w, t, t[1:list_min(list_filter(range(3, length(t) // 3 + 1), lambda n: repeat(t[1:n], length(t) // n) = t))] AS piece FROM (SELECT w, repeat(w, 4) AS t FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) AS w FROM documents))"
+
+
+@query(f"SELECT w, CASE WHEN length(t) > 2000 THEN t ELSE {sql_rules('piece', [(f'{c}{{3,}}', c) for c in string.ascii_letters])} END AS once FROM ({_OVERPRINTED})")
 def overprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All words of documents drawn four times over themselves, read once; a word that repeats a piece is that piece."""
+    """All words of documents drawn four times over themselves, read once; a word that repeats a piece is that piece, and of
+    letters three times in a row or more one stays."""
     w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), 0)).alias("w")).distinct()
     return w.select("w", deva.collapse_overprint(F.repeat("w", F.lit(4))).alias("once"))
 
