@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,26 +19,38 @@ CHUNK_BYTES, SHARD_WINDOWS, WORD_BYTES = 6 << 20, 1 << 21, 6
 ASKED = 16
 #: Bits of a window's hash that tell windows of one shard apart when anchors are looked for; a false hit is found out later.
 ANCHOR_BITS = 24
-#: Words whose hashes a worker keeps.
-CACHE = 200_000
+#: Words whose hashes a worker keeps from one chunk to the next.
+CACHE = 300_000
 #: What the hash of a window of words is made of: two sums of word hashes times powers of an odd number.
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
 class _Words(dict):
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    """Numbers of the words that a worker has met, and their 128-bit hashes by number."""
+
+    def __init__(self) -> None:
+        self.hashes = bytearray()
+
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
+        self.hashes += xxhash.xxh3_128_digest(word)
+        self[word] = n = len(self)
+        return n
+
+    def of(self, texts: list[list[bytes]], n: int) -> np.ndarray:
+        """Two halves of the hash of each of n words."""
         if len(self) >= CACHE:
             self.clear()
-        h = xxhash.xxh3_128_intdigest(word)
-        self[word] = h = h & 0xFFFFFFFFFFFFFFFF, h >> 64
-        return h
+            self.hashes = bytearray()
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, n)
+        return np.frombuffer(bytes(self.hashes), np.uint64).reshape(-1, 2)[numbers]
 
 
 def _worker_words() -> _Words:
     cache = worker_cache("substring-words")
-    return cache.get("words") or cache.setdefault("words", _Words())
+    found = cache.get("words")
+    return cache.setdefault("words", _Words()) if found is None else found
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -61,10 +74,9 @@ class Chunk:
 
     @classmethod
     def of(cls, texts: list[str | None]) -> Chunk:
-        cache = _worker_words()
         words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         start = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)])
-        both = np.fromiter((h for w in words for x in w for h in cache[x]), np.uint64, 2 * int(start[-1])).reshape(-1, 2)
+        both = _worker_words().of(words, int(start[-1]))
         return cls(words, both[:, 0].copy(), both[:, 1].copy(), start)
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
