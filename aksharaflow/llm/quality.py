@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import worker_cache
@@ -32,6 +32,8 @@ class Settings:
     step: float = 0.5
     #: Labelled rows of each class that the fit uses at most, those with the smallest hash of their id.
     sample: int = 3000
+    #: Bytes of their texts at most, in all: what the task of the fit holds.
+    sample_bytes: int = 1 << 28
     seed: int = 7
 
 
@@ -179,13 +181,15 @@ def fit(texts: list[str], labels: np.ndarray, s: Settings) -> QualityModel:
 def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings = Settings()) -> QualityModel:
     """Learns from labels (doc_id, quality) of the rows of docs (doc_id, text) where learn (a Column over doc_id) holds.
 
-    The fit runs in one task on at most settings.sample labelled ids of each class, and on twice as many
-    rows at most where ids repeat, those with the smallest hashes; rows are taken in order of id and text. Null labels are no labels; of
+    The fit runs in one task on at most settings.sample labelled ids of each class, and on twice as many rows at most where
+    ids repeat, of settings.sample_bytes bytes of text in all, those with the smallest hashes; rows are taken in order of id and text. Null labels are no labels; of
     repeated labels the largest counts, null texts are empty. Without labelled rows every text scores 0.5."""
     known = labels.where(learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     few = [known.where(F.col("quality") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample) for c in (0, 1)]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few[0].unionByName(few[1])), "doc_id")  # at most 2 * settings.sample ids
-    rows = rows.orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "text").limit(2 * settings.sample)  # an id may repeat
+    order = [F.xxhash64("doc_id"), F.xxhash64("text"), "text"]
+    rows = rows.orderBy(*order).limit(2 * settings.sample)  # an id may repeat
+    rows = rows.withColumn("upto", F.sum(F.octet_length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= settings.sample_bytes).drop("upto")
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values(["doc_id", "text"])
@@ -203,11 +207,12 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataFrame:
     """One row per row of docs: doc_id, score (likelihood of label 1), predicted. Whole texts are scored, null and empty
     ones by the bias alone; repeated rows and null ids like any other; other columns are ignored."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets x dims numbers, whatever the corpus
+    # buckets x dims numbers, whatever the corpus; arrays, as a class could be read only where this package is installed
+    sent = docs.sparkSession.sparkContext.broadcast((model.vectors, model.weights, model.bias))
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, cache = sent.value, worker_cache("quality-words")
+        model, cache = QualityModel(*sent.value), worker_cache("quality-words")
         if cache.get("model") != name:
             cache.update(model=name, sums=_Sums(model.vectors))
         sums = cache["sums"].sums

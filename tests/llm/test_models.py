@@ -210,3 +210,38 @@ def test_toxicity_scores_match_plain_python(spark, part, monkeypatch):
     assert np.allclose(sorted(r["score"] for r in got), want, atol=1e-9)
     clean = toxicity.drop_toxic(docs, model)
     assert clean.columns == docs.columns and clean.count() == sum(p < 0.5 for p in want)
+
+
+ALONE = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+from aksharaflow.llm import quality
+docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "bad spam there ") * 5) for i in range(40)], "doc_id long, text string")
+labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+model = quality.train(docs, labels, F.lit(True), quality.Settings(buckets=256, sample_bytes=1 << 20))
+print("scores", quality.score_quality(docs, model).select("score").distinct().count())
+"""
+
+
+def test_quality_needs_no_package_on_executors(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    script = tmp_path / "alone.py"
+    script.write_text(ALONE.format(repo=repo))
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "scores 2" in done.stdout, done.stderr[-2000:]
+
+
+def test_quality_sample_is_bounded_in_bytes(spark):
+    rows = [(i, "word " * 2000) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    model = quality.train(docs, labels, F.lit(True), quality.Settings(buckets=64, sample_bytes=5000))
+    assert not model.weights.any()  # no row fits into 5000 bytes, so nothing is learned
+    assert quality.train(docs, labels, F.lit(True), quality.Settings(buckets=64, sample_bytes=50_000)).weights.any()
