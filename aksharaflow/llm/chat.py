@@ -28,6 +28,15 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
+def _escape_role(c: Column) -> Column:
+    """escape(), and a backslash and an n for a line break, which would end the role."""
+    return F.replace(escape(c), F.lit("\n"), F.lit("\\n"))
+
+
+def _unescape_role(role: str) -> str:
+    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], role, flags=re.S)
+
+
 def linear_tree(turns: DataFrame) -> DataFrame:
     """Conversations given as rows by turn, as trees in which each turn replies to the one before.
 
@@ -83,11 +92,12 @@ def branches(messages: DataFrame, best: int | None = None) -> DataFrame:
 def format_chats(messages: DataFrame, best: int = 1, loss_role: str = "assistant") -> DataFrame:
     """The best branches of each reply tree, a conversation each: conv_id, leaf, rank, formatted, loss_spans.
 
-    A turn is START, role, newline, text, END, newline, with escaped role and text, so that any string survives.
+    A turn is START, role, newline, text, END, newline, with escaped role and text, line breaks of roles too, so that any
+    string survives.
     loss_spans are (start, length) in code points of formatted: the escaped text of each turn by loss_role. Null roles
     and texts are empty; texts may be of any length. Other columns are ignored, whatever their names."""
     at = branches(messages, best)
-    role, text = (escape(F.coalesce(c, F.lit(""))).alias(c) for c in ("role", "text"))
+    role, text = _escape_role(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text")
     turns = at.join(messages.select(_key().alias("k"), "msg", F.coalesce(F.col("role") == loss_role, F.lit(False)).alias("on"), role, text), ["k", "msg"])
     before, size = F.concat(F.lit(START), "role", F.lit("\n")), F.char_length("text").cast("long")
     whole = F.concat(before, "text", F.lit(END + "\n"))
@@ -100,7 +110,7 @@ def format_chats(messages: DataFrame, best: int = 1, loss_role: str = "assistant
 
 def parse_chat(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of each turn of a formatted conversation."""
-    return [(unescape(r), unescape(t)) for r, t in TURN.findall(formatted)]
+    return [(_unescape_role(r), unescape(t)) for r, t in TURN.findall(formatted)]
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
