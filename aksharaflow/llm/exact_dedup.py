@@ -27,7 +27,7 @@ def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Texts are equal when identical without white space. The one with the most code points in its original text
     stays, then the smallest id. Sampled splitters range-partition the normalised content (its head, then its digest);
     an external sort puts equal texts side by side, where whole texts are compared with their neighbours.
-    A text whose copies cost more than half a mean task is cut by a hash of the id into pieces of about that size;
+    A text whose copies cost more than half a mean task is cut by a hash of id and row number into pieces of about that size;
     each piece keeps its best row, and a second pass compares the at most 4 rows per shuffle partition that pieces keep.
 
     Null texts count as empty; empty texts are one group. Null ids come last in ties. Of repeated rows (same id
@@ -45,7 +45,7 @@ def mark_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     pieces = spark.createDataFrame(hot, "hot long, pieces int")  # at most two rows per shuffle partition
     base = base.join(F.broadcast(pieces), F.xxhash64("norm") == F.col("hot"), "left").select(
         "id", "chars", "norm", F.substring("norm", 1, HEAD).alias("head"), F.sha2("norm", 256).alias("digest"),
-        F.when(F.col("pieces").isNull(), -1).otherwise(F.pmod(F.xxhash64("id", "chars"), F.coalesce("pieces", F.lit(1)))).cast("int").alias("piece"),
+        F.when(F.col("pieces").isNull(), -1).otherwise(F.pmod(F.xxhash64("id", "chars", F.monotonically_increasing_id()), F.coalesce("pieces", F.lit(1)))).cast("int").alias("piece"),
     )
     cut = ["head", "digest", "piece"]
     marked = _runs(base.repartitionByRange(*cut), cut, [F.desc("chars"), F.asc_nulls_last("id")])
