@@ -136,11 +136,13 @@ class LineIndex:
     postings: DataFrame
     counts: DataFrame
     filters: DataFrame
+    #: Nothing has been inserted yet.
+    fresh: bool = False
 
     @classmethod
     def empty(cls, spark: SparkSession, shards: int | None = None, min_chars: int = 20, min_docs: int = 3) -> LineIndex:
         none = lambda schema: spark.createDataFrame([], schema)
-        return cls(spark, shards or partitions(spark), min_chars, min_docs, none("key binary, doc_id long"), none("key binary, refs long, keeper long"), none("shard int, filter binary"))
+        return cls(spark, shards or partitions(spark), min_chars, min_docs, none("key binary, doc_id long"), none("key binary, refs long, keeper long"), none("shard int, filter binary"), fresh=True)
 
     def _count(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy("key").agg(F.count("*").alias("refs"), F.max("doc_id").alias("keeper"))
@@ -171,7 +173,7 @@ class LineIndex:
         now = counts.where("refs > 0").select("key", "refs", "keeper")
         need = -(-counts.count() // SHARD_LINES)
         if need > self.shards or self.filters.isEmpty():
-            new = replace(self, postings=rows, counts=now, shards=max(self.shards, 2 * need if need > self.shards else 0))
+            new = replace(self, fresh=False, postings=rows, counts=now, shards=max(self.shards, 2 * need if need > self.shards else 0))
             return replace(new, filters=staged(new._built(now), "line-filters"))
         moved = self._sharded(counts.where(self._times("was") != self._times("refs")), self._times("was").alias("was"), self._times("refs").alias("now"))
 
@@ -186,11 +188,16 @@ class LineIndex:
         if not full.isEmpty():
             again = now.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int")).join(full, "shard", "left_semi")
             filters = staged(filters.where("filter IS NOT NULL").unionByName(self._built(again)), "line-filters")
-        return replace(self, postings=rows, counts=now, filters=filters)
+        return replace(self, fresh=False, postings=rows, counts=now, filters=filters)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """Adds documents (doc_id, text) that the index doesn't hold yet."""
-        new = staged(postings(docs, self.min_chars), "line-postings")
+        """Adds documents (doc_id, text). Lines that the index holds of a document already are left out, so that a batch may be
+        inserted again, after a failure, say, and still be deleted once."""
+        new = postings(docs, self.min_chars)
+        if not self.fresh:
+            held = self.postings.select(F.col("key").alias("held"), F.col("doc_id").alias("by"))
+            new = new.join(held, (F.col("key") == F.col("held")) & F.col("doc_id").eqNullSafe(F.col("by")), "left_anti")
+        new = staged(new, "line-postings")
         both = self.counts.withColumn("was", F.col("refs")).unionByName(self._count(new).withColumn("was", F.lit(0).cast("long")))
         both = both.groupBy("key").agg(F.sum("refs").alias("refs"), F.max("keeper").alias("keeper"), F.sum("was").alias("was"))
         return self._changed(self.postings.unionByName(new), staged(both, "line-counts"))

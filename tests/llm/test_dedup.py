@@ -36,6 +36,13 @@ def test_exact_hot_group(spark):
     assert all((r["keep_id"], r["group_size"], r["text_sha256"]) == want[texts[r["doc_id"]]] and r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
 
 
+def test_exact_hot_rows_with_one_id(spark):
+    rows = [(1, "same text", "", "", 0)] * 2000 + [(i, f"other {i}", "", "", 0) for i in range(10, 300)]
+    got = exact_dedup.mark_exact_duplicates(spark.createDataFrame(rows, DOCS).repartition(6)).collect()
+    same = [r for r in got if r["doc_id"] == 1]
+    assert len(got) == len(rows) and len(same) == 2000 and sum(r["kept"] for r in same) == 1 and {r["group_size"] for r in same} == {2000}
+
+
 def lines_brute(rows, least=20, most=3):
     key = lambda x: "".join(c.lower() if c.isascii() else c for c in x.strip(" \t\n\x0b\x0c\r"))
     held = {}
@@ -69,6 +76,17 @@ def test_lines_insert_delete_insert(spark):
     assert {r["key"] for r in less.counts.collect()} == {r["key"] for r in line_dedup.LineIndex.empty(spark, shards=3).insert(frame(rows[:25])).counts.collect()}
 
 
+def test_lines_inserted_twice_count_once(spark):
+    rows = corpus(40, 5)
+    frame = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    held = lambda index: sorted((bytes(r["key"]), r["refs"], r["keeper"]) for r in index.counts.collect())
+    once = line_dedup.LineIndex.empty(spark, shards=3).insert(frame([*rows, (None, rows[0][1])]))
+    again = once.insert(frame([*rows[10:30], (None, rows[0][1])]))
+    assert held(once) == held(again) and again.postings.count() == once.postings.count()
+    less, want = again.delete(frame(rows[20:])), line_dedup.LineIndex.empty(spark, shards=3).insert(frame([*rows[:20], (None, rows[0][1])]))
+    assert held(less) == held(want)
+
+
 def test_lines_of_repeated_ids_count_once(spark):
     line = "a line that is long enough"
     frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
