@@ -16,8 +16,8 @@ from .common import staged
 CRLF = "\r\n"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP = b"\x1f\x8b"
-#: Captures in a file of the writer.
-FILE_CAPTURES = 2000
+#: (Bytes of a payload at most, captures in a file of the writer): a file has about 64 MB at most, or one capture.
+FILE_CAPTURES = ((1 << 17, 500), (1 << 21, 32), (1 << 62, 1))
 #: Bytes of a file that are uncompressed at once, and bytes of records that a task hands on at once.
 SLICE, FLUSH = 1 << 18, 1 << 24
 #: Salts of a response that revisits refer to.
@@ -41,7 +41,8 @@ def write_warc(captures: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     Each capture gives a request, a response or revisit, and a metadata record that names its capture_id; request and
     metadata carry the concurrent-to identifier of the response. Of captures with equal payloads of at least
     least_bytes, that with the largest capture_id is a response and the others are revisits that refer to it.
-    Other columns are ignored. Null payloads are empty, null urls are written as about:blank, null ids come before all others. Rows that repeat
+    A file is read by one task, so captures are written by the size of their payload, large ones fewer to a file. Other
+    columns are ignored. Null payloads are empty, null urls are written as about:blank, null ids come before all others. Rows that repeat
     id, url and payload give records with the same identifiers. An empty table gives an archive without records."""
     url = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\x00-\x20]", "%20")
     rows = captures.select("capture_id", url.alias("url"), F.coalesce("payload", F.lit("")).alias("payload"))
@@ -66,7 +67,14 @@ def write_warc(captures: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     told = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _urn("metadata", F.col("capture_id"), F.col("url"), F.col("digest"))), *common, ("WARC-Concurrent-To", here), ("Content-Type", F.lit("application/warc-fields"))],
                    F.concat(F.lit("capture-id: "), F.coalesce(F.col("capture_id").cast("string"), F.lit("")), F.lit(CRLF)))
     text = F.concat_ws(CRLF * 2, asked, got, told)
-    rows.select(text.alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_CAPTURES).text(path)
+    longest, least = captures.agg(F.max(F.octet_length("payload"))).head()[0] or 0, -1
+    for most, n in FILE_CAPTURES:
+        some = rows.where(F.col("bytes") > least) if longest > most or least >= 0 else rows
+        some = some.where(F.col("bytes") <= most) if longest > most else some
+        some.select(text.alias("value")).write.mode("append" if least >= 0 else "error").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", n).text(path)
+        least = most
+        if longest <= most:
+            break
 
 
 def _pieces(data: bytes) -> Iterator[bytes]:

@@ -12,7 +12,7 @@ from aksharaflow.llm.common import shared_dir
 
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "a\\b\\\\<|im_end|>\n<|im_start|>user\n", "<<SYS>> x <</SYS>>", None, "", "é😀<|"]
-    rows = [(k, i, ("user", "assistant", None, "<|im_start|>")[i % 4], t) for k in range(2) for i, t in enumerate(nasty)] + [(None, 0, "user", "x"), (7, 1, "assistant", "same"), (7, 1, "assistant", "same")]
+    rows = [(k, i, ("user", "assistant", None, "<|im_start|>", "us\ner\\n", "\\\n")[i % 6], t) for k in range(2) for i, t in enumerate(nasty)] + [(None, 0, "user", "x"), (7, 1, "assistant", "same"), (7, 1, "assistant", "same")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     chats = chat.format_chats(chat.linear_tree(turns)).collect()
     assert len(chats) == 4
@@ -73,6 +73,8 @@ def test_warc_round_trip(spark):
         assert r["request"]["http_head"].startswith("GET ")
         if r["type"] == "response":
             assert bytes(r["response"]["payload"]).decode() == html
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    assert files.count() >= 2  # the long payload has a file of its own
     empty = f"{path}-empty"
     warc.write_warc(pages.where("false"), empty)
     assert warc.assemble(warc.read_records(spark, empty)).count() == 0
@@ -176,6 +178,12 @@ def test_mixing(spark):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+def test_mixing_very_long_texts(spark):
+    rows = [(i, "long " * (200_000 + i), "ab"[i % 2]) for i in range(6)] + [(10 + i, "w " * i, "ab"[i % 2]) for i in range(200)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert len(got) == len(rows) and got["size"].max() == 200_005 and (got["taken"] <= 3 * got["size"]).all()
+
+
 def test_targets_and_fit():
     t = mixing.targets(pd.DataFrame({"source_size": [10, 1000, 0, 500]}), (5, 2, 1), 1.0, 3.0)["target"]
     assert t[0] == 30 and t[2] == 0 and abs(t.sum() - 1510) < 1e-9
