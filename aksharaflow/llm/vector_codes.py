@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from .common import discard, free_name, partitions, staged
 
-#: Members of an entry that one owner holds, about; an entry with more has several owners.
-OWNED = 1 << 17
 LONG = 2**63 - 1
 PART = "row long, pos int, x array<long>, entry int, was int, err long"
 
@@ -71,10 +69,14 @@ def _updated(books: list[np.ndarray], members: DataFrame) -> list[np.ndarray]:
     return new
 
 
-def _owned(parts: DataFrame, owners: Column) -> DataFrame:
-    """Parts, at the owners of their entries: tables dealt by (position, entry, salt)."""
-    salt = F.pmod(F.xxhash64("row"), owners).cast("int")
-    return staged(parts.select("row", "pos", "x", "entry", salt.alias("salt")).repartition("pos", "entry", "salt").drop("salt"), "members")
+def _owned(moving: DataFrame, every: DataFrame) -> DataFrame:
+    """Parts that move, at the owners of their entries: tables dealt by (position, entry, salt). An entry has an owner for each
+    task's share of all parts that its members make up, so that none has much more than a share; a row per entry is broadcast."""
+    share = max(1.0, every.count() / partitions(every.sparkSession))
+    owners = every.groupBy("pos", "entry").agg(F.ceil(F.count("*") / share).alias("owners"))
+    salt = F.pmod(F.xxhash64("row"), F.col("owners")).cast("int")
+    moving = moving.join(F.broadcast(owners), ["pos", "entry"]).select("row", "pos", "x", "entry", salt.alias("salt"))
+    return staged(moving.repartition("pos", "entry", "salt").drop("salt"), "members")
 
 
 def compress(vectors: DataFrame, scale: float = 1024.0, parts: int = 4, entries: int = 256, rounds: int = 4, id_col: str = "vec_id", vec_col: str = "embedding", extra: tuple[str, ...] = ()) -> tuple[DataFrame, list[np.ndarray]]:
@@ -88,8 +90,8 @@ def compress(vectors: DataFrame, scale: float = 1024.0, parts: int = 4, entries:
     Vectors that are null, or hold null or non-finite components, are left out. Rows that repeat an id are rows of their own.
     An empty table gives no rows and no codebooks.
 
-    Parts lie with the owner of their entry: tables dealt by (position, entry, salt), where the salt splits entries of more
-    than OWNED members. A round reads members where they lie, sums them up there, and shuffles only those whose entry changed.
+    Parts lie with the owner of their entry: tables dealt by (position, entry, salt), where the salt splits entries that have
+    more members than a task's share. A round reads members where they lie, sums them up there, and shuffles only those whose entry changed.
     The driver sees codebooks and a sum per entry, entries x dimensions numbers, however many vectors there are."""
     vec = F.col(vec_col)
     kept = vectors.where(_usable(vec)).select(F.col(id_col).alias("id"), *(F.col(c).alias(f"extra_{c}") for c in extra), F.transform(vec, lambda c: F.floor(c.cast("double") * scale)).alias("x"))
@@ -105,15 +107,16 @@ def compress(vectors: DataFrame, scale: float = 1024.0, parts: int = 4, entries:
 
     cut = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("pos")
     pieces = kept.select("row", padded.alias("all"), cut).select("row", "pos", F.slice("all", F.col("pos") * wide + 1, wide).alias("x"), F.lit(-1).alias("entry"))
-    owners = F.lit(max(1, -(-n // OWNED)))  # of an entry that holds every vector
-    resident, done = _owned(pieces.mapInPandas(_assign(books), PART), owners), []
+    found = staged(pieces.mapInPandas(_assign(books), PART), "assigned")
+    resident = _owned(found, found)
+    done = [found, resident]
     for turn in range(rounds):
         books = _updated(books, resident)
         found = staged(resident.select("row", "pos", "x", "entry").mapInPandas(_assign(books), PART), "assigned")
         discard(*done)
         if turn + 1 == rounds:
             break
-        arrived = _owned(found.where("entry <> was"), owners)
+        arrived = _owned(found.where("entry <> was"), found)
         resident, done = found.where("entry = was").select("row", "pos", "x", "entry").unionByName(arrived.select("row", "pos", "x", "entry")), [found, arrived]
     digits = max(2, len(f"{entries - 1:x}"))
     code = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("pos", "entry"))), lambda c: F.lpad(F.lower(F.hex(c["entry"].cast("long"))), digits, "0")))
