@@ -124,19 +124,6 @@ def by_words(index: DataFrame, shown: DataFrame, longest: int = 4) -> DataFrame:
     return found.groupBy("doc_id", "item").agg(F.aggregate(each, start, take)["out"].alias("o")).select("doc_id", "item", F.explode("o").alias("o")).select("doc_id", "item", "o.*")
 
 
-def nearest_occurrence(index: DataFrame, shown: DataFrame) -> DataFrame:
-    """shown lines (doc_id, item, text), which follow each other by item, with word_no: where the line's first key stands,
-    the next occurrence after the last line's place if there is one, else the first. One ordered pass over a document's
-    lines and their occurrences."""
-    first = shown.withColumn("k", match_key(F.regexp_extract("text", r"(?U)\S+", 0))).where("k <> ''")
-    places = index.groupBy("doc_id", F.col("shown_key").alias("k")).agg(F.array_sort(F.collect_list("word_no")).alias("at"))
-    lines = first.join(places, ["doc_id", "k"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item", "at"))).alias("l"))
-    start = F.struct(F.lit(-1).alias("last"), F.array().cast("array<struct<item:int,word_no:int>>").alias("out"))
-    pick = lambda acc, x: F.coalesce(F.get(F.filter(x["at"], lambda p: p > acc["last"]), F.lit(0)), F.get(x["at"], F.lit(0)))
-    step = lambda acc, x: F.struct(pick(acc, x).alias("last"), F.concat(acc["out"], F.array(F.struct(x["item"].alias("item"), pick(acc, x).alias("word_no")))).alias("out"))
-    return lines.select("doc_id", F.explode(F.aggregate("l", start, step)["out"]).alias("o")).select("doc_id", "o.*")
-
-
 def ambiguous_keys(index: DataFrame) -> DataFrame:
     """shown_key, n_readings: keys whose words read differently."""
     return index.select("shown_key", "fixed").distinct().groupBy("shown_key").agg(F.count("*").alias("n_readings")).where("n_readings > 1")

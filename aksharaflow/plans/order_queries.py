@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.staging import shared_dir
-from ..operators import docindex, intervals, layout
+from ..operators import docindex, intervals, layout, lineplaces
 from .registry import ORACLES, query, table
 
 _W = "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
@@ -289,8 +289,28 @@ def index_word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def index_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each line starts, each behind the one before."""
-    return docindex.nearest_occurrence(index(spark, sf_dir), shown_lines(spark, sf_dir))
+    """Where each line starts, as its neighbours have it, or behind the lines before."""
+    return lineplaces.placed_by_neighbours(index(spark, sf_dir), shown_lines(spark, sf_dir))
+
+
+def doubled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as a viewer shows them that gives text twice where it was drawn twice: their second to fourth words."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("item", "text"))
+    return lines.withColumn("text", F.regexp_replace("text", r"^(\S+ )((?:\S+ ){1,3})", "$1$2$2"))
+
+
+@query()
+def doubled_runs_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines without the second copy of what their document has once."""
+    return lineplaces.without_doubled_runs(index(spark, sf_dir), doubled_lines(spark, sf_dir))
+
+
+@query()
+def words_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every word of a document but each fifth, which is garbled, stands in its text, each behind the one before."""
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    words = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?U)\S+"), 0)).alias("word_no", "word"))
+    return lineplaces.placed_in_order(docs, words.withColumn("word", F.when(F.col("word_no") % 5 == 3, F.reverse("word")).otherwise(F.col("word"))))
 
 
 @query("SELECT lang, word, n FROM (SELECT lang, word, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS r FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY 1, 2) WHERE r <= 200")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import devanagari as deva
 from ..functions import text as tx
 from ..functions.keymaps import FONT_PATTERNS, I_MARK, REPH_MARK, key_table, kruti_rules
+from ..operators import offsets
 from .registry import query, quoted, sql_keys, sql_rules, table
 
 #: Runs of characters of a text that are read as key strokes.
@@ -114,6 +115,33 @@ def key_convert_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed_words(spark, sf_dir).select("w", "n", deva.from_keys(F.col("w")).alias("converted"))
 
 
+@query(f"SELECT w, n, {_FULL_SQL} AS converted FROM ({_DISTINCT_SQL})")
+def key_map_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key runs of documents as the syllables of their maps, put together again."""
+    rows = keyed_words(spark, sf_dir)
+    maps = offsets.word_maps(rows.select(F.col("w").alias("word"))).withColumnRenamed("word", "w")
+    return rows.join(maps, "w").select("w", "n", F.array_join("aksharas.text", "").alias("converted"))
+
+
+def key_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents, read as key text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("item", "text"))
+
+
+@query()
+def key_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The real text of a range of 12 characters of every line, from the fifth on."""
+    lines = key_lines(spark, sf_dir)
+    return offsets.range_texts(offsets.line_maps(lines), lines.select("doc_id", "item", F.lit(4).alias("offset"), F.lit(12).alias("length")))
+
+
+@query()
+def key_words_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word around the tenth character of every line, and its real text."""
+    lines = key_lines(spark, sf_dir)
+    return offsets.word_around(offsets.line_maps(lines), lines.select("doc_id", "item", F.lit(9).alias("offset")))
+
+
 @query(f"SELECT w, a AS preeti, b AS fontasy FROM (SELECT w, {sql_keys('w', key_table())} AS a, {sql_keys('w', key_table('fontasy'))} AS b FROM ({_DISTINCT_SQL})) WHERE a <> b")
 def layout_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key runs that two layouts read differently."""

@@ -216,7 +216,6 @@ def test_index_lookups_of_damaged_lines(spark):
     assert pairs(docindex.anchored(index, shown)) == [(1, 0, 5, "beta gamma delta epsilon zeta eta")]
     assert pairs(docindex.by_words(index, shown.where("item = 0"))) == [(1, 0, 0, 3, "beta gamma delta"), (1, 0, 4, 2, "zeta eta")]
     lines = spark.createDataFrame([(1, 0, "alpha beta"), (1, 1, "beta x"), (1, 2, "alpha"), (1, 3, "alpha again"), (1, 4, "none")], "doc_id long, item int, text string")
-    assert pairs(docindex.nearest_occurrence(index, lines)) == [(1, 0, 0), (1, 1, 1), (1, 2, 8), (1, 3, 0)]
 
 
 def test_lookup_matches_brute_force(spark):
