@@ -10,15 +10,14 @@ def without_overprint(glyphs: DataFrame, page: list[str], near: float = 0.8) ->
     """glyphs (page columns, seq, x, y, width, size, font, text) without those drawn over one of the same font and text that
     is at most `near` away in either direction and was drawn before.
 
-    Places are rounded to a grid of cells twice as wide; a glyph meets those of its own and the neighbouring cells, of
-    which a page has a bounded number."""
-    cell = 2 * near
-    at = glyphs.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
-    around = F.explode(F.expr("flatten(transform(sequence(-1, 1), a -> transform(sequence(-1, 1), b -> struct(a AS a, b AS b))))"))
-    first = at.select(*page, "font", "text", F.col("seq").alias("_s"), F.col("x").alias("_x"), F.col("y").alias("_y"), "_cx", "_cy", around.alias("_d"))
-    first = first.select(*page, "font", "text", "_s", "_x", "_y", (F.col("_cx") + F.col("_d.a")).alias("_cx"), (F.col("_cy") + F.col("_d.b")).alias("_cy"))
-    over = at.join(first, [*page, "font", "text", "_cx", "_cy"]).where((F.col("_s") < F.col("seq")) & (F.abs(F.col("x") - F.col("_x")) <= near) & (F.abs(F.col("y") - F.col("_y")) <= near))
-    return glyphs.join(over.select(*page, "seq").distinct(), [*page, "seq"], "left_anti")
+    A page is dealt out once, for this and for what orders it next. A glyph stands in the bands of y that it may meet others in,
+    two of them; in its own band a window over x, as wide as `near` on both sides, holds the few glyphs that lie so close."""
+    band = lambda y: F.floor(y / (2 * near))
+    rows = glyphs.repartition(*page).withColumn("_b", F.explode(F.array_distinct(F.array(band(F.col("y") - near), band(F.col("y")), band(F.col("y") + near)))))
+    same = ", ".join(f"`{c}`" for c in (*page, "font", "text", "_b"))
+    close = F.expr(f"collect_list(struct(seq, y)) OVER (PARTITION BY {same} ORDER BY x RANGE BETWEEN {near}D PRECEDING AND {near}D FOLLOWING)")
+    over = F.exists("_close", lambda g: (g["seq"] < F.col("seq")) & (F.abs(g["y"] - F.col("y")) <= near))
+    return rows.withColumn("_close", close).where((F.col("_b") == band(F.col("y"))) & ~over).select(*glyphs.columns)
 
 
 def words(glyphs: DataFrame, page: list[str], rise: float = 0.5, gap: float = 0.2) -> DataFrame:

@@ -81,3 +81,32 @@ def group_pieces(lines: DataFrame, lex: DataFrame, by: list[str], most: int = 4)
             yield b[by].assign(text=texts)
 
     return rows.mapInPandas(run, f"{kinds}, text string")
+
+
+def document_swaps(words: DataFrame, lex: DataFrame, targets: list[str], rounds: int = 12, least: int = 5, longest: int = 2) -> DataFrame:
+    """doc_id, rank, src, dst, n: what each document stores for what, learned from its own distinct words (doc_id, word).
+
+    As learn_swaps, but for all documents at once: in each round every document takes the exchange that makes the most of its
+    unknown words known, while that helps `least` words; ties go to the shorter source, then the smaller source and target.
+    A document whose round finds none is left alone. Nothing comes to the driver but whether any document learned."""
+    n = F.char_length("now")
+    cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - k + 1)), lambda i: F.substring("now", i, F.lit(k)))
+    pieces = F.array_distinct(F.flatten(F.array(*map(cut, range(1, longest + 1)))))
+    lex = staged(lex.select("word").distinct(), "lexicon")
+    now = staged(words.select("doc_id", F.col("word").alias("given"), F.col("word").alias("now")).distinct(), "document-words")
+    learned = None
+    for rank in range(1, rounds + 1):
+        open_ = now.join(lex.select(F.col("word").alias("now")), "now", "left_anti")
+        tried = open_.select("doc_id", "given", "now", F.explode(pieces).alias("src")).select("doc_id", "given", "src", F.explode(F.array(*map(F.lit, targets))).alias("dst"), "now").where("src <> dst")
+        tried = tried.select("doc_id", "given", "src", "dst", F.replace("now", F.col("src"), F.col("dst")).alias("word"))
+        gains = tried.join(lex, "word", "left_semi").groupBy("doc_id", "src", "dst").agg(F.countDistinct("given").alias("n")).where(F.col("n") >= least)
+        first = F.min(F.struct((-F.col("n")).alias("less"), F.char_length("src").alias("size"), "src", "dst"))
+        best = gains.groupBy("doc_id").agg(first.alias("b")).select("doc_id", F.lit(rank).alias("rank"), "b.src", "b.dst", (-F.col("b.less")).alias("n"))
+        best = staged(best, "document-swaps")
+        if best.isEmpty():
+            return best if learned is None else learned
+        learned = best if learned is None else learned.unionByName(best)
+        known = now.join(lex.select(F.col("word").alias("now"), F.lit(True).alias("known")), "now", "left")
+        swapped = known.join(best.select("doc_id", "src", "dst"), "doc_id")  # documents that have learned nothing more are done
+        now = staged(swapped.select("doc_id", "given", F.when(F.col("known"), F.col("now")).otherwise(F.replace("now", F.col("src"), F.col("dst"))).alias("now")), "document-words")
+    return learned

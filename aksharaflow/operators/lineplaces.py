@@ -129,3 +129,43 @@ def placed_by_neighbours(index: DataFrame, shown: DataFrame, span: int = 3) -> D
     best = best.withColumn("past", F.coalesce(F.max("sure").over(past), F.lit(-1)))
     pick = F.min(F.struct((F.col("word_no") < F.col("past")).alias("early"), "word_no", "votes"))
     return best.groupBy("doc_id", "item").agg(pick.alias("p")).select("doc_id", "item", "p.word_no", "p.votes")
+
+
+def page_line_starts(lines: DataFrame) -> DataFrame:
+    """doc_id, word_no: the words that begin a line of the page, of lines (doc_id, item, text); words are numbered as docindex.build
+    numbers those of the whole text."""
+    sizes = lines.select("doc_id", "item", F.size(_tokens()).alias("n")).where("n > 0")
+    before = Window.partitionBy("doc_id").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("doc_id", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("word_no"))
+
+
+def joined_lines(index: DataFrame, starts: DataFrame, shown: DataFrame) -> DataFrame:
+    """doc_id, first, last, text: viewer lines (doc_id, item, text) put together where they are one line of the page, from item first
+    to last. starts: the words of the index that begin a line of the page (doc_id, word_no).
+
+    A line goes on in the next if that begins with a sign that hangs on a letter; if the last and the first key, written together,
+    are one word of the document; or if they are neighbours there and the second doesn't begin a line. Where both are found,
+    or several places, those count with which most of the keys in front of and behind the break agree; these must say
+    the same, words in the middle of a page line before words that begin one. Line ends meet words on (document, key)."""
+    toks = shown.withColumn("ks", F.transform(_tokens(), match_key))
+    by_item = Window.partitionBy("doc_id").orderBy("item")
+    key = lambda i: F.try_element_at("ks", F.lit(i))
+    ends = toks.select("doc_id", "item", "text", key(-1).alias("a"), key(-2).alias("a2"), F.lead(key(1)).over(by_item).alias("b"), F.lead(key(2)).over(by_item).alias("b2"), F.lead("text").over(by_item).alias("next"))
+    w = Window.partitionBy("doc_id").orderBy("word_no")
+    near = lambda k: F.lag("shown_key", -k).over(w) if k else F.col("shown_key")
+    begins = starts.select("doc_id", "word_no").distinct().withColumn("begins", F.lit(True))
+    words = index.join(begins, ["doc_id", "word_no"], "left").select("doc_id", "word_no", near(0).alias("w0"), near(-1).alias("w1"), near(-2).alias("w2"), near(1).alias("w3"), F.coalesce("begins", F.lit(False)).alias("begins"))
+    open_ = ends.where("a IS NOT NULL AND b IS NOT NULL").select("doc_id", "item", "a", "a2", "b", "b2")
+    agrees = lambda x, y: F.coalesce((F.col(x) == F.col(y)).cast("int"), F.lit(0))
+    inside = open_.withColumn("w0", F.concat("a", "b")).join(words, ["doc_id", "w0"]).select("doc_id", "item", (agrees("a2", "w1") + agrees("b2", "w3")).alias("votes"), F.lit(True).alias("same"), F.lit("").alias("gap"))
+    between = open_.join(words.withColumnsRenamed({"w1": "a", "w0": "b"}), ["doc_id", "a", "b"]).select("doc_id", "item", (agrees("a2", "w2") + agrees("b2", "w3")).alias("votes"), (~F.col("begins")).alias("same"), F.lit(" ").alias("gap"))
+    both = inside.unionByName(between).groupBy("doc_id", "item", "votes").agg(F.bool_and("same").alias("same"), F.max("gap").alias("gap"))
+    told = both.groupBy("doc_id", "item").agg(F.max(F.struct("votes", "same", "gap")).alias("t")).select("doc_id", "item", "t.same", "t.gap")
+    hangs = F.col("next").rlike("^[ऀ-ःऺ-ॏ॑-ॗॢॣ]")
+    rows = ends.join(told, ["doc_id", "item"], "left").select("doc_id", "item", "text", F.coalesce(hangs, F.lit(False)).alias("hangs"), F.coalesce("same", F.lit(False)).alias("same"), "gap")
+    goes_on = F.col("hangs") | F.col("same")
+    rows = rows.withColumns({"goes_on": goes_on, "glue": F.when(F.col("hangs"), "").when(F.col("same"), F.col("gap")).otherwise("")})
+    island = F.coalesce(F.sum((~F.col("goes_on")).cast("int")).over(by_item.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = F.when(F.col("goes_on"), F.concat(F.regexp_replace("text", r"(?U)\s+$", ""), "glue")).otherwise(F.col("text"))
+    rows = rows.withColumn("island", island).groupBy("doc_id", "island").agg(F.min("item").alias("first"), F.max("item").alias("last"), F.array_sort(F.collect_list(F.struct("item", part.alias("text")))).alias("parts"))
+    return rows.select("doc_id", "first", "last", F.array_join("parts.text", "").alias("text"))

@@ -313,6 +313,20 @@ def words_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineplaces.placed_in_order(docs, words.withColumn("word", F.when(F.col("word_no") % 5 == 3, F.reverse("word")).otherwise(F.col("word"))))
 
 
+def viewer_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The lines of documents as the page has them, and as a viewer breaks them: behind the third word, and inside the sixth."""
+    page = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("item", "text"))
+    broken = F.split(F.regexp_replace("text", r"^(\S+ \S+ \S+) (\S+ \S+ \S{2})(\S)", "$1\n$2\n$3"), "\n")
+    return page, page.select("doc_id", "item", F.posexplode(broken).alias("k", "text")).select("doc_id", (F.col("item") * 3 + F.col("k")).alias("item"), "text")
+
+
+@query()
+def page_lines_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Viewer lines that are one line of the page, joined again."""
+    page, shown = viewer_lines(spark, sf_dir)
+    return lineplaces.joined_lines(index(spark, sf_dir), lineplaces.page_line_starts(page), shown)
+
+
 @query("SELECT lang, word, n FROM (SELECT lang, word, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS r FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY 1, 2) WHERE r <= 200")
 def topk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 200 most frequent words of each language."""
