@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import devanagari as deva
-from ..operators import alignment, glyph_readings, swaps
+from ..operators import alignment, glyph_readings, learning, swaps
 from .registry import query, table
 from .text_queries import keyed_words
 
@@ -83,3 +83,19 @@ def drawn_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Substitutions that drawing suggests, over key runs of documents as Devanagari words in the order on screen."""
     words = keyed_words(spark, sf_dir).select(deva.to_visual(deva.from_keys(F.col("w"))).alias("word"))
     return swaps.drawn_swaps(words)
+
+
+#: What the planted text layer of each language stores for two of its letters.
+STORED = {"en": ("ae", "01"), "de": ("ei", "23"), "fr": ("ou", "45"), "es": ("ar", "67")}
+
+
+@query("SELECT v.lang AS doc_id, v.src, v.dst FROM (VALUES " + ", ".join(f"('{lang}', '{code}', '{letter}')" for lang, (letters, codes) in STORED.items() for letter, code in zip(letters, codes, strict=True)) + """) v (lang, src, dst)
+WHERE v.lang IN (SELECT lang FROM documents)""")
+def document_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the text layers of four languages store for what, learned from all words of each at once."""
+    words = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)).alias("word")).distinct()
+    shown = F.col("word")
+    for lang, (letters, codes) in STORED.items():
+        shown = F.when(F.col("lang") == lang, F.translate("word", letters, codes)).otherwise(shown)
+    stored = words.where(F.col("lang").isin(*STORED)).select(F.col("lang").alias("doc_id"), shown.alias("word"))
+    return learning.document_swaps(stored, words.select("word"), list("aeiouñrstn"), longest=1).select("doc_id", "src", "dst")

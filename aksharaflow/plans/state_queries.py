@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lexicon
-from ..streaming import state
+from ..streaming import documents, state
 from .lexicon_queries import _VOCAB, vocabulary
 from .registry import query, table
 
@@ -61,6 +61,36 @@ def doc_state_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
+def user_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user, item, ts, encoding, converted: events as lines of a user, of which so many words were converted."""
+    rows = table(spark, sf_dir, "events").where("user_id IS NOT NULL")
+    return rows.select(F.col("user_id").cast("long").alias("user"), F.col("event_id").cast("long").alias("item"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("encoding"), (F.col("event_id") % 4).cast("long").alias("converted"))
+
+
+_CONTEXT = """SELECT "user", item, CASE WHEN ts - last.ts <= INTERVAL 300 SECOND THEN last.encoding END AS context FROM (SELECT user_id AS "user", event_id AS item, ts,
+  last_value(CASE WHEN event_id % 4 >= 2 THEN {'ts': ts, 'encoding': event_type} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM events WHERE user_id IS NOT NULL)"""
+
+
+@query(_CONTEXT)
+def context_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoding that each user's line is read in: that of a line up to five minutes before with enough converted words."""
+    return documents.context_batch(user_lines(spark, sf_dir))
+
+
+@query(_CONTEXT)
+def context_memory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream, with state that timers take away."""
+    path, rows = f"{state.shared_dir(spark)}/user-lines-{state.uuid.uuid4().hex}", user_lines(spark, sf_dir)
+    rows.write.parquet(path)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return state.run_to_table(documents.context_stream(spark.readStream.schema(rows.schema).parquet(path)), "contexts")
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 @query()
 def slow_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks that are off for a minute after a slow one, per user."""
