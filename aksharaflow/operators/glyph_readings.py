@@ -11,7 +11,7 @@ from ..functions.staging import discard, staged
 TOP, FIRST_LOOK = 200, 40
 #: Readings of a glyph that the first look leaves.
 BEAM = 12
-#: A glyph whose words are known to this share keeps its reading.
+#: A glyph whose words are known to this share keeps its reading, unless a caller asks for more.
 ENOUGH = 0.6
 #: Shares of a font's words, each of which meets a copy of the font's readings.
 SALTS = 16
@@ -35,7 +35,7 @@ def _scores(now: DataFrame, places: DataFrame, tried: DataFrame, lexicon: DataFr
     return rows.groupBy("font", "glyph", "reading", "rank").agg(F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("score"))
 
 
-def learn_readings(words: DataFrame, candidates: DataFrame, lexicon: DataFrame, rounds: int = 12, beam: int = BEAM) -> DataFrame:
+def learn_readings(words: DataFrame, candidates: DataFrame, lexicon: DataFrame, rounds: int = 12, beam: int = BEAM, enough: float = ENOUGH) -> DataFrame:
     """font, glyph, reading, hits, total: for each glyph of candidates (font, glyph, rank, reading), the reading that makes most
     words of the lexicon (word) out of words (font, glyphs: an array, n: how often). The reading of rank 0 is what the glyph
     is taken for at first. hits of total are the glyph's TOP most frequent words, counted by n, that are known at the end.
@@ -43,7 +43,7 @@ def learn_readings(words: DataFrame, candidates: DataFrame, lexicon: DataFrame,
     A round scores, for all fonts at once, each glyph's readings with all other glyphs as they are. A glyph with more than
     `beam` readings is looked at on its FIRST_LOOK most frequent words first, and keeps the best. Of the glyphs that gain,
     those change whose gain is the largest in every word that they stand in, so that no two changes meet in a word and each
-    round makes more words known. Ties go to the present reading, then to the lower rank. Only glyphs that share a word
+    round makes more words known. A glyph of which `enough` of the words are known isn't tried. Ties go to the present reading, then to the lower rank. Only glyphs that share a word
     with a changed one are scored again; after `rounds` rounds, or when nothing changes, it ends. Glyphs of words that
     candidates don't have read as themselves. Texts meet the lexicon in joins; what is carried between rounds is staged."""
     words = staged(words.groupBy("font", "glyphs").agg(F.sum("n").alias("n")).withColumn("wid", F.monotonically_increasing_id()), "glyph-words")
@@ -64,7 +64,7 @@ def learn_readings(words: DataFrame, candidates: DataFrame, lexicon: DataFrame,
         now = staged(_with_texts(words, reading), "glyph-texts")
         own = reading.join(todo, ["font", "glyph"]).withColumn("rank", F.lit(-1))
         base = _scores(now, places.select("font", "glyph", "wid"), own, lexicon).select("font", "glyph", F.col("score").alias("base"))
-        unsettled = staged(base.join(totals, ["font", "glyph"]).where(F.col("base") < ENOUGH * F.col("total")).select("font", "glyph", "base"), "glyphs-unsettled")
+        unsettled = staged(base.join(totals, ["font", "glyph"]).where(F.col("base") < enough * F.col("total")).select("font", "glyph", "base"), "glyphs-unsettled")
         tried = candidates.join(unsettled, ["font", "glyph"]).select("font", "glyph", "reading", "rank")
         many = F.count("*").over(Window.partitionBy("font", "glyph")) > beam
         tried = staged(tried.withColumn("many", many), "glyph-tries")

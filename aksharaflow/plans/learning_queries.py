@@ -37,7 +37,7 @@ _HIDDEN_SQL = ", ".join(f"('{font}', '{x}')" for font, letters in HIDDEN.items()
 WHERE EXISTS (SELECT 1 FROM documents d WHERE d.lang = v.font AND len(list_filter(regexp_extract_all(lower(d.text), '[a-z]{{2,}}'), lambda w: contains(w, v.x))) > 0)""")
 def glyph_readings_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the hidden glyphs of three fonts draw, found from the words that they make."""
-    return glyph_readings.learn_readings(*glyph_words(spark, sf_dir)).select("font", "glyph", "reading")
+    return glyph_readings.learn_readings(*glyph_words(spark, sf_dir), enough=1.0).select("font", "glyph", "reading")
 
 
 #: What the text layer shows for what in the planted lines: an exchange of several characters, a loss, and an addition.
