@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import devanagari as deva
 from ..functions.keymaps import HALANT, key_table, to_preeti_keys
-from ..functions.text import REPAIR_EDGE
+from ..functions.text import DIGIT_ROW, PLAIN_NUMBER, REPAIR_EDGE, is_bare_sign, token_table
 
 # What the key ¿ draws in one font or another, most frequent first.
 UNSURE_KEY, UNSURE = "¿", ("रू", "रु", "ु", "ू")
@@ -57,3 +57,71 @@ def as_preeti_keys(keys: Column, encoding: str) -> Column:
     table = to_preeti_keys(encoding)
     one = {k: v for k, v in table.items() if v}
     return F.translate(keys, "".join(one) + "".join(k for k, v in table.items() if not v), "".join(one.values()))
+
+
+# Named character references, and what they stand for; the ampersand comes last.
+ENTITIES = {"&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+_DIGIT = "[०-९]"
+#: What lines of key text need after their words: a quotation mark that drew a sign on nothing, the colon of a time, a zero
+#: behind a decimal point, and the point of an amount.
+LINE_RULES: deva.Rules = [
+    ("(^|[^ऀ-ॿ])ॅ", "$1‘"), (f"({_DIGIT}){key_table()[':']}({_DIGIT})", "$1:$2"), (f"({_DIGIT}\\.)\\)", "$1०"),
+    ("([०-९0-9]+,[०-९0-9]+)।([०-९0-9]+)", "$1.$2"), ("((?:रु\\.?|Rs\\.?)\\s*[०-९0-9]+)।([०-९0-9]+)", "$1.$2"),
+]
+
+
+def unescaped(c: Column) -> Column:
+    """Named character references as their characters, once: what a reference makes isn't read again."""
+    for name, sign in ENTITIES.items():
+        c = F.replace(c, F.lit(name), F.lit(sign))
+    return c
+
+
+def _token_text(encoding: str) -> Column:
+    """A token of key text as Unicode text. Brackets around something else than brackets are real, as are those beside other
+    signs; a bracket alone is a digit between two words in keys. Bullets, numbers in plain digits (but not the key 5 alone)
+    and tokens with Devanagari stay."""
+    token = F.col("token")
+    wordy = lambda c: F.coalesce(c.rlike("[A-Za-z;:'\\[\\]{}|]"), F.lit(False))
+    stays = F.col("is_space") | is_bare_sign(token) & ~token.rlike(f"^[{DIGIT_ROW}]+$") | token.rlike("[ऀ-ॿ]") | token.rlike(PLAIN_NUMBER) & (token != "5") & ~token.rlike("[!@#$%^&*()]")
+    enclosed = token.rlike(r"^\(.*[^()].*\)$")
+    lone = token.isin("(", ")")
+    inner = F.substring(token, F.lit(2), F.char_length(token) - 2)
+    read = lambda c: deva.from_keys(c, encoding)
+    return F.when(stays, token).when(lone, F.when(wordy(F.col("before")) & wordy(F.col("after")), read(token)).otherwise(token)).when(enclosed, F.concat(F.lit("("), read(inner), F.lit(")"))).otherwise(read(token))
+
+
+def convert_lines(lines: DataFrame, lexicon: DataFrame, encoding: str = "preeti") -> DataFrame:
+    """lines (doc_id, item, text) of key text as Unicode text: character references first, then distinct tokens (_token_text), then
+    rules that need the line (LINE_RULES), last a visarga at a word's end, which is a colon if the lexicon (word) has the word
+    without it and not with it. Null texts stay null; white space is kept."""
+    rows = token_table(lines.select("doc_id", "item", unescaped(F.col("text")).alias("text")))
+    w = Window.partitionBy("doc_id", "item").orderBy("pos")
+    near = {"before": F.lag("token", 2).over(w), "after": F.lead("token", 2).over(w)}
+    rows = rows.withColumns({k: F.when(F.col("token").isin("(", ")"), v) for k, v in near.items()})
+    key = ["token", "is_space", "before", "after"]
+    made = rows.select(*key).distinct().withColumn("made", _token_text(encoding))
+    same = [rows[c].eqNullSafe(made[c]) for c in key]
+    rows = rows.join(made, same[0] & same[1] & same[2] & same[3]).select("doc_id", "item", "pos", "made")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "made"))), lambda x: x["made"]), "")
+    found = rows.groupBy("doc_id", "item").agg(deva.rewrite(text, LINE_RULES).alias("made"))
+    found = lines.select("doc_id", "item", "text").join(found, ["doc_id", "item"], "left").select("doc_id", "item", F.coalesce("made", "text").alias("text"))
+    return final_colons(found, lexicon)
+
+
+def final_colons(lines: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """lines (doc_id, item, text) with a colon for the visarga at the end of words that the lexicon (word) has only without it. Lines
+    without such a word aren't taken apart."""
+    ends = "ः(?=[\\s,;)–—-]|$)"
+    some = lines.where(F.col("text").rlike(ends))
+    words = F.regexp_extract_all("text", F.lit(f"([ऀ-ॿ]+){ends}"), 1)
+    each = some.select("doc_id", "item", F.explode(F.array_distinct(words)).alias("word"))
+    lex = lexicon.select("word").distinct()
+    alone = each.select("word").distinct().join(lex, "word", "left_semi")
+    whole = lex.select(F.regexp_replace("word", "ः$", "").alias("word")).where(F.endswith(lex["word"], F.lit("ः")))
+    colon = alone.join(whole, "word", "left_anti")
+    swaps = each.join(colon, "word").groupBy("doc_id", "item").agg(F.collect_list("word").alias("colons"))
+    pieces = F.regexp_extract_all("text", F.lit("[ऀ-ॿ]+|[^ऀ-ॿ]+"), 0)
+    word = lambda p: F.regexp_replace(p, "ः$", "")
+    text = F.array_join(F.transform(pieces, lambda p: F.when(F.endswith(p, F.lit("ः")) & F.array_contains("colons", word(p)), F.concat(word(p), F.lit(":"))).otherwise(p)), "")
+    return lines.join(swaps, ["doc_id", "item"], "left").select("doc_id", "item", F.when(F.col("colons").isNull(), F.col("text")).otherwise(text).alias("text"))

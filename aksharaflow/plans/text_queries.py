@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import devanagari as deva
 from ..functions import text as tx
 from ..functions.keymaps import FONT_PATTERNS, I_MARK, REPH_MARK, key_table, kruti_rules
-from ..operators import offsets
+from ..operators import keytext, offsets
 from .registry import query, quoted, sql_keys, sql_rules, table
 
 #: Runs of characters of a text that are read as key strokes.
@@ -123,6 +123,24 @@ def key_map_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(maps, "w").select("w", "n", F.array_join("aksharas.text", "").alias("converted"))
 
 
+#: What stands between the words of the planted lines, by turns, and what it becomes.
+BETWEEN = [("(!)", "(१)"), ("!):))", "१०:००"), ("•", "•"), ("12", "12"), ("&amp;", "७"), ("()", "९०"), ("(@)*#)", "(२०८३)"), ("baM", "दब:")]
+_BETWEEN_SQL = "CASE k % {n} " + " ".join(f"WHEN {k} THEN {quoted(b)}" for k, (_, b) in enumerate(BETWEEN)) + " END"
+
+
+@query(f"""WITH w AS (SELECT doc_id, item, w, row_number() OVER (PARTITION BY doc_id, item ORDER BY i) - 1 AS k FROM (SELECT doc_id, item, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM
+  (SELECT doc_id, item - 1 AS item, regexp_extract_all(t, '[a-z]+') AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS item FROM documents WHERE doc_id IS NOT NULL)))),
+c AS (SELECT w, {_FULL_SQL} AS c FROM (SELECT DISTINCT w FROM w)) SELECT doc_id, item, string_agg(c || ' ' || {_BETWEEN_SQL.format(n=len(BETWEEN))}, ' ' ORDER BY k) AS text FROM w JOIN c USING (w) GROUP BY doc_id, item""")
+def key_lines_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of documents as key text, with clauses, times, bullets, numbers, character references and a colon between words."""
+    lines = key_lines(spark, sf_dir).where("doc_id IS NOT NULL")
+    between = F.array(*(F.lit(a) for a, _ in BETWEEN))
+    words = F.regexp_extract_all("text", F.lit("[a-z]+"), 0)
+    text = F.array_join(F.transform(words, lambda w, k: F.concat(w, F.lit(" "), F.get(between, k % len(BETWEEN)))), " ")
+    lexicon = spark.createDataFrame([("दब",)], "word string")  # the word in front of the planted colon
+    return keytext.convert_lines(lines.select("doc_id", "item", text.alias("text")).where("text <> ''"), lexicon)
+
+
 def key_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents, read as key text."""
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("item", "text"))

@@ -467,3 +467,76 @@ def test_overprint_by_plain_patterns(spark):
 
     got = [r["o"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", deva.collapse_overprint(F.col("t")).alias("o")).orderBy("k").collect()]
     assert got == [once(t) for t in texts]
+
+
+# ---- lines of key text
+
+
+def test_key_lines(spark):
+    from aksharaflow.operators import keytext
+
+    pairs = [
+        ("vf; ( hgf", "खास ९ जना"), ("(s) v", "(क) ख"), ("()", "९०"), ("())", "९००"), ("())))", "९००००"), ("()()", "९०९०"), ("(!)", "(१)"), ("(@)*#)", "(२०८३)"), ("!):))", "१०:००"), ("%:#)", "५:३०"), ("!:))", "१:००"),
+        ("• 12  5", "• 12  छ"), ("( x", "( ह"), ("s &amp; v", "क ७ ख"), ("baM sM", "दब: कः"), ("  ", "  "), ("", ""), (None, None), ("नेपाल s", "नेपाल क"), ("‘sf", "‘का"),
+    ]
+    lines = spark.createDataFrame([(1, k, a) for k, (a, _) in enumerate(pairs)], "doc_id long, item int, text string")
+    lexicon = spark.createDataFrame([("दब",), ("कः",), ("क",)], "word string")
+    got = {r["item"]: r["text"] for r in keytext.convert_lines(lines, lexicon).collect()}
+    assert [got[k] for k in range(len(pairs))] == [b for _, b in pairs]
+
+
+# ---- extracted lines
+
+
+def test_exact_words_are_never_touched(spark):
+    from aksharaflow.operators import extracted
+
+    lines = [(1, 0, "बोलेका] काा घर"), (1, 1, "काा"), (1, 2, None), (1, 3, "plain 6 text"), (2, 0, "काा  बा6 गनर्"), (2, 1, "ल] काा")]
+    frame = spark.createDataFrame(lines, "doc_id long, item long, text string")
+    exact = spark.createDataFrame([(1, "काा"), (2, "ल]"), (2, "ल]")], "doc_id long, word string")
+    lexicon = spark.createDataFrame([(w,) for w in ("का", "घर", "बाट", "गर्न", "बोलेको")], "word string")
+    got = {(r["doc_id"], r["item"]): r["text"] for r in extracted.repair_lines(frame, lexicon, exact).collect()}
+    assert got == {(1, 0): "बोलेको काा घर", (1, 1): "काा", (1, 2): None, (1, 3): "plain 6 text", (2, 0): "का  बाट गर्न", (2, 1): "ल] का"}
+    marks = [r["m"] for r in spark.createDataFrame([("काा",), ("नेपाल",), ("घरल]",), ("ि",), ("a�",), ("घ�",), (None,)], "t string").select(extracted.has_mark(F.col("t")).alias("m")).collect()]
+    assert marks == [True, False, True, True, False, True, False]
+
+
+# ---- damaged lines in the index
+
+
+def test_lines_located_by_anchors_and_spans(spark):
+    rng = random.Random(14)
+    docs = {d: [rng.choice("abcdefg") * rng.randint(1, 2) for _ in range(60)] for d in range(4)}
+    lines = []
+    for d, ws in docs.items():
+        for item in range(14):
+            i, n = rng.randint(0, 50), rng.randint(1, 9)
+            part = list(ws[i : i + n])
+            if rng.random() < 0.6:
+                part[rng.randrange(len(part))] = rng.choice(["zz", "a", "q"])
+            lines.append((d, item, " ".join(part)))
+    index = docindex.build(spark.createDataFrame([(d, " ".join(ws)) for d, ws in docs.items()], "doc_id long, text string"))
+    frame = spark.createDataFrame(lines, "doc_id long, item int, text string")
+    anchored, spans = {}, set()
+    for d, item, text in lines:
+        ws, ks = docs[d], text.split()
+        once = {r: p for p, r in enumerate(zip(ws, ws[1:], ws[2:])) if sum(x == r for x in zip(ws, ws[1:], ws[2:])) == 1}
+        votes = collections.Counter(once[r] - p for p, r in enumerate(zip(ks, ks[1:], ks[2:])) if r in once)
+        if votes:
+            first = min(votes, key=lambda x: (-votes[x], x))
+            there = ws[max(0, first) : first + len(ks)]
+            a, b = "".join(there), "".join(ks)
+            if 100 * sum(min(a.count(x), b.count(x)) for x in set(b)) >= 90 * max(len(a), len(b)):
+                anchored[d, item] = (len("".join(ws[: max(0, first)])), " ".join(there))
+        readings = collections.defaultdict(set)
+        for n in range(1, 5):
+            for p in range(len(ws) - n + 1):
+                readings["".join(ws[p : p + n])].add(" ".join(ws[p : p + n]))
+        at = 0
+        while at < len(ks):
+            n = next((n for n in range(min(4, len(ks) - at), 0, -1) if len(readings.get("".join(ks[at : at + n]), ())) == 1), None)
+            if n:
+                spans.add((d, item, at, n, *readings["".join(ks[at : at + n])]))
+            at += n or 1
+    assert {(r["doc_id"], r["item"]): (r["place"], r["words"]) for r in docindex.anchored(index, frame).collect()} == anchored and anchored
+    assert {tuple(r) for r in docindex.by_words(index, frame).collect()} == spans and spans
