@@ -38,24 +38,30 @@ def known_by_stem(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def affix_forms(stems: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every form that rules (kind 'S', flag, strip, add, cond) make of stems (word, flags array): word, form, flag.
+    """Every form that rules (kind 'S' or 'P', flag, strip, add, cond) make of stems (word, flags array): word, form, flag.
 
-    A rule applies to stems with its flag that end in strip and in what its condition, a regular expression, asks for."""
-    each = stems.select("word", F.explode("flags").alias("flag"))
-    both = each.join(rules.where("kind = 'S'"), "flag")
-    fits = F.endswith("word", F.col("strip")) & F.expr("word rlike concat('(?:', cond, ')$')")
-    form = F.concat(F.substring("word", F.lit(1), F.char_length("word") - F.char_length("strip")), "add")
-    return both.where(fits).select("word", form.alias("form"), "flag")
+    A suffix rule applies to stems with its flag that end in strip and in what its condition, a regular expression, asks for,
+    a prefix rule to those that begin so."""
+    each = stems.select("word", F.explode("flags").alias("flag")).join(rules, "flag")
+    front = F.col("kind") == "P"
+    fits = F.when(front, F.startswith("word", F.col("strip")) & F.expr("word rlike concat('^(?:', cond, ')')")).otherwise(F.endswith("word", F.col("strip")) & F.expr("word rlike concat('(?:', cond, ')$')"))
+    rest = F.char_length("word") - F.char_length("strip")
+    form = F.when(front, F.concat("add", F.substring("word", F.char_length("strip") + 1, rest))).otherwise(F.concat(F.substring("word", F.lit(1), rest), "add"))
+    return each.where(fits).select("word", form.alias("form"), "flag")
 
 
 def known_by_affix(words: DataFrame, stems: DataFrame, rules: DataFrame) -> DataFrame:
-    """Words (word) that a suffix rule makes of a stem: word, stem, flag. Each word is cut at every rule length, joined on
-    the ending, and its rebuilt stem joined on the lexicon; nothing is generated for words that don't occur."""
-    lengths = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("word") - 1)))
-    cut = words.select("word", lengths.alias("n")).withColumn("add", F.substring("word", F.char_length("word") - F.col("n") + 1, F.col("n")))
-    made = cut.join(rules.where("kind = 'S'"), "add").withColumn("stem", F.concat(F.substring("word", F.lit(1), F.char_length("word") - F.col("n")), "strip"))
+    """Words (word) that a rule makes of a stem: word, stem, flag. Each word is cut at every place, the pieces are joined on what a
+    rule adds, and the rebuilt stem is joined on the lexicon; nothing is generated for words that don't occur."""
+    size = F.char_length("word")
+    cut = words.select("word", F.explode(F.sequence(F.lit(0), size)).alias("n"))
+    behind = cut.select("word", F.lit("S").alias("kind"), F.substring("word", size - F.col("n") + 1, F.col("n")).alias("add"), F.substring("word", F.lit(1), size - F.col("n")).alias("rest"))
+    before = cut.select("word", F.lit("P").alias("kind"), F.substring("word", F.lit(1), F.col("n")).alias("add"), F.substring("word", F.col("n") + 1, size).alias("rest"))
+    made = behind.unionByName(before).join(rules, ["kind", "add"])
+    made = made.withColumn("stem", F.when(F.col("kind") == "P", F.concat("strip", "rest")).otherwise(F.concat("rest", "strip")))
     each = stems.select(F.col("word").alias("stem"), F.explode("flags").alias("flag"))
-    return made.join(each, ["stem", "flag"]).where(F.expr("stem rlike concat('(?:', cond, ')$')")).select("word", "stem", "flag")
+    fits = F.when(F.col("kind") == "P", F.expr("stem rlike concat('^(?:', cond, ')')")).otherwise(F.expr("stem rlike concat('(?:', cond, ')$')"))
+    return made.join(each, ["stem", "flag"]).where(fits).select("word", "stem", "flag")
 
 
 def skeleton(word: Column, signs: str = "[aeiou]") -> Column:

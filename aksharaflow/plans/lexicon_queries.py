@@ -89,6 +89,20 @@ def affix_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.known_by_affix(corpus_words(spark, sf_dir), *affix_lexicon(spark, sf_dir))
 
 
+#: Prefix rules: an addition, one that drops a letter, and one with a condition on how the stem begins.
+_PREFIXES = [("P", "U", "", "in", "."), ("P", "V", "e", "a", "e[a-z]"), ("P", "W", "", "s", "[tchpw]")]
+_PREFIX_SQL = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in _PREFIXES) + ")"
+
+
+@query(f"""SELECT d.word, s.word AS stem, r.flag FROM ({_DISTINCT}) d JOIN ({_PREFIX_SQL}) r (kind, flag, strip, add, cond) ON starts_with(d.word, r.add)
+JOIN ({_DISTINCT}) s ON s.word = r.strip || substr(d.word, length(r.add) + 1) AND regexp_matches(s.word, '^(?:' || r.cond || ')')""")
+def prefix_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents that a prefix rule makes of another word of theirs."""
+    words = corpus_words(spark, sf_dir)
+    rules = spark.createDataFrame(_PREFIXES, "kind string, flag string, strip string, add string, cond string")
+    return lexicon.known_by_affix(words, words.select("word", F.array(*(F.lit(f) for _, f, *_ in _PREFIXES)).alias("flags")), rules)
+
+
 @query(f"SELECT regexp_replace(word, '[aeiou]', '', 'g') AS skeleton, min(word) AS word FROM ({_VOCAB}) GROUP BY 1 HAVING count(*) = 1")
 def skeleton_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consonant skeletons that only one word of the vocabulary has."""
