@@ -92,19 +92,26 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
 
 
 def breaker(rows: DataFrame, slow: float, off_seconds: int) -> DataFrame:
-    """rows (user, ts, value) with skipped: whether a check was off, because a slow one ran at most off_seconds before. A
-    skipped check isn't run, so it can't be slow: state per user is the time until which checks are off."""
+    """rows (user_id, ts, event_id, value) with skipped: whether a check was off, because a slow one ran at most off_seconds before.
+    A skipped check isn't run, so it can't be slow.
+
+    Users are dealt out and their rows sorted; a stream over them carries the time until which the user's checks are off, so that
+    a user with any number of rows takes constant memory. Rows without a user are one user's."""
     from pyspark.sql.types import BooleanType
 
     schema = StructType([*rows.schema.fields, StructField("skipped", BooleanType())])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["ts", "event_id"])
-        until, out = pd.Timestamp.min, []
-        for ts, value in zip(group["ts"], group["value"], strict=True):
-            out.append(ts < until)
-            if not out[-1] and value >= slow:
-                until = ts + pd.Timedelta(seconds=off_seconds)
-        return group.assign(skipped=out)
-
-    return rows.groupBy("user_id").applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, until = object(), pd.Timestamp.min
+        for batch in batches:
+            out = []
+            for user, ts, value in zip(batch["user_id"], batch["ts"], batch["value"], strict=True):
+                user = None if pd.isna(user) else user
+                if user != at:
+                    at, until = user, pd.Timestamp.min
+                out.append(ts < until)
+                if not out[-1] and value >= slow:
+                    until = ts + pd.Timedelta(seconds=off_seconds)
+            yield batch.assign(skipped=out)
+
+    return rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id").mapInPandas(run, schema)
