@@ -37,8 +37,27 @@ def partitions(spark: SparkSession) -> int:
 
 def worker_cache(name: str) -> dict:
     """A dict that outlives a task on its Python worker, so that tasks of one kind share what they have looked up. It holds
-    one name at a time: the next operator's tasks drop what the last one's left."""
+    one name at a time: the next operator's tasks drop what the last one's left, and give its memory back to the machine."""
     keep = sys.modules.setdefault("_aksharaflow_worker", types.ModuleType("_aksharaflow_worker"))
     if getattr(keep, "name", None) != name:
+        held = getattr(keep, "found", None)
         keep.name, keep.found = name, {}
+        if held:
+            del held
+            give_back()
     return keep.found
+
+
+def give_back() -> None:
+    """Memory that this process has freed, to the machine: workers live on from stage to stage, and an executor's limit counts what
+    they hold, used or not."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, others needn't
+    if trim:
+        trim(0)
