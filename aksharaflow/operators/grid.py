@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.staging import staged
+from ..functions.staging import discard, staged
 from . import layout
 
 #: Points within which lines and corners are the same.
 TOLERANCE = 2.0
 #: Points beside a table within which a word belongs to its rows; words farther away are another column of the page.
 BESIDE = 12.0
+#: How tables of a page's parts meet: shuffled, never as a whole in the driver, however small their files are.
+MEET = "merge"
 
 
 def numbered_crossings(across: DataFrame, down: DataFrame, by: list[str], bucket: float = 64.0) -> DataFrame:
@@ -20,7 +22,7 @@ def numbered_crossings(across: DataFrame, down: DataFrame, by: list[str], bucket
     a = across.withColumn("_b", F.explode(F.sequence(cell(F.col("x0") - TOLERANCE), cell(F.col("x1") + TOLERANCE))))
     d = down.withColumn("_b", cell(F.col("x")))
     meet = F.col("x").between(F.col("x0") - TOLERANCE, F.col("x1") + TOLERANCE) & F.col("y").between(F.col("y0") - TOLERANCE, F.col("y1") + TOLERANCE)
-    return a.join(d, [*by, "_b"]).where(meet).select(*by, "h", "v", "x", "y")
+    return a.join(d.hint(MEET), [*by, "_b"]).where(meet).select(*by, "h", "v", "x", "y")
 
 
 def smallest_cells(points: DataFrame, by: list[str]) -> DataFrame:
@@ -28,32 +30,45 @@ def smallest_cells(points: DataFrame, by: list[str]) -> DataFrame:
     ruling below with which its own ruling across shares a further ruling down to the right, and of these the nearest. Rulings
     less than the tolerance away are no other rulings.
 
-    A round looks, for all open crossings at once, at some of the next rulings below: rulings down that two of them have are one
-    self-join on equal pages and rulings, and the next to the right is a window over each pair. Crossings without one go on
-    to four times as many rulings after that, so that a page of n rulings takes about log n rounds."""
+    A round looks, for all open crossings at once, at some of the next rulings below: those that are asked about one pair of rulings
+    across meet the rulings down of both as sorted numbers, one array each, so that a pair is one row. Crossings without a
+    cell go on to four times as many rulings after that, so that a page of n rulings takes about log n rounds.
+
+    All joins are dealt by their keys (MEET): staged tables are far larger in memory than as files, by which Spark takes
+    them for small ones."""
     points = staged(points.dropDuplicates([*by, "h", "v"]), "crossings")
-    below = Window.partitionBy(*by, "v").orderBy(F.desc("y"), "h")
-    ranked = staged(points.withColumn("nth", F.row_number().over(below)), "crossings")
+    on_page = ", ".join(f"`{c}`" for c in by)
+    # rulings down of a page by number from the left, with the number of the first that is far enough to the right
+    columns = points.groupBy(*by, "v").agg(F.min("x").cast("double").alias("vx")).withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("vx", "v")))
+    right = F.expr(f"min(r) OVER (PARTITION BY {on_page} ORDER BY vx RANGE BETWEEN {TOLERANCE}D FOLLOWING AND UNBOUNDED FOLLOWING)")
+    columns = staged(columns.withColumn("right", right), "rulings-down")
+    down = Window.partitionBy(*by, "v").orderBy(F.desc("y"), "h")
+    lower = F.expr(f"count(*) OVER (PARTITION BY {on_page}, v ORDER BY -CAST(y AS DOUBLE) RANGE BETWEEN {TOLERANCE}D FOLLOWING AND UNBOUNDED FOLLOWING)")
+    n = F.count("*").over(Window.partitionBy(*by, "v"))
+    ranked = points.withColumns({"nth": F.row_number().over(down), "n": n, "lower": lower})
+    ranked = staged(ranked.join(columns.hint(MEET), [*by, "v"]).withColumn("from", F.col("n") - F.col("lower") + 1), "crossings")
     under = ranked.select(*by, "v", F.col("nth").alias("at"), F.col("h").alias("h2"), F.col("y").alias("y2"))
-    same = ", ".join(f"`{c}`" for c in (*by, "h", "h2"))
-    open_, found, first, size = ranked, None, 1, 4
-    while True:
-        next_ = F.explode(F.sequence(F.col("nth") + first, F.col("nth") + first + size - 1)).alias("at")
-        tried = staged(open_.select("*", next_).join(under, [*by, "v", "at"]), "cells-tried")
-        if tried.isEmpty():
-            break
-        pairs = tried.where(F.col("y2") <= F.col("y") - TOLERANCE).select(*by, "h", "h2").distinct()
-        other = points.select(*by, F.col("h").alias("h2"), "v")
-        shared = points.select(*by, "h", "v", F.col("x").cast("double").alias("vx")).join(pairs, [*by, "h"]).join(other, [*by, "h2", "v"])
-        ahead = F.expr(f"min(struct(vx, v)) OVER (PARTITION BY {same} ORDER BY vx RANGE BETWEEN {TOLERANCE}D FOLLOWING AND UNBOUNDED FOLLOWING)")
-        nexts = shared.withColumn("r", ahead).where("r IS NOT NULL").select(*by, "h", "h2", "v", F.col("r.v").alias("v2"), F.col("r.vx").alias("x2"))
-        best = tried.join(nexts, [*by, "h", "h2", "v"]).groupBy(*by, "h", "v").agg(F.min(F.struct("at", "x", "y", "h2", "y2", "v2", "x2")).alias("c"))
-        hit = staged(best.select(*by, F.col("c.x").alias("x0"), F.col("c.y2").alias("y0"), F.col("c.x2").alias("x1"), F.col("c.y").alias("y1"), "h", "v", "c.h2", "c.v2"), "cells-found")
+    lines = staged(ranked.groupBy(*by, "h").agg(F.sort_array(F.collect_list("r")).alias("rs")), "rulings-across")
+    open_ = ranked.where(F.col("right").isNotNull() & (F.col("from") <= F.col("n"))).select(*by, "h", "v", "x", "y", "right", "from", "n")
+    found, first, size = None, 0, 4
+    while not open_.isEmpty():
+        at = F.explode(F.sequence(F.col("from") + first, F.least(F.col("from") + first + size - 1, F.col("n")))).alias("at")
+        tried = open_.select(*by, "h", "v", "x", "y", "right", at).join(under.hint(MEET), [*by, "v", "at"])
+        pairs = tried.groupBy(*by, "h", "h2").agg(F.first("y").alias("y"), F.first("y2").alias("y2"), F.collect_list(F.struct("at", "v", "x", "right")).alias("asked"))
+        both = pairs.join(lines.hint(MEET), [*by, "h"]).join(lines.withColumnsRenamed({"h": "h2", "rs": "rs2"}).hint(MEET), [*by, "h2"])
+        both = both.select(*by, "h", "h2", "y", "y2", "asked", F.array_intersect("rs", "rs2").alias("shared"))
+        next_ = lambda a: F.struct(a["at"].alias("at"), a["v"].alias("v"), a["x"].alias("x"), F.array_min(F.filter("shared", lambda r: r >= a["right"])).alias("r"))
+        nexts = both.select(*by, "h", "h2", "y", "y2", F.explode(F.filter(F.transform("asked", next_), lambda a: a["r"].isNotNull())).alias("a")).select(*by, "h", "h2", "y", "y2", "a.*")
+        best = nexts.groupBy(*by, "h", "v").agg(F.min(F.struct("at", "x", "y", "h2", "y2", "r")).alias("c")).select(*by, "h", "v", "c.*")
+        best = best.join(columns.select(*by, "r", F.col("v").alias("v2"), F.col("vx").alias("x2")).hint(MEET), [*by, "r"])
+        hit = staged(best.select(*by, F.col("x").alias("x0"), F.col("y2").alias("y0"), F.col("x2").alias("x1"), F.col("y").alias("y1"), "h", "v", "h2", "v2"), "cells-found")
         found = hit if found is None else found.unionByName(hit)
-        # a crossing with rulings left to look at has met all of this round's
-        more = tried.where(F.col("at") == F.col("nth") + first + size - 1)
-        open_ = staged(more.select(ranked.columns).join(hit.select(*by, "h", "v"), [*by, "h", "v"], "left_anti"), "cells-open")
         first, size = first + size, 4 * size
+        more = open_.where(F.col("from") + first <= F.col("n"))
+        was, open_ = open_, staged(more.join(hit.select(*by, "h", "v").hint(MEET), [*by, "h", "v"], "left_anti"), "cells-open")
+        if size > 16:
+            discard(was)
+    discard(ranked, columns, lines)
     if found is None:
         none = [F.lit(None).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
         return points.where("false").select(*by, *none, "h", "v", F.col("h").alias("h2"), F.col("v").alias("v2"))
@@ -79,13 +94,13 @@ def grids(cells: DataFrame, by: list[str]) -> DataFrame:
     ends = cells.select("cell", F.explode(F.array(corner("h", "v"), corner("h2", "v2"), corner("h2", "v"), corner("h", "v2"))).alias("corner"))
     edges = ends.withColumn("b", F.min("cell").over(Window.partitionBy("corner"))).select(F.col("cell").alias("a"), "b").distinct()
     of = layout.components(edges).select(F.col("node").alias("cell"), F.col("component").alias("grid"))
-    rows = staged(cells.join(of, "cell"), "grid-cells")
+    rows = staged(cells.join(of.hint(MEET), "cell"), "grid-cells")
     key = [*by, "grid"]
     ends_of = lambda a, b, name: rows.select(*key, F.col(a).alias(name)).unionByName(rows.select(*key, F.col(b).alias(name)))
     xs, ys = _snapped(ends_of("x0", "x1", "x"), key, "x", "i", False), _snapped(ends_of("y0", "y1", "y"), key, "y", "i", True)
     at = lambda side, line, value, name: side.select(*key, F.col(value).alias(line), F.col("i").alias(name))
     for side, line, value, name in ((xs, "x0", "x", "col"), (xs, "x1", "x", "col2"), (ys, "y1", "y", "row"), (ys, "y0", "y", "row2")):
-        rows = rows.join(at(side, line, value, name), [*key, line])
+        rows = rows.join(at(side, line, value, name).hint(MEET), [*key, line])
     w = Window.partitionBy(*key)
     rows = rows.where("col2 > col AND row2 > row").withColumns({"n": F.count("*").over(w), "columns": F.max("col2").over(w)})
     return rows.where("n >= 2 AND columns >= 2").select(*key, "row", "col", (F.col("row2") - F.col("row")).alias("rs"), (F.col("col2") - F.col("col")).alias("cs"), "x0", "y0", "x1", "y1")
@@ -99,13 +114,13 @@ def whole_tables(cells: DataFrame, words: DataFrame, by: list[str], bucket: floa
     band = lambda c: F.floor(c / bucket)
     box = box.withColumn("_b", F.explode(F.sequence(band(F.col("gy0")), band(F.col("gy1")))))
     words = words.withColumn("_w", F.monotonically_increasing_id())
-    w = staged(words.withColumn("_b", band(F.col("y"))).join(box, [*by, "_b"]).where(F.col("y").between(F.col("gy0") + 1, F.col("gy1") - 1)), "grid-words")
+    w = staged(words.withColumn("_b", band(F.col("y"))).join(box.hint(MEET), [*by, "_b"]).where(F.col("y").between(F.col("gy0") + 1, F.col("gy1") - 1)), "grid-words")
     within = F.col("x").between(F.col("gx0") - 1, F.col("gx1") + 1)
     cells_b = cells.withColumn("_b", F.explode(F.sequence(band(F.col("y0") - 1), band(F.col("y1") + 1)))).select(*key, "_b", *(F.col(c).alias(f"c{c}") for c in ("x0", "y0", "x1", "y1")))
     in_cell = F.col("x").between(F.col("cx0") - 1, F.col("cx1") + 1) & F.col("y").between(F.col("cy0") - 1, F.col("cy1") + 1)
-    held = w.where(within).join(cells_b, [*key, "_b"]).where(in_cell).select(*key, "_w").distinct().withColumn("held", F.lit(True))
+    held = w.where(within).join(cells_b.hint(MEET), [*key, "_b"]).where(in_cell).select(*key, "_w").distinct().withColumn("held", F.lit(True))
     near = F.when(F.col("x") < F.col("gx0"), F.col("gx0") - F.col("wx1")).otherwise(F.col("wx0") - F.col("gx1")) < BESIDE
-    kinds = w.withColumnsRenamed({"x0": "wx0", "x1": "wx1"}).join(held, [*key, "_w"], "left")
+    kinds = w.withColumnsRenamed({"x0": "wx0", "x1": "wx1"}).join(held.hint(MEET), [*key, "_w"], "left")
     count = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0)).cast("long")
     sums = kinds.groupBy(*key).agg(count(F.col("held").isNotNull()).alias("inside"), count(within & F.col("held").isNull()).alias("loose"), count(~within & near).alias("beside"))
     return sums.where("inside > 0 AND (beside + loose) * 10 <= inside")

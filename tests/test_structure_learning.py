@@ -225,6 +225,23 @@ def grid_points(rng, n=9):
     return [(h, 100 + v, x, y) for h, y in enumerate(ys) for v, x in enumerate(xs) if rng.random() < 0.8]
 
 
+def broadcasts(spark, act):
+    """How many executed plans of an action send a table to all tasks by way of the driver."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen = store.executionsCount()
+    act()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList()
+    return sum("BroadcastExchange" in runs.apply(i).physicalPlanDescription() for i in range(seen, runs.size()))
+
+
+def test_grid_joins_are_dealt_by_keys(spark):
+    rng = random.Random(31)
+    points = [(p, *x) for p in range(3) for x in grid_points(rng)]
+    frame = spark.createDataFrame(points, "page long, h long, v long, x double, y double")
+    assert broadcasts(spark, lambda: grid.smallest_cells(frame, ["page"]).write.format("noop").mode("overwrite").save()) == 0
+
+
 def test_grid_cells_match_brute_force(spark):
     rng = random.Random(6)
     pages = [grid_points(rng) for _ in range(4)]
