@@ -112,11 +112,11 @@ def components(edges: DataFrame) -> DataFrame:
     ways = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     now = staged(ways.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
     while True:
-        near = ways.join(now.select(F.col("node").alias("b"), "component"), "b").select(F.col("a").alias("node"), "component")
+        near = ways.join(now.select(F.col("node").alias("b"), "component").hint("merge"), "b").select(F.col("a").alias("node"), "component")
         new = near.unionByName(now).groupBy("node").agg(F.min("component").alias("component"))
         jump = new.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = new.join(jump, "component").select("node", F.col("next").alias("component"))
-        new = staged(new.join(now.select("node", F.col("component").alias("was")), "node"), "labels")
+        new = new.join(jump.hint("merge"), "component").select("node", F.col("next").alias("component"))
+        new = staged(new.join(now.select("node", F.col("component").alias("was")).hint("merge"), "node"), "labels")
         now = new.select("node", "component")
         if new.where("component <> was").isEmpty():
             return now

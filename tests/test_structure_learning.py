@@ -242,6 +242,15 @@ def test_grid_joins_are_dealt_by_keys(spark):
     assert broadcasts(spark, lambda: grid.smallest_cells(frame, ["page"]).write.format("noop").mode("overwrite").save()) == 0
 
 
+def test_grids_and_tables_are_dealt_by_keys(spark):
+    rng = random.Random(32)
+    points = [(p, *x) for p in range(3) for x in grid_points(rng)]
+    cells = grid.smallest_cells(spark.createDataFrame(points, "page long, h long, v long, x double, y double"), ["page"])
+    words = spark.createDataFrame([(p, x + 5.0, x + 5.0, x + 4.0, x + 6.0) for p in range(3) for x in range(0, 90, 7)], "page long, x double, y double, x0 double, x1 double")
+    act = lambda: grid.whole_tables(grid.grids(cells, ["page"]), words, ["page"]).write.format("noop").mode("overwrite").save()
+    assert broadcasts(spark, act) == 0
+
+
 def test_grid_cells_match_brute_force(spark):
     rng = random.Random(6)
     pages = [grid_points(rng) for _ in range(4)]
