@@ -8,9 +8,9 @@ import types
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.staging import discard, shared_dir, staged
+from ..functions.staging import discard, session_conf, shared_dir, staged
 
-__all__ = ["SPACE", "SPACE_CHARS", "ascii_lower", "discard", "free_name", "partitions", "shared_dir", "staged", "worker_cache"]
+__all__ = ["SPACE", "SPACE_CHARS", "ascii_lower", "discard", "free_name", "give_back", "partitions", "session_conf", "shared_dir", "staged", "worker_cache"]
 
 #: The white space of all contracts, as a character class body of a Java or RE2 regular expression.
 SPACE = r"\x20\x09-\x0D"

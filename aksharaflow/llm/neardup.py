@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, worker_cache
+from .common import give_back, session_conf, staged, worker_cache
 
 #: Words whose hashes a worker keeps.
 CACHE = 100_000
@@ -18,6 +18,8 @@ CACHE = 100_000
 HASHES = 64
 #: Shingles after which a task hands on the sets it has.
 FLUSH = 200_000
+#: Bytes of texts that Spark hands to a task at once: the batch is held by the executor and by its Python worker.
+BATCH = "8m"
 #: Members of a node that tell where its middle is, on average.
 SAMPLE = 32
 #: Classes of the members of a node, each of which has a centre.
@@ -124,6 +126,8 @@ def shingle_sets(docs: DataFrame, s: Settings) -> DataFrame:
                 if held >= FLUSH or i + 1 == batch.num_rows:
                     yield made(batch.column(0)[first : i + 1].cast(pa.int64()), sets, sigs, bits)
                     first, held, sets, sigs, bits = i + 1, 0, [], [], []
+            del batch  # the next one comes while this one would be held
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, sig array<int>, s1 long, s2 long, set array<long>")
 
@@ -305,7 +309,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     are one document, linked by any of its texts; rows without an id are kept and linked with nothing. Texts of any
     length are read whole. Other columns are ignored, whatever their names. An empty table gives no rows."""
     s = settings
-    all_ = staged(shingle_sets(docs, s).withColumn("rid", F.monotonically_increasing_id()), "shingle-sets", "snappy", **{"parquet.enable.dictionary": "false", "parquet.block.size": str(1 << 25)})
+    with session_conf(docs.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH}):
+        all_ = staged(shingle_sets(docs, s).withColumn("rid", F.monotonically_increasing_id()), "shingle-sets", "snappy", **{"parquet.enable.dictionary": "false", "parquet.block.size": str(1 << 25)})
     usable = all_.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     reps = usable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("rid", "n", "sig", "s1", "s2")).alias("r")).select("digest", "doc_id", "r.rid", F.col("r.n").cast("int").alias("n"), "r.sig", "r.s1", "r.s2")
     reps, sets, comps = staged(reps, "shingle-reps"), all_.select("rid", "set"), None

@@ -241,3 +241,14 @@ def test_near_odd_rows(spark):
 def test_components_of_a_chain(spark):
     edges = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert neardup.components(edges).select("comp").distinct().count() == 1
+
+
+def test_shingles_come_from_small_batches(spark, monkeypatch):
+    """An executor and its worker hold a batch of texts each: it is bounded by bytes, and the session's own setting comes back."""
+    seen, key = [], "spark.sql.execution.arrow.maxBytesPerBatch"
+    real = neardup.staged
+    monkeypatch.setattr(neardup, "staged", lambda df, name, *a, **k: (seen.append((name, spark.conf.get(key))), real(df, name, *a, **k))[1])
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs).collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert dict(seen)["shingle-sets"] == neardup.BATCH and dict(seen)["pairs"] == before == spark.conf.get(key)
