@@ -24,3 +24,26 @@ def test_key_lines_have_no_window_over_tokens(spark):
         keytext.staged = was
     assert "Window" not in made["key-lines"]._jdf.queryExecution().executedPlan().toString()
     assert {r["item"]: r["text"] for r in out.collect()}[0] == "खास ९ जना"
+
+
+def test_files_of_one_name_are_told_before_windows_meet_them(spark):
+    from aksharaflow.operators import evidence
+
+    files = spark.createDataFrame([(f"/a/{k}.pdf", "(Report)" if k % 3 else "(Other)", None if k == 11 else k % 9) for k in range(30)], "path string, title string, changed long")
+    windows = spark.createDataFrame([(k, "Report - Google Chrome" if k % 2 else "other") for k in range(20)], "window_id long, title string")
+    out = evidence.files_of_windows(windows, files)
+    assert {(r["window_id"], r["path"]) for r in out.collect()} == {(k, "/a/17.pdf" if k % 2 else "/a/15.pdf") for k in range(20)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].count("Window [row_number()") == 1  # below the join
+
+
+def test_words_of_a_layer_are_not_shuffled(spark):
+    from aksharaflow.operators import extracted
+
+    lines = [(1, 0, "घरल] (क6ा3), «बा6» काा"), (1, 1, None), (1, 2, ""), (1, 3, "plain 6  text"), (None, 4, " बा6 ")]
+    frame = spark.createDataFrame(lines, "doc_id long, item long, text string")
+    lexicon = spark.createDataFrame([(w,) for w in ("का", "घर", "बाट", "कटाघ")], "word string")
+    got = extracted.repair_lines(frame, lexicon)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    want = extracted.repair_lines(frame, lexicon, spark.createDataFrame([], "doc_id long, word string"))
+    assert sorted(map(str, got.where("doc_id = 1").collect())) == sorted(map(str, want.where("doc_id = 1").collect()))
+    assert {r["item"]: r["text"] for r in got.collect()}[0].endswith("का")
