@@ -61,6 +61,8 @@ def files_of_windows(windows: DataFrame, files: DataFrame) -> DataFrame:
     that no file fits has no row. Windows and files meet on the name."""
     stem = F.lower(F.trim(F.regexp_replace(F.regexp_extract("path", r"[^/\\]*$", 0), r"\.[^.]*$", "")))
     named = files.select("path", "changed", F.explode(F.array(stem, F.lower(metadata_title(F.col("title"))))).alias("name"))
+    newest = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("changed"), "path"))
+    named = named.withColumn("r", newest).where("r = 1").drop("r")  # before windows meet it: as many of one name would meet each of these files
     met = windows.select("window_id", window_name(F.col("title")).alias("name")).where(F.char_length("name") >= 3).join(named, "name")
     first = F.row_number().over(Window.partitionBy("window_id").orderBy(F.desc("changed"), "path"))
     return met.withColumn("r", first).where("r = 1").select("window_id", "path")
