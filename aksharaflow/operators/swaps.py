@@ -67,18 +67,17 @@ def only_readings(words: DataFrame, swaps: DataFrame, lexicon: DataFrame, width:
 def drawn_swaps(words: DataFrame) -> DataFrame:
     """word, src, dst: substitutions that drawing suggests for words in the order on screen: of three, two letters and a sign
     beneath, the sign may belong to the first; of two letters, the first may be an i-sign, or the second, if it is the
-    same, a reph. A letter behind a virama is part of a conjunct and isn't taken apart."""
-    c, below = "[क-हक़-य़]", "[ुूृ]"
-    chars = F.filter(F.split("word", ""), lambda x: x != "")
-    is_letter = lambda x: x.rlike(f"^{c}$")
-    at = lambda i: F.get("cs", i)
-    pair = lambda src, dst: F.struct(F.concat(*src).alias("src"), F.concat(*dst).alias("dst"))
-    free = lambda i: (i == 0) | (at(i - 1) != "्")
-    two = lambda i: is_letter(at(i)) & is_letter(at(i + 1))
-    of = lambda i: F.array_compact(F.array(
-        F.when(two(i) & at(i + 2).rlike(f"^{below}$"), pair([at(i), at(i + 1), at(i + 2)], [at(i), at(i + 2), at(i + 1)])),
-        F.when(two(i) & free(i) & (at(i) == at(i + 1)), pair([at(i), at(i + 1)], [at(i), F.lit(REPH_MARK)])),
-        F.when(two(i) & free(i), pair([at(i), at(i + 1)], [F.lit("ि"), at(i + 1)])),
-    ))
-    rows = words.select("word").distinct().withColumn("cs", chars).where(F.size("cs") > 1)
-    return rows.select("word", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("cs") - 2), of)))).alias("s")).select("word", "s.src", "s.dst")
+    same, a reph. A letter behind a virama is part of a conjunct and isn't taken apart.
+
+    Patterns that look ahead find the places, overlapping ones too, in one pass each. Outer explode: an inner one lets
+    Spark filter by the array's size first, and so make every array twice."""
+    c, below = "[क-ह\u0958-\u095f]", "[ुूृ]"
+    places = lambda pattern: F.regexp_extract_all("word", F.lit(pattern), 1)
+    at = lambda x, i: F.substring(x, i, 1)
+    swaps = lambda pattern, dst: F.transform(places(pattern), lambda x: F.struct(x.alias("src"), F.concat(*dst(x)).alias("dst")))
+    each = F.concat(
+        swaps(f"(?=({c}{c}{below}))", lambda x: [at(x, 1), at(x, 3), at(x, 2)]),
+        swaps(f"(?<!्)(?=(({c})\\2))", lambda x: [at(x, 1), F.lit(REPH_MARK)]),
+        swaps(f"(?<!्)(?=({c}{c}))", lambda x: [F.lit("ि"), at(x, 2)]),
+    )
+    return words.select("word").distinct().select("word", F.explode_outer(F.array_distinct(each)).alias("s")).where("s IS NOT NULL").select("word", "s.src", "s.dst")

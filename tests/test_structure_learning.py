@@ -383,6 +383,14 @@ def test_swaps_that_drawing_suggests(spark):
         assert got.get(w, set()) == want
 
 
+def test_drawn_swaps_converts_distinct_runs(spark, tmp_path):
+    from aksharaflow.plans.learning_queries import drawn_swaps
+
+    spark.createDataFrame([(i, "s/ky sfd s/ky") for i in range(50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = drawn_swaps(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(text" not in plan  # conversion isn't fused with what reads the texts
+
+
 # ---- places of lines
 
 
