@@ -1,14 +1,16 @@
-"""The tag tree of a document: what each piece of marked content belongs to, by jumps toward the root."""
+"""The tag tree of a document: what each piece of marked content belongs to, read from the root down."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from ..functions.staging import discard, staged
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Fixed values of the tag standard: headings and their levels, other tags that begin a block, and the rest.
 HEADINGS = {"H": 2, "H1": 1, "H2": 2, "H3": 3, "H4": 4, "H5": 5, "H6": 6, "Title": 1}
@@ -18,54 +20,94 @@ STRUCTURE = (
     "Ruby", "Warichu", "NonStruct", "Private",
 )
 STANDARD = (*HEADINGS, *BLOCKS, *STRUCTURE)
-
-
-def standard_tags(elements: DataFrame, roles: DataFrame) -> DataFrame:
-    """elements (doc_id, tag, ...) with tag as the standard tag that roles (doc_id, tag, means) lead to in up to six steps, or the
-    last one met. A document's few distinct tags are followed: two steps, then four, then both."""
-    one = roles.where(~F.col("tag").isin(*STANDARD)).groupBy("doc_id", "tag").agg(F.min("means").alias("means"))
-    names = elements.select("doc_id", "tag").unionByName(roles.select("doc_id", F.col("means").alias("tag"))).distinct()
-    step = staged(names.join(one, ["doc_id", "tag"], "left").select("doc_id", "tag", F.coalesce("means", "tag").alias("to")), "roles")
-    then = lambda f, g: f.join(g.select("doc_id", F.col("tag").alias("to"), F.col("to").alias("next")), ["doc_id", "to"]).select("doc_id", "tag", F.col("next").alias("to"))
-    two = staged(then(step, step), "roles")
-    six = then(then(two, two), two)
-    return elements.join(six, ["doc_id", "tag"]).withColumn("tag", F.col("to")).drop("to")
-
-
-#: Elements from the root down to content, at most.
-DEEPEST = 120
-#: What an element hands down unless a nearer one has its own: page, block, heading level, table, row and cell (ids of elements).
-_INHERITED = ("page", "block", "level", "tbl", "tr", "td")
-#: Row of a table that hasn't begun one: hides the row of a table around it.
-_NO_ROW = -1
-
-
-def inherited(elements: DataFrame) -> DataFrame:
-    """elements (doc_id, id, parent, seq, tag, page) that hang on a root (parent null), with block, level, tbl, tr, td as handed down
-    by the nearest element that has them, itself included, page alike, and path: the seqs from the root on, by which elements sort
-    in document order.
-
-    Each round joins every element with the one its pointer leads to, takes what that one knows and its pointer, and so doubles
-    the known part: a tree of depth 30 takes five rounds. Elements that lead into a cycle, to a parent that isn't there, or more than
-    about DEEPEST steps from their root never reach one and have no row. Of elements with one id the first counts."""
-    own = lambda tags, value: F.when(F.col("tag").isin(*tags), value)
-    level = F.create_map(*[F.lit(x) for kv in HEADINGS.items() for x in kv])
-    row = F.when(F.col("tag") == "TR", F.col("id")).when(F.col("tag") == "Table", F.lit(_NO_ROW))
-    first = elements.where("id IS NOT NULL").groupBy("doc_id", "id").agg(F.min(F.struct("seq", "parent", "tag", "page")).alias("e")).select("doc_id", "id", "e.*")
-    now = staged(first.select(
-        "doc_id", "id", "seq", "tag", F.col("parent").alias("up"), "page", own((*HEADINGS, *BLOCKS), F.col("id")).alias("block"), F.try_element_at(level, F.col("tag")).alias("level"),
-        own(("Table",), F.col("id")).alias("tbl"), row.cast("long").alias("tr"), own(("TD", "TH"), F.col("id")).alias("td"), F.array("seq").alias("path"),
-    ), "elements")
-    for _ in range(DEEPEST.bit_length()):
-        if now.where("up IS NOT NULL").isEmpty():
-            break
-        over = now.select("doc_id", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), *(F.col(c).alias(f"_{c}") for c in _INHERITED))
-        both = now.where("up IS NOT NULL").join(over, ["doc_id", "up"])
-        moved = both.select("doc_id", "id", "seq", "tag", F.col("_up").alias("up"), *(F.coalesce(c, f"_{c}").alias(c) for c in _INHERITED), F.concat("_path", "path").alias("path"))
-        new = staged(now.where("up IS NULL").select(moved.columns).unionByName(moved), "elements")
-        discard(now)
-        now = new
-    return now.where("up IS NULL").drop("up", "seq")
+_STANDARD_TAGS, _BLOCK_TAGS, _CELL_TAGS = frozenset(STANDARD), frozenset((*HEADINGS, *BLOCKS)), frozenset(("TD", "TH"))
+#: Rows of a result that a task holds before it hands them on.
+HANDED_ON = 20_000
+#: Steps from the root down to an element, at most.
+DEEPEST = 127
+#: Steps of roles that a tag is followed, at most.
+ROLE_STEPS = 6
+#: Sorts before every number: a null.
+_NULL = -(1 << 63) - 1
+
+
+def _standard(tag: str, means: dict[str, str]) -> str:
+    """The standard tag that roles lead to, or the last one met."""
+    for _ in range(ROLE_STEPS):
+        tag = means.get(tag, tag)
+    return tag
+
+
+def _known(elements: dict[int, tuple]) -> dict[int, tuple | None]:
+    """id: (path, tag, page, block, level, tbl, tr, td) of elements (id: seq, parent, tag, page) that hang on a root (parent _NULL),
+    None for others. What follows tag is handed down unless a nearer element has its own; a table hides the row around it. path:
+    the seqs from the root on, by which elements sort in document order. Elements that lead into a cycle, to a parent that isn't
+    there, or more than DEEPEST steps from their root hang on none."""
+    known: dict[int, tuple | None] = {}
+    for i in elements:
+        up: list[int] = []
+        while i in elements and i not in known:
+            known[i] = None  # what leads back to itself meets this
+            up.append(i)
+            i = elements[i][1]
+        at = ((), "", _NULL, _NULL, _NULL, _NULL, _NULL, _NULL) if i == _NULL else known.get(i)
+        while up and at is not None:
+            i = up.pop()
+            seq, _, tag, own = elements[i]
+            path, _, page, block, level, tbl, tr, td = at
+            if len(path) > DEEPEST:
+                break
+            page = page if own == _NULL else own
+            level = HEADINGS.get(tag, level)
+            if tag in _BLOCK_TAGS:
+                block = i
+            if tag == "Table":
+                tbl, tr = i, _NULL
+            elif tag == "TR":
+                tr = i
+            elif tag in _CELL_TAGS:
+                td = i
+            at = known[i] = ((*path, seq), tag, page, block, level, tbl, tr, td)
+    return known
+
+
+def _cells(tree: list[tuple[tuple, int, tuple]]) -> dict[int, tuple[int, int, int]]:
+    """id: (tbl, row, cell), row and cell numbered from 0 in document order, of the cells of a tree in that order. A cell counts for
+    the nearest table above it. A row sorts by where it begins: its own element, or the cell's if it has none."""
+    rows, cells, trs = {}, [], {i: path for path, i, e in tree if e[1] == "TR"}
+    for path, i, (_, tag, _, _, _, tbl, tr, _) in tree:
+        if tbl != _NULL and (tag == "TR" or tag in _CELL_TAGS):
+            at = path if tag == "TR" else trs.get(tr, path)
+            rows.setdefault(tbl, set()).add(at)
+            if tag != "TR":
+                cells.append((i, tbl, at))
+    number = {(tbl, at): n for tbl, ats in rows.items() for n, at in enumerate(sorted(ats))}
+    seen, out = Counter(), {}
+    for i, tbl, at in cells:
+        row = number[tbl, at]
+        out[i] = tbl, row, seen[tbl, row]
+        seen[tbl, row] += 1
+    return out
+
+
+def _document(elements: dict[int, tuple], content: list[tuple]) -> Iterator[tuple]:
+    """page, mcid, block, level, tbl, row, cell of the content (parent, seq, page, mcid) of one document."""
+    known = _known(elements)
+    tree = sorted((e[0], i, e) for i, e in known.items() if e is not None)
+    blocks = {i: n for n, i in enumerate((i for _, i, e in tree if e[1] in _BLOCK_TAGS), 1)}
+    tables = {i: n for n, i in enumerate(i for _, i, e in tree if e[1] == "Table")}
+    cells, last = _cells(tree), {}
+    for parent, seq, page, mcid in content:
+        e = known.get(parent)
+        if e is not None and mcid is not None:
+            page = e[2] if page is None else page
+            if page != _NULL:
+                key, at = (page, mcid), ((*e[0], _NULL if seq is None else seq), e[3], e[4], e[7])
+                if key not in last or last[key] < at:
+                    last[key] = at
+    for (page, mcid), (_, block, level, td) in last.items():
+        tbl, row, cell = cells.get(td, (None, None, None))
+        yield page, mcid, blocks.get(block, 0), max(level, 0), tables.get(tbl), row, cell
 
 
 def marked_content(elements: DataFrame, content: DataFrame, roles: DataFrame) -> DataFrame:
@@ -74,30 +116,50 @@ def marked_content(elements: DataFrame, content: DataFrame, roles: DataFrame) ->
     elements: (doc_id, id, parent, seq, tag, page); roles: (doc_id, tag, means). Blocks and tables are numbered in document order,
     rows in their table and cells in their row; block and level are 0 outside of any, tbl, row and cell null outside of a cell.
     Content without a page takes that of the nearest element around it, and is left out if none has one. A cell outside of
-    a row is a row of its own. Of content named twice the last counts. Null or unknown tags are elements without a meaning."""
-    tree = staged(inherited(standard_tags(elements.withColumn("tag", F.coalesce("tag", F.lit(""))), roles)), "tag-tree")
-    order = lambda *by: Window.partitionBy("doc_id", *by).orderBy("path")
-    blocks = tree.where(F.col("block") == F.col("id")).select("doc_id", F.col("id").alias("block"), F.row_number().over(order()).alias("block_no"))
-    tables = tree.where(F.col("tag") == "Table").select("doc_id", F.col("id").alias("tbl"), (F.row_number().over(order()) - 1).alias("tbl_no"))
-    cells = _cells(tree).select("doc_id", F.col("id").alias("td"), F.col("tbl").alias("cell_tbl"), "row", "cell")
-    c = content.select("doc_id", F.col("parent").alias("id"), F.col("seq").alias("_seq"), F.col("page").alias("_page"), "mcid")
-    rows = c.join(tree, ["doc_id", "id"]).select("doc_id", F.coalesce("_page", "page").alias("page"), "mcid", "block", "level", "td", F.concat("path", F.array("_seq")).alias("path")).where("page IS NOT NULL AND mcid IS NOT NULL")
-    last = rows.groupBy("doc_id", "page", "mcid").agg(F.max(F.struct("path", "block", "level", "td")).alias("l")).select("doc_id", "page", "mcid", "l.block", "l.level", "l.td")
-    found = last.join(blocks, ["doc_id", "block"], "left").join(cells, ["doc_id", "td"], "left").join(tables.withColumnRenamed("tbl", "cell_tbl"), ["doc_id", "cell_tbl"], "left")
-    return found.select("doc_id", "page", "mcid", F.coalesce("block_no", F.lit(0)).alias("block"), F.coalesce("level", F.lit(0)).alias("level"), F.col("tbl_no").alias("tbl"), "row", "cell")
-
-
-def _cells(tree: DataFrame) -> DataFrame:
-    """The cells of a tree with row and cell, numbers from 0 in document order. A cell counts for the nearest table above it."""
-    cells = tree.where(F.col("tag").isin("TD", "TH") & F.col("tbl").isNotNull())
-    # a row sorts by where it begins: its own element, or the cell's if it has none
-    rows = tree.where(F.col("tag") == "TR").select("doc_id", F.col("id").alias("tr"), F.col("path").alias("at"))
-    cells = cells.join(rows, ["doc_id", "tr"], "left").withColumn("at", F.coalesce("at", "path"))
-    begun = tree.where((F.col("tag") == "TR") & F.col("tbl").isNotNull()).select("doc_id", "tbl", F.col("path").alias("at"))
-    every = begun.unionByName(cells.select("doc_id", "tbl", "at")).distinct()
-    numbers = every.select("doc_id", "tbl", "at", (F.row_number().over(Window.partitionBy("doc_id", "tbl").orderBy("at")) - 1).alias("row"))
-    cells = cells.join(numbers, ["doc_id", "tbl", "at"])
-    return cells.withColumn("cell", F.row_number().over(Window.partitionBy("doc_id", "tbl", "row").orderBy("path")) - 1)
+    a row is a row of its own. Of elements with one id the first counts, of content named twice the last. Null or unknown
+    tags are elements without a meaning. Equal places in a document are told apart by id.
+
+    Rows are dealt out by document, once, and a stream over them holds the tree of one document at a time."""
+    kind, longs = lambda n: F.lit(n).alias("kind"), "id parent seq page".split()
+    whole = lambda rows, **more: rows.select("doc_id", *[more.get(c, F.lit(None)).cast("long").alias(c) for c in longs], *[more.get(c, F.lit(None)).cast("string").alias(c) for c in ("tag", "means")], kind(more["n"]))
+    col = F.col
+    rows = whole(roles, tag=col("tag"), means=col("means"), n=0)
+    rows = rows.unionByName(whole(elements.where("id IS NOT NULL"), id=col("id"), parent=col("parent"), seq=col("seq"), page=col("page"), tag=col("tag"), n=1))
+    rows = rows.unionByName(whole(content, id=col("mcid"), parent=col("parent"), seq=col("seq"), page=col("page"), n=2))
+    doc_type = elements.schema["doc_id"].dataType.simpleString()
+    ddl = f"doc_id {doc_type}, page long, mcid long, block int, level int, tbl int, row int, cell int"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    null = lambda x: _NULL if x is None else x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        at, means, tags, held, parts = None, {}, {}, {}, []
+        for batch in batches:
+            for doc, id_, parent, seq, page, tag, to, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if doc != at:
+                    out += [(at, *x) for x in _document(held, parts)]
+                    at, means, tags, held, parts = doc, {}, {}, {}, []
+                    if len(out) >= HANDED_ON:
+                        yield made()
+                        out = []
+                if n == 0:
+                    if tag is not None and to is not None and tag not in _STANDARD_TAGS:
+                        means[tag] = min(to, means.get(tag, to))
+                elif n == 1:
+                    tag = tag or ""
+                    if tag not in tags:
+                        tags[tag] = _standard(tag, means)
+                    e = (null(seq), null(parent), tags[tag], null(page))
+                    if id_ not in held or e < held[id_]:
+                        held[id_] = e
+                else:
+                    parts.append((parent, seq, page, id_))
+        out += [(at, *x) for x in _document(held, parts)]
+        if out:
+            yield made()
+
+    return rows.where("doc_id IS NOT NULL").repartition("doc_id").sortWithinPartitions("doc_id", "kind").mapInArrow(run, ddl)
 
 
 def placed_with_spans(cells: DataFrame, table_col: str = "tbl") -> DataFrame:

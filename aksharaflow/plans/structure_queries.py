@@ -17,18 +17,16 @@ def tagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("ln")).distinct().join(orders, "k")
     at, none = F.col("k") * 100 + 100, F.lit(None).cast("long")
 
-    def element(rows: DataFrame, id_, parent, seq, tag: str, page=none) -> DataFrame:
-        return rows.select("doc_id", id_.cast("long").alias("id"), parent.cast("long").alias("parent"), seq.cast("long").alias("seq"), F.lit(tag).alias("tag"), page.cast("long").alias("page"))
+    def elements_of(rows: DataFrame, *each: tuple) -> DataFrame:
+        """Elements (id, parent, seq, tag, page) for each row, which is read once."""
+        kinds = {"id": "long", "parent": "long", "seq": "long", "tag": "string", "page": "long"}
+        one = lambda e: F.struct(*[(F.lit(v) if n == "tag" else v).cast(t).alias(n) for (n, t), v in zip(kinds.items(), e, strict=True)])
+        return rows.select("doc_id", F.explode(F.array(*map(one, each))).alias("e")).select("doc_id", "e.*")
 
     row = at + 10 + F.col("ln") * 10
-    parts = [
-        element(orders.select("doc_id").distinct(), F.lit(0), none, F.lit(0), "Document"), element(orders, at, F.lit(0), F.col("k"), "Sect", F.col("k") % 50),
-        element(orders, at + 1, at, F.lit(0), "Heading"), element(orders, at + 2, at, F.lit(1), "Table"), element(orders, at + 3, at, F.lit(2), "P"),
-        element(lines, row, at + 2, F.col("ln"), "Line"), element(lines, row + 1, row, F.lit(0), "TH"), element(lines, row + 2, row, F.lit(1), "TD"),
-    ]
-    elements = parts[0]
-    for p in parts[1:]:
-        elements = elements.unionByName(p)
+    elements = elements_of(orders.select("doc_id").distinct(), (F.lit(0), none, F.lit(0), "Document", none))
+    elements = elements.unionByName(elements_of(orders, (at, F.lit(0), F.col("k"), "Sect", F.col("k") % 50), (at + 1, at, F.lit(0), "Heading", none), (at + 2, at, F.lit(1), "Table", none), (at + 3, at, F.lit(2), "P", none)))
+    elements = elements.unionByName(elements_of(lines, (row, at + 2, F.col("ln"), "Line", none), (row + 1, row, F.lit(0), "TH", none), (row + 2, row, F.lit(1), "TD", none)))
     leaves = elements.where(F.col("tag").isin("Heading", "P", "TH", "TD"))
     content = leaves.select("doc_id", F.col("id").alias("parent"), F.lit(0).cast("long").alias("seq"), none.alias("page"), F.col("id").alias("mcid"))
     names = spark.createDataFrame([("Heading", "Head"), ("Head", "H2"), ("Line", "TR")], "tag string, means string")

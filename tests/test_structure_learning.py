@@ -190,6 +190,15 @@ def test_tag_trees_match_a_walk(spark):
     assert {tuple(r)[:3]: tuple(r)[3:] for r in got} == walked(elements, content, roles) and len(got) > 500
 
 
+def test_tag_trees_are_dealt_once_and_end_at_a_depth(spark):
+    deepest = tagtree.DEEPEST
+    elements = spark.createDataFrame([(1, i, i - 1 if i else None, 1, "P" if i else "Document", 7) for i in range(deepest + 3)], "doc_id long, id long, parent long, seq long, tag string, page long")
+    content = elements.select("doc_id", F.col("id").alias("parent"), F.lit(1).alias("seq"), F.lit(None).cast("long").alias("page"), F.col("id").alias("mcid"))
+    got = tagtree.marked_content(elements, content, spark.createDataFrame([], "doc_id long, tag string, means string"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r["mcid"]: r["block"] for r in got.collect()} == {i: i for i in range(deepest + 1)}
+
+
 def test_cells_with_row_spans(spark):
     rng = random.Random(5)
     cells = [(t, row, seq, rng.randint(0, 3), rng.randint(0, 3)) for t in range(20) for row in range(6) for seq in range(rng.randint(0, 5))]
