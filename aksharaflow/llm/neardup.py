@@ -26,6 +26,10 @@ SAMPLE = 32
 CENTRES = 4
 #: Columns of a member of a node: its id and component, the size of its set, its sketch.
 MEMBER = ["rid", "comp", "n", "s1", "s2"]
+#: One set in so many tells which tokens are common, those that COMMON of them have, the MOST_COMMON most frequent ones.
+ORDER_SAMPLE, COMMON, MOST_COMMON = 16, 32, 50_000
+#: Trees end when one set in so many, or fewer, are left in them: these take the exact path.
+LEFT = 16
 _ODD = np.random.default_rng(20240131).integers(0, 2**63, (3, HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -295,15 +299,59 @@ def _shared_ids(usable: DataFrame, reps: DataFrame) -> DataFrame:
     return of.join(first, "doc_id").select("a", F.col("rid").alias("b")).where("a < b").distinct()
 
 
+def _postings(sets: DataFrame, s: Settings) -> DataFrame:
+    """rid, token, at, n: the tokens of each set (rid, set) of which a similar set has one as well: the first n - ceil(n x
+    threshold) + 1 in an order that all sets share, in which tokens that are common in a sample come last. Any such order
+    is exact; this one keeps common tokens out of most sets."""
+    import pyarrow as pa
+
+    sample = sets.where(F.pmod(F.xxhash64("rid", F.lit(s.seed)), F.lit(ORDER_SAMPLE)) == 0).select(F.explode("set").alias("token"))
+    common = sample.groupBy("token").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(MOST_COMMON)
+    common = np.sort(np.array([r["token"] for r in common.collect()], np.int64))
+    percent = s.percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, first, values = batch.column(0).to_numpy(), batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+            parts, sizes = [], np.diff(first)
+            for i, n in enumerate(sizes):
+                x = values[first[i] : first[i + 1]]
+                late = np.isin(x, common)
+                parts.append(np.concatenate([x[~late], x[late]])[: n - -(-percent * n // 100) + 1])
+            each = np.fromiter(map(len, parts), np.int64, len(parts))
+            at = [np.arange(1, k + 1, dtype=np.int32) for k in each]
+            none = np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, each)), pa.array(np.concatenate([none, *parts])), pa.array(np.concatenate([none, *at]).astype(np.int32)), pa.array(np.repeat(sizes, each).astype(np.int32))], ["rid", "token", "at", "n"])
+
+    return sets.mapInArrow(run, "rid long, token long, at int, n int")
+
+
+def _rest_pairs(usable: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
+    """All pairs of sets that may be similar, of different components, one of which is marked rest in labels (rid, comp, rest):
+    they share a token of those that similar sets share, and neither their sizes nor what follows the token in each rules a
+    link out. Tokens of one component alone are left out, and members of a component meet only those of others."""
+    post = staged(_postings(usable.select("rid", "set"), s).join(labels, "rid"), "postings")
+    live = post.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rest").alias("any")).where("lo < hi AND any").select("token")
+    post = staged(post.join(live, "token", "left_semi"), "live-postings")
+    comps = post.groupBy("token", "comp").agg(F.max("rest").alias("rest"))
+    two = comps.where("rest").select("token", F.col("comp").alias("cx")).join(comps.select("token", F.col("comp").alias("cy")), "token").where("cx <> cy")
+    side = lambda c, rows: rows.select("token", F.col("comp").alias(f"c{c}"), F.col("rid").alias(c), F.col("at").alias(f"at_{c}"), F.col("n").alias(f"n_{c}"))
+    both = two.join(side("x", post.where("rest")), ["token", "cx"]).join(side("y", post), ["token", "cy"])
+    left = 1 + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    fits = (100 * F.least("n_x", "n_y") >= s.percent * F.greatest("n_x", "n_y")) & ((100 + s.percent) * left >= s.percent * (F.col("n_x") + F.col("n_y")))
+    return both.where(fits).select(*_pair(F.col("x"), F.col("y"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents with equal sets are one member. Each tree first splits the members by their minwise tokens at one position.
     In every node all members are compared with the node's pivots, the nearest by sketch first; nodes of at most leaf
     members are compared exhaustively, where that can still join components; larger ones branch by further tokens, with
-    representatives of what has joined, until no node is open. Sketches rule pairs out; every link is confirmed on full
-    sets. component_id is the smallest doc_id reachable over links; kept marks it. The pairs of a member are bounded by
-    leaf and pivots in each of its nodes, whatever the size of a group of copies.
+    representatives of what has joined, until few sets are left in open nodes. Sketches rule pairs out; every link is
+    confirmed on full sets. What trees don't follow to the end, all members of components and the sets left in open nodes,
+    then meets all sets of other components by an exact prefix join without sketches. component_id is the smallest doc_id reachable over links; kept marks it. In trees the pairs of a
+    member are bounded by leaf and pivots in each of its nodes, whatever the size of a group of copies.
 
     Null and empty texts, and texts of white space, have empty sets and are linked with nothing. Rows that share a doc_id
     are one document, linked by any of its texts; rows without an id are kept and linked with nothing. Texts of any
@@ -331,7 +379,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     step = max(1, HASHES // s.trees)
     roots = F.array(*[F.xxhash64(F.lit(t), F.element_at("sig", 1 + t * step % HASHES)) for t in range(s.trees)])
     rows = _labelled(reps.select(F.explode(roots).alias("node"), "rid", "n", "s1", "s2"), comps)
-    level = 0
+    level, all_reps, open_ = 0, reps.count(), None
     while True:
         members = _settle(rows, s)
         centres = staged(_centres(members, s), "centres")
@@ -345,6 +393,14 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
             break
         level += 1
         rows = staged(_children(_labelled(members.where("big"), comps), pivots, reps, s, level), "children")
+        if LEFT * rows.select("rid").distinct().count() <= all_reps:
+            open_ = rows.select("rid")
+            break
+    rest = [x for x in (open_, None if comps is None else comps.select("rid")) if x is not None]
+    if rest:
+        rest = rest[0] if len(rest) == 1 else rest[0].unionByName(rest[1])
+        labels = _labelled(reps.select("rid"), comps).join(rest.distinct().withColumn("rest", F.lit(True)), "rid", "left").withColumn("rest", F.coalesce("rest", F.lit(False)))
+        compare(_rest_pairs(usable, staged(labels, "set-labels"), s))
     of = _labelled(reps.select("digest", "rid", "doc_id"), comps)
     of = staged(of, "set-components")
     least = of.groupBy("comp").agg(F.min("doc_id").alias("component_id"))

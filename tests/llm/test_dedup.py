@@ -252,3 +252,31 @@ def test_shingles_come_from_small_batches(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
     assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs).collect()} == {(1, 1), (2, 1), (3, 3)}
     assert dict(seen)["shingle-sets"] == neardup.BATCH and dict(seen)["pairs"] == before == spark.conf.get(key)
+
+
+def test_near_duplicates_of_members_that_trees_leave(spark, monkeypatch):
+    """A chain of groups of near copies, where each group's link to the next hangs on one member: trees that compare nothing
+    but representatives lose such links; the exact path finds all of them."""
+    rng, s = random.Random(5), neardup.Settings(percent=80)
+    docs, base = [], [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    for i in range(60):
+        docs.append((i, " ".join(base)))
+        at = rng.randrange(190)
+        base = base[:at] + [f"n{i}x{j}" for j in range(5)] + base[at + 5 :]
+    docs += [(100 + i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(60)) + " a common line of words that many documents share") for i in range(40)]
+    sets = {d: set(neardup.shingles(t, s.words, neardup._Hashes()).tolist()) for d, t in docs}
+    least = {d: d for d, _ in docs}
+    while True:
+        new = {d: min(least[e] for e in sets if e == d or 100 * len(sets[d] & sets[e]) >= s.percent * len(sets[d] | sets[e])) for d in sets}
+        if new == least:
+            break
+        least = new
+    seen = spark.createDataFrame(docs, "doc_id long, text string")
+    half = spark.createDataFrame([(d, d % 7 == 0) for d in sets], "doc_id long, rest boolean")
+    usable = neardup.shingle_sets(seen, s).withColumn("rid", F.col("doc_id"))
+    labels = half.select(F.col("doc_id").alias("rid"), F.col("doc_id").alias("comp"), "rest")
+    monkeypatch.setattr(neardup, "COMMON", 2)
+    got = {tuple(r) for r in neardup._rest_pairs(usable, labels, s).collect()}
+    linked = {(d, e) for d in sets for e in sets if d < e and 100 * len(sets[d] & sets[e]) >= s.percent * len(sets[d] | sets[e])}
+    assert got >= {(d, e) for d, e in linked if d % 7 == 0 or e % 7 == 0} and len(got) < 400
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(seen, s).collect()} == least
