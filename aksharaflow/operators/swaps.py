@@ -69,8 +69,8 @@ def drawn_swaps(words: DataFrame) -> DataFrame:
     beneath, the sign may belong to the first; of two letters, the first may be an i-sign, or the second, if it is the
     same, a reph. A letter behind a virama is part of a conjunct and isn't taken apart.
 
-    Patterns that look ahead find the places, overlapping ones too, in one pass each. Outer explode: an inner one lets
-    Spark filter by the array's size first, and so make every array twice."""
+    Patterns that look ahead find the places, overlapping ones too, in one pass each. Outer explode, so that Spark adds no
+    filter by the array's size."""
     c, below = "[क-ह\u0958-\u095f]", "[ुूृ]"
     places = lambda pattern: F.regexp_extract_all("word", F.lit(pattern), 1)
     at = lambda x, i: F.substring(x, i, 1)
