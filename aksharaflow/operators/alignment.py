@@ -2,46 +2,80 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import devanagari as deva
+from ..functions.staging import staged
 
 KEPT, SWAPPED, LEFT_OUT, PUT_IN = range(4)
+#: Distinct pairs of words that a task holds before it hands them on.
+HELD = 100_000
+
+
+def _stretches(at: Iterator[int]) -> list[tuple[int, int, int, int]]:
+    """Ascending places that differ in both, as stretches."""
+    out: list[tuple[int, int, int, int]] = []
+    for i in at:
+        if out and out[-1][1] == i:
+            out[-1] = (out[-1][0], i + 1, out[-1][2], i + 1)
+        else:
+            out.append((i, i + 1, i, i + 1))
+    return out
 
 
 def align(a: Sequence, b: Sequence) -> list[tuple[int, int, int, int]]:
     """Stretches (i1, i2, j1, j2) in which a and b differ, in order, by an alignment with the fewest edits: an exchange, a
     removal or an insertion costs 1. Ties keep or exchange first, then remove, seen from the end. What both begin and
-    end with is set aside first; rows are worked out at once, and one byte a cell is kept for the way back."""
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
+    end with is set aside first.
+
+    Equally many words are compared place by place first: that costs the fewest edits if two places differ at most, or if no word of
+    the places that differ is in both, as then no alignment keeps more. Otherwise only cells are worked out that an alignment no dearer
+    than the one place by place may pass, row by row, and one byte a cell is kept for the way back."""
+    head, least = 0, min(len(a), len(b))
+    while head < least and a[head] == b[head]:
         head += 1
     tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+    while tail < least - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    n, m = len(x), len(y)
+    apart = [i for i, (v, w) in enumerate(zip(x, y, strict=False)) if v != w]
+    if n == m and (len(apart) <= 2 or {x[i] for i in apart}.isdisjoint(y[i] for i in apart)):
+        return _stretches(head + i for i in apart)
+    longer = m - n
+    most = abs(longer) + min(len(apart), sum(v != w for v, w in zip(reversed(x), reversed(y), strict=False)))
+    low, high = -((most - longer) // 2), (most + longer) // 2  # of j - i: further off, more is put in and left out than that
     number: dict = {}
     codes = [np.array([number.setdefault(v, len(number)) for v in part], np.int64) for part in (x, y)]
-    n, m = len(x), len(y)
-    step = np.empty((n + 1, m + 1), np.uint8)
-    step[0], step[:, 0] = PUT_IN, LEFT_OUT
-    cost, along = np.arange(m + 1), np.arange(m + 1)
+    step = np.empty((n + 1, high - low + 1), np.uint8)
+    step[0] = PUT_IN
+    along = np.arange(m + 1)
+    cost = np.where(along <= high, along, n + m + 1)
     for i in range(1, n + 1):
-        same = codes[1] == codes[0][i - 1]
-        over = cost[:-1] + ~same
-        down = cost[1:] + 1
-        best = np.concatenate([[i], np.minimum(over, down)])
-        new = np.minimum.accumulate(best - along) + along  # an insertion continues from the cell before
-        step[i, 1:] = np.where(over == new[1:], np.where(same, KEPT, SWAPPED), np.where(down == new[1:], LEFT_OUT, PUT_IN))
-        cost = new
+        j0, j1 = max(0, i + low), min(m, i + high)
+        edge = int(j0 == 0)  # the cell before the first word, which all of a is left out for
+        same = codes[1][j0 - 1 + edge : j1] == codes[0][i - 1]
+        over = cost[j0 - 1 + edge : j1] + ~same
+        down = cost[j0 : j1 + 1] + 1
+        best = np.minimum(over, down[edge:])
+        if edge:
+            best = np.concatenate([[i], best])
+        here = along[j0 : j1 + 1]
+        new = np.minimum.accumulate(best - here) + here  # an insertion continues from the cell before
+        row = step[i, j0 - i - low : j1 - i - low + 1]
+        row[:edge] = LEFT_OUT
+        row[edge:] = np.where(over == new[edge:], np.where(same, KEPT, SWAPPED), np.where(down[edge:] == new[edge:], LEFT_OUT, PUT_IN))
+        cost[j0 : j1 + 1] = new
     ways, i, j = [], n, m
     while i or j:
-        way = int(step[i, j])
+        way = int(step[i, j - i - low])
         ways.append(way)
         i, j = i - (way != PUT_IN), j - (way != LEFT_OUT)
     out, i, j, at = [], head, head, None
@@ -55,21 +89,31 @@ def align(a: Sequence, b: Sequence) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def _lists(column: pa.ListArray) -> Iterator[list[str]]:
+    """The lists of a column without nulls."""
+    at, values = column.offsets.to_numpy().tolist(), column.values.to_numpy(zero_copy_only=False).tolist()  # to_pylist() makes an object of Arrow's for each
+    return (values[i:j] for i, j in zip(at, at[1:], strict=False))
+
+
 def word_pairs(lines: DataFrame) -> DataFrame:
     """shown, real, n: words that stand for each other in lines (shown, real: arrays of words), from stretches of equally many
     words on both sides."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[tuple[str, str]] = Counter()
+        full = lambda: pa.RecordBatch.from_arrays([pa.array([s for s, _ in held], "string"), pa.array([r for _, r in held], "string"), pa.array(held.values(), "int64")], ["shown", "real", "n"])
         for batch in batches:
-            rows = []
-            for a, b in zip(batch["shown"], batch["real"], strict=True):
-                a, b = list(a), list(b)
+            for a, b in zip(*map(_lists, batch.columns), strict=True):
                 for i1, i2, j1, j2 in align(a, b):
                     if i2 - i1 == j2 - j1:
-                        rows += zip(a[i1:i2], b[j1:j2], strict=True)
-            yield pd.DataFrame(rows, columns=["shown", "real"])
+                        held.update(zip(a[i1:i2], b[j1:j2], strict=True))
+                if len(held) >= HELD:
+                    yield full()
+                    held.clear()
+        if held:
+            yield full()
 
-    return lines.where(F.col("shown").isNotNull() & F.col("real").isNotNull()).select("shown", "real").mapInPandas(run, "shown string, real string").groupBy("shown", "real").agg(F.count("*").alias("n"))
+    return lines.where(F.col("shown").isNotNull() & F.col("real").isNotNull()).select("shown", "real").mapInArrow(run, "shown string, real string, n long").groupBy("shown", "real").agg(F.sum("n").alias("n"))
 
 
 def confused(pairs: DataFrame, ratio: float = 0.6, longest: int = 3) -> DataFrame:
@@ -96,9 +140,10 @@ def learn_confusions(lines: DataFrame, lexicon: DataFrame, least: int = 2) -> Da
     lexicon (word) has the real one and not the shown one. They are compared in the order on screen, in which a vowel
     sign drawn before its letters comes before them. Confusions seen fewer than `least` times are left out, as are
     insertions alone: a confusion has to have something that it is shown by."""
-    words = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: F.regexp_replace(w, r"^[\p{P}।॥•]+|[\p{P}।॥•]+$", "")), lambda w: w != "")
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?<!\S)[\p{P}।॥•]+|[\p{P}।॥•]+(?!\S)", "")
+    words = lambda c: F.filter(F.split(bare(c), r"\s+"), lambda w: w != "")
     pairs = word_pairs(lines.select(words(F.col("shown")).alias("shown"), words(F.col("real")).alias("real")))
-    lex = lexicon.select("word").distinct()
+    lex = staged(lexicon.select("word").distinct(), "lexicon")
     pairs = pairs.join(lex.withColumnRenamed("word", "real"), "real", "left_semi").join(lex.withColumnRenamed("word", "shown"), "shown", "left_anti")
     seen = confused(pairs.select(deva.to_visual(F.col("shown")).alias("shown"), deva.to_visual(F.col("real")).alias("real"), "n"))
     return seen.where((F.col("n") >= least) & (F.col("src") != "")).orderBy(F.desc("n"), "src", "dst")

@@ -64,6 +64,28 @@ def test_align_matches_a_plain_table():
         assert all(x == y for x, y in same) and edit_cost(a, b) == sum(max(i2 - i1, j2 - j1) for i1, i2, j1, j2 in parts)
 
 
+def test_long_lines_are_aligned_in_little_memory():
+    import tracemalloc
+
+    real = [f"w{i % 997}" for i in range(20_000)]
+    swapped = [w if i % 5_000 else "?" for i, w in enumerate(real)]
+    moved = [w for i, w in enumerate(real) if i != 50]
+    moved.insert(60, real[50])  # words of the places that differ are in both
+    for shown, want in (swapped, [(i, i + 1, i, i + 1) for i in range(0, 20_000, 5_000)]), (moved + ["x"], None):
+        tracemalloc.start()
+        parts = alignment.align(shown, real)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 64_000_000  # a table of all cells has 400 million
+        assert want is None or parts == want
+    rng = random.Random(2)
+    for _ in range(500):
+        a = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 14))]
+        b = [x for x in a if rng.random() < 0.9]
+        b.insert(rng.randint(0, len(b)), rng.choice("abz"))
+        assert alignment.align(a, b) == plain_align(a, b) and alignment.align(b, a) == plain_align(b, a)
+
+
 def test_confusions_by_alignment(spark):
     rng = random.Random(2)
     vocabulary = ["parliament", "government", "school", "mountain", "thunder", "river", "house", "stone"]
