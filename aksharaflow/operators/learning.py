@@ -9,14 +9,16 @@ from ..functions.staging import staged
 from . import lexicon
 
 
-def swap_gains(words: DataFrame, lex: DataFrame, targets: list[str], longest: int = 1) -> DataFrame:
-    """src, dst, n: for each piece of an unknown word (word, given) exchanged for a target, how many given words become known."""
+def swap_gains(words: DataFrame, lex: DataFrame, targets: list[str], longest: int = 1, bits: DataFrame | None = None) -> DataFrame:
+    """src, dst, n: for each piece of an unknown word (word, given) exchanged for a target, how many given words become known.
+    bits are the lexicon's hashes, if the caller has them, which most of what is tried doesn't pass."""
     n = F.char_length("now")
     cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - k + 1)), lambda i: F.substring("now", i, F.lit(k)))
     pieces = F.flatten(F.array(*map(cut, range(1, longest + 1))))
     open_ = lexicon.known(words.withColumnRenamed("word", "now"), lex, "now").where(~F.col("known"))
     tried = open_.select("given", "now", F.explode(F.array_distinct(pieces)).alias("src")).select("given", "now", "src", F.explode(F.array(*map(F.lit, targets))).alias("dst"))
     tried = tried.select("given", "src", "dst", F.replace("now", F.col("src"), F.col("dst")).alias("word"))
+    tried = lexicon.possible(tried, lexicon.hash_bits(lex) if bits is None else bits)
     return tried.join(lex.select("word").distinct(), "word", "left_semi").groupBy("src", "dst").agg(F.countDistinct("given").alias("n"))
 
 
@@ -31,9 +33,10 @@ def learn_swaps(words: DataFrame, lex: DataFrame, targets: list[str], rounds: in
     One row a round comes to the driver; words stay in staged tables, so that a round starts from the last one's."""
     spark, learned = words.sparkSession, []
     now, lex = words.select("word", F.col("word").alias("given")), staged(lex.select("word").distinct(), "lexicon")
+    bits = lexicon.hash_bits(lex)
     for rank in range(1, rounds + 1):
         now = staged(now, "words")
-        top = swap_gains(now, lex, targets, longest).orderBy(F.desc("n"), "src", "dst").head()
+        top = swap_gains(now, lex, targets, longest, bits).orderBy(F.desc("n"), "src", "dst").head()
         if top is None or top["n"] < least:
             break
         learned.append((rank, top["src"], top["dst"], top["n"]))
@@ -93,13 +96,14 @@ def document_swaps(words: DataFrame, lex: DataFrame, targets: list[str], rounds:
     cut = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - k + 1)), lambda i: F.substring("now", i, F.lit(k)))
     pieces = F.array_distinct(F.flatten(F.array(*map(cut, range(1, longest + 1)))))
     lex = staged(lex.select("word").distinct(), "lexicon")
+    bits = lexicon.hash_bits(lex)
     now = staged(words.select("doc_id", F.col("word").alias("given"), F.col("word").alias("now")).distinct(), "document-words")
     learned = None
     for rank in range(1, rounds + 1):
         open_ = now.join(lex.select(F.col("word").alias("now")), "now", "left_anti")
         tried = open_.select("doc_id", "given", "now", F.explode(pieces).alias("src")).select("doc_id", "given", "src", F.explode(F.array(*map(F.lit, targets))).alias("dst"), "now").where("src <> dst")
         tried = tried.select("doc_id", "given", "src", "dst", F.replace("now", F.col("src"), F.col("dst")).alias("word"))
-        gains = tried.join(lex, "word", "left_semi").groupBy("doc_id", "src", "dst").agg(F.countDistinct("given").alias("n")).where(F.col("n") >= least)
+        gains = lexicon.possible(tried, bits).join(lex, "word", "left_semi").groupBy("doc_id", "src", "dst").agg(F.countDistinct("given").alias("n")).where(F.col("n") >= least)
         first = F.min(F.struct((-F.col("n")).alias("less"), F.char_length("src").alias("size"), "src", "dst"))
         best = gains.groupBy("doc_id").agg(first.alias("b")).select("doc_id", F.lit(rank).alias("rank"), "b.src", "b.dst", (-F.col("b.less")).alias("n"))
         best = staged(best, "document-swaps")

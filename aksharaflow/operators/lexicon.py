@@ -11,6 +11,9 @@ from ..functions.staging import staged
 ENGLISH_ENDINGS = ("'s", "s'", "ies", "es", "s", "ed", "ing", "ly", "er", "est")
 RESTORED = {"ies": "y", "ed": "e", "ing": "e", "er": "e", "est": "e"}
 
+#: Rows of 64 bits that hold the hashes of a lexicon, at most.
+BLOCKS = 1 << 21
+
 
 def known(words: DataFrame, lexicon: DataFrame, col: str = "word") -> DataFrame:
     """words with a column known: whether the lexicon (a column word) has it. Both sides are joined on the word; distinct
@@ -151,6 +154,24 @@ def confusions(pairs: DataFrame) -> DataFrame:
     return each.groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
+def hash_bits(lexicon: DataFrame) -> DataFrame:
+    """block, mask: a bit for the hash of each word of the lexicon (word), 64 of them a row, staged. However large the lexicon is,
+    there are at most BLOCKS rows."""
+    slot = F.pmod(F.xxhash64("word"), F.lit(64 * BLOCKS))
+    return staged(lexicon.select(F.floor(slot / 64).alias("block"), _bit(slot).alias("bit")).groupBy("block").agg(F.bit_or("bit").alias("mask")), "lexicon-bits")
+
+
+def _bit(slot: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+
+
+def possible(rows: DataFrame, bits: DataFrame, column: str = "word") -> DataFrame:
+    """Rows whose word the lexicon of hash_bits() may have: all that it has, and of the others one in so many as bits are set. What is
+    tried by the dozen for each word is sifted so where it is made, before what is left meets the lexicon itself."""
+    slot = F.pmod(F.xxhash64(column), F.lit(64 * BLOCKS))
+    return rows.join(F.broadcast(bits), (F.floor(slot / 64) == F.col("block")) & (F.col("mask").bitwiseAND(_bit(slot)) != 0), "left_semi")  # at most BLOCKS rows
+
+
 def swap_fixes(words: DataFrame, lexicon: DataFrame, swaps: list[tuple[str, str]], depth: int = 3) -> DataFrame:
     """word, fixed: unknown words with the only known word that at most `depth` swaps of one character make of them; the
     fewest swaps count, and a word that they make two known ones of has no row. Each round goes on with what is unknown."""

@@ -246,3 +246,13 @@ def test_key_words_that_a_lexicon_proves(spark):
     assert pairs(keytext.convert_proved(frame(["x¿", "v6[f", "s]"]), frame(["हरू", "खट्टा"]))) == [("s]", "के"), ("v6[f", "खट्टा"), ("x¿", "हरू")]
     assert pairs(keytext.repair_proved(frame(["नयाा", "लााग", "घर"]), frame(["नयाँ"]))) == [("घर", "घर"), ("नयाा", "नयाँ"), ("लााग", "लाग")]
     assert [r[0] for r in frame(["1!a"]).select(keytext.as_preeti_keys(F.col("word"), "fontasy")).collect()] == ["!1a"]
+
+
+def test_tried_words_are_sifted_before_they_meet_the_lexicon(spark):
+    rows = lambda ws: spark.createDataFrame([(w,) for w in ws], "word string")
+    words, others = [f"w{i}" for i in range(3000)], [f"x{i}" for i in range(3000)]
+    left = {r["word"] for r in lexicon.possible(rows(words + others), lexicon.hash_bits(rows(words))).collect()}
+    assert left >= set(words) and len(left) < 3100
+    assert lexicon.possible(rows(words), lexicon.hash_bits(rows([]))).count() == 0
+    plan = learning.swap_gains(rows(words).withColumn("given", F.col("word")), rows(others), ["x"], 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "mask" in plan
