@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import give_back, session_conf, staged, worker_cache
@@ -27,7 +27,7 @@ CENTRES = 4
 #: Columns of a member of a node: its id and component, the size of its set, its sketch.
 MEMBER = ["rid", "comp", "n", "s1", "s2"]
 #: One set in so many tells which tokens are common, those that COMMON of them have, the MOST_COMMON most frequent ones.
-ORDER_SAMPLE, COMMON, MOST_COMMON = 16, 32, 50_000
+ORDER_SAMPLE, COMMON, MOST_COMMON = 16, 3, 50_000
 #: Trees end when one set in so many, or fewer, are left in them: these take the exact path.
 LEFT = 16
 _ODD = np.random.default_rng(20240131).integers(0, 2**63, (3, HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -299,42 +299,50 @@ def _shared_ids(usable: DataFrame, reps: DataFrame) -> DataFrame:
     return of.join(first, "doc_id").select("a", F.col("rid").alias("b")).where("a < b").distinct()
 
 
-def _postings(sets: DataFrame, s: Settings) -> DataFrame:
-    """rid, token, at, n: the tokens of each set (rid, set) of which a similar set has one as well: the first n - ceil(n x
-    threshold) + 1 in an order that all sets share, in which tokens that are common in a sample come last. Any such order
-    is exact; this one keeps common tokens out of most sets."""
+def _prefixes(sets: DataFrame, s: Settings) -> DataFrame:
+    """rid, n, prefix: the tokens of each set (rid, set) of which a similar set has one as well: the first n - ceil(n x threshold) + 1
+    in an order that all sets share, in which tokens that are common in a sample come last, the most frequent ones at the end.
+    Any such order is exact; this one keeps common tokens out of most sets."""
     import pyarrow as pa
 
     sample = sets.where(F.pmod(F.xxhash64("rid", F.lit(s.seed)), F.lit(ORDER_SAMPLE)) == 0).select(F.explode("set").alias("token"))
     common = sample.groupBy("token").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(MOST_COMMON)
-    common = np.sort(np.array([r["token"] for r in common.collect()], np.int64))
+    found = sorted((r["token"], r["count"]) for r in common.collect())
+    common, often = np.array([t for t, _ in found], np.int64), np.array([c for _, c in found], np.int64)
     percent = s.percent
 
+    def ordered(x: np.ndarray) -> np.ndarray:
+        if not len(common):
+            return x
+        at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+        late = common[at] == x
+        return np.concatenate([x[~late], x[late][np.argsort(often[at[late]], kind="stable")]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, first, values = batch.column(0).to_numpy(), batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
-            parts, sizes = [], np.diff(first)
-            for i, n in enumerate(sizes):
-                x = values[first[i] : first[i + 1]]
-                late = np.isin(x, common)
-                parts.append(np.concatenate([x[~late], x[late]])[: n - -(-percent * n // 100) + 1])
-            each = np.fromiter(map(len, parts), np.int64, len(parts))
-            at = [np.arange(1, k + 1, dtype=np.int32) for k in each]
-            none = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, each)), pa.array(np.concatenate([none, *parts])), pa.array(np.concatenate([none, *at]).astype(np.int32)), pa.array(np.repeat(sizes, each).astype(np.int32))], ["rid", "token", "at", "n"])
+            first, values = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy()
+            sizes = np.diff(first)
+            # all sets are in the order of their values, which breaks ties
+            parts = [ordered(values[first[i] : first[i + 1]])[: n - -(-percent * n // 100) + 1] for i, n in enumerate(sizes)]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32)), prefix], ["rid", "n", "prefix"])
 
-    return sets.mapInArrow(run, "rid long, token long, at int, n int")
+    return sets.mapInArrow(run, "rid long, n int, prefix array<long>")
 
 
 def _rest_pairs(usable: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """All pairs of sets that may be similar, of different components, one of which is marked rest in labels (rid, comp, rest):
-    they share a token of those that similar sets share, and neither their sizes nor what follows the token in each rules a
-    link out. Tokens of one component alone are left out, and members of a component meet only those of others."""
-    post = staged(_postings(usable.select("rid", "set"), s).join(labels, "rid"), "postings")
-    live = post.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rest").alias("any")).where("lo < hi AND any").select("token")
-    post = staged(post.join(live, "token", "left_semi"), "live-postings")
+    """All pairs of sets that may be similar, of different components, one of which is marked rest in labels (rid, comp, rest; all sets
+    of a component alike): they share a token of those that similar sets share, and neither their sizes nor what follows the token in
+    each rules a link out. Tokens of one component alone are left out, and members of a component meet only those of others. Sets get
+    their labels as a whole; their tokens are dealt once, and only those that two components share are staged."""
+    post = _prefixes(usable.select("rid", "set"), s).join(labels, "rid").select("rid", "comp", "rest", "n", F.posexplode("prefix").alias("at", "token"))
+    of = Window.partitionBy("token")
+    post = post.withColumns({"lo": F.min("comp").over(of), "hi": F.max("comp").over(of), "any": F.max("rest").over(of)}).where("lo < hi AND any")
+    post = staged(post.select("token", "rid", "comp", "rest", (F.col("at") + 1).alias("at"), "n"), "live-postings")
     comps = post.groupBy("token", "comp").agg(F.max("rest").alias("rest"))
-    two = comps.where("rest").select("token", F.col("comp").alias("cx")).join(comps.select("token", F.col("comp").alias("cy")), "token").where("cx <> cy")
+    x, y = comps.where("rest").select("token", F.col("comp").alias("cx")), comps.select("token", F.col("comp").alias("cy"), F.col("rest").alias("too"))
+    two = x.join(y, "token").where("cx <> cy AND (NOT too OR cx < cy)").drop("too")
     side = lambda c, rows: rows.select("token", F.col("comp").alias(f"c{c}"), F.col("rid").alias(c), F.col("at").alias(f"at_{c}"), F.col("n").alias(f"n_{c}"))
     both = two.join(side("x", post.where("rest")), ["token", "cx"]).join(side("y", post), ["token", "cy"])
     left = 1 + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
