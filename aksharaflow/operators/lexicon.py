@@ -180,11 +180,14 @@ def swap_fixes(words: DataFrame, lexicon: DataFrame, swaps: list[tuple[str, str]
         table.setdefault(a, []).append(b)
     options = F.create_map(*[x for a, bs in table.items() for x in (F.lit(a), F.array(*map(F.lit, bs)))])
     swap = lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.char_length(w)), lambda i: F.transform(F.coalesce(F.try_element_at(options, F.substring(w, i, F.lit(1))), F.array().cast("array<string>")), lambda b: F.concat(F.substring(w, F.lit(1), i - 1), b, F.substring(w, i + 1, F.char_length(w))))))
-    lex, done = lexicon.select("word").distinct(), None
+    lex, done = staged(lexicon.select("word").distinct(), "lexicon"), None
+    bits = hash_bits(lex)
     now = known(words.select("word").distinct(), lex).where(~F.col("known")).select("word", F.col("word").alias("form"))
-    for _ in range(depth):
-        now = staged(now.select("word", F.explode(swap(F.col("form"))).alias("form")).where("form <> word").distinct(), "swap-forms")
-        hits = now.join(lex.withColumnRenamed("word", "form"), "form", "left_semi").groupBy("word").agg(F.min("form").alias("fixed"), F.max("form").alias("other"))
+    for left in range(depth - 1, -1, -1):
+        now = now.select("word", F.explode(swap(F.col("form"))).alias("form")).where("form <> word")
+        if left:  # the last round's forms, which are the most, are only looked up
+            now = staged(now.distinct(), "swap-forms")
+        hits = possible(now, bits, "form").join(lex.withColumnRenamed("word", "form"), "form", "left_semi").groupBy("word").agg(F.min("form").alias("fixed"), F.max("form").alias("other"))
         hits = staged(hits, "swap-hits")
         done = hits if done is None else done.unionByName(hits)
         now = now.join(hits.select("word"), "word", "left_anti")

@@ -256,3 +256,12 @@ def test_tried_words_are_sifted_before_they_meet_the_lexicon(spark):
     assert lexicon.possible(rows(words), lexicon.hash_bits(rows([]))).count() == 0
     plan = learning.swap_gains(rows(words).withColumn("given", F.col("word")), rows(others), ["x"], 1)._jdf.queryExecution().optimizedPlan().toString()
     assert "mask" in plan
+
+
+def test_swap_fixes_looks_up_the_last_forms_without_staging_them(spark, monkeypatch):
+    names, real = [], lexicon.staged
+    monkeypatch.setattr(lexicon, "staged", lambda df, name, *more: (names.append(name), real(df, name, *more))[1])
+    rows = lambda ws: spark.createDataFrame([(w,) for w in ws], "word string")
+    fixed = lexicon.swap_fixes(rows(["oox", "oxx"]), rows(["aax", "axx"]), [("o", "a")], depth=2)
+    assert sorted(tuple(r) for r in fixed.collect()) == [("oox", "aax"), ("oxx", "axx")]
+    assert names.count("swap-forms") == 1
