@@ -47,3 +47,34 @@ def test_words_of_a_layer_are_not_shuffled(spark):
     want = extracted.repair_lines(frame, lexicon, spark.createDataFrame([], "doc_id long, word string"))
     assert sorted(map(str, got.where("doc_id = 1").collect())) == sorted(map(str, want.where("doc_id = 1").collect()))
     assert {r["item"]: r["text"] for r in got.collect()}[0].endswith("का")
+
+
+def test_rules_make_the_same_of_pieces_as_of_lines(spark):
+    import random
+
+    from aksharaflow.functions import devanagari as deva
+    from aksharaflow.operators import extracted
+
+    rng = random.Random(41)
+    words = ["क", "का", "९क०", "९०ा०", "ः", "्", "़्क", "बर्ष२५", "प्रमा०ा", "सम्ःना", "घरल]", "म[त", "[क]", "{", "}", "(", ")", "]", "[", "––", "abc", "12", "काा", "ेेपाल", "�", "�ः", "​ँ", "क‍]", "क़", "ऩ", " ", "\x85", "१२स्३०", "", "र्र्", "अाे", ";-", "ऐन,"]
+    gaps = [" ", " ", " ", "  ", "\t", "", " ", "\r\n"]
+    lines = [(1, k, "".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randint(0, 9)))) for k in range(6000)]
+    frame = spark.createDataFrame([*lines, (2, 0, None), (None, 1, " ्क ")], "doc_id long, item int, text string").repartition(4)
+    c = F.col("text")
+    want = frame.select("doc_id", "item", F.when(extracted.has_mark(deva.nfc(c)), extracted.repair_extracted(c)).when(c.rlike("[ऀ-ॿ]"), deva.nfc(c)).otherwise(c).alias("want"))
+    none = spark.createDataFrame([], "word string")
+    got = {(r["doc_id"], r["item"]): r["text"] for r in extracted.repair_lines(frame, none).collect()}
+    assert got == {(r["doc_id"], r["item"]): r["want"] for r in want.collect()}
+
+
+def test_rules_are_applied_to_distinct_pieces(spark):
+    from aksharaflow.operators import extracted
+
+    made, lines = {}, [(1, k, f"घरल] काा {k % 2} ( बा ः  क ) काा") for k in range(40)]
+    was, extracted.staged = extracted.staged, lambda df, name, **_: made.setdefault(name, df)
+    try:
+        out = extracted.repair_lines(spark.createDataFrame(lines, "doc_id long, item long, text string"), spark.createDataFrame([], "word string"))
+    finally:
+        extracted.staged = was
+    assert {r["text"] for r in made["fixed-pieces"].collect()} == {"घरले", "का", "0", "1", "( बा :  क )"}
+    assert {r["text"] for r in out.collect()} == {f"घरले का {k} ( बा :  क ) का" for k in range(2)}
