@@ -78,3 +78,18 @@ def test_rules_are_applied_to_distinct_pieces(spark):
         extracted.staged = was
     assert {r["text"] for r in made["fixed-pieces"].collect()} == {"घरले", "का", "0", "1", "( बा :  क )"}
     assert {r["text"] for r in out.collect()} == {f"घरले का {k} ( बा :  क ) का" for k in range(2)}
+
+
+def test_spelt_lines_of_the_gain_are_made_once(spark):
+    from aksharaflow.plans import planted_queries as planted
+
+    seen, was = [], planted.spelt_lines
+    frame = spark.createDataFrame([(1, 0, ["का", "घर", "बे", "का", "काम"]), (2, 3, ["घर"])], "doc_id long, item long, words array<string>")
+    planted.spelt_lines = lambda *_: frame.withColumn("words", F.udf(lambda w: w, "array<string>")("words"))
+    try:
+        out = planted.repair_gain(spark, "")
+        seen.append("ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString() or "BatchEvalPython" in out._jdf.queryExecution().executedPlan().toString())
+    finally:
+        planted.spelt_lines = was
+    assert seen == [False]
+    assert sorted(map(tuple, out.collect())) == [(1, 5, 2, 0), (2, 1, 0, 0)]
