@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from ..functions.staging import discard, staged
-from . import layout
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Points within which lines and corners are the same.
 TOLERANCE = 2.0
@@ -14,6 +18,8 @@ TOLERANCE = 2.0
 BESIDE = 12.0
 #: How tables of a page's parts meet: shuffled, never as a whole in the driver, however small their files are.
 MEET = "merge"
+#: Rows that a task hands back at once, at most.
+ROWS = 10_000
 
 
 def numbered_crossings(across: DataFrame, down: DataFrame, by: list[str], bucket: float = 64.0) -> DataFrame:
@@ -25,105 +31,214 @@ def numbered_crossings(across: DataFrame, down: DataFrame, by: list[str], bucket
     return a.join(d.hint(MEET), [*by, "_b"]).where(meet).select(*by, "h", "v", "x", "y")
 
 
+def _by_page(rows: DataFrame, by: list[str], each: Callable[[pa.Table], pa.Table | None], ddl: str, last: Sequence[str] = ()) -> DataFrame:
+    """The rows that each(page) makes of the rows of a page (by), which are dealt by page once and sorted (by `last` within a page); a
+    stream over them holds one page at a time. Rows whose page isn't known are left out."""
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
+
+        def made() -> Iterator[pa.RecordBatch]:
+            out = each(pa.Table.from_batches(parts).combine_chunks()) if parts else None
+            if out is not None and out.num_rows:
+                yield from out.select(schema.names).cast(schema).to_batches(max_chunksize=ROWS)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pages = [batch.column(c).to_numpy(zero_copy_only=False) for c in by]
+            ends = np.flatnonzero(np.logical_or.reduce([p[1:] != p[:-1] for p in pages])) + 1
+            for a, b in itertools.pairwise([0, *ends.tolist(), batch.num_rows]):
+                page = tuple(p[a] for p in pages)
+                if page != at:
+                    yield from made()
+                    at, parts = page, []
+                parts.append(batch.slice(a, b - a))
+        yield from made()
+
+    return rows.dropna(subset=by).repartition(*by).sortWithinPartitions(*by, *last).mapInArrow(run, ddl)
+
+
+def _kinds(rows: DataFrame, *columns: str) -> str:
+    return ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def _numbers(page: pa.Table, *columns: str) -> list[np.ndarray]:
+    return [page.column(c).cast("double").to_numpy() for c in columns]
+
+
+def _numbered(*columns: pa.ChunkedArray) -> list[np.ndarray]:
+    """Columns with numbers from 0 for their values, equal ones for equal values."""
+    numbers = np.unique(np.concatenate([c.to_numpy(zero_copy_only=False) for c in columns]), return_inverse=True)[1]
+    return np.split(numbers, np.cumsum([len(c) for c in columns])[:-1])
+
+
 def smallest_cells(points: DataFrame, by: list[str]) -> DataFrame:
     """by, x0, y0, x1, y1, h, v, h2, v2: the rectangles of crossings (by, h, v, x, y; y grows upward): for each crossing the nearest
     ruling below with which its own ruling across shares a further ruling down to the right, and of these the nearest. Rulings
     less than the tolerance away are no other rulings.
 
-    A round looks, for all open crossings at once, at some of the next rulings below: those that are asked about one pair of rulings
-    across meet the rulings down of both as sorted numbers, one array each, so that a pair is one row. Crossings without a
-    cell go on to four times as many rulings after that, so that a page of n rulings takes about log n rounds.
-
-    All joins are dealt by their keys (MEET): staged tables are far larger in memory than as files, by which Spark takes
-    them for small ones."""
-    points = staged(points.dropDuplicates([*by, "h", "v"]), "crossings")
-    on_page = ", ".join(f"`{c}`" for c in by)
-    # rulings down of a page by number from the left, with the number of the first that is far enough to the right
-    columns = points.groupBy(*by, "v").agg(F.min("x").cast("double").alias("vx")).withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("vx", "v")))
-    right = F.expr(f"min(r) OVER (PARTITION BY {on_page} ORDER BY vx RANGE BETWEEN {TOLERANCE}D FOLLOWING AND UNBOUNDED FOLLOWING)")
-    columns = staged(columns.withColumn("right", right), "rulings-down")
-    down = Window.partitionBy(*by, "v").orderBy(F.desc("y"), "h")
-    lower = F.expr(f"count(*) OVER (PARTITION BY {on_page}, v ORDER BY -CAST(y AS DOUBLE) RANGE BETWEEN {TOLERANCE}D FOLLOWING AND UNBOUNDED FOLLOWING)")
-    n = F.count("*").over(Window.partitionBy(*by, "v"))
-    ranked = points.withColumns({"nth": F.row_number().over(down), "n": n, "lower": lower})
-    ranked = staged(ranked.join(columns.hint(MEET), [*by, "v"]).withColumn("from", F.col("n") - F.col("lower") + 1), "crossings")
-    under = ranked.select(*by, "v", F.col("nth").alias("at"), F.col("h").alias("h2"), F.col("y").alias("y2"))
-    lines = staged(ranked.groupBy(*by, "h").agg(F.sort_array(F.collect_list("r")).alias("rs")), "rulings-across")
-    open_ = ranked.where(F.col("right").isNotNull() & (F.col("from") <= F.col("n"))).select(*by, "h", "v", "x", "y", "right", "from", "n")
-    found, first, size = None, 0, 4
-    while not open_.isEmpty():
-        at = F.explode(F.sequence(F.col("from") + first, F.least(F.col("from") + first + size - 1, F.col("n")))).alias("at")
-        tried = open_.select(*by, "h", "v", "x", "y", "right", at).join(under.hint(MEET), [*by, "v", "at"])
-        pairs = tried.groupBy(*by, "h", "h2").agg(F.first("y").alias("y"), F.first("y2").alias("y2"), F.collect_list(F.struct("at", "v", "x", "right")).alias("asked"))
-        both = pairs.join(lines.hint(MEET), [*by, "h"]).join(lines.withColumnsRenamed({"h": "h2", "rs": "rs2"}).hint(MEET), [*by, "h2"])
-        both = both.select(*by, "h", "h2", "y", "y2", "asked", F.array_intersect("rs", "rs2").alias("shared"))
-        next_ = lambda a: F.struct(a["at"].alias("at"), a["v"].alias("v"), a["x"].alias("x"), F.array_min(F.filter("shared", lambda r: r >= a["right"])).alias("r"))
-        nexts = both.select(*by, "h", "h2", "y", "y2", F.explode(F.filter(F.transform("asked", next_), lambda a: a["r"].isNotNull())).alias("a")).select(*by, "h", "h2", "y", "y2", "a.*")
-        best = nexts.groupBy(*by, "h", "v").agg(F.min(F.struct("at", "x", "y", "h2", "y2", "r")).alias("c")).select(*by, "h", "v", "c.*")
-        best = best.join(columns.select(*by, "r", F.col("v").alias("v2"), F.col("vx").alias("x2")).hint(MEET), [*by, "r"])
-        hit = staged(best.select(*by, F.col("x").alias("x0"), F.col("y2").alias("y0"), F.col("x2").alias("x1"), F.col("y").alias("y1"), "h", "v", "h2", "v2"), "cells-found")
-        found = hit if found is None else found.unionByName(hit)
-        first, size = first + size, 4 * size
-        more = open_.where(F.col("from") + first <= F.col("n"))
-        was, open_ = open_, staged(more.join(hit.select(*by, "h", "v").hint(MEET), [*by, "h", "v"], "left_anti"), "cells-open")
-        if size > 16:
-            discard(was)
-    discard(ranked, columns, lines)
-    if found is None:
-        none = [F.lit(None).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
-        return points.where("false").select(*by, *none, "h", "v", F.col("h").alias("h2"), F.col("v").alias("v2"))
-    return found
-
-
-def _snapped(rows: DataFrame, by: list[str], value: str, name: str, down: bool) -> DataFrame:
-    """by, value, name: numbers from 0 of values that lie apart by more than the tolerance from the one before."""
-    order = F.desc(value) if down else F.asc(value)
-    w = Window.partitionBy(*by).orderBy(order)
-    gap = F.abs(F.col(value) - F.lag(value).over(w))
-    each = rows.select(*by, value).distinct().withColumn("_new", F.coalesce(gap > TOLERANCE, F.lit(False)).cast("int"))
-    return each.select(*by, value, F.sum("_new").over(w).cast("int").alias(name))
+    Crossings are dealt by page once. On a page, each ruling across is the set of rulings down that it meets, as bits from the left, so
+    that what two share to the right of a third is one operation."""
+    ddl = f"{_kinds(points, *by)}, {_kinds(points, 'x').replace('`x`', 'x0')}, {_kinds(points, 'y').replace('`y`', 'y0')}, x1 double, {_kinds(points, 'y').replace('`y`', 'y1')}, {_kinds(points, 'h', 'v')}, {_kinds(points, 'h').replace('`h`', 'h2')}, {_kinds(points, 'v').replace('`v`', 'v2')}"
+
+    def cells(page: pa.Table) -> pa.Table | None:
+        (h,), (v,) = _numbered(page.column("h")), _numbered(page.column("v"))
+        keep = np.unique(h * (v.max() + 1) + v, return_index=True)[1]
+        page, h, v = page.take(keep), h[keep], v[keep]
+        x, y = _numbers(page, "x", "y")
+        # rulings down by number from the left, and the number of the first that is far enough to the right
+        vx = np.full(v.max() + 1, np.inf)
+        np.minimum.at(vx, v, x)
+        order = np.argsort(vx, kind="stable")
+        r = np.argsort(order)[v]
+        right = np.searchsorted(vx[order], vx[order] + TOLERANCE).tolist()
+        some = np.zeros(len(order), dtype="int64")
+        some[r] = np.arange(len(r))
+        met = np.zeros((h.max() + 1, len(order)), dtype=bool)
+        met[h, r] = True
+        lines = [int.from_bytes(row.tobytes(), "little") for row in np.packbits(met, axis=1, bitorder="little")]
+        down = np.lexsort((h, -y, r))
+        found = []
+        for column in np.split(down, np.flatnonzero(np.diff(r[down])) + 1):
+            first = right[r[column[0]]]
+            if first == len(order):
+                continue
+            beyond = [lines[k] >> first for k in h[column].tolist()]
+            lower = np.searchsorted(-y[column], -y[column] + TOLERANCE).tolist()
+            for i, mine in enumerate(beyond):
+                if mine:
+                    for j in range(lower[i], len(beyond)):
+                        if shared := mine & beyond[j]:
+                            found.append((column[i], column[j], first + (shared & -shared).bit_length() - 1))
+                            break
+        if not found:
+            return None
+        at, below, to = np.array(found, dtype="int64").T
+        one = page.take(at)
+        under = page.take(below)
+        columns = {c: one.column(c) for c in by} | {"x0": one.column("x"), "y0": under.column("y"), "x1": pa.array(vx[order][to]), "y1": one.column("y"), "h": one.column("h"), "v": one.column("v")}
+        return pa.table(columns | {"h2": under.column("h"), "v2": page.column("v").take(some[to])})
+
+    return _by_page(points.select(*by, "h", "v", "x", "y").dropna(), by, cells, ddl)
+
+
+def _snapped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values in order, and their numbers from 0, of those that lie apart by more than the tolerance from the one before."""
+    values = np.unique(values)
+    return values, np.cumsum(np.diff(values, prepend=values[:1]) > TOLERANCE)
+
+
+def _components(corners: np.ndarray) -> np.ndarray:
+    """A number for each row of corners (numbers, from 0), equal for those that are connected over equal ones."""
+    of = list(range(corners.max() + 1))
+
+    def root(k: int) -> int:
+        while of[k] != k:
+            of[k] = k = of[of[k]]
+        return k
+
+    for first, *others in corners.tolist():
+        a = root(first)
+        for k in others:
+            of[root(k)] = a
+    return np.array([root(k) for k in corners[:, 0].tolist()])
 
 
 def grids(cells: DataFrame, by: list[str]) -> DataFrame:
     """by, grid, row, col, rs, cs, x0, y0, x1, y1: cells that share corners are one grid, with rows from the top and columns from the
     left; spans are how many of the grid's rows and columns a cell covers. Grids of one cell, or of one column, are none.
+    Grids of a page have numbers from 1, by their first cells from the top and then the left."""
+    ends = ("x0", "y0", "x1", "y1")
+
+    def found(page: pa.Table) -> pa.Table | None:
+        x0, y0, x1, y1 = _numbers(page, *ends)
+        (h, h2), (v, v2) = _numbered(page.column("h"), page.column("h2")), _numbered(page.column("v"), page.column("v2"))
+        order = np.lexsort((v2, h2, v, h, x0, -y1))
+        page, (x0, y0, x1, y1, h, v, h2, v2) = page.take(order), (c[order] for c in (x0, y0, x1, y1, h, v, h2, v2))
+        n = max(v.max(), v2.max()) + 1
+        corners = np.unique(np.stack([h * n + v, h2 * n + v2, h2 * n + v, h * n + v2], axis=1), return_inverse=True)[1].reshape(-1, 4)
+        _, first, of = np.unique(_components(corners), return_index=True, return_inverse=True)
+        number = np.argsort(np.argsort(first))[of] + 1
+        kept = []
+        for k in np.split(np.argsort(number, kind="stable"), np.flatnonzero(np.diff(np.sort(number))) + 1):
+            (xs, i), (ys, j) = _snapped(np.concatenate([x0[k], x1[k]])), _snapped(np.concatenate([-y0[k], -y1[k]]))
+            col, col2, row, row2 = i[np.searchsorted(xs, x0[k])], i[np.searchsorted(xs, x1[k])], j[np.searchsorted(ys, -y1[k])], j[np.searchsorted(ys, -y0[k])]
+            real = (col2 > col) & (row2 > row)
+            if real.sum() >= 2 and col2[real].max() >= 2:
+                kept.append(np.stack([k, row, col, row2 - row, col2 - col])[:, real])
+        if not kept:
+            return None
+        k, *places = np.concatenate(kept, axis=1)
+        page = page.take(k)
+        return pa.table({c: page.column(c) for c in by} | {"grid": number[k]} | dict(zip(("row", "col", "rs", "cs"), places, strict=True)) | {c: page.column(c) for c in ends})
+
+    ddl = f"{_kinds(cells, *by)}, grid long, row int, col int, rs int, cs int, {_kinds(cells, *ends)}"
+    return _by_page(cells.select(*by, *ends, "h", "v", "h2", "v2"), by, found, ddl)
 
-    Cells of a page are connected over their corners, by labels that spread (layout.components)."""
-    cells = staged(cells.withColumn("cell", F.monotonically_increasing_id() + 1), "cells")
-    corner = lambda h, v: F.struct(*by, F.col(h).alias("h"), F.col(v).alias("v"))
-    ends = cells.select("cell", F.explode(F.array(corner("h", "v"), corner("h2", "v2"), corner("h2", "v"), corner("h", "v2"))).alias("corner"))
-    edges = ends.withColumn("b", F.min("cell").over(Window.partitionBy("corner"))).select(F.col("cell").alias("a"), "b").distinct()
-    of = layout.components(edges).select(F.col("node").alias("cell"), F.col("component").alias("grid"))
-    rows = staged(cells.join(of.hint(MEET), "cell"), "grid-cells")
-    key = [*by, "grid"]
-    ends_of = lambda a, b, name: rows.select(*key, F.col(a).alias(name)).unionByName(rows.select(*key, F.col(b).alias(name)))
-    xs, ys = _snapped(ends_of("x0", "x1", "x"), key, "x", "i", False), _snapped(ends_of("y0", "y1", "y"), key, "y", "i", True)
-    at = lambda side, line, value, name: side.select(*key, F.col(value).alias(line), F.col("i").alias(name))
-    for side, line, value, name in ((xs, "x0", "x", "col"), (xs, "x1", "x", "col2"), (ys, "y1", "y", "row"), (ys, "y0", "y", "row2")):
-        rows = rows.join(at(side, line, value, name).hint(MEET), [*key, line])
-    w = Window.partitionBy(*key)
-    rows = rows.where("col2 > col AND row2 > row").withColumns({"n": F.count("*").over(w), "columns": F.max("col2").over(w)})
-    return rows.where("n >= 2 AND columns >= 2").select(*key, "row", "col", (F.col("row2") - F.col("row")).alias("rs"), (F.col("col2") - F.col("col")).alias("cs"), "x0", "y0", "x1", "y1")
-
-
-def whole_tables(cells: DataFrame, words: DataFrame, by: list[str], bucket: float = 32.0) -> DataFrame:
+
+def _places(edges: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where values stand among sorted edges: odd numbers on one, even ones between two."""
+    return np.searchsorted(edges, values, "left") + np.searchsorted(edges, values, "right")
+
+
+def _covered(boxes: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which points any of the boxes (x0, y0, x1, y1, ends included) holds: a sweep upward over the places of points among the ends of
+    boxes, with the number of open boxes along x."""
+    x0, y0, x1, y1 = boxes
+    xs, ys = np.unique(np.concatenate([x0, x1])), np.unique(np.concatenate([y0, y1]))
+    at, rise = _places(xs, x), _places(ys, y)
+    left, behind = _places(xs, x0), _places(xs, x1) + 1
+    opens, closes = _places(ys, y0), _places(ys, y1) + 1
+    when, side = np.concatenate([opens, closes, opens, closes]), np.concatenate([left, left, behind, behind])
+    sign = np.repeat([1, -1, -1, 1], len(x0))
+    order = np.argsort(when, kind="stable")
+    when, side, sign = when[order], side[order], sign[order]
+    steps, held, done = np.zeros(2 * len(xs) + 2, dtype="int64"), np.zeros(len(x), dtype=bool), 0
+    up = np.argsort(rise, kind="stable")
+    for points in np.split(up, np.flatnonzero(np.diff(rise[up])) + 1):
+        upto = np.searchsorted(when, rise[points[0]], "right")
+        np.add.at(steps, side[done:upto], sign[done:upto])
+        done = upto
+        held[points] = np.cumsum(steps)[at[points]] > 0
+    return held
+
+
+def whole_tables(cells: DataFrame, words: DataFrame, by: list[str]) -> DataFrame:
     """by, grid, inside, loose, beside of grids (of cells) that are tables: with words (by, x, y: their middles, x0, x1) inside cells,
-    and at most a tenth as many inside the grid but in no cell, or right beside it on its rows."""
-    key = [*by, "grid"]
-    box = cells.groupBy(*key).agg(F.min("x0").alias("gx0"), F.min("y0").alias("gy0"), F.max("x1").alias("gx1"), F.max("y1").alias("gy1"))
-    band = lambda c: F.floor(c / bucket)
-    box = box.withColumn("_b", F.explode(F.sequence(band(F.col("gy0")), band(F.col("gy1")))))
-    words = words.withColumn("_w", F.monotonically_increasing_id())
-    w = staged(words.withColumn("_b", band(F.col("y"))).join(box.hint(MEET), [*by, "_b"]).where(F.col("y").between(F.col("gy0") + 1, F.col("gy1") - 1)), "grid-words")
-    within = F.col("x").between(F.col("gx0") - 1, F.col("gx1") + 1)
-    cells_b = cells.withColumn("_b", F.explode(F.sequence(band(F.col("y0") - 1), band(F.col("y1") + 1)))).select(*key, "_b", *(F.col(c).alias(f"c{c}") for c in ("x0", "y0", "x1", "y1")))
-    in_cell = F.col("x").between(F.col("cx0") - 1, F.col("cx1") + 1) & F.col("y").between(F.col("cy0") - 1, F.col("cy1") + 1)
-    held = w.where(within).join(cells_b.hint(MEET), [*key, "_b"]).where(in_cell).select(*key, "_w").distinct().withColumn("held", F.lit(True))
-    near = F.when(F.col("x") < F.col("gx0"), F.col("gx0") - F.col("wx1")).otherwise(F.col("wx0") - F.col("gx1")) < BESIDE
-    kinds = w.withColumnsRenamed({"x0": "wx0", "x1": "wx1"}).join(held.hint(MEET), [*key, "_w"], "left")
-    count = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0)).cast("long")
-    sums = kinds.groupBy(*key).agg(count(F.col("held").isNotNull()).alias("inside"), count(within & F.col("held").isNull()).alias("loose"), count(~within & near).alias("beside"))
-    return sums.where("inside > 0 AND (beside + loose) * 10 <= inside")
+    and at most a tenth as many inside the grid but in no cell, or right beside it on its rows. Cells and words are dealt by page."""
+    number = lambda c: F.col(c).cast("double").alias(c)
+    none = F.lit(None).cast("double")
+    rows = cells.select(*by, "grid", *map(number, ("x0", "y0", "x1", "y1")), none.alias("x"), none.alias("y"))
+    rows = rows.unionByName(words.where("x IS NOT NULL AND y IS NOT NULL").select(*by, F.lit(None).cast(cells.schema["grid"].dataType).alias("grid"), number("x0"), none.alias("y0"), number("x1"), none.alias("y1"), number("x"), number("y")))
+
+    def counted(page: pa.Table) -> pa.Table | None:
+        size = page.num_rows - page.column("grid").null_count  # words stand first
+        x, y, wx0, wx1 = (c[: page.num_rows - size] for c in _numbers(page, "x", "y", "x0", "x1"))
+        up = np.argsort(y, kind="stable")
+        x, y, wx0, wx1 = x[up], y[up], wx0[up], wx1[up]
+        own = page.slice(page.num_rows - size)
+        boxes = np.stack(_numbers(own, "x0", "y0", "x1", "y1")) if size else np.zeros((4, 0))
+        (grid,) = _numbered(own.column("grid")) if size else (np.zeros(0, dtype="int64"),)
+        out = []
+        for k in np.split(np.arange(size), np.flatnonzero(np.diff(grid)) + 1) if size and len(x) else []:
+            x0, y0, x1, y1 = boxes[:, k]
+            gx0, gy0, gx1, gy1 = x0.min(), y0.min(), x1.max(), y1.max()
+            rows_of = slice(np.searchsorted(y, gy0 + 1, "left"), np.searchsorted(y, gy1 - 1, "right"))
+            wx, wy, a, b = x[rows_of], y[rows_of], wx0[rows_of], wx1[rows_of]
+            within = (wx >= gx0 - 1) & (wx <= gx1 + 1)
+            held = _covered([x0 - 1, y0 - 1, x1 + 1, y1 + 1], wx[within], wy[within]).sum()
+            beside = (~within & (np.where(wx < gx0, gx0 - b, a - gx1) < BESIDE)).sum()
+            out.append((k[0], held, within.sum() - held, beside))
+        if not out:
+            return None
+        at, *sums = np.array(out, dtype="int64").T
+        own = own.take(at)
+        return pa.table({c: own.column(c) for c in [*by, "grid"]} | dict(zip(("inside", "loose", "beside"), sums, strict=True)))
+
+    ddl = f"{_kinds(cells, *by, 'grid')}, inside long, loose long, beside long"
+    return _by_page(rows, by, counted, ddl, ["grid"]).where("inside > 0 AND (beside + loose) * 10 <= inside")
 
 
 def paragraph_alignment(lines: DataFrame, by: list[str]) -> DataFrame:

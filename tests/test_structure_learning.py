@@ -293,6 +293,20 @@ def test_grid_cells_match_brute_force(spark):
     assert grid.smallest_cells(points.where("false"), ["page"]).count() == 0
 
 
+def test_crossings_of_a_page_are_dealt_once(spark):
+    rng = random.Random(33)
+    points = [(p, f"p{p % 2}", *x) for p in range(6) for x in grid_points(rng)] + [(None, "p0", 1, 2, 0.0, 0.0), (0, "p0", 1, None, 0.0, 0.0)]
+    frame = spark.createDataFrame(points, "page long, part string, h long, v long, x double, y double")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    cells = grid.smallest_cells(frame.unionByName(frame), ["page", "part"])
+    assert store.executionsCount() == before  # nothing is run, and so nothing staged, in rounds
+    assert cells._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = {(p, f"p{p % 2}", *c) for p in range(6) for c in cells_by_hand([x[2:] for x in points if x[0] == p and x[3] is not None])}
+    got = [tuple(r[c] for c in ("page", "part", "x0", "y0", "x1", "y1", "h", "v", "h2", "v2")) for r in cells.collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_whole_tables(spark):
     points = [(1, h, 100 + v, 50.0 * v, 30.0 * h) for h in range(4) for v in range(4) if (h, v) != (1, 1)] + [(2, h, 100 + v, 50.0 * v, 30.0 * h) for h in range(2) for v in range(3)] + [(3, 0, 100, 0.0, 0.0)]
     found = grid.grids(grid.smallest_cells(spark.createDataFrame(points, "page long, h long, v long, x double, y double"), ["page"]), ["page"])
