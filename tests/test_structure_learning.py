@@ -4,6 +4,7 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,6 +308,20 @@ def test_crossings_of_a_page_are_dealt_once(spark):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_words_meet_cells_by_page(spark):
+    rng = random.Random(34)
+    x0, y0 = (np.array([rng.randrange(20) for _ in range(30)]) for _ in range(2))
+    boxes = [x0, y0, x0 + 1 + x0 % 5, y0 + 1 + y0 % 4]
+    x, y = (np.array([rng.randrange(56) / 2 for _ in range(400)]) for _ in range(2))
+    assert grid._covered(boxes, x, y).tolist() == [bool(((boxes[0] <= a) & (a <= boxes[2]) & (boxes[1] <= b) & (b <= boxes[3])).any()) for a, b in zip(x, y, strict=True)]
+    points = [(p, h, 100 + v, 50.0 * v, 30.0 * h) for p in range(3) for h in range(3) for v in range(4)]
+    cells = grid.grids(grid.smallest_cells(spark.createDataFrame(points, "page long, h long, v long, x double, y double"), ["page"]), ["page"])
+    words = spark.createDataFrame([(1, 10.0 * k, 40.0, 10.0 * k - 2, 10.0 * k + 2) for k in range(1, 15)] + [(2, None, 40.0, 1.0, 2.0), (None, 20.0, 40.0, 1.0, 2.0)], "page long, x double, y double, x0 double, x1 double")
+    tables = grid.whole_tables(cells, words, ["page"])
+    assert "Join" not in tables._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in tables.collect()] == [(1, 1, 14, 0, 0)]
+
+
 def test_whole_tables(spark):
     points = [(1, h, 100 + v, 50.0 * v, 30.0 * h) for h in range(4) for v in range(4) if (h, v) != (1, 1)] + [(2, h, 100 + v, 50.0 * v, 30.0 * h) for h in range(2) for v in range(3)] + [(3, 0, 100, 0.0, 0.0)]
     found = grid.grids(grid.smallest_cells(spark.createDataFrame(points, "page long, h long, v long, x double, y double"), ["page"]), ["page"])
