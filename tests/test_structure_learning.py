@@ -132,6 +132,24 @@ def test_glyph_readings_are_learned(spark):
     assert glyph_readings.learn_readings(args[0].where("false"), args[1], args[2]).count() == 0
 
 
+def test_rounds_hold_only_words_that_judge_a_glyph(spark, monkeypatch):
+    texts = ["ab%03d" % k for k in range(300)] + ["b%03d" % k for k in range(300)]
+    words = spark.createDataFrame([("f", ["A" if c == "a" else c for c in w], 600 - k) for k, w in enumerate(texts)], "font string, glyphs array<string>, n long")
+    candidates = spark.createDataFrame([("f", "A", k, c) for k, c in enumerate("xay")], "font string, glyph string, rank int, reading string")
+    lexicon = spark.createDataFrame([(w,) for w in texts], "word string")
+    was, sizes = glyph_readings.staged, {}
+
+    def staged(df, name):
+        out = was(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(glyph_readings, "staged", staged)
+    out = glyph_readings.learn_readings(words, candidates, lexicon).collect()
+    assert [tuple(r) for r in out] == [("f", "A", "a", sum(range(401, 601)), sum(range(401, 601)))]
+    assert max(sizes["glyph-texts"]) == glyph_readings.TOP and max(sizes["glyph-trials"]) == 3 * glyph_readings.TOP
+
+
 # ---- tags
 
 
