@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Container
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.staging import staged
 from . import lexicon
+from .pieces import chunk_of, read_beside
 
 
 def swap_gains(words: DataFrame, lex: DataFrame, targets: list[str], longest: int = 1, bits: DataFrame | None = None) -> DataFrame:
@@ -45,18 +50,24 @@ def learn_swaps(words: DataFrame, lex: DataFrame, targets: list[str], rounds: in
     return spark.createDataFrame(learned, "rank int, src string, dst string, n long")
 
 
-def best_groups(pieces: list[str], known: dict[tuple[int, int], float], most: int) -> list[str]:
-    """Pieces joined to the groups of the best total score; known has (first, size) of groups that are words, and their
-    score. A piece alone scores 0 at least; ties go to the shorter last group."""
+def best_groups(pieces: list[str], known: Container[str], most: int) -> list[str]:
+    """Pieces joined to the groups of the best total score: groups of known words score their length to the power 1.4 less 1 a join. A piece
+    alone scores 0 at least; ties go to the shorter last group."""
+    whole, ends = "".join(pieces), [0, *accumulate(map(len, pieces))]
     sums, last = [0.0], [0]
-    for i in range(1, len(pieces) + 1):
-        options = [(sums[i - k] + known[i - k, k], -k) for k in range(1, min(most, i) + 1) if (i - k, k) in known]
-        best = max(options + ([] if (i - 1, 1) in known else [(sums[i - 1], -1)]))
-        sums.append(best[0])
-        last.append(-best[1])
+    for i, piece in enumerate(pieces, 1):
+        best, size, end = sums[-1] + (len(piece) ** 1.4 if piece in known else 0.0), 1, ends[i]
+        for k in range(2, min(most, i) + 1):
+            gram = whole[ends[i - k] : end]
+            if gram in known:
+                score = sums[i - k] + (len(gram) ** 1.4 - (k - 1))
+                if score > best:
+                    best, size = score, k
+        sums.append(best)
+        last.append(size)
     out, i = [], len(pieces)
     while i:
-        out.append("".join(pieces[i - last[i] : i]))
+        out.append(whole[ends[i - last[i]] : ends[i]])
         i -= last[i]
     return out[::-1]
 
@@ -65,25 +76,17 @@ def group_pieces(lines: DataFrame, lex: DataFrame, by: list[str], most: int = 4)
     """by, text: pieces of each line (an array) joined to known words, groups of at most `most` pieces, best total score.
 
     A known group scores its length to the power 1.4 less 1 a join, an unknown piece alone scores 0; ties go to the shorter
-    last group. Groups are n-grams, of which distinct ones are joined with the lexicon once; the sums then run along each
-    line, in time linear in its pieces."""
+    last group. Groups are n-grams, of which distinct ones of a chunk of lines that the lexicon has are dealt to its lines; the sums then
+    run along each line, in time linear in its pieces. Lines are shuffled once, and no list is put together again."""
+    rows = lines.select(F.lit(0).alias("doc_id"), F.struct(*by).alias("item"), F.to_json("pieces").alias("text"), "pieces")
     at = F.sequence(F.lit(1), F.size("pieces"))
-    grams = lines.where(F.size("pieces") > 0).select(*by, "pieces", F.explode(at).alias("i")).select(*by, "i", F.explode(F.array(*[F.when(F.col("i") + k - 1 <= F.size("pieces"), F.struct(F.lit(k).alias("k"), F.array_join(F.slice("pieces", F.col("i"), F.lit(k)), "").alias("word"))) for k in range(1, most + 1)])).alias("g"))
-    grams = grams.where("g IS NOT NULL").select(*by, "i", "g.k", "g.word")
-    good = grams.join(lex.select("word").distinct(), "word", "left_semi")
-    table = good.groupBy(*by).agg(F.collect_list(F.struct((F.col("i") - 1).alias("i"), "k", F.char_length("word").alias("n"))).alias("known"))
-    rows = lines.select(*by, "pieces").join(table, by, "left")
-    kinds = ", ".join(f"`{c}` {t}" for c, t in lines.select(*by).dtypes)
-
-    def run(batches):
-        for b in batches:
-            texts = []
-            for pieces, known in zip(b["pieces"], b["known"], strict=True):
-                found = {(g["i"], g["k"]): g["n"] ** 1.4 - (g["k"] - 1) for g in ([] if known is None else known)}
-                texts.append(" ".join(best_groups(list(pieces), found, most)))
-            yield b[by].assign(text=texts)
-
-    return rows.mapInPandas(run, f"{kinds}, text string")
+    starts = rows.where(F.size("pieces") > 0).select(chunk_of(), "pieces", F.explode(at).alias("i"))
+    grams = starts.select("chunk", F.explode(F.array(*[F.when(F.col("i") + k - 1 <= F.size("pieces"), F.array_join(F.slice("pieces", F.col("i"), F.lit(k)), "")) for k in range(1, most + 1)])).alias("word"))
+    good = grams.where("word IS NOT NULL").join(lex.select("word").distinct(), "word", "left_semi").distinct()
+
+    grouped = lambda text, known: " ".join(best_groups(json.loads(text), known, most))
+    told = good.select("chunk", F.col("word").alias("key"), F.lit("").alias("made"))
+    return read_beside(rows.select("doc_id", "item", "text"), told, grouped).select("item.*", "text")
 
 
 def document_swaps(words: DataFrame, lex: DataFrame, targets: list[str], rounds: int = 12, least: int = 5, longest: int = 2) -> DataFrame:

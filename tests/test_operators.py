@@ -156,6 +156,14 @@ def test_segmentation_matches_brute_force(spark):
         assert at == len(pieces) and abs(total - score(pieces)) < 1e-9, (pieces, texts[i])
 
 
+def test_pieces_are_not_gathered_from_places(spark):
+    lines = spark.createDataFrame([(1, k, ["th", "at", "c", "at", f"x{k}"]) for k in range(30)] + [(None, 0, ["th", "at"]), (2, 0, [])], "doc_id long, line int, pieces array<string>")
+    out = learning.group_pieces(lines, spark.createDataFrame([("that",), ("cat",)], "word string"), ["doc_id", "line"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "LeftOuter" not in plan
+    assert {(r["doc_id"], r["line"]): r["text"] for r in out.collect()} == {**{(1, k): f"that cat x{k}" for k in range(30)}, (None, 0): "that", (2, 0): ""}
+
+
 def test_components_match_brute_force(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)]
