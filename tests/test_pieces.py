@@ -93,3 +93,50 @@ def test_spelt_lines_of_the_gain_are_made_once(spark):
         planted.spelt_lines = was
     assert seen == [False]
     assert sorted(map(tuple, out.collect())) == [(1, 5, 2, 0), (2, 1, 0, 0)]
+
+
+def test_runs_between_exact_words_are_repaired_once(spark):
+    import random
+
+    from aksharaflow.operators import extracted
+
+    rng = random.Random(43)
+    words = ["काा", "ः", "्क", "घरल]", "[क", "ख]", "प्रमा०ा", "९क०", "abc––", "a––", " क", "��"]
+    exact = {(d, w) for d in range(3) for w in rng.sample(words, 3)}
+    lines = [(rng.randrange(4), k, "".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\n"]) for _ in range(rng.randint(0, 7)))) for k in range(600)]
+    runs = []
+    for d, k, text in lines:
+        at = len(runs)
+        for piece in extracted._PIECE.findall(text):
+            if (d, piece) in exact or len(runs) == at or runs[-1][2]:
+                runs.append((k, len(runs), (d, piece) in exact, piece))
+            else:
+                runs[-1] = (*runs[-1][:3], runs[-1][3] + piece)
+    frame = spark.createDataFrame([*lines, (1, 1000, None)], "doc_id long, item int, text string").repartition(3)
+    known = spark.createDataFrame([*exact, (None, "काा")], "doc_id long, word string")
+    pieces = spark.createDataFrame(runs, "item int, run int, exact boolean, piece string")
+    for repair in (extracted.repair_extracted, lambda c: F.upper(extracted.repair_extracted(c))):
+        want = {k: "" if text is not None else None for _, k, text in [*lines, (1, 1000, None)]}
+        for r in pieces.withColumn("new", F.when(F.col("exact"), F.col("piece")).otherwise(repair(F.col("piece")))).orderBy("run").collect():
+            want[r["item"]] += r["new"]
+        out = extracted.repair_between(frame, known, repair)
+        assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+        assert {r["item"]: r["text"] for r in out.collect()} == want
+
+
+def test_no_rule_has_a_match_in_a_plain_word():
+    import random
+    import re
+
+    from aksharaflow.functions import devanagari as deva
+    from aksharaflow.operators import extracted
+
+    rng, plain = random.Random(44), 0
+    signs = [chr(c) for c in range(0x900, 0x980)] + list("क्र्कअआए" * 8)
+    rules = re.compile("|".join(f"(?:{p})" for p, _ in [*deva.NFC, *extracted.EXTRACTED]))
+    for _ in range(60000):
+        word = "".join(rng.choice(signs) for _ in range(rng.randint(1, 6)))
+        if extracted._PLAIN.fullmatch(word):
+            plain += 1
+            assert not rules.search(word), word
+    assert plain > 1000
