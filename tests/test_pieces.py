@@ -140,3 +140,22 @@ def test_no_rule_has_a_match_in_a_plain_word():
             plain += 1
             assert not rules.search(word), word
     assert plain > 1000
+
+
+def test_key_lines_are_made_once(spark):
+    assert (both := keytext._keyed("vf; hgf 5"))[0] is both[1]
+    assert keytext._keyed("vf; ( hgf )") == (["vf;", " ", "(", " ", "hgf", " ", ")"], ["vf;", " ", "( ", " ", "hgf", " ", ")"])
+    lines = spark.createDataFrame([(1, 0, "vf; ( hgf")], "doc_id long, item int, text string").withColumn("text", F.udf(lambda t: t)("text"))
+    made, was = {}, keytext.staged
+
+    def staged(df, name, **_):
+        made[name] = df._jdf.queryExecution().executedPlan().toString()
+        return was(df, name)
+
+    keytext.staged = staged
+    try:
+        out = keytext.convert_lines(lines, spark.createDataFrame([], "word string"))
+    finally:
+        keytext.staged = was
+    assert "EvalPython" in made["plain-lines"] and "EvalPython" not in made["key-lines"]
+    assert [r["text"] for r in out.collect()] == ["खास ९ जना"]
